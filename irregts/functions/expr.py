@@ -28,8 +28,11 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def whole_minutes(start: Column, end: Column) -> Column:
-    """Minutes from start to end, cut toward zero."""
-    return F.timestamp_diff("MINUTE", start, end)
+    """Minutes between two timestamps without zone, cut toward zero.
+
+    The interval form never passes through the session's time zone.
+    """
+    return (end - start).cast("interval minute").cast("bigint")
 
 
 def all_present(*names: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from irregts.functions.expr import Staging, stage
+from irregts.operators.layout import join_back
 
 
 @dataclass(frozen=True)
@@ -101,8 +102,7 @@ def cull_cohort(df: DataFrame, rules: CohortRules) -> DataFrame:
     """Rows of the usable stays up to and including the last target observation."""
     last = kept_stays(df, rules).select("ind", "t_last")
     return (
-        cap_hours(df, rules.max_hours)
-        .join(last, "ind")
+        join_back(cap_hours(df, rules.max_hours), last, "ind")
         .filter(F.col("time") <= F.col("t_last"))
         .select(*df.columns)
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -19,7 +19,7 @@ from irregts.operators.normalize import fit_fold_stats
 from irregts.operators.sequences import sample_targets, time_token_id
 from irregts.operators.variables import resolve_labels
 from irregts.operators.windows import forecast_inputs
-from irregts.session import shared_dir
+from irregts.session import materialise
 
 # Preset name -> (target label, labels hidden from the inputs).
 PRESETS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -44,7 +44,7 @@ class ForecastTask:
     history_hours: tuple[float, ...] | None = None
     max_measures: int | None = None
 
-    def inputs(self, df: DataFrame) -> DataFrame:
+    def inputs(self, df: DataFrame, targets: DataFrame | None = None) -> DataFrame:
         return forecast_inputs(
             df,
             self.target,
@@ -53,6 +53,7 @@ class ForecastTask:
             self.horizon_hours,
             self.history_hours,
             self.max_measures,
+            targets=targets,
         )
 
 
@@ -86,9 +87,9 @@ class FitSettings:
 
     epsilon: float = 1.35
     reg: float = 0.01
-    iterations: int = 50
+    iterations: int = 30
+    tolerance: float = 1e-4
     with_train: bool = False
-    extra: Mapping[str, object] = field(default_factory=dict)
 
 
 def last_values(inputs: DataFrame, variables: Sequence[int]) -> DataFrame:
@@ -117,12 +118,11 @@ def fit_predict_folds(
     normalised with the statistics of the train side; a missing variable sits at its
     mean. The feature table has one row per stay and is written once for all folds.
     """
-    shared_dir(df.sparkSession)
-    features = (
-        sample_targets(df, task.target)
-        .join(last_values(task.inputs(df), variables), "ind", "left")
-        .join(folds, "ind")
-        .checkpoint()
+    targets = materialise(sample_targets(df, task.target), "targets")
+    features = materialise(
+        targets.join(last_values(task.inputs(df, targets), variables), "ind", "left")
+        .join(folds, "ind"),
+        "features",
     )
     stats = fetch_small(fit_fold_stats(df, folds, k).filter(F.col("split") == "train"))
     if stats is None:
@@ -147,6 +147,7 @@ def fit_predict_folds(
         epsilon=settings.epsilon,
         regParam=settings.reg,
         maxIter=settings.iterations,
+        tol=settings.tolerance,
     )
     outputs = []
     for fold in range(k):

@@ -1,7 +1,6 @@
 """Global positions and exact order statistics without a single-task window.
 
-Rows are range-partitioned on the wanted order and written once to the checkpoint
-folder, so that partition number and position are stable under executor loss.
+Rows are range-partitioned on the wanted order and written once to the shared folder, so that partition number and position are stable under executor loss.
 Whatever is global then follows from one small total per partition.
 """
 
@@ -13,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from irregts.session import shared_dir
+from irregts.session import materialise
 
 MAX_SMALL_ROWS = 100_000
-_PART, _POS, _COPIES, _START = "_part", "_pos", "_copies", "_start"
+_PART, _POS, _COPIES = "_part", "_pos", "_copies"
 
 
 def fetch_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame | None:
@@ -33,20 +32,29 @@ def fetch_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame | No
 
 def small_side(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
     """``df`` ready to be joined to a large table: broadcast if it is checked to be
-    small, otherwise left to a shuffle join."""
+    small, otherwise written for a shuffle join as in :func:`join_back`."""
     local = fetch_small(df, max_rows)
-    return df if local is None else F.broadcast(local)
+    return materialise(df, "side") if local is None else F.broadcast(local)
+
+
+def join_back(rows: DataFrame, per_key: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows to a computed table that has one row per key.
+
+    The table is written first. Its size is then known, so the planner broadcasts it
+    below the session's threshold and shuffles it above; and the adaptive skew join can
+    split a hot key, which it cannot do where an aggregate feeds the join directly.
+    """
+    return rows.join(materialise(per_key, "keys"), on, how)
 
 
 def _range_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Sorted range partitions with stable numbers (_part) and positions (_pos)."""
-    shared_dir(df.sparkSession)
     placed = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
-        .checkpoint()
     )
+    placed = materialise(placed, "ranges")
     # monotonically_increasing_id keeps the partition number above bit 33.
     return placed.select(
         *df.columns,
@@ -55,74 +63,24 @@ def _range_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
-def _part_offsets(parts: DataFrame, weight: Column) -> tuple[DataFrame, int]:
-    """Weight ahead of each partition, and in total. One row per partition."""
-    sizes = sorted(
-        (r[_PART], r["_n"]) for r in parts.groupBy(_PART).agg(F.sum(weight).alias("_n")).collect()
-    )
-    ahead, total = [], 0
-    for part, n in sizes:
-        ahead.append((part, total))
-        total += n
-    table = parts.sparkSession.createDataFrame(ahead, f"{_PART} long, _ahead long")
-    return F.broadcast(table), total
-
-
 def global_row_index(df: DataFrame, order: Sequence[str], name: str) -> tuple[DataFrame, int]:
     """Add the 0-based position of each row in ``order``; also return the row count.
 
-    Meant for tables that ``order`` identifies (one row per stay). Tables that may
-    hold many equal rows go through :func:`copy_starts`.
-    """
-    parts = _range_parts(df, order)
-    ahead, total = _part_offsets(parts, F.lit(1))
-    indexed = parts.join(ahead, _PART).select(
-        *df.columns, (F.col("_ahead") + F.col(_POS)).alias(name)
-    )
-    return indexed, total
-
-
-def copy_starts(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
-    """Distinct rows with their number of copies and the position of the first copy.
-
-    Equal rows are folded map-side before the shuffle, so a group of copies of any
-    size costs one row. Columns outside ``order`` break ties.
+    Columns outside ``order`` break ties, and equal rows are ordered by the task they
+    come from. A group of copies of any size is thus cut into ranges like other rows.
     """
-    full_order = [*order, *(c for c in df.columns if c not in order)]
-    folded = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(_COPIES))
-    parts = _range_parts(folded, full_order)
-    ahead, total = _part_offsets(parts, F.col(_COPIES))
-    before = W.partitionBy(_PART).orderBy(_POS).rowsBetween(W.unboundedPreceding, -1)
-    started = parts.withColumn("_in_part", F.coalesce(F.sum(_COPIES).over(before), F.lit(0)))
-    started = started.join(ahead, _PART).select(
-        *df.columns, _COPIES, (F.col("_ahead") + F.col("_in_part")).alias(_START)
-    )
-    return started, total
-
-
-def repeat_rows(
-    df: DataFrame, times: Column, ordinal: str | None = None, chunk: int = 100_000
-) -> DataFrame:
-    """Emit each row ``times`` times, optionally with the 0-based copy number.
-
-    Rows repeated more than ``chunk`` times are first cut into chunks that are spread
-    over the cluster, so that no task expands a large group of copies by itself.
-    """
-    kept = df.columns
-    counted = df.withColumn("_times", times.cast("long")).filter("_times > 0")
-    usual = counted.filter(F.col("_times") <= chunk).withColumn("_first", F.lit(0).cast("long"))
-    large = (
-        counted.filter(F.col("_times") > chunk)
-        .withColumn(
-            "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1, F.lit(chunk).cast("long")))
-        )
-        .withColumn("_times", F.least(F.lit(chunk).cast("long"), F.col("_times") - F.col("_first")))
-        .repartition("_first")
-    )
-    copies = usual.unionByName(large).withColumn(
-        "_copy", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_times") - 1))
-    )
-    return copies.select(*kept, *([F.col("_copy").alias(ordinal)] if ordinal else []))
+    ties = [c for c in df.columns if c not in order]
+    traced = df.withColumn("_task", F.spark_partition_id())
+    parts = _range_parts(traced, [*order, *ties, "_task"])
+    # One number per partition reaches the driver.
+    sizes = {r[_PART]: r["n"] for r in parts.groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect()}
+    ahead, total = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        ahead.append(f"{total}L")
+        total += sizes.get(part, 0)
+    offsets = F.expr(f"array({', '.join(ahead)})")
+    offset = F.element_at(offsets, (F.col(_PART) + 1).cast("int"))
+    return parts.select(*df.columns, (offset + F.col(_POS)).alias(name)), total
 
 
 def order_statistics(
@@ -138,7 +96,6 @@ def order_statistics(
     groups together, and only the partition slices that hold a wanted rank are ranked.
     A group with any share of the rows is thus spread over many tasks.
     """
-    spark = df.sparkSession
     by = list(by)
     folded = (
         df.filter(F.col(value).isNotNull())
@@ -150,7 +107,7 @@ def order_statistics(
     # One row per group and partition: groups + partitions rows at most.
     slices = parts.groupBy(*by, _PART).agg(F.sum(_COPIES).alias("_slice"))
     local = fetch_small(slices)
-    slices = slices if local is None else local
+    slices = slices if local is None else local.coalesce(1)
     group = W.partitionBy(*by)
     located = slices.withColumn("_n", F.sum("_slice").over(group)).withColumn(
         "_ahead", F.sum("_slice").over(group.orderBy(_PART)) - F.col("_slice")

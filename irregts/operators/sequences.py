@@ -30,8 +30,14 @@ def stay_demographics(df: DataFrame) -> DataFrame:
 
 
 def sample_targets(df: DataFrame, target: int) -> DataFrame:
-    """Target observation, gender and age per stay."""
-    return target_observations(df, target).join(stay_demographics(df), "ind")
+    """Target observation of each stay, with gender and age, which repeat on all rows."""
+    last = F.max(F.struct("time", "value"))
+    stays = df.filter(F.col("itemid") == target).groupBy("ind").agg(
+        last.alias("_last"), F.min("gender").alias("gender"), F.min("age").alias("age")
+    )
+    return stays.select(
+        "ind", F.col("_last.time").alias("tgt_time"), F.col("_last.value").alias("tgt_value"), "gender", "age"
+    )
 
 
 def sequence_rows(inputs: DataFrame, targets: DataFrame, token: int) -> DataFrame:
@@ -53,13 +59,15 @@ def sequence_rows(inputs: DataFrame, targets: DataFrame, token: int) -> DataFram
     return numbered.unionByName(tokens)
 
 
-def sequences(inputs: DataFrame, targets: DataFrame, token: int, max_measures: int, salts: int = 16) -> DataFrame:
+def sequences(
+    inputs: DataFrame, targets: DataFrame, token: int, max_measures: int, source: DataFrame | None = None
+) -> DataFrame:
     """One row per stay with ordered arrays, the time token last.
 
     Only the latest ``max_measures`` rows enter an array, which bounds its size. Stays
-    without inputs keep the token alone.
+    without inputs keep the token alone. ``source`` is passed to :func:`last_n`.
     """
-    kept = last_n(inputs.select("ind", "time", "itemid", "value"), max_measures, salts=salts)
+    kept = last_n(inputs.select("ind", "time", "itemid", "value"), max_measures, source=source)
     items = kept.groupBy("ind").agg(
         F.array_sort(
             F.collect_list(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from irregts.functions.expr import whole_minutes
-from irregts.operators.layout import copy_starts, global_row_index, repeat_rows, small_side
+from irregts.operators.layout import global_row_index, join_back
 from irregts.schemas import STAY_ORDER
 
 
@@ -30,15 +30,37 @@ def add_relative_time(df: DataFrame, start: str = "admittime", at: str = "chartt
     return df.withColumn("time", whole_minutes(F.col(start), F.col(at)))
 
 
-def stay_key(df: DataFrame, stay: str, name: str = "ind") -> DataFrame:
-    """Dense 0-based number of each stay in stay id order."""
-    indexed, _ = global_row_index(df.select(stay).distinct(), [stay], name)
-    return indexed
+def _stay_sizes(df: DataFrame, stay: str) -> DataFrame:
+    return df.groupBy(stay).agg(
+        F.count(F.lit(1)).alias("_n"), (F.max("time") - F.min("time")).alias("_minutes")
+    )
+
+
+def _sized(sizes: DataFrame, min_measures: int | None, max_measures: int | None, min_hours: float) -> DataFrame:
+    if min_measures is not None:
+        sizes = sizes.filter(F.col("_n") >= min_measures)
+    if max_measures is not None:
+        sizes = sizes.filter(F.col("_n") <= max_measures)
+    if min_hours > 0:
+        sizes = sizes.filter(F.col("_minutes") > min_hours * 60)
+    return sizes
+
 
+def index_stays(
+    df: DataFrame,
+    stay: str,
+    name: str = "ind",
+    min_measures: int | None = None,
+    max_measures: int | None = None,
+    min_hours: float = 0,
+) -> DataFrame:
+    """Add the dense 0-based number of the stay, in stay id order, and filter stays as in
+    :func:`filter_stays`. Numbers are given first, so dropped stays leave gaps.
 
-def index_stays(df: DataFrame, stay: str, name: str = "ind") -> DataFrame:
-    """Add the stay number to every row. Later stay filters leave gaps."""
-    return df.join(stay_key(df, stay, name), stay)
+    Sizes and numbers share one table with a row per stay, joined to the rows once.
+    """
+    numbered, _ = global_row_index(_stay_sizes(df, stay), [stay], name)
+    return df.join(_sized(numbered, min_measures, max_measures, min_hours).select(stay, name), stay)
 
 
 def filter_stays(
@@ -50,21 +72,13 @@ def filter_stays(
 ) -> DataFrame:
     """Keep stays by number of measures (bounds included) and by duration (strictly
     longer than ``min_hours``; 0 keeps every duration)."""
-    sizes = df.groupBy(stay).agg(
-        F.count(F.lit(1)).alias("_n"), (F.max("time") - F.min("time")).alias("_minutes")
-    )
-    if min_measures is not None:
-        sizes = sizes.filter(F.col("_n") >= min_measures)
-    if max_measures is not None:
-        sizes = sizes.filter(F.col("_n") <= max_measures)
-    if min_hours > 0:
-        sizes = sizes.filter(F.col("_minutes") > min_hours * 60)
-    return df.join(sizes.select(stay), stay, "left_semi")
+    kept = _sized(_stay_sizes(df, stay), min_measures, max_measures, min_hours)
+    return join_back(df, kept.select(stay), stay, "left_semi")
 
 
 def restrict_to_stays(df: DataFrame, stays: DataFrame, stay: str = "ind", check: bool = True) -> DataFrame:
     """Rows of the listed stays. With ``check``, no common stay is an error."""
-    kept = df.join(stays.select(stay).distinct(), stay, "left_semi")
+    kept = join_back(df, stays.select(stay).distinct(), stay, "left_semi")
     if check and kept.isEmpty():
         raise ValueError("none of the given stays occurs in the table")
     return kept
@@ -81,30 +95,25 @@ def stay_ordinals(df: DataFrame, order: Sequence[str] = STAY_ORDER, stay: str =
     Positions come from one global order over (stay, order), so that even a stay with
     a large share of all rows is ranked by many tasks.
     """
-    starts, _ = copy_starts(df, [stay, *order])
-    first = starts.groupBy(stay).agg(F.min("_start").alias("_stay_start"))
-    placed = starts.join(first, stay)
-    rows = repeat_rows(placed, F.col("_copies"), "_copy")
-    return rows.select(*df.columns, (F.col("_start") - F.col("_stay_start") + F.col("_copy")).alias(name))
+    placed, _ = global_row_index(df, [stay, *order], "_place")
+    first = placed.groupBy(stay).agg(F.min("_place").alias("_first"))
+    return join_back(placed, first, stay).select(*df.columns, (F.col("_place") - F.col("_first")).alias(name))
 
 
 def decimate(df: DataFrame, order: Sequence[str], stride: int = 3) -> DataFrame:
     """Every ``stride``-th row of the declared order, starting with the first."""
-    starts, _ = copy_starts(df, order)
-
-    def multiples_below(x):
-        return F.floor((x + (stride - 1)) / stride)
-
-    kept = multiples_below(F.col("_start") + F.col("_copies")) - multiples_below(F.col("_start"))
-    return repeat_rows(starts, kept).select(*df.columns)
+    placed, _ = global_row_index(df, order, "_place")
+    return placed.filter(F.col("_place") % stride == 0).select(*df.columns)
 
 
 def decimate_vitals(long: DataFrame, vitals: Sequence[str], stride: int = 3, stay: str = "patientunitstayid") -> DataFrame:
     """:func:`decimate` in the order variable (as listed), stay, time, value."""
-    spark = long.sparkSession
-    positions = spark.createDataFrame([(v, i) for i, v in enumerate(vitals)], "variable string, _position int")
-    placed = long.join(small_side(positions), "variable")
-    return decimate(placed, ["_position", stay, "time", "value"], stride).select(*long.columns)
+    names = F.array(*(F.lit(v) for v in vitals))
+    placed = long.select(
+        F.array_position(names, F.col("variable")).cast("int").alias("_listed"), stay, "time", "value"
+    )
+    kept = decimate(placed, ["_listed", stay, "time", "value"], stride)
+    return kept.withColumn("variable", F.element_at(names, F.col("_listed"))).select(*long.columns)
 
 
 def dataset_report(df: DataFrame) -> DataFrame:

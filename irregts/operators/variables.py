@@ -45,14 +45,18 @@ def outlier_bounds(
     )
 
 
+def within_bounds(df: DataFrame, bounds: DataFrame, by: str = "itemid", value: str = "value") -> DataFrame:
+    """Rows inside their variable's bounds; variables without bounds vanish."""
+    joined = df.join(small_side(bounds.select(by, "low", "high")), by)
+    return remove_outside_range(joined, F.col("low"), F.col("high"), value).select(*df.columns)
+
+
 def remove_outliers(
     df: DataFrame, by: str = "itemid", value: str = "value", spread: float = 3.0,
     low_q: float = 0.25, high_q: float = 0.75,
 ) -> DataFrame:
     """Drop values outside their variable's :func:`outlier_bounds`."""
-    bounds = outlier_bounds(df, by, value, spread, low_q, high_q).select(by, "low", "high")
-    joined = df.join(small_side(bounds), by)
-    return remove_outside_range(joined, F.col("low"), F.col("high"), value).select(*df.columns)
+    return within_bounds(df, outlier_bounds(df, by, value, spread, low_q, high_q), by, value)
 
 
 def top_variables(df: DataFrame, k: int, min_count: int = 50_000, by: str = "itemid") -> DataFrame:

@@ -1,8 +1,8 @@
 """Input rows of a forecast: what may be seen before the target observation.
 
 All limits are in raw minutes and hours; normalise afterwards. Per-stay facts come
-from map-side aggregates joined back on the stay, so that the adaptive skew join can
-split a stay of any size; no window ever spans a whole stay.
+from map-side aggregates joined back on the stay, so that a stay of any size can be
+split; no window ever spans a whole stay.
 """
 
 from __future__ import annotations
@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from irregts.operators.layout import join_back
 from irregts.schemas import STAY_ORDER
+from irregts.session import materialise
+
+# Rows of one group that a single task may rank.
+HOT_ROWS = 1_000_000
 
 
 def target_observations(df: DataFrame, target: int) -> DataFrame:
@@ -29,7 +34,7 @@ def target_observations(df: DataFrame, target: int) -> DataFrame:
 
 def input_rows(df: DataFrame, targets: DataFrame) -> DataFrame:
     """Rows strictly before the target observation, with ``tgt_time`` attached."""
-    rows = df.join(targets.select("ind", "tgt_time"), "ind")
+    rows = join_back(df, targets.select("ind", "tgt_time"), "ind")
     return rows.filter(F.col("time") < F.col("tgt_time"))
 
 
@@ -44,7 +49,7 @@ def window_lookback(rows: DataFrame, minutes: float) -> DataFrame:
         raise ValueError("the look-back must be positive")
     newest = rows.groupBy("ind").agg(F.max("time").alias("_newest"))
     steps = F.greatest(F.lit(1), F.ceil((F.col("tgt_time") - F.col("_newest")) / minutes))
-    joined = rows.join(newest, "ind")
+    joined = join_back(rows, newest, "ind")
     return joined.filter(F.col("time") >= F.col("tgt_time") - steps * minutes).select(*rows.columns)
 
 
@@ -67,29 +72,45 @@ def window_history(rows: DataFrame, hours: Sequence[float]) -> DataFrame:
     return rows.filter(F.col("time") <= end)
 
 
+def _hot_groups(df: DataFrame, n: int, by: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Groups too large to be ranked by one task, with the number of pieces to cut them
+    into. The square root balances the pieces against the final ranking of their tops."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(hot_rows, 4 * n))
+    hot = materialise(sizes.select(*by, F.floor(F.sqrt(F.col("_n") / n)).alias("_pieces")), "hot")
+    return None if hot.isEmpty() else hot
+
+
 def last_n(
-    df: DataFrame, n: int, by: Sequence[str] = ("ind",), order: Sequence[str] = STAY_ORDER, salts: int = 16
+    df: DataFrame,
+    n: int,
+    by: Sequence[str] = ("ind",),
+    order: Sequence[str] = STAY_ORDER,
+    source: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The n latest rows per group.
 
-    Each group is trimmed in ``salts`` pieces first and then as a whole, so the final
-    ranking of a group sees ``n * salts`` rows at most, whatever the size of the group.
-    ``salts=1`` ranks once, for groups already known to be small.
+    Groups of more than ``hot_rows`` rows are trimmed in pieces first and then as a
+    whole. Group sizes are counted on ``source``, a table that ``df`` was filtered
+    from, where that is cheaper to read than ``df`` itself.
     """
     if n < 1:
         raise ValueError("n must be positive")
+    by = list(by)
     latest = [F.desc(c) for c in order]
 
     def trim(rows: DataFrame, keys: list[str]) -> DataFrame:
         rank = F.row_number().over(W.partitionBy(*keys).orderBy(*latest))
         return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
-    if salts > 1:
-        # Equal rows get different salts when they come from different tasks; within
-        # a task they are trimmed before the exchange.
-        piece = F.pmod(F.xxhash64(*order, F.spark_partition_id()), F.lit(salts))
-        df = trim(df.withColumn("_piece", piece), [*by, "_piece"]).drop("_piece")
-    return trim(df, list(by))
+    hot = _hot_groups(df if source is None else source, n, by, hot_rows)
+    if hot is not None:
+        # Equal rows land in different pieces when they come from different tasks.
+        spread = F.xxhash64(*order, F.spark_partition_id())
+        piece = F.when(F.col("_pieces").isNotNull(), F.pmod(spread, F.col("_pieces"))).otherwise(F.lit(0))
+        cut = df.join(hot, by, "left").withColumn("_piece", piece)
+        df = trim(cut, [*by, "_piece"]).select(*df.columns)
+    return trim(df, by)
 
 
 def forecast_inputs(
@@ -100,11 +121,13 @@ def forecast_inputs(
     horizon_hours: float | None = None,
     history_hours: Sequence[float] | None = None,
     max_measures: int | None = None,
-    salts: int = 16,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
     """All limits in their fixed order. The look-back only counts when neither a
-    horizon nor a number of measures is given."""
-    rows = mask_variables(input_rows(df, target_observations(df, target)), masked)
+    horizon nor a number of measures is given. ``targets`` saves finding the target
+    observations again."""
+    targets = target_observations(df, target) if targets is None else targets
+    rows = mask_variables(input_rows(df, targets), masked)
     if back_minutes is not None and horizon_hours is None and max_measures is None:
         rows = window_lookback(rows, back_minutes)
     if horizon_hours is not None:
@@ -112,10 +135,10 @@ def forecast_inputs(
     if history_hours is not None:
         rows = window_history(rows, history_hours)
     if max_measures is not None:
-        rows = last_n(rows, max_measures, salts=salts)
+        rows = last_n(rows, max_measures, source=df)
     return rows.select(*df.columns)
 
 
-def empty_inputs(df: DataFrame, target: int, inputs: DataFrame) -> DataFrame:
+def empty_inputs(targets: DataFrame, inputs: DataFrame) -> DataFrame:
     """Stays with a target observation but without any input row."""
-    return target_observations(df, target).join(inputs.select("ind").distinct(), "ind", "left_anti").select("ind")
+    return targets.join(inputs.select("ind").distinct(), "ind", "left_anti").select("ind")

@@ -19,11 +19,10 @@ fx_dates as (
   select o_custkey as hadm_id, o_orderkey as stay_id, o_custkey as subject_id, o_orderdate as charttime,
          l_returnflag as itemid, l_shipdate as value
   from lineitem join orders on l_orderkey = o_orderkey),
-fx_first as (
-  select user_id as hadm_id, date_trunc('day', min(ts)) + interval 12 hour as admittime from events group by 1),
 fx_admissions as (
-  select f.hadm_id, f.admittime, c.c_mktsegment as admission_location
-  from fx_first f join customer c on c.c_custkey = f.hadm_id),
+  select c_custkey as hadm_id, timestamp '2024-01-01 00:00:00' + to_hours(c_custkey % 48) as admittime,
+         c_mktsegment as admission_location
+  from customer),
 fx_patients as (
   select c_custkey as subject_id, case c_nationkey % 3 when 0 then 'M' when 1 then 'F' end as gender,
          cast(20 + 3 * c_nationkey as integer) as anchor_age
@@ -552,11 +551,11 @@ join (select distinct {_GROUP}, c as p from (select {_GROUP}, t as c from fx_cla
 left join (select {_GROUP}, t, p, count(*) as n from fx_classes group by {_GROUP}, t, p) using ({_GROUP}, t, p)"""),
     "metrics_by_fold": _sql(
         """
-select "set", metric, round(max(value) filter (where fold = 0), 7) as fold_0,
-       round(max(value) filter (where fold = 1), 7) as fold_1, round(max(value) filter (where fold = 2), 7) as fold_2,
-       round(max(value) filter (where fold = 3), 7) as fold_3, round(max(value) filter (where fold = 4), 7) as fold_4,
-       round(avg(value), 7) as mean, round(stddev_pop(value), 7) as std,
-       round(sqrt(var_pop(value) * 5 / 6), 7) as std_with_mean
+select "set", metric, round(max(value) filter (where fold = 0), 10) as fold_0,
+       round(max(value) filter (where fold = 1), 10) as fold_1, round(max(value) filter (where fold = 2), 10) as fold_2,
+       round(max(value) filter (where fold = 3), 10) as fold_3, round(max(value) filter (where fold = 4), 10) as fold_4,
+       round(avg(value), 10) as mean, round(stddev_pop(value), 10) as std,
+       round(sqrt(var_pop(value) * 5 / 6), 10) as std_with_mean
 from scores group by 1, 2""",
         _scores(_SCORES_SQL),
     ),

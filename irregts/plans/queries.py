@@ -21,7 +21,7 @@ from irregts.operators import variables as va
 from irregts.operators import windows as wi
 from irregts.plans import stages
 from irregts.plans import views as v
-from irregts.session import configure, scratch_path
+from irregts.session import configure, materialise, scratch_path
 from irregts.sources import events as ev
 from irregts.sources import offsets as off
 from irregts.sources import writers as wr
@@ -523,7 +523,8 @@ SPARSE = dict(masked=(0, 1, 2, 3), horizon_hours=300, history_hours=(12, 200))
 @query
 def empty_inputs(spark, d):
     m = v.measures(spark, d)
-    return wi.empty_inputs(m, v.TARGET, wi.forecast_inputs(m, v.TARGET, **SPARSE))
+    targets = materialise(wi.target_observations(m, v.TARGET), "targets")
+    return wi.empty_inputs(targets, wi.forecast_inputs(m, v.TARGET, targets=targets, **SPARSE))
 
 
 @query
@@ -547,14 +548,16 @@ def forecast_task(spark, d):
 @query
 def sequence_tokens(spark, d):
     m = v.measures(spark, d)
-    inputs = wi.forecast_inputs(m, v.TARGET, **SPARSE)
-    return se.sequence_rows(inputs, wi.target_observations(m, v.TARGET), 5)
+    targets = materialise(wi.target_observations(m, v.TARGET), "targets")
+    inputs = wi.forecast_inputs(m, v.TARGET, targets=targets, **SPARSE)
+    return se.sequence_rows(inputs, targets, 5)
 
 
 def _samples(spark, d) -> DataFrame:
     m = v.measures(spark, d)
-    inputs = wi.forecast_inputs(m, v.TARGET, horizon_hours=24)
-    return se.sequences(inputs, se.sample_targets(m, v.TARGET), 5, 20)
+    targets = materialise(se.sample_targets(m, v.TARGET), "targets")
+    inputs = wi.forecast_inputs(m, v.TARGET, horizon_hours=24, targets=targets)
+    return se.sequences(inputs, targets, 5, 20, source=m)
 
 
 def _positions(df: DataFrame, keys, arrays) -> DataFrame:
@@ -625,7 +628,7 @@ def confusion_matrix(spark, d):
 def metrics_by_fold(spark, d):
     scores = me.score_table(v.predictions(spark, d), KDIGO_BOUNDS)
     table = me.metrics_by_fold(scores, range(K))
-    return rounded(table, [c for c in table.columns if c not in ("set", "metric")], 7)
+    return rounded(table, [c for c in table.columns if c not in ("set", "metric")], 10)
 
 
 @query

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from irregts.functions.expr import Staging
 from irregts.operators.cohort import CohortRules, cull_cohort, stay_labels
+from irregts.operators.layout import small_side
 from irregts.operators.metrics import metrics_by_fold, score_table
 from irregts.operators.stays import (
     add_relative_time,
     decimate_vitals,
-    filter_stays,
     index_stays,
     join_admissions,
     join_patients,
@@ -23,9 +23,10 @@ from irregts.operators.stays import (
 from irregts.operators.variables import (
     index_variables,
     keep_origins,
-    remove_outliers,
+    outlier_bounds,
     select_variables,
     variable_key,
+    within_bounds,
 )
 from irregts.sources.offsets import unpivot_vitals
 from irregts.sources.writers import PROCESSED
@@ -46,12 +47,14 @@ def measures_from_events(
 
     ``catalogue`` holds ``label``, ``itemid`` and ``position``.
     """
-    wanted = remove_outliers(select_variables(events, catalogue), spread=spread)
-    key = variable_key(wanted, catalogue)
-    timed = add_relative_time(join_admissions(index_variables(wanted, key), admissions))
+    wanted = select_variables(events, catalogue)
+    bounds = small_side(outlier_bounds(wanted, spread=spread))
+    key = variable_key(bounds, catalogue)
+    clean = index_variables(within_bounds(wanted, bounds), key)
+    timed = add_relative_time(join_admissions(clean, admissions))
     if origins is not None:
         timed = keep_origins(timed, origins)
-    sized = filter_stays(index_stays(timed, "stay_id"), min_measures, max_measures, min_hours)
+    sized = index_stays(timed, "stay_id", "ind", min_measures, max_measures, min_hours)
     rows = join_patients(sized, patients)
     return rows.select(*(c for c in PROCESSED if c in rows.columns)), key
 
@@ -76,17 +79,21 @@ def measures_from_offsets(
     catalogue = spark.createDataFrame(
         [(v, v, i) for i, v in enumerate(names)], "label string, variable string, position int"
     )
-    kept_labs = remove_outliers(
-        select_variables(labs, catalogue.filter(F.col("position") < len(lab_names)), "variable"), "variable", spread=spread
-    )
+    wanted = select_variables(labs, catalogue.filter(F.col("position") < len(lab_names)), "variable")
+    bounds = small_side(outlier_bounds(wanted, "variable", spread=spread))
     thinned = decimate_vitals(unpivot_vitals(vitals_wide, vitals), vitals, stride)
     columns = ["patientunitstayid", "time", "variable", "value"]
     measures = thinned.select(*columns).unionByName(
-        kept_labs.select("patientunitstayid", F.col("time").cast("long"), "variable", F.col("value").cast("double"))
+        within_bounds(wanted, bounds, "variable").select(
+            "patientunitstayid", F.col("time").cast("long"), "variable", F.col("value").cast("double")
+        )
+    )
+    present = bounds.select("variable").union(thinned.select("variable").distinct())
+    key = variable_key(present, catalogue, "variable")
+    numbered = index_stays(
+        index_variables(measures, key, "variable"), "patientunitstayid", "ind", min_measures, max_measures
     )
-    key = variable_key(measures, catalogue, "variable").select("label", "variable", "key")
-    numbered = index_stays(index_variables(measures, key, "variable"), "patientunitstayid")
-    rows = join_stay_demographics(filter_stays(numbered, min_measures, max_measures), demographics)
+    rows = join_stay_demographics(numbered, demographics)
     return rows.select(*(c for c in PROCESSED if c in rows.columns)), key.select("label", "key")
 
 

@@ -72,12 +72,12 @@ def raw_datetime_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def admissions(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "events").groupBy(F.col("user_id").alias("hadm_id")).agg(F.min("ts").alias("_first"))
-    start = F.date_trunc("day", "_first").cast("timestamp_ntz") + F.expr("interval 12 hours")
-    customers = table(spark, d, "customer").select(
-        F.col("c_custkey").alias("hadm_id"), F.col("c_mktsegment").alias("admission_location")
+    wait = F.make_dt_interval(F.lit(0), (F.col("c_custkey") % 48).cast("int"))
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias("hadm_id"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + wait).alias("admittime"),
+        F.col("c_mktsegment").alias("admission_location"),
     )
-    return first.select("hadm_id", start.alias("admittime")).join(customers, "hadm_id")
 
 
 def patients(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from irregts.functions.expr import all_present, parse_timestamp, whole_minutes
+from irregts.operators.layout import join_back
 from irregts.sources.tables import read_table
 
 
@@ -82,7 +83,7 @@ def clean_events(raw: DataFrame, layout: EventLayout) -> DataFrame:
         return events
     earliest = events.groupBy("hadm_id").agg(F.min("charttime").alias("_earliest"))
     return (
-        events.join(earliest, "hadm_id")
+        join_back(events, earliest, "hadm_id")
         .withColumn("value", whole_minutes(F.col("_earliest"), F.col("value")))
         .select(*events.columns)
     )
