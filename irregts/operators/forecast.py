@@ -13,8 +13,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irregts.functions.expr import gender_code
-from irregts.operators.layout import fetch_small
+from irregts.functions.expr import gender_code, standardise, unstandardise
+from irregts.operators.layout import small_side
 from irregts.operators.normalize import fit_fold_stats
 from irregts.operators.sequences import sample_targets, time_token_id
 from irregts.operators.variables import resolve_labels
@@ -116,28 +116,42 @@ def fit_predict_folds(
 
     Features are the latest value per variable, gender, age and target time, all
     normalised with the statistics of the train side; a missing variable sits at its
-    mean. The feature table has one row per stay and is written once for all folds.
+    mean. The scaled features, a row per stay and fold, are written once for all fits.
     """
     targets = materialise(sample_targets(df, task.target), "targets")
-    features = materialise(
-        targets.join(last_values(task.inputs(df, targets), variables), "ind", "left")
-        .join(folds, "ind"),
-        "features",
+    latest = last_values(task.inputs(df, targets), variables)
+    features = targets.join(latest, "ind", "left").join(folds.withColumnRenamed("fold", "_own"), "ind")
+
+    train = fit_fold_stats(df, folds, k).filter(F.col("split") == "train")
+    of_item = {v: F.col("itemid") == v for v in {*variables, task.target}}
+    per_fold = train.groupBy("fold").agg(
+        *(F.max(F.when(is_v, F.col(f"value_{s}"))).alias(f"_v{v}_{s}") for v, is_v in of_item.items() for s in ("mean", "std")),
+        *(F.max(f"{c}_{s}").alias(f"_{c}_{s}") for c in ("time", "age") for s in ("mean", "std")),
     )
-    stats = fetch_small(fit_fold_stats(df, folds, k).filter(F.col("split") == "train"))
-    if stats is None:
-        raise ValueError("too many variables for a feature vector")
-    by_fold: dict[int, dict[int, object]] = {}
-    for row in stats.collect():
-        by_fold.setdefault(row["fold"], {})[row["itemid"]] = row
-
-    def scaled(column: str, mean: float | None, std: float | None):
-        if mean is None or std is None:
-            return F.lit(0.0)
-        centred = F.col(column).cast("double") - F.lit(float(mean))
-        return F.coalesce(centred / F.lit(float(std)) if std else centred, F.lit(0.0))
 
+    def scaled(column: str, stats: str):
+        return standardise(F.col(column).cast("double"), F.col(f"{stats}_mean"), F.col(f"{stats}_std"))
+
+    each_fold = features.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    of_target = f"_v{task.target}"
     names = [f"_x{v}" for v in variables] + ["_gender", "_age", "_time"]
+    table = materialise(
+        each_fold.join(small_side(per_fold), "fold").select(
+            "ind",
+            "fold",
+            F.when(F.col("fold") == F.col("_own"), "test").otherwise("train").alias("set"),
+            F.col("tgt_value").alias("y_true"),
+            *(F.coalesce(scaled(f"v{v}", f"_v{v}"), F.lit(0.0)).alias(f"_x{v}") for v in variables),
+            gender_code(F.col("gender")).alias("_gender"),
+            F.coalesce(scaled("age", "_age"), F.lit(0.0)).alias("_age"),
+            scaled("tgt_time", "_time").alias("_time"),
+            scaled("tgt_value", of_target).alias("_y"),
+            F.col(f"{of_target}_mean").alias("mean"),
+            F.col(f"{of_target}_std").alias("std"),
+        ),
+        "features",
+    )
+
     assemble = VectorAssembler(inputCols=names, outputCol="_features")
     model = LinearRegression(
         featuresCol="_features",
@@ -151,35 +165,12 @@ def fit_predict_folds(
     )
     outputs = []
     for fold in range(k):
-        items = by_fold[fold]
-        own = items[task.target]
-        scaled_features = features.select(
-            "ind",
-            "fold",
-            F.col("tgt_value").alias("y_true"),
-            *(
-                scaled(f"v{v}", items[v]["value_mean"] if v in items else None, items[v]["value_std"] if v in items else None).alias(f"_x{v}")
-                for v in variables
-            ),
-            gender_code(F.col("gender")).alias("_gender"),
-            scaled("age", own["age_mean"], own["age_std"]).alias("_age"),
-            scaled("tgt_time", own["time_mean"], own["time_std"]).alias("_time"),
-            scaled("tgt_value", own["value_mean"], own["value_std"]).alias("_y"),
-        )
-        ready = assemble.transform(scaled_features)
-        fitted = model.fit(ready.filter(F.col("fold") != fold))
-        wanted = ready if settings.with_train else ready.filter(F.col("fold") == fold)
-        back = F.col("_p") * F.lit(float(own["value_std"] or 1.0)) + F.lit(float(own["value_mean"]))
-        outputs.append(
-            fitted.transform(wanted).select(
-                "ind",
-                F.lit(fold).alias("fold"),
-                F.when(F.col("fold") == fold, "test").otherwise("train").alias("set"),
-                "y_true",
-                back.alias("y_pred"),
-            )
-        )
-    return reduce(DataFrame.unionByName, outputs)
+        ready = assemble.transform(table.filter(F.col("fold") == fold))
+        test, fit = ready.filter(F.col("set") == "test"), ready.filter(F.col("set") == "train")
+        outputs.append(model.fit(fit).transform(ready if settings.with_train else test))
+    return reduce(DataFrame.unionByName, outputs).select(
+        "ind", "fold", "set", "y_true", unstandardise(F.col("_p"), F.col("mean"), F.col("std")).alias("y_pred")
+    )
 
 
 Predictor = Callable[[dict[str, np.ndarray]], np.ndarray]

@@ -30,6 +30,13 @@ def fetch_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame | No
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
+def small_table(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
+    """``df`` to compute further on: in one local partition, without shuffles, if it is
+    checked to be small, otherwise unchanged."""
+    local = fetch_small(df, max_rows)
+    return df if local is None else local.coalesce(1)
+
+
 def small_side(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
     """``df`` ready to be joined to a large table: broadcast if it is checked to be
     small, otherwise written for a shuffle join as in :func:`join_back`."""

@@ -19,7 +19,7 @@ from irregts.functions.expr import (
     standardise,
     unstandardise,
 )
-from irregts.operators.layout import small_side
+from irregts.operators.layout import small_side, small_table
 
 MODES = ("standard", "minmax")
 _MEASURED = ("value", "time", "age")
@@ -87,7 +87,7 @@ def _finish(items: DataFrame, by: Sequence[str], mode: str) -> DataFrame:
 def fit_stats(df: DataFrame, by: Sequence[str] = (), mode: str = "standard") -> DataFrame:
     """Statistics of each group of rows (for example each split)."""
     _check_mode(mode)
-    return _finish(small_side(item_moments(df, by)), by, mode)
+    return _finish(small_table(item_moments(df, by)), by, mode)
 
 
 def fit_fold_stats(df: DataFrame, folds: DataFrame, k: int, mode: str = "standard") -> DataFrame:
@@ -97,7 +97,7 @@ def fit_fold_stats(df: DataFrame, folds: DataFrame, k: int, mode: str = "standar
     moments of the other folds instead of reading the rows k times.
     """
     _check_mode(mode)
-    moments = small_side(item_moments(df.join(folds, "ind"), ["fold"]))
+    moments = small_table(item_moments(df.join(folds, "ind"), ["fold"]))
     spread = moments.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     spread = spread.withColumn("split", F.when(F.col("_of") == F.col("fold"), "test").otherwise("train"))
     spread = spread.drop("fold").withColumnRenamed("_of", "fold")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from irregts.functions.expr import Staging
 from irregts.operators.cohort import CohortRules, cull_cohort, stay_labels
-from irregts.operators.layout import small_side
+from irregts.operators.layout import small_table
 from irregts.operators.metrics import metrics_by_fold, score_table
 from irregts.operators.stays import (
     add_relative_time,
@@ -28,6 +28,7 @@ from irregts.operators.variables import (
     variable_key,
     within_bounds,
 )
+from irregts.session import materialise
 from irregts.sources.offsets import unpivot_vitals
 from irregts.sources.writers import PROCESSED
 
@@ -45,10 +46,11 @@ def measures_from_events(
 ) -> tuple[DataFrame, DataFrame]:
     """Events with absolute times to ``(processed rows, variable key)``.
 
-    ``catalogue`` holds ``label``, ``itemid`` and ``position``.
+    ``catalogue`` holds ``label``, ``itemid`` and ``position``. The selected events are
+    written once, so that the raw text is parsed once however often they are read.
     """
-    wanted = select_variables(events, catalogue)
-    bounds = small_side(outlier_bounds(wanted, spread=spread))
+    wanted = materialise(select_variables(events, catalogue), "events")
+    bounds = small_table(outlier_bounds(wanted, spread=spread))
     key = variable_key(bounds, catalogue)
     clean = index_variables(within_bounds(wanted, bounds), key)
     timed = add_relative_time(join_admissions(clean, admissions))
@@ -79,8 +81,9 @@ def measures_from_offsets(
     catalogue = spark.createDataFrame(
         [(v, v, i) for i, v in enumerate(names)], "label string, variable string, position int"
     )
-    wanted = select_variables(labs, catalogue.filter(F.col("position") < len(lab_names)), "variable")
-    bounds = small_side(outlier_bounds(wanted, "variable", spread=spread))
+    listed = catalogue.filter(F.col("position") < len(lab_names))
+    wanted = materialise(select_variables(labs, listed, "variable"), "labs")
+    bounds = small_table(outlier_bounds(wanted, "variable", spread=spread))
     thinned = decimate_vitals(unpivot_vitals(vitals_wide, vitals), vitals, stride)
     columns = ["patientunitstayid", "time", "variable", "value"]
     measures = thinned.select(*columns).unionByName(

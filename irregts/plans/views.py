@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irregts.functions.expr import TIMESTAMP_FORMAT, whole_minutes
+from irregts.functions.expr import timestamp_text, whole_minutes
 from irregts.operators.cohort import CohortRules, cull_cohort
 
 LABELS = ("purchase", "click", "view", "error", "signup")
@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_time(column) -> F.Column:
-    return F.date_format(column, TIMESTAMP_FORMAT)
+def text_time(column: str) -> F.Column:
+    return timestamp_text(F.col(column))
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
