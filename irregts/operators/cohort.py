@@ -98,18 +98,23 @@ def kept_stays(df: DataFrame, rules: CohortRules) -> DataFrame:
     return stay_profile(df, rules).filter(keep_rule(rules))
 
 
+def rows_of_kept(df: DataFrame, kept: DataFrame, rules: CohortRules) -> DataFrame:
+    """Rows of the kept stays up to and including the last target observation."""
+    rows = join_back(cap_hours(df, rules.max_hours), kept.select("ind", "t_last"), "ind")
+    return rows.filter(F.col("time") <= F.col("t_last")).select(*df.columns)
+
+
 def cull_cohort(df: DataFrame, rules: CohortRules) -> DataFrame:
-    """Rows of the usable stays up to and including the last target observation."""
-    last = kept_stays(df, rules).select("ind", "t_last")
-    return (
-        join_back(cap_hours(df, rules.max_hours), last, "ind")
-        .filter(F.col("time") <= F.col("t_last"))
-        .select(*df.columns)
-    )
+    """The cohort: rows of the usable stays up to the last target observation."""
+    return rows_of_kept(df, kept_stays(df, rules), rules)
+
+
+def labels_of_kept(kept: DataFrame) -> DataFrame:
+    return kept.select("ind", F.col("exit_stage").alias("label"))
 
 
 def stay_labels(df: DataFrame, rules: CohortRules) -> DataFrame:
     """Exit stage of each usable stay."""
     if rules.staging is None:
         raise ValueError("stay labels need a staging")
-    return kept_stays(df, rules).select("ind", F.col("exit_stage").alias("label"))
+    return labels_of_kept(kept_stays(df, rules))

@@ -30,37 +30,35 @@ def add_relative_time(df: DataFrame, start: str = "admittime", at: str = "chartt
     return df.withColumn("time", whole_minutes(F.col(start), F.col(at)))
 
 
-def _stay_sizes(df: DataFrame, stay: str) -> DataFrame:
+def stay_sizes(df: DataFrame, stay: str = "ind") -> DataFrame:
+    """Number of measures and duration in minutes of each stay."""
     return df.groupBy(stay).agg(
-        F.count(F.lit(1)).alias("_n"), (F.max("time") - F.min("time")).alias("_minutes")
+        F.count(F.lit(1)).alias("n_measures"), (F.max("time") - F.min("time")).alias("minutes")
     )
 
 
-def _sized(sizes: DataFrame, min_measures: int | None, max_measures: int | None, min_hours: float) -> DataFrame:
+def keep_sizes(
+    sizes: DataFrame, min_measures: int | None = None, max_measures: int | None = None, min_hours: float = 0
+) -> DataFrame:
+    """Stays by number of measures (bounds included) and by duration (strictly longer
+    than ``min_hours``; 0 keeps every duration)."""
     if min_measures is not None:
-        sizes = sizes.filter(F.col("_n") >= min_measures)
+        sizes = sizes.filter(F.col("n_measures") >= min_measures)
     if max_measures is not None:
-        sizes = sizes.filter(F.col("_n") <= max_measures)
+        sizes = sizes.filter(F.col("n_measures") <= max_measures)
     if min_hours > 0:
-        sizes = sizes.filter(F.col("_minutes") > min_hours * 60)
+        sizes = sizes.filter(F.col("minutes") > min_hours * 60)
     return sizes
 
 
-def index_stays(
-    df: DataFrame,
-    stay: str,
-    name: str = "ind",
-    min_measures: int | None = None,
-    max_measures: int | None = None,
-    min_hours: float = 0,
-) -> DataFrame:
-    """Add the dense 0-based number of the stay, in stay id order, and filter stays as in
-    :func:`filter_stays`. Numbers are given first, so dropped stays leave gaps.
+def number_stays(stays: DataFrame, stay: str, name: str = "ind") -> DataFrame:
+    """Dense 0-based number of each stay in stay id order, for a table with a row per stay."""
+    return global_row_index(stays, [stay], name)[0]
 
-    Sizes and numbers share one table with a row per stay, joined to the rows once.
-    """
-    numbered, _ = global_row_index(_stay_sizes(df, stay), [stay], name)
-    return df.join(_sized(numbered, min_measures, max_measures, min_hours).select(stay, name), stay)
+
+def index_stays(df: DataFrame, stay: str, name: str = "ind") -> DataFrame:
+    """Add the stay number to every row. Later stay filters leave gaps."""
+    return df.join(number_stays(df.select(stay).distinct(), stay, name), stay)
 
 
 def filter_stays(
@@ -70,9 +68,8 @@ def filter_stays(
     min_hours: float = 0,
     stay: str = "ind",
 ) -> DataFrame:
-    """Keep stays by number of measures (bounds included) and by duration (strictly
-    longer than ``min_hours``; 0 keeps every duration)."""
-    kept = _sized(_stay_sizes(df, stay), min_measures, max_measures, min_hours)
+    """Rows of the stays that :func:`keep_sizes` keeps."""
+    kept = keep_sizes(stay_sizes(df, stay), min_measures, max_measures, min_hours)
     return join_back(df, kept.select(stay), stay, "left_semi")
 
 
@@ -117,9 +114,10 @@ def decimate_vitals(long: DataFrame, vitals: Sequence[str], stride: int = 3, sta
 
 
 def dataset_report(df: DataFrame) -> DataFrame:
-    """Number of rows, stays and variables."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+    """Number of rows, stays and variables. Rows fold to pairs before anything distinct."""
+    pairs = df.groupBy("ind", "itemid").agg(F.count(F.lit(1)).alias("_n"))
+    return pairs.agg(
+        F.sum("_n").alias("n_rows"),
         F.count_distinct("ind").alias("n_stays"),
         F.count_distinct("itemid").alias("n_variables"),
     )

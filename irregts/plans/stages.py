@@ -7,18 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irregts.functions.expr import Staging
-from irregts.operators.cohort import CohortRules, cull_cohort, stay_labels
-from irregts.operators.layout import small_table
+from irregts.functions.expr import Staging, whole_minutes
+from irregts.operators.cohort import CohortRules, kept_stays, labels_of_kept, rows_of_kept
+from irregts.operators.layout import join_back, small_table
 from irregts.operators.metrics import metrics_by_fold, score_table
 from irregts.operators.stays import (
     add_relative_time,
     decimate_vitals,
-    index_stays,
     join_admissions,
     join_patients,
     join_stay_demographics,
+    keep_sizes,
+    number_stays,
     restrict_to_stays,
+    stay_sizes,
 )
 from irregts.operators.variables import (
     index_variables,
@@ -47,17 +49,30 @@ def measures_from_events(
     """Events with absolute times to ``(processed rows, variable key)``.
 
     ``catalogue`` holds ``label``, ``itemid`` and ``position``. The selected events are
-    written once, so that the raw text is parsed once however often they are read.
+    written once, so that raw text is parsed once. Admissions, patients, stay numbers and
+    stay filters meet on a table of (stay, admission, patient); the rows themselves are
+    joined once.
     """
     wanted = materialise(select_variables(events, catalogue), "events")
     bounds = small_table(outlier_bounds(wanted, spread=spread))
     key = variable_key(bounds, catalogue)
-    clean = index_variables(within_bounds(wanted, bounds), key)
-    timed = add_relative_time(join_admissions(clean, admissions))
+    clean = within_bounds(wanted, bounds)
+
+    ids = ["stay_id", "hadm_id", "subject_id"]
+    visits = clean.groupBy(*ids).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("charttime").alias("_first"), F.max("charttime").alias("_last")
+    )
+    admitted = materialise(join_admissions(visits, admissions), "visits")
     if origins is not None:
-        timed = keep_origins(timed, origins)
-    sized = index_stays(timed, "stay_id", "ind", min_measures, max_measures, min_hours)
-    rows = join_patients(sized, patients)
+        admitted = keep_origins(admitted, origins)
+    start = F.col("admittime")
+    sizes = admitted.groupBy("stay_id").agg(
+        F.sum("_n").alias("n_measures"),
+        (F.max(whole_minutes(start, F.col("_last"))) - F.min(whole_minutes(start, F.col("_first")))).alias("minutes"),
+    )
+    stays = keep_sizes(number_stays(sizes, "stay_id"), min_measures, max_measures, min_hours)
+    complete = join_patients(admitted.join(stays.select("stay_id", "ind"), "stay_id"), patients)
+    rows = add_relative_time(join_back(index_variables(clean, key), complete.drop("_n", "_first", "_last"), ids))
     return rows.select(*(c for c in PROCESSED if c in rows.columns)), key
 
 
@@ -93,17 +108,20 @@ def measures_from_offsets(
     )
     present = bounds.select("variable").union(thinned.select("variable").distinct())
     key = variable_key(present, catalogue, "variable")
-    numbered = index_stays(
-        index_variables(measures, key, "variable"), "patientunitstayid", "ind", min_measures, max_measures
-    )
-    rows = join_stay_demographics(numbered, demographics)
+    indexed = index_variables(measures, key, "variable")
+    stay = "patientunitstayid"
+    stays = keep_sizes(number_stays(stay_sizes(indexed, stay), stay), min_measures, max_measures)
+    complete = join_stay_demographics(stays.select(stay, "ind"), demographics, stay)
+    rows = join_back(indexed, complete, stay)
     return rows.select(*(c for c in PROCESSED if c in rows.columns)), key.select("label", "key")
 
 
 def cohort_and_labels(measures: DataFrame, rules: CohortRules) -> tuple[DataFrame, DataFrame | None]:
-    """Usable rows, and the exit stage per usable stay when a staging is set."""
-    labels = stay_labels(measures, rules) if rules.staging is not None else None
-    return cull_cohort(measures, rules), labels
+    """Usable rows, and the exit stage per usable stay when a staging is set. Both come
+    from one pass over the measures."""
+    kept = materialise(kept_stays(measures, rules), "kept")
+    labels = labels_of_kept(kept) if rules.staging is not None else None
+    return rows_of_kept(measures, kept, rules), labels
 
 
 def evaluate(predictions: DataFrame, folds: Sequence[int], staging: Staging | None = None) -> DataFrame:
