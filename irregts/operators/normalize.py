@@ -47,41 +47,32 @@ def item_moments(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def merge_moments(moments: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Moments of a union of groups from the moments of its members."""
+    """Replace the moments of each row of the small table by those of its whole group."""
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    out = moments
+    means, merged = {}, {}
     for c in columns:
-        n, mean = F.col(f"{c}_n"), F.col(f"{c}_mean")
-        out = out.withColumn(f"_{c}_all", F.try_divide(F.sum(n * mean).over(group), F.sum(n).over(group)))
-    aggregates = []
-    for c in columns:
-        n, mean, var, whole = (F.col(x) for x in (f"{c}_n", f"{c}_mean", f"{c}_var", f"_{c}_all"))
-        aggregates += [
-            F.sum(n).alias(f"{c}_n"),
-            F.max(whole).alias(f"{c}_mean"),
-            F.try_divide(F.sum(n * (var + (mean - whole) * (mean - whole))), F.sum(n)).alias(f"{c}_var"),
-            F.min(f"{c}_min").alias(f"{c}_min"),
-            F.max(f"{c}_max").alias(f"{c}_max"),
-        ]
-    return out.groupBy(*by).agg(*aggregates)
+        n, mean, var = F.col(f"{c}_n"), F.col(f"{c}_mean"), F.col(f"{c}_var")
+        total, off = F.sum(n).over(group), F.col(f"_{c}") - mean
+        means[f"_{c}"] = F.try_divide(F.sum(n * mean).over(group), total)
+        merged |= {
+            f"{c}_n": total,
+            f"{c}_mean": F.col(f"_{c}"),
+            f"{c}_var": F.try_divide(F.sum(n * (var + off * off)).over(group), total),
+            f"{c}_min": F.min(f"{c}_min").over(group),
+            f"{c}_max": F.max(f"{c}_max").over(group),
+        }
+    return moments.withColumns(means).withColumns(merged).drop(*means)
 
 
 def _finish(items: DataFrame, by: Sequence[str], mode: str) -> DataFrame:
-    """Attach the group-wide age and time statistics to the per-variable rows."""
-    _check_mode(mode)
-    by = list(by)
+    """Per variable: its value statistics and the age and time statistics of the group."""
     whole = merge_moments(items, by, ("time", "age"))
-    value = items.select(*by, "itemid", *(c for c in items.columns if c.startswith("value_")))
-    if by:
-        joined = value.join(whole, by)
-    else:
-        joined = value.withColumn("_all", F.lit(1)).join(whole.withColumn("_all", F.lit(1)), "_all")
     if mode == "standard":
-        stats = [(f"{c}_mean", F.col(f"{c}_mean")) for c in _MEASURED]
-        stats += [(f"{c}_std", F.sqrt(f"{c}_var")) for c in _MEASURED]
+        stats = [F.col(f"{c}_mean") for c in _MEASURED]
+        stats += [F.sqrt(f"{c}_var").alias(f"{c}_std") for c in _MEASURED]
     else:
-        stats = [(f"{c}_{s}", F.col(f"{c}_{s}")) for c in _MEASURED for s in ("min", "max")]
-    return joined.select(*by, "itemid", *(col.alias(name) for name, col in stats))
+        stats = [F.col(f"{c}_{s}") for c in _MEASURED for s in ("min", "max")]
+    return whole.select(*by, "itemid", *stats)
 
 
 def fit_stats(df: DataFrame, by: Sequence[str] = (), mode: str = "standard") -> DataFrame:
@@ -101,8 +92,9 @@ def fit_fold_stats(df: DataFrame, folds: DataFrame, k: int, mode: str = "standar
     spread = moments.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     spread = spread.withColumn("split", F.when(F.col("_of") == F.col("fold"), "test").otherwise("train"))
     spread = spread.drop("fold").withColumnRenamed("_of", "fold")
-    items = merge_moments(spread, ["fold", "split", "itemid"], _MEASURED)
-    return _finish(items, ["fold", "split"], mode)
+    side = ["fold", "split"]
+    items = merge_moments(spread, [*side, "itemid"], _MEASURED).dropDuplicates([*side, "itemid"])
+    return _finish(items, side, mode)
 
 
 def _mapped(c: str, mode: str, inverse: bool = False, column: str | None = None) -> Column:
@@ -148,11 +140,15 @@ def denormalize_predictions(
 ) -> DataFrame:
     """Bring y_true and y_pred back to the target variable's unit."""
     _check_mode(mode)
-    own = stats.filter(F.col("itemid") == target).select(*by, *(c for c in stats.columns if c.startswith("value_")))
+    own = stats.filter(F.col("itemid") == target)
+    names = [c for c in stats.columns if c.startswith("value_")]
     if by:
-        joined = predictions.join(small_side(own), list(by))
+        joined = predictions.join(small_side(own.select(*by, *names)), list(by))
     else:
-        joined = predictions.withColumn("_all", F.lit(1)).join(small_side(own.withColumn("_all", F.lit(1))), "_all")
+        rows = own.select(*names).limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError(f"expected one row of statistics for variable {target}, found {len(rows)}")
+        joined = predictions.withColumns({c: F.lit(rows[0][c]) for c in names})
     for y in ("y_true", "y_pred"):
         joined = joined.withColumn(y, _mapped("value", mode, inverse=True, column=y))
     return joined.select(*predictions.columns)

@@ -399,12 +399,14 @@ from fold_of f cross join (select unnest(range(5)) as fold) r""",
         "select l.ind, 0 as fold, label, case when rn <= quota then 'test' else 'train' end as split from ranks l join quotas using (label)",
         _profile("prof")
         + f""",
-labels as (select ind, {_EXIT} as label from prof where {_kept('prof')}),
+labels as (
+  select ind, case when exit_value < 20 then 0 when exit_value < 45 then 1 else 2 end as label
+  from prof where {_kept('prof')}),
 sizes as (select label, count(*) as c, sum(count(*)) over () as n from labels group by label),
-parts as (select label, ceil(0.2 * n) * c / n as exact, ceil(0.2 * n) as n_test from sizes),
+parts as (select label, c, n, cast(ceil(0.2 * n) as bigint) as n_test from sizes),
 quotas as (
-  select label, floor(exact) + case when row_number() over (order by exact - floor(exact) desc, label)
-                                         <= n_test - sum(floor(exact)) over () then 1 else 0 end as quota
+  select label, n_test * c // n + case when row_number() over (order by n_test * c % n desc, label)
+                                            <= n_test - sum(n_test * c // n) over () then 1 else 0 end as quota
   from parts),
 ranks as (select ind, label, row_number() over (partition by label order by md5(concat(ind, ':1')), ind) as rn from labels)""",
     ),
@@ -421,8 +423,8 @@ ranks as (select ind, label, row_number() over (partition by label order by md5(
     ),
     "norm_stats_standard": _sql(
         """
-select of_fold::integer as fold, split, itemid, round(avg(value), 6) as value_mean,
-       round(stddev_pop(value), 6) as value_std
+select of_fold::integer as fold, split, itemid, round(avg(value), 9) as value_mean,
+       round(stddev_pop(value), 9) as value_std
 from fold_rows group by 1, 2, 3""",
         _FOLD_ROWS,
     ),
@@ -533,7 +535,7 @@ widths as (
   group by batch_id),
 places as (select ind, batch_id, row_in_batch, unnest(range(width)) as pos from batch_of join widths using (batch_id))""",
     ),
-    "metric_mae": _sql(f"select {_GROUP}, round(avg(abs(y_true - y_pred)), 8) as mae from fx_predictions group by {_GROUP}"),
+    "metric_mae": _sql(f"select {_GROUP}, round(avg(abs(y_true - y_pred)), 10) as mae from fx_predictions group by {_GROUP}"),
     "metric_medae": _sql(
         f"select {_GROUP}, round(median(abs(y_true - y_pred)), 9) as medae from fx_predictions group by {_GROUP}"
     ),
@@ -568,10 +570,10 @@ select {_GROUP}, ind as stay_id, round(y_true, 8) as target, round(y_pred, 8) as
        p as prediction_class
 from fx_classes"""),
     "loss_huber": _sql(f"""
-select {_GROUP}, round(avg(case when abs(e) <= 0.8 then 0.5 * e * e else 0.8 * (abs(e) - 0.4) end), 8) as huber
+select {_GROUP}, round(avg(case when abs(e) <= 0.8 then 0.5 * e * e else 0.8 * (abs(e) - 0.4) end), 10) as huber
 from (select *, y_true - y_pred as e from fx_predictions) group by {_GROUP}"""),
     "loss_pinball": _sql(f"""
-select {_GROUP}, q::double as q, round(avg(l), 8) as mean_loss, round(sum(l), 4) as sum_loss from (
+select {_GROUP}, q::double as q, round(avg(l), 10) as mean_loss, round(sum(l), 5) as sum_loss from (
   select {_GROUP}, q, q * greatest(y_true - y_pred * f, 0) + (1 - q) * greatest(y_pred * f - y_true, 0) as l
   from fx_predictions cross join (values (0.1::double, 0.8::double), (0.5, 1.0), (0.9, 1.2)) t(q, f))
 group by {_GROUP}, q"""),

@@ -373,7 +373,7 @@ def split_holdout(spark, d):
 
 @query
 def split_stratified(spark, d):
-    rows, labels = stages.cohort_and_labels(v.measures(spark, d), v.BASE_RULES)
+    rows, labels = stages.cohort_and_labels(v.measures(spark, d), replace(v.BASE_RULES, staging=(20.0, 45.0)))
     return sp.stratified_holdout(rows, labels, 1)
 
 
@@ -407,7 +407,7 @@ def _fold_stats(spark, d, mode) -> DataFrame:
 @query
 def norm_stats_standard(spark, d):
     stats = _fold_stats(spark, d, "standard").select("fold", "split", "itemid", "value_mean", "value_std")
-    return rounded(stats, ["value_mean", "value_std"])
+    return rounded(stats, ["value_mean", "value_std"], 9)
 
 
 @query
@@ -589,7 +589,7 @@ def padded_batches(spark, d):
 @query
 def metric_mae(spark, d):
     scores = me.regression_scores(v.predictions(spark, d)).select("set", "fold", "mae")
-    return rounded(scores, ["mae"], 8)
+    return rounded(scores, ["mae"], 10)
 
 
 @query
@@ -653,13 +653,13 @@ def prediction_sheet(spark, d):
 
 @query
 def loss_huber(spark, d):
-    return rounded(me.huber_loss(v.predictions(spark, d), 0.8), ["huber"], 8)
+    return rounded(me.huber_loss(v.predictions(spark, d), 0.8), ["huber"], 10)
 
 
 @query
 def loss_pinball(spark, d):
     losses = me.pinball_loss(v.predictions(spark, d), me.THREE_QUANTILES)
-    return rounded(rounded(losses, ["mean_loss"], 8), ["sum_loss"], 4)
+    return rounded(rounded(losses, ["mean_loss"], 10), ["sum_loss"], 5)
 
 
 # --- forecasts and sinks -----------------------------------------------------------

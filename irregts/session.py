@@ -63,7 +63,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a written table."""
-    return os.path.join(shared_dir(spark), "irregts-tables", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(_scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def _scratch_dir(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "irregts-tables", spark.sparkContext.applicationId)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application wrote between steps. Results that still
+    read them must be saved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

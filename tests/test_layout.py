@@ -117,3 +117,35 @@ def test_stay_filters(spark):
     assert left(min_hours=10) == [1, 3] and left(min_hours=11) == []
     with pytest.raises(ValueError, match="none of the given stays"):
         st.restrict_to_stays(df, spark.createDataFrame([(77,)], "ind long"))
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from irregts import session
+
+    path = session.scratch_path(spark, "probe")
+    table = session.materialise(spark.range(5).toDF("x"), "probe")
+    assert table.count() == 5 and spark.sparkContext.applicationId in path
+    other = spark.newSession()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    assert folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    assert session.scratch_path(other, "probe").startswith(folder.toString().removeprefix("file:"))
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from irregts import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
