@@ -131,7 +131,7 @@ inp as (
 
 _OUT = "select ind, itemid, time, value"
 _SPARSE = (
-    "m.itemid = 4 and m.time <= t.tgt_time - 300 * 60 and m.time <= "
+    "m.itemid = 4 and m.time <= t.tgt_time - 650 * 60 and m.time <= "
     "case when 200 * 60 < t.tgt_time then 200 * 60 when 12 * 60 < t.tgt_time then 12 * 60 end"
 )
 _LATEST = "row_number() over (partition by ind order by time desc, itemid desc, value desc)"

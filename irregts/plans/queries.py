@@ -517,7 +517,7 @@ def forecast_inputs(spark, d):
     )
 
 
-SPARSE = dict(masked=(0, 1, 2, 3), horizon_hours=300, history_hours=(12, 200))
+SPARSE = dict(masked=(0, 1, 2, 3), horizon_hours=650, history_hours=(12, 200))
 
 
 @query

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from irregts.functions.expr import Staging, whole_minutes
 from irregts.operators.cohort import CohortRules, kept_stays, labels_of_kept, rows_of_kept
+from irregts.operators.forecast import FitSettings, ForecastTask, fit_predict_folds
 from irregts.operators.layout import join_back, small_table
 from irregts.operators.metrics import metrics_by_fold, score_table
+from irregts.operators.split import holdout, k_folds, stratified_holdout
 from irregts.operators.stays import (
     add_relative_time,
     decimate_vitals,
@@ -124,11 +126,37 @@ def cohort_and_labels(measures: DataFrame, rules: CohortRules) -> tuple[DataFram
     return rows_of_kept(measures, kept, rules), labels
 
 
+def choose_folds(measures: DataFrame, k: int = 5, seed: int = 1, labels: DataFrame | None = None) -> DataFrame:
+    """Test fold per stay. One fold means a hold-out split, stratified where labels are
+    given: its test stays are fold 0, its train stays fold 1."""
+    if k >= 2:
+        return k_folds(measures, k, seed)
+    splits = holdout(measures, seed) if labels is None else stratified_holdout(measures, labels, seed)
+    return splits.select("ind", F.when(F.col("split") == "test", 0).otherwise(1).alias("fold"))
+
+
 def evaluate(predictions: DataFrame, folds: Sequence[int], staging: Staging | None = None) -> DataFrame:
     """Scores by fold with their mean and deviation, per result set."""
     return metrics_by_fold(score_table(predictions, staging), folds)
 
 
+def cross_validate(
+    measures: DataFrame,
+    task: ForecastTask,
+    variables: Sequence[int],
+    k: int = 5,
+    seed: int = 1,
+    labels: DataFrame | None = None,
+    staging: Staging | None = None,
+    settings: FitSettings = FitSettings(),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Folds, forecasts of every fold's test stays (and train stays, if set) and scores."""
+    folds = materialise(choose_folds(measures, k, seed, labels), "folds")
+    fitted = fit_predict_folds(measures, task, variables, folds, max(k, 1), settings)
+    predictions = materialise(fitted, "predictions")
+    return folds, predictions, evaluate(predictions, range(max(k, 1)), staging)
+
+
 def decoupled_rows(other_cohort: DataFrame, splits: DataFrame, fold: int) -> DataFrame:
     """Rows of another cohort for the saved test stays of a fold; none is an error."""
     test = splits.filter((F.col("fold") == fold) & (F.col("split") == "test"))

@@ -10,7 +10,7 @@ import duckdb
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def connect(sf_dir: str = DATA):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from irregts.operators import forecast as fc
 from irregts.operators import sequences as se
 from irregts.operators import windows as wi
+from irregts.plans import stages
 
 SCHEMA = "ind long, time long, itemid long, value double, gender string, age double"
 
@@ -158,19 +159,34 @@ def test_scores_keep_their_stay(data):
     assert scored.filter("q_pred[0] <> tgt_time or y_true <> tgt_value").isEmpty()
 
 
-def test_cross_validated_forecasts(spark):
+def linear_stays(spark):
+    """The target is twice the level of the other variable, plus one."""
     rng = random.Random(8)
     rows = []
     for ind in range(80):
         level = rng.uniform(0, 10)
         rows += [(ind, t, 1, level + rng.gauss(0, 0.05), "F", 50.0) for t in (10, 20, 30)]
         rows.append((ind, 60, 0, 2 * level + 1, "F", 50.0))
-    df = spark.createDataFrame(rows, SCHEMA)
-    from irregts.operators.split import k_folds
+    return spark.createDataFrame(rows, SCHEMA)
 
+
+def test_cross_validated_forecasts(spark):
     task = fc.ForecastTask(target=0, time_token=2)
-    out = fc.fit_predict_folds(df, task, [0, 1], k_folds(df, 2, 1), 2, fc.FitSettings(with_train=True)).collect()
+    settings = fc.FitSettings(with_train=True)
+    folds, predictions, scores = stages.cross_validate(linear_stays(spark), task, [0, 1], k=2, staging=(5.0, 15.0), settings=settings)
+    out = predictions.collect()
     tests = [r for r in out if r["set"] == "test"]
     assert len(out) == 160 and sorted(r["ind"] for r in tests) == list(range(80))
-    assert np.mean([abs(r["y_true"] - r["y_pred"]) for r in tests]) < 0.6
+    assert {(r["ind"], r["fold"]) for r in tests} == {(r["ind"], r["fold"]) for r in folds.collect()}
     assert all(math.isfinite(r["y_pred"]) for r in out)
+    table = {(r["set"], r["metric"]): r["mean"] for r in scores.collect()}
+    assert table["test", "mae"] < 0.6 and table["train", "mae"] < 0.6 and table["test", "acc"] > 0.9
+
+
+def test_hold_out_forecasts(spark):
+    task = fc.ForecastTask(target=0, time_token=2)
+    stays = linear_stays(spark)
+    labels = stays.filter("itemid = 0").select("ind", (F.col("value") > 11).cast("int").alias("label"))
+    folds, predictions, scores = stages.cross_validate(stays, task, [0, 1], k=1, labels=labels)
+    assert predictions.count() == folds.filter("fold = 0").count() == 16
+    assert {r["metric"] for r in scores.collect()} == {"mae", "medae", "r2", "d2"}
