@@ -150,6 +150,7 @@ def fit_predict_folds(
             F.col(f"{of_target}_std").alias("std"),
         ),
         "features",
+        partition_by=("fold",),  # a fit reads the rows of its own fold only
     )
 
     assemble = VectorAssembler(inputCols=names, outputCol="_features")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from irregts.operators.layout import order_statistics, small_side
+from irregts.operators.layout import order_statistics, small_side, small_table
 
 
 def select_variables(df: DataFrame, catalogue: DataFrame, on: str = "itemid") -> DataFrame:
@@ -68,7 +68,8 @@ def top_variables(df: DataFrame, k: int, min_count: int = 50_000, by: str = "ite
 def variable_key(df: DataFrame, catalogue: DataFrame, on: str = "itemid") -> DataFrame:
     """Dense 0-based ids in catalogue order for the variables that have rows.
 
-    ``catalogue`` holds ``label``, ``position`` and the ``on`` column.
+    ``catalogue`` holds ``label``, ``position`` and the ``on`` column. The key is computed
+    at once, so that using it does not read the rows again.
     """
     present = df.select(on).distinct()
     listed = catalogue.join(present, on, "left_semi")
@@ -76,7 +77,8 @@ def variable_key(df: DataFrame, catalogue: DataFrame, on: str = "itemid") -> Dat
     # One row per catalogue entry: the array is as long as the user's catalogue.
     ordered = listed.agg(F.array_sort(F.collect_list(F.struct("position", "label", *extra))).alias("all"))
     keyed = ordered.select(F.posexplode("all").alias("key", "entry"))
-    return keyed.select("entry.label", *(f"entry.{c}" for c in extra), F.col("key").cast("long").alias("key"))
+    key = keyed.select("entry.label", *(f"entry.{c}" for c in extra), F.col("key").cast("long").alias("key"))
+    return small_table(key)
 
 
 def index_variables(df: DataFrame, key: DataFrame, on: str = "itemid", name: str = "itemid") -> DataFrame:
