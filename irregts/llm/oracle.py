@@ -82,4 +82,30 @@ select pair_id, part, pos, role, segment, length(segment) as n_chars,
 from lines
 """
 
-ORACLE = {"op5_sharding": OP5, "op10_preferences": OP10}
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+OP2 = f"""
+with items as (select item_id::varchar as item_id, {_WORDS} as w from benchmark),
+windows as (
+  select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as span
+  from (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i
+        from items where len(w) > 0)),
+docs as (select row_number() over () as row, doc_id, {_WORDS} as w from documents),
+spots as (
+  select row, n, i, array_to_string(w[i:i + n - 1], ' ') as span
+  from (select row, w, n, unnest(range(1, len(w) - n + 2)) as i
+        from docs, (select distinct n from windows) where len(w) >= n)),
+found as (select row, i, spots.n, item_id from spots join windows on spots.n = windows.n and spots.span = windows.span),
+hits as (select row, count(distinct p) as n_hit from (select row, unnest(range(i, i + n)) as p from found) group by row),
+named as (
+  select row, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items
+  from (select distinct row, item_id from found where item_id is not null) group by row)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hits using (row) left join named using (row)
+"""
+
+ORACLE = {"op2_decontamination": OP2, "op5_sharding": OP5, "op10_preferences": OP10}

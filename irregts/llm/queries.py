@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from irregts.llm import preference, sharding
+from irregts.llm import decontaminate, preference, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop(
+        "text_key"
+    )
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), sharding.topology(8))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_preferences(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op10_preferences)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op5_sharding, op7_simhash, op10_preferences)}
