@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from irregts.llm import decontaminate, preference, sharding, simhash
+from irregts.llm import decontaminate, langid, preference, quality, sharding, simhash
+from irregts.llm.common import id_crc32, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held_out = id_crc32() % 5 == 0
+    model = langid.learn(documents.filter(~held_out))
+    small_batches(spark)
+    guess = documents.select("doc_id", held_out.alias("held_out"), langid.prediction(model).alias("guess"))
+    return guess.select("doc_id", "held_out", "guess.*")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), sharding.topology(8))
 
@@ -25,8 +36,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality.score_documents(documents, _table(spark, sf_dir, "labels"), id_crc32() % 3 == 1)
+
+
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_preferences(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_sharding, op7_simhash, op10_preferences)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_decontamination, op4_language, op5_sharding, op7_simhash, op8_quality, op10_preferences)
+}
