@@ -2,35 +2,116 @@
 
 The pattern of byte-level BPE never spans a space that follows a character other than white
 space, nor a line end between two such characters. Texts are cut there by string splits,
-and only distinct pieces are encoded. A text for which that does not hold (runs of white
-space, other white space, special tokens, the separator itself) is left whole.
+and only distinct pieces are encoded. Where that does not hold (runs of white space, other
+white space, special tokens, the separator itself) a slice of text is left whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 
 SEPARATOR = "\x01"
-#: Bytes of text that a worker holds at once, over whole documents.
+#: Bytes of text that a worker gathers before it encodes them, over whole documents.
 GROUP_BYTES = 8 << 20
-#: Distinct pieces whose encoding a worker keeps.
-CACHE = 300_000
+#: Characters of a slice of a long text; distinct pieces whose encoding a worker keeps.
+SLICE, CACHE = 1 << 20, 600_000
+#: Pieces held as strings at once.
+PENDING = 1_200_000
+
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+#: Distinct pieces to their ids (one after the other) and the number of ids of each.
+Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def slices(text: str) -> Iterator[str]:
+    """The text in slices of about ``SLICE`` characters, cut where the pattern always cuts."""
+    at = 0
+    while len(text) - at > SLICE and (cut := _CUT.search(text, at + SLICE)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
 
 def split_text(text: str, special: str) -> list[str] | None:
     """Pieces that can be encoded one by one, or None for a text that must stay whole."""
-    if SEPARATOR in text or special in text:
+    if SEPARATOR in text or special in text or _OTHER_SPACE.search(text):
         return None
-    marked = text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ")
-    pieces = marked.split(SEPARATOR)
+    pieces = text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split(SEPARATOR)
     return None if "" in pieces or " " in pieces else pieces
 
 
-def is_plain(piece: str) -> bool:
-    """Whether a piece has no white space but one leading space or one line end."""
-    return piece == "\n" or not any(c.isspace() for c in piece.removeprefix(" "))
+class PieceEncoder:
+    """Encodes texts piece by piece, remembering pieces up to a bound."""
+
+    def __init__(self, encode: Encode, whole: Callable[[str], np.ndarray], special: str) -> None:
+        self.encode, self.whole, self.special = encode, whole, special
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.counts, self.starts = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.place) + len(pieces) > CACHE:
+            self._clear()
+        new = [p for p in pieces if p not in self.place]
+        if not new:
+            return
+        ids, counts = self.encode(new)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def _lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        distinct = set(pieces)
+        if not distinct <= self.place.keys():
+            self._learn(distinct)
+        del distinct
+        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(total)], ends
+
+    def texts(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text after text (int32), and the number of ids of each text."""
+        out: list[np.ndarray] = []
+        counts = np.zeros(len(raws), np.int64)
+        pending: list[str] = []
+        ends: list[tuple[int, int]] = []  # text and number of pending pieces at its end
+
+        def flush() -> None:
+            ids, upto = self._lookup(pending)
+            out.append(ids.astype(np.int32))
+            before = 0
+            for text, end in ends:
+                now = int(upto[end - 1]) if end else 0
+                counts[text] += now - before
+                before = now
+            pending.clear()
+            ends.clear()
+
+        for k, raw in enumerate(raws):
+            for part in slices(raw.decode()) if raw else ():
+                pieces = split_text(part, self.special)
+                if pieces is None:
+                    flush()
+                    ids = self.whole(part)
+                    out.append(ids.astype(np.int32))
+                    counts[k] += len(ids)
+                    continue
+                pending += pieces
+                ends.append((k, len(pending)))
+                if len(pending) >= PENDING:
+                    flush()
+        flush()
+        return np.concatenate(out), counts
 
 
 def grouped(batches: Iterator[pa.RecordBatch], name: str = "raw") -> Iterator[pa.RecordBatch]:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irregts.llm import decontaminate, langid, preference, quality, sharding, simhash
+from irregts.llm import bpe, decontaminate, langid, preference, quality, sharding, simhash
 from irregts.llm.common import id_crc32, small_batches
 
 
+#: Vocabulary file of the token queries; the operators take its path.
+VOCABULARY = "byte_bpe_50k.json"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,11 +46,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents, _table(spark, sf_dir, "labels"), id_crc32() % 3 == 1)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path(VOCABULARY)
+    return bpe.digests(bpe.decode(bpe.encode(documents, path), path))
+
+
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_preferences(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_decontamination, op4_language, op5_sharding, op7_simhash, op8_quality, op10_preferences)
+    for f in (op2_decontamination, op4_language, op5_sharding, op7_simhash, op8_quality, op9_bpe, op10_preferences)
 }
