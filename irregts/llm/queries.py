@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irregts.llm import bpe, decontaminate, langid, preference, quality, sharding, simhash
+from irregts.llm import bpe, decontaminate, langid, preference, quality, sharding, simhash, tokenfiles
 from irregts.llm.common import id_crc32, small_batches
+from irregts.session import scratch_path
 
 
 #: Vocabulary file of the token queries; the operators take its path.
@@ -24,6 +25,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token_files")
+    tokenfiles.write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), path)
+    return tokenfiles.read_documents(spark, path)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     held_out = id_crc32() % 5 == 0
@@ -58,5 +65,8 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_decontamination, op4_language, op5_sharding, op7_simhash, op8_quality, op9_bpe, op10_preferences)
+    for f in (
+        op2_decontamination, op3_token_files, op4_language, op5_sharding, op7_simhash, op8_quality, op9_bpe,
+        op10_preferences,
+    )
 }
