@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irregts.llm import bpe, decontaminate, langid, preference, quality, sharding, simhash, tokenfiles
+from irregts.llm import bpe, decontaminate, langid, preference, quality, sharding, simhash, tokenfiles, vptree
 from irregts.llm.common import id_crc32, small_batches
 from irregts.session import scratch_path
 
@@ -44,6 +44,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), sharding.topology(8))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=1.0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -66,7 +70,7 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_decontamination, op3_token_files, op4_language, op5_sharding, op7_simhash, op8_quality, op9_bpe,
+        op2_decontamination, op3_token_files, op4_language, op5_sharding, op6_neighbours, op7_simhash, op8_quality, op9_bpe,
         op10_preferences,
     )
 }
