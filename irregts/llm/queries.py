@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irregts.llm import bpe, decontaminate, langid, preference, quality, sharding, simhash, tokenfiles, vptree
+from irregts.llm import bpe, decontaminate, langid, language_model, preference, quality, sharding, simhash, tokenfiles, vptree
 from irregts.llm.common import id_crc32, small_batches
 from irregts.session import scratch_path
 
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_table(spark, sf_dir, "documents"), id_crc32() % 5 == 1)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop(
         "text_key"
@@ -70,7 +74,7 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_decontamination, op3_token_files, op4_language, op5_sharding, op6_neighbours, op7_simhash, op8_quality, op9_bpe,
+        op1_language_model, op2_decontamination, op3_token_files, op4_language, op5_sharding, op6_neighbours, op7_simhash, op8_quality, op9_bpe,
         op10_preferences,
     )
 }
