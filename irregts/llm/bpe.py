@@ -195,11 +195,8 @@ class BpeCodec:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of sequences of ids that lie one after the other."""
-        raw = self.vocabulary.decode(ids)
-        upto = np.cumsum(np.concatenate([[0], self.vocabulary.sizes[ids]]))
-        ends = upto[np.cumsum(counts)] if len(counts) else np.zeros(0, np.int64)
-        starts = [0, *ends[:-1].tolist()]
-        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts, ends.tolist())]
+        ends = np.cumsum(counts).tolist()
+        return [self.vocabulary.decode(ids[a:b]).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
@@ -207,25 +204,25 @@ def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
-def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array, drop: str) -> pa.RecordBatch:
-    names = [c for c in batch.schema.names if c != drop]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values], names=[*names, name])
-
-
-def encode(documents: DataFrame, path: str) -> DataFrame:
-    """The documents with a column ``ids`` (array<int>) in place of ``text``."""
+def encode(documents: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """The documents with a column ``ids`` (array<int>) in place of ``text``; with ``decoded``
+    also the text that the ids decode to, made by the same worker."""
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, "_raw"):
             ids, counts = codec(path).encoder.texts(batch.column("_raw").to_pylist())
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            yield _with_column(batch, "ids", pa.ListArray.from_arrays(offsets, pa.array(ids)), "_raw")
+            columns = {c: batch.column(c) for c in batch.schema.names if c != "_raw"}
+            columns["ids"] = pa.ListArray.from_arrays(offsets, pa.array(ids))
+            if decoded:
+                columns["decoded"] = pa.array(codec(path).decode(ids, counts), pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kept = documents.drop("text")
     prepared = documents.select(*kept.columns, utf8().alias("_raw"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return prepared.mapInArrow(run, f"{fields}{', ' if fields else ''}ids array<int>")
+    return prepared.mapInArrow(run, f"{fields}{', ' if fields else ''}ids array<int>{', decoded string' if decoded else ''}")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -233,7 +230,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
         counts = np.diff(ids.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
         return pa.array(codec(path).decode(flat, counts), pa.string())
 

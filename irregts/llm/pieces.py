@@ -16,11 +16,11 @@ import pyarrow as pa
 
 SEPARATOR = "\x01"
 #: Bytes of text that a worker gathers before it encodes them, over whole documents.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Characters of a slice of a long text; distinct pieces whose encoding a worker keeps.
-SLICE, CACHE = 1 << 20, 600_000
+SLICE, CACHE = 1 << 20, 400_000
 #: Pieces held as strings at once.
-PENDING = 1_200_000
+PENDING = 500_000
 
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")

@@ -64,7 +64,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path(VOCABULARY)
-    return bpe.digests(bpe.decode(bpe.encode(documents, path), path))
+    return bpe.digests(bpe.encode(documents, path, decoded=True))
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
