@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from irregts.functions.expr import (
@@ -19,7 +18,8 @@ from irregts.functions.expr import (
     standardise,
     unstandardise,
 )
-from irregts.operators.layout import small_side, small_table
+from irregts.operators.layout import small_side
+from irregts.session import materialise
 
 MODES = ("standard", "minmax")
 _MEASURED = ("value", "time", "age")
@@ -27,15 +27,15 @@ _MEASURED = ("value", "time", "age")
 
 def _check_mode(mode: str) -> None:
     if mode not in MODES:
-        raise ValueError(f"mode must be one of {list(MODES)}, got {mode!r}")
+        raise ValueError(f"unknown mode {mode!r}: choose " + " or ".join(MODES))
 
 
 def item_moments(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, variance, minimum and maximum of value, time and age per group and
-    variable. One pass, aggregated map-side."""
+    variable. NaN counts as missing. One pass, aggregated map-side."""
     aggregates = []
     for c in _MEASURED:
-        x = F.col(c).cast("double")
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
         aggregates += [
             F.count(x).alias(f"{c}_n"),
             F.avg(x).alias(f"{c}_mean"),
@@ -47,38 +47,50 @@ def item_moments(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def merge_moments(moments: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Replace the moments of each row of the small table by those of its whole group."""
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    means, merged = {}, {}
+    """The moments of whole groups of rows of a written table of moments, a row per group."""
+
+    def beside_group(table: DataFrame) -> DataFrame:
+        return moments.join(table, list(by)) if by else moments.crossJoin(F.broadcast(table))  # one row
+
+    def grouped(df: DataFrame, aggregates: Sequence[Column]) -> DataFrame:
+        return df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
+
+    whole = []
+    for c in columns:
+        n, mean = F.col(f"{c}_n"), F.col(f"{c}_mean")
+        whole += [
+            F.sum(n).alias(f"_{c}_n"),
+            F.try_divide(F.sum(n * mean), F.sum(n)).alias(f"_{c}_mean"),
+            F.min(f"{c}_min").alias(f"_{c}_min"),
+            F.max(f"{c}_max").alias(f"_{c}_max"),
+        ]
+    means = grouped(moments, whole)
+    spread = []
     for c in columns:
-        n, mean, var = F.col(f"{c}_n"), F.col(f"{c}_mean"), F.col(f"{c}_var")
-        total, off = F.sum(n).over(group), F.col(f"_{c}") - mean
-        means[f"_{c}"] = F.try_divide(F.sum(n * mean).over(group), total)
-        merged |= {
-            f"{c}_n": total,
-            f"{c}_mean": F.col(f"_{c}"),
-            f"{c}_var": F.try_divide(F.sum(n * (var + off * off)).over(group), total),
-            f"{c}_min": F.min(f"{c}_min").over(group),
-            f"{c}_max": F.max(f"{c}_max").over(group),
-        }
-    return moments.withColumns(means).withColumns(merged).drop(*means)
+        off = F.col(f"_{c}_mean") - F.col(f"{c}_mean")
+        own = F.col(f"{c}_n") * (F.col(f"{c}_var") + off * off)
+        spread.append(F.try_divide(F.sum(own), F.sum(f"{c}_n")).alias(f"{c}_var"))
+        spread += [F.first(f"_{c}_{s}").alias(f"{c}_{s}") for s in ("n", "mean", "min", "max")]
+    return grouped(beside_group(means), spread)
 
 
 def _finish(items: DataFrame, by: Sequence[str], mode: str) -> DataFrame:
     """Per variable: its value statistics and the age and time statistics of the group."""
     whole = merge_moments(items, by, ("time", "age"))
+    own = items.drop(*(c for c in whole.columns if c not in by))
+    joined = own.join(whole, list(by)) if by else own.crossJoin(F.broadcast(whole))  # one row
     if mode == "standard":
         stats = [F.col(f"{c}_mean") for c in _MEASURED]
         stats += [F.sqrt(f"{c}_var").alias(f"{c}_std") for c in _MEASURED]
     else:
         stats = [F.col(f"{c}_{s}") for c in _MEASURED for s in ("min", "max")]
-    return whole.select(*by, "itemid", *stats)
+    return joined.select(*by, "itemid", *stats)
 
 
 def fit_stats(df: DataFrame, by: Sequence[str] = (), mode: str = "standard") -> DataFrame:
     """Statistics of each group of rows (for example each split)."""
     _check_mode(mode)
-    return _finish(small_table(item_moments(df, by)), by, mode)
+    return _finish(materialise(item_moments(df, by), "moments"), by, mode)
 
 
 def fit_fold_stats(df: DataFrame, folds: DataFrame, k: int, mode: str = "standard") -> DataFrame:
@@ -88,13 +100,13 @@ def fit_fold_stats(df: DataFrame, folds: DataFrame, k: int, mode: str = "standar
     moments of the other folds instead of reading the rows k times.
     """
     _check_mode(mode)
-    moments = small_table(item_moments(df.join(folds, "ind"), ["fold"]))
+    moments = materialise(item_moments(df.join(folds, "ind"), ["fold"]), "moments")
     spread = moments.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     spread = spread.withColumn("split", F.when(F.col("_of") == F.col("fold"), "test").otherwise("train"))
     spread = spread.drop("fold").withColumnRenamed("_of", "fold")
     side = ["fold", "split"]
-    items = merge_moments(spread, [*side, "itemid"], _MEASURED).dropDuplicates([*side, "itemid"])
-    return _finish(items, side, mode)
+    items = merge_moments(spread, [*side, "itemid"], _MEASURED)
+    return _finish(materialise(items, "items"), side, mode)
 
 
 def _mapped(c: str, mode: str, inverse: bool = False, column: str | None = None) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from irregts.functions.expr import gender_code
-from irregts.operators.layout import global_row_index
+from irregts.operators.layout import global_row_index, join_back
 from irregts.operators.stays import stay_ordinals
-from irregts.operators.windows import last_n, target_observations
+from irregts.operators.windows import last_n
+from irregts.session import materialise
 
 # Fillers of padded positions.
 PAD_VALUE, PAD_TIME, PAD_VARIABLE = -1e4, -1e4, 0
@@ -48,7 +49,8 @@ def sequence_rows(inputs: DataFrame, targets: DataFrame, token: int) -> DataFram
     numbered = stay_ordinals(inputs.select("ind", "time", "itemid", "value")).select(
         "ind", "pos", "value", F.col("time").cast("double").alias("time"), F.col("itemid").cast("long").alias("variable")
     )
-    lengths = inputs.groupBy("ind").agg(F.count(F.lit(1)).alias("_n"))
+    # The numbered rows are written already; the inputs are not read again.
+    lengths = numbered.groupBy("ind").agg((F.max("pos") + 1).alias("_n"))
     tokens = targets.join(lengths, "ind", "left").select(
         "ind",
         F.coalesce("_n", F.lit(0)).cast("long").alias("pos"),
@@ -60,14 +62,17 @@ def sequence_rows(inputs: DataFrame, targets: DataFrame, token: int) -> DataFram
 
 
 def sequences(
-    inputs: DataFrame, targets: DataFrame, token: int, max_measures: int, source: DataFrame | None = None
+    inputs: DataFrame, targets: DataFrame, token: int, max_measures: int | None = None
 ) -> DataFrame:
     """One row per stay with ordered arrays, the time token last.
 
-    Only the latest ``max_measures`` rows enter an array, which bounds its size. Stays
-    without inputs keep the token alone. ``source`` is passed to :func:`last_n`.
+    An array holds a whole stay unless ``max_measures`` limits it to the latest rows, so
+    without that limit stays have to fit in a row; :func:`sequence_rows` has no such
+    bound. Stays without inputs keep the token alone.
     """
-    kept = last_n(inputs.select("ind", "time", "itemid", "value"), max_measures, source=source)
+    kept = inputs.select("ind", "time", "itemid", "value")
+    if max_measures is not None:
+        kept = last_n(kept, max_measures)
     items = kept.groupBy("ind").agg(
         F.array_sort(
             F.collect_list(
@@ -110,6 +115,30 @@ def batch_assignment(
     return out.filter(F.col("batch_id") < n // size) if drop_last else out
 
 
+def long_batches(rows: DataFrame, batches: DataFrame) -> DataFrame:
+    """Padded batches in long form, one row per position: ``(ind, batch_id, row_in_batch,
+    pos, value, time, variable, mask)``.
+
+    ``rows`` are those of :func:`sequence_rows`. Padding is generated per stay from two
+    lengths; no array is built, so sequences and batches of any length are rows.
+    """
+    own = rows.groupBy("ind").agg((F.max("pos") + 1).alias("_len"))
+    placed = materialise(own.join(batches, "ind"), "places")
+    widths = placed.groupBy("batch_id").agg(F.max("_len").alias("_width"))
+    order = ["ind", "batch_id", "row_in_batch", "pos", "value", "time", "variable", "mask"]
+    real = join_back(rows, placed, "ind").withColumn("mask", F.lit(1))
+    gaps = placed.join(widths, "batch_id").filter(F.col("_len") < F.col("_width"))
+    fill = gaps.withColumn("pos", F.explode(F.sequence("_len", F.col("_width") - 1))).withColumns(
+        {
+            "value": F.lit(PAD_VALUE),
+            "time": F.lit(PAD_TIME),
+            "variable": F.lit(PAD_VARIABLE).cast("long"),
+            "mask": F.lit(0),
+        }
+    )
+    return real.select(*order).unionByName(fill.select(*order))
+
+
 def padded_batches(samples: DataFrame, batches: DataFrame) -> DataFrame:
     """Pad every sample to the longest of its batch; the mask is 1 on real positions.
 

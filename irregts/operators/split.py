@@ -7,9 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from irregts.operators.layout import fetch_small, global_row_index
-
-MAX_CLASSES = 10_000
+from irregts.operators.layout import global_row_index, join_back
+from irregts.session import materialise
 
 
 def shuffle_key(seed: int | str, stay: str = "ind") -> Column:
@@ -52,17 +51,6 @@ def holdout(stays: DataFrame, seed: int = 1, test_share: float = 0.2) -> DataFra
     return placed.select("ind", F.lit(0).alias("fold"), side.alias("split"))
 
 
-def _label_quotas(sizes: list[tuple[int, int]], n_test: int) -> dict[int, int]:
-    """Test stays per label: proportional, leftovers to the largest remainders."""
-    n = sum(c for _, c in sizes)
-    quotas = {label: n_test * c // n for label, c in sizes}
-    left = n_test - sum(quotas.values())
-    by_remainder = sorted(sizes, key=lambda s: (-(n_test * s[1] % n), s[0]))
-    for label, _ in by_remainder[:left]:
-        quotas[label] += 1
-    return quotas
-
-
 def stratified_holdout(stays: DataFrame, labels: DataFrame, seed: int = 1, test_share: float = 0.2) -> DataFrame:
     """A hold-out split that keeps the share of every label.
 
@@ -77,26 +65,22 @@ def stratified_holdout(stays: DataFrame, labels: DataFrame, seed: int = 1, test_
         .withColumn("label", F.when(F.col("label").isNull(), F.raise_error(problem).cast("int")).otherwise(F.col("label")))
     )
     placed, n = _shuffled(labelled, seed, "label")
-    counts = fetch_small(placed.groupBy("label").agg(F.count(F.lit(1)).alias("n")), MAX_CLASSES)
-    if counts is None:
-        raise ValueError(f"more than {MAX_CLASSES} labels to stratify by")
-    sizes = sorted((r["label"], r["n"]) for r in counts.collect())
+    sizes = placed.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_start"))
     n_test = math.ceil(round(test_share * n, 9))
-    if min(c for _, c in sizes) < 2:
+    # Proportional test stays per label; leftovers go to the largest remainders.
+    share = F.lit(n_test) * F.col("_n")
+    sizes = sizes.withColumn("_rest", -(share % n)).withColumn("_quota", F.floor(share / n))
+    sizes = materialise(sizes, "labels")
+    facts = sizes.agg(F.min("_n").alias("least"), F.count(F.lit(1)).alias("n"), F.sum("_quota").alias("given")).first()
+    if facts["least"] < 2:
         raise ValueError("the least frequent label has a single stay; it cannot be split")
-    if n_test < len(sizes) or n - n_test < len(sizes):
+    if n_test < facts["n"] or n - n_test < facts["n"]:
         raise ValueError("each side of the split needs at least one stay per label")
-    quotas, rows, start = _label_quotas(sizes, n_test), [], 0
-    for label, c in sizes:
-        rows.append((label, start + quotas[label]))
-        start += c
-    edges = stays.sparkSession.createDataFrame(rows, "label int, _edge long")
-    starts = stays.sparkSession.createDataFrame(
-        [(label, edge - quotas[label]) for label, edge in rows], "label int, _start long"
-    )
-    limits = edges.join(starts, "label")
+    ranked, _ = global_row_index(sizes, ["_rest", "label"], "_rank")
+    more = (F.col("_rank") < n_test - facts["given"]).cast("long")
+    edges = ranked.select("label", (F.col("_start") + F.col("_quota") + more).alias("_edge"))
     side = F.when(F.col("_place") < F.col("_edge"), "test").otherwise("train")
-    return placed.join(F.broadcast(limits), "label").select("ind", F.lit(0).alias("fold"), "label", side.alias("split"))
+    return join_back(placed, edges, "label").select("ind", F.lit(0).alias("fold"), "label", side.alias("split"))
 
 
 def split_stays(splits: DataFrame, fold: int, split: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from irregts.operators.layout import order_statistics, small_side, small_table
+from irregts.operators.layout import global_row_index, order_statistics, small_side, small_table
 
 
 def select_variables(df: DataFrame, catalogue: DataFrame, on: str = "itemid") -> DataFrame:
@@ -74,11 +74,9 @@ def variable_key(df: DataFrame, catalogue: DataFrame, on: str = "itemid") -> Dat
     present = df.select(on).distinct()
     listed = catalogue.join(present, on, "left_semi")
     extra = [] if on == "label" else [on]
-    # One row per catalogue entry: the array is as long as the user's catalogue.
-    ordered = listed.agg(F.array_sort(F.collect_list(F.struct("position", "label", *extra))).alias("all"))
-    keyed = ordered.select(F.posexplode("all").alias("key", "entry"))
-    key = keyed.select("entry.label", *(f"entry.{c}" for c in extra), F.col("key").cast("long").alias("key"))
-    return small_table(key)
+    entries = listed.select("position", "label", *extra)
+    key, _ = global_row_index(entries, ["position", "label"], "key")
+    return small_table(key.select("label", *extra, "key"))
 
 
 def index_variables(df: DataFrame, key: DataFrame, on: str = "itemid", name: str = "itemid") -> DataFrame:
@@ -95,11 +93,12 @@ def index_variables(df: DataFrame, key: DataFrame, on: str = "itemid", name: str
 def resolve_labels(key: DataFrame, labels: Sequence[str]) -> dict[str, int]:
     """Ids of the given labels. Each must match exactly one row; case matters."""
     wanted = sorted(set(labels))
-    rows = key.filter(F.col("label").isin(*wanted)).select("label", "key").limit(10 * len(wanted) + 1).collect()
-    found: dict[str, list[int]] = {label: [] for label in wanted}
-    for row in rows:
-        found[row["label"]].append(row["key"])
-    for label, ids in found.items():
-        if len(ids) != 1:
-            raise ValueError(f"label {label!r} has {len(ids)} matches in the key; labels are case-sensitive")
-    return {label: ids[0] for label, ids in found.items()}
+    matches = key.filter(F.col("label").isin(*wanted)).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("key")
+    )
+    found = {row["label"]: row for row in matches.collect()}  # a row per wanted label at most
+    for label in wanted:
+        n = found[label]["n"] if label in found else 0
+        if n != 1:
+            raise ValueError(f"label {label!r} has {n} matches in the key; labels are case-sensitive")
+    return {label: found[label]["key"] for label in wanted}

@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from irregts.operators.layout import join_back
 from irregts.schemas import STAY_ORDER
-from irregts.session import materialise
 
-# Rows of one group that a single task may rank.
-HOT_ROWS = 1_000_000
+# Into how many pieces a group is cut before its latest rows are ranked together.
+PIECES = 32
 
 
 def target_observations(df: DataFrame, target: int) -> DataFrame:
@@ -72,45 +71,30 @@ def window_history(rows: DataFrame, hours: Sequence[float]) -> DataFrame:
     return rows.filter(F.col("time") <= end)
 
 
-def _hot_groups(df: DataFrame, n: int, by: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """Groups too large to be ranked by one task, with the number of pieces to cut them
-    into. The square root balances the pieces against the final ranking of their tops."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(hot_rows, 4 * n))
-    hot = materialise(sizes.select(*by, F.floor(F.sqrt(F.col("_n") / n)).alias("_pieces")), "hot")
-    return None if hot.isEmpty() else hot
-
-
 def last_n(
     df: DataFrame,
     n: int,
     by: Sequence[str] = ("ind",),
     order: Sequence[str] = STAY_ORDER,
-    source: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    pieces: int = PIECES,
 ) -> DataFrame:
     """The n latest rows per group.
 
-    Groups of more than ``hot_rows`` rows are trimmed in pieces first and then as a
-    whole. Group sizes are counted on ``source``, a table that ``df`` was filtered
-    from, where that is cheaper to read than ``df`` itself.
+    Every group is trimmed in ``pieces`` first, which leaves ``pieces * n`` rows of it,
+    and then as a whole. No group size is counted.
     """
     if n < 1:
         raise ValueError("n must be positive")
-    by = list(by)
     latest = [F.desc(c) for c in order]
 
     def trim(rows: DataFrame, keys: list[str]) -> DataFrame:
         rank = F.row_number().over(W.partitionBy(*keys).orderBy(*latest))
         return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
-    hot = _hot_groups(df if source is None else source, n, by, hot_rows)
-    if hot is not None:
-        # Equal rows land in different pieces when they come from different tasks.
-        spread = F.xxhash64(*order, F.spark_partition_id())
-        piece = F.when(F.col("_pieces").isNotNull(), F.pmod(spread, F.col("_pieces"))).otherwise(F.lit(0))
-        cut = df.join(hot, by, "left").withColumn("_piece", piece)
-        df = trim(cut, [*by, "_piece"]).select(*df.columns)
-    return trim(df, by)
+    # Equal rows land in different pieces when they come from different tasks.
+    piece = F.pmod(F.xxhash64(*order, F.spark_partition_id()), F.lit(pieces))
+    cut = trim(df.withColumn("_piece", piece), [*by, "_piece"])
+    return trim(cut.select(*df.columns), list(by))
 
 
 def forecast_inputs(
@@ -135,7 +119,7 @@ def forecast_inputs(
     if history_hours is not None:
         rows = window_history(rows, history_hours)
     if max_measures is not None:
-        rows = last_n(rows, max_measures, source=df)
+        rows = last_n(rows, max_measures)
     return rows.select(*df.columns)
 
 

@@ -62,6 +62,10 @@ fx_measures as (
   join fx_admissions a on a.hadm_id = e.hadm_id
   join fx_patients p on p.subject_id = e.subject_id
   join fx_catalogue c on c.label = e.itemid),
+fx_lines as (
+  select l_orderkey as ind, cast(l_linenumber as bigint) as itemid,
+         date_sub('minute', timestamp '1995-01-01', l_shipdate) as time, l_quantity as value
+  from lineitem),
 fx_predictions as (
   select l_orderkey * 8 + l_linenumber as ind, case when l_linestatus = 'O' then 'test' else 'train' end as "set",
          l_linenumber % 5 as fold, l_quantity / 10 as y_true,
@@ -83,10 +87,10 @@ def _stage(x: str) -> str:
     return f"case when {x} < 20 then 0 when {x} < 45 then 1 when {x} < 80 then 2 else 3 end"
 
 
-def _profile(name: str, hours: int = 168, target: int = 0, include: str = "true", exclude: str = "true") -> str:
+def _profile(name: str, hours: int | None = None, target: int = 0, include: str = "true", exclude: str = "true") -> str:
     """Profile of each stay and its last target time."""
     return f"""
-{name}_cap as (select * from fx_measures where time <= {hours} * 60),
+{name}_cap as (select * from fx_measures where {"true" if hours is None else f"time <= {hours} * 60"}),
 {name} as (
   select ind, count(*) filter (where itemid = {target}) as n_tgt, min(time) as t_first,
          max(time) filter (where itemid = {target}) as t_last,
@@ -102,7 +106,7 @@ def _kept(name: str, horizon: int = 0, history: int = 0, more: str = "true") ->
       and t_last > {history} * 60 and ok_included and ok_excluded and {more}, false)"""
 
 
-def _cohort(name: str, hours: int = 168, target: int = 0, include: str = "true", exclude: str = "true", **rules) -> str:
+def _cohort(name: str, hours: int | None = None, target: int = 0, include: str = "true", exclude: str = "true", **rules) -> str:
     prof = f"{name}_prof"
     return (
         _profile(prof, hours, target, include, exclude)
@@ -113,7 +117,7 @@ def _cohort(name: str, hours: int = 168, target: int = 0, include: str = "true",
     )
 
 
-_LISTED = dict(include="bool_or(itemid in (1, 2))", exclude="not bool_or(itemid = 4)")
+_LISTED = dict(target=1, include="bool_or(itemid in (2, 3))", exclude="not bool_or(itemid = 5)")
 _ENTRY, _EXIT = _stage("entry_value"), _stage("exit_value")
 _STAGED = f"({_ENTRY}) in (1, 2, 3) and ({_EXIT}) in (0, 1, 2) and ({_ENTRY}) > ({_EXIT})"
 
@@ -187,18 +191,26 @@ quart as (
          max(value) filter (where rn = floor((n - 1) * 0.75 + 0.5)) as q3
   from ranked group by 1)"""
 
-_SAMPLES = _rows("m.time <= t.tgt_time - 24 * 60") + f""",
-numbered as (select *, {_LATEST} as back from inp),
+_SAMPLES = _rows() + """,
 items as (
   select ind, row_number() over (partition by ind order by time, itemid, value) - 1 as pos, value as "values",
          cast(time as double) as times, itemid as variables
-  from numbered where back <= 20),
+  from inp),
 tokens as (
   select t.ind, (select count(*) from items i where i.ind = t.ind) as pos, 0.0::double as "values",
          cast(t.tgt_time as double) as times, 5::bigint as variables
   from tgt t),
 samples as (select * from items union all select * from tokens)"""
 
+_BATCHES = """,
+batch_of as (
+  select ind, (row_number() over (order by ind) - 1) // 10 as batch_id, (row_number() over (order by ind) - 1) % 10 as row_in_batch
+  from tgt),
+widths as (
+  select batch_id, max(n) as width from (select ind, count(*) as n from samples group by ind) join batch_of using (ind)
+  group by batch_id),
+places as (select ind, batch_id, row_in_batch, unnest(range(width)) as pos from batch_of join widths using (batch_id))"""
+
 _R2 = """case when count(*) < 2 then 'nan'::double
      when var_pop(y_true) > 0 then 1 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(*))
      when sum((y_true - y_pred) * (y_true - y_pred)) = 0 then 1 else 0 end"""
@@ -336,12 +348,12 @@ select count(*) as n_rows, count(distinct ind) as n_stays, count(distinct itemid
     "stay_profile": _sql(
         f"select *, {_ENTRY} as entry_stage, {_EXIT} as exit_stage from prof where n_tgt > 0 union all "
         "select *, null, null from prof where n_tgt = 0",
-        _profile("prof", **_LISTED),
+        _profile("prof", **_LISTED).replace("fx_measures", "fx_lines"),
     ),
     "cull_stays": _sql(f"select ind, {_kept('prof', 12, 24)} as kept from prof", _profile("prof")),
-    "cull_cohort": _sql("select * from coh", _cohort("coh", horizon=12, history=24)),
+    "cull_cohort": _sql("select * from coh", _cohort("coh", hours=168, horizon=12, history=24)),
     "cull_by_stage": _sql("select * from coh", _cohort("coh", more=_STAGED)),
-    "cull_include_exclude": _sql("select * from coh", _cohort("coh", hours=48, **_LISTED)),
+    "cull_include_exclude": _sql("select * from coh", _cohort("coh", **_LISTED).replace("fx_measures", "fx_lines")),
     "cull_labels": _sql(f"select ind, {_EXIT} as label from prof where {_kept('prof')}", _profile("prof")),
     "usable_stays": _sql(
         f"select ind, {_EXIT} as label from prof where {_kept('prof')}",
@@ -506,7 +518,7 @@ select ind, row_number() over (partition by ind order by time, itemid, value) -
 from inp
 union all
 select t.ind, (select count(*) from inp i where i.ind = t.ind), 0.0, cast(t.tgt_time as double), 5 from tgt t""",
-        _rows(_SPARSE),
+        _rows(),
     ),
     "sequences": _sql(
         """
@@ -525,15 +537,15 @@ select p.ind, p.batch_id, p.row_in_batch, cast(p.pos as integer) as pos, coalesc
        coalesce(s.times, -10000.0) as times, coalesce(s.variables, 0) as variables,
        case when s.ind is null then 0 else 1 end as mask
 from places p left join samples s on s.ind = p.ind and s.pos = p.pos""",
-        _SAMPLES
-        + """,
-batch_of as (
-  select ind, (row_number() over (order by ind) - 1) // 10 as batch_id, (row_number() over (order by ind) - 1) % 10 as row_in_batch
-  from tgt),
-widths as (
-  select batch_id, max(n) as width from (select ind, count(*) as n from samples group by ind) join batch_of using (ind)
-  group by batch_id),
-places as (select ind, batch_id, row_in_batch, unnest(range(width)) as pos from batch_of join widths using (batch_id))""",
+        _SAMPLES + _BATCHES,
+    ),
+    "long_batches": _sql(
+        """
+select p.ind, p.batch_id, p.row_in_batch, p.pos, coalesce(s."values", -10000.0) as value,
+       coalesce(s.times, -10000.0) as time, coalesce(s.variables, 0) as variable,
+       case when s.ind is null then 0 else 1 end as mask
+from places p left join samples s on s.ind = p.ind and s.pos = p.pos""",
+        _SAMPLES + _BATCHES,
     ),
     "metric_mae": _sql(f"select {_GROUP}, round(avg(abs(y_true - y_pred)), 10) as mae from fx_predictions group by {_GROUP}"),
     "metric_medae": _sql(

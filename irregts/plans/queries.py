@@ -281,14 +281,15 @@ def _profile_columns(df: DataFrame) -> DataFrame:
 
 
 STRICT = replace(v.BASE_RULES, pred_horizon=12, pred_history=24)
-LISTED = replace(v.BASE_RULES, include=(1, 2), exclude=(4,), max_hours=48)
+LISTED = replace(v.BASE_RULES, target=1, skippable=(1,), include=(2, 3), exclude=(5,))
+CAPPED = replace(STRICT, max_hours=168)
 STAGED = replace(v.BASE_RULES, entry_stages=(1, 2, 3), exit_stages=(0, 1, 2), entry_above_exit=True)
 OTHER = replace(v.BASE_RULES, target=3, skippable=(3,), pred_history=48)
 
 
 @query
 def stay_profile(spark, d):
-    return _profile_columns(co.stay_profile(v.measures(spark, d), replace(LISTED, max_hours=168)))
+    return _profile_columns(co.stay_profile(v.line_measures(spark, d), LISTED))
 
 
 @query
@@ -298,7 +299,7 @@ def cull_stays(spark, d):
 
 @query
 def cull_cohort(spark, d):
-    return co.cull_cohort(v.measures(spark, d), STRICT)
+    return co.cull_cohort(v.measures(spark, d), CAPPED)
 
 
 @query
@@ -308,7 +309,7 @@ def cull_by_stage(spark, d):
 
 @query
 def cull_include_exclude(spark, d):
-    return co.cull_cohort(v.measures(spark, d), LISTED)
+    return co.cull_cohort(v.line_measures(spark, d), LISTED)
 
 
 @query
@@ -469,6 +470,7 @@ def denormalize_predictions(spark, d):
 # --- forecast inputs -------------------------------------------------------------
 
 PLAIN = ("ind", "itemid", "time", "value")
+TOKEN = len(v.LABELS)
 
 
 def _inputs(spark, d, **limits) -> DataFrame:
@@ -549,15 +551,17 @@ def forecast_task(spark, d):
 def sequence_tokens(spark, d):
     m = v.measures(spark, d)
     targets = materialise(wi.target_observations(m, v.TARGET), "targets")
-    inputs = wi.forecast_inputs(m, v.TARGET, targets=targets, **SPARSE)
-    return se.sequence_rows(inputs, targets, 5)
+    return se.sequence_rows(wi.forecast_inputs(m, v.TARGET, targets=targets), targets, TOKEN)
+
+
+# The published length of a sequence; no stay of these tables has as many rows.
+LONGEST = 1500
 
 
 def _samples(spark, d) -> DataFrame:
     m = v.measures(spark, d)
     targets = materialise(se.sample_targets(m, v.TARGET), "targets")
-    inputs = wi.forecast_inputs(m, v.TARGET, horizon_hours=24, targets=targets)
-    return se.sequences(inputs, targets, 5, 20, source=m)
+    return se.sequences(wi.forecast_inputs(m, v.TARGET, targets=targets), targets, TOKEN, LONGEST)
 
 
 def _positions(df: DataFrame, keys, arrays) -> DataFrame:
@@ -565,6 +569,14 @@ def _positions(df: DataFrame, keys, arrays) -> DataFrame:
     return df.select(*keys, zipped).select(*keys, "pos", *(F.col(f"item.{a}").alias(a) for a in arrays))
 
 
+@query
+def long_batches(spark, d):
+    m = v.measures(spark, d)
+    targets = materialise(wi.target_observations(m, v.TARGET), "targets")
+    rows = se.sequence_rows(wi.forecast_inputs(m, v.TARGET, targets=targets), targets, TOKEN)
+    return se.long_batches(rows, se.batch_assignment(targets, 10))
+
+
 @query
 def sequences(spark, d):
     keys = ["ind", "tgt_value", "tgt_time"]
@@ -668,7 +680,7 @@ def loss_pinball(spark, d):
 @query
 def cv_fit_predict(spark, d):
     m = v.measures(spark, d)
-    task = _task(spark, d, max_measures=50)
+    task = _task(spark, d)
     return fc.fit_predict_folds(m, task, range(len(v.LABELS)), sp.k_folds(m, K, 1), K)
 
 

@@ -87,15 +87,18 @@ def test_outliers_and_keys(spark):
     clean = sorted(tuple(r) for r in va.remove_outliers(df).select("itemid", "value").collect())
     assert clean == [(3, 5.0)] * 4 + [(7, float(x)) for x in [1, 2, 3, 4, 5]]
 
-    labels = ["A", "B", "C", "A", "D", "B", "E"]
-    rows = spark.createDataFrame([(x,) for x in labels], "name string")
-    catalogue = spark.createDataFrame([(x, x, i) for i, x in enumerate("ABCxDE")], "label string, name string, position int")
+    # Rows meet urea last, but the catalogue lists it first; nothing measures lactate.
+    measured = ["sodium", "glucose", "sodium", "urea", "glucose", "glucose"]
+    rows = spark.createDataFrame([(x,) for x in measured], "name string")
+    listed = ["urea", "lactate", "glucose", "sodium"]
+    catalogue = spark.createDataFrame([(x, x, 10 * i) for i, x in enumerate(listed)], "label string, name string, position int")
     key = va.variable_key(rows, catalogue, "name")
-    assert {r["label"]: r["key"] for r in key.collect()} == {"A": 0, "B": 1, "C": 2, "D": 3, "E": 4}
+    expected = {"urea": 0, "glucose": 1, "sodium": 2}
+    assert {r["label"]: r["key"] for r in key.collect()} == expected
     indexed = va.index_variables(rows, key, "name")
-    assert sorted((r["name"], r["itemid"]) for r in indexed.collect()) == sorted(zip(labels, [0, 1, 2, 0, 3, 1, 4]))
+    assert sorted((r["name"], r["itemid"]) for r in indexed.collect()) == sorted((x, expected[x]) for x in measured)
     with pytest.raises(Exception, match="variable without key"):
-        va.index_variables(rows, key.filter("label <> 'D'"), "name").collect()
+        va.index_variables(rows, key.filter("label <> 'urea'"), "name").collect()
 
 
 def test_labels_must_match_once(spark):

@@ -71,7 +71,7 @@ def test_hot_stay_is_ranked_in_pieces_after_the_split(hot_stay):
     plain = wi.forecast_inputs(hot_stay, 0, horizon_hours=1, max_measures=50)
     targets = wi.target_observations(hot_stay, 0)
     rows = wi.window_horizon(wi.input_rows(hot_stay, targets), 1)
-    pieces = wi.last_n(rows, 50, source=hot_stay, hot_rows=1000).select(*hot_stay.columns)
+    pieces = wi.last_n(rows, 50, pieces=8).select(*hot_stay.columns)
     plan = final(executed(pieces))
     assert "skew=true" in plan and re.search(r"hashpartitioning\(ind#\w+, _piece", plan)
     assert plain.exceptAll(pieces).isEmpty() and pieces.exceptAll(plain).isEmpty()

@@ -72,11 +72,11 @@ def test_inputs_equal_a_walk_over_the_rows(data, limits):
     )
 
 
-def test_horizon_example(spark):
-    """48 hour stay, target at 47 h, horizon 12 h: nothing after 35 h."""
-    rows = [(1, h * 60, 1, 0.0, "F", 1.0) for h in range(49)] + [(1, 47 * 60, 0, 1.0, "F", 1.0)]
-    got = wi.forecast_inputs(spark.createDataFrame(rows, SCHEMA), 0, horizon_hours=12)
-    assert got.agg(F.max("time")).first()[0] == 35 * 60
+def test_horizon_keeps_the_row_on_its_edge(spark):
+    """Target at 1,000 min and a horizon of 5 h: 700 min is kept, 701 min is not."""
+    rows = [(7, t, 3, 0.5, "M", 30.0) for t in (-20, 699, 700, 701, 999)] + [(7, 1000, 0, 2.0, "M", 30.0)]
+    got = wi.forecast_inputs(spark.createDataFrame(rows, SCHEMA), 0, horizon_hours=5)
+    assert sorted(r["time"] for r in got.collect()) == [-20, 699, 700]
 
 
 def test_history_beyond_the_target_is_an_error(data):
@@ -87,11 +87,11 @@ def test_history_beyond_the_target_is_an_error(data):
 def test_hot_groups_are_trimmed_in_pieces_with_the_same_result(data):
     rows, df = data
     plain = wi.last_n(df, 6)
-    pieces = wi.last_n(df, 6, hot_rows=20)
+    pieces = wi.last_n(df, 6, pieces=3)
     assert "_piece" in pieces._jdf.queryExecution().analyzed().toString()
     assert sorted(tuple(r) for r in plain.collect()) == sorted(tuple(r) for r in pieces.collect())
     copies = df.sparkSession.createDataFrame([(1, 5, 1, 1.0, "F", 1.0)] * 900, SCHEMA).repartition(6)
-    assert wi.last_n(copies, 6, hot_rows=20).count() == 6
+    assert wi.last_n(copies, 6, pieces=3).count() == 6
 
 
 def test_samples_and_padding(spark):
