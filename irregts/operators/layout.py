@@ -8,40 +8,49 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from irregts.session import materialise
+from irregts.session import materialise, scratch_path
 
-MAX_SMALL_ROWS = 100_000
+# Bytes of a written table that may be broadcast.
+MAX_SMALL_BYTES = 2 << 20
 _PART, _POS, _COPIES = "_part", "_pos", "_copies"
 
 
-def fetch_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame | None:
-    """``df`` as a local table if it has at most ``max_rows`` rows, else None.
+def _written_bytes(path: str, spark: SparkSession) -> int:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
 
-    This is the size check in front of every broadcast of a computed table: never
-    more than ``max_rows + 1`` rows reach the driver.
+
+def fetch_small(df: DataFrame, max_bytes: int = MAX_SMALL_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` computed once and written; as a local table if that has at most ``max_bytes``.
+
+    This is the size check in front of every broadcast of a computed table: nothing
+    larger reaches the driver, and what is larger is read back, not computed again.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+    spark = df.sparkSession
+    path = scratch_path(spark, "small")
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _written_bytes(path, spark) > max_bytes:
+        return table, False
+    return spark.createDataFrame(table.toArrow(), schema=df.schema), True
 
 
-def small_table(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
+def small_table(df: DataFrame, max_bytes: int = MAX_SMALL_BYTES) -> DataFrame:
     """``df`` to compute further on: in one local partition, without shuffles, if it is
-    checked to be small, otherwise unchanged."""
-    local = fetch_small(df, max_rows)
-    return df if local is None else local.coalesce(1)
+    checked to be small, otherwise as written."""
+    table, small = fetch_small(df, max_bytes)
+    return table.coalesce(1) if small else table
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_bytes: int = MAX_SMALL_BYTES) -> DataFrame:
     """``df`` ready to be joined to a large table: broadcast if it is checked to be
     small, otherwise written for a shuffle join as in :func:`join_back`."""
-    local = fetch_small(df, max_rows)
-    return materialise(df, "side") if local is None else F.broadcast(local)
+    table, small = fetch_small(df, max_bytes)
+    return F.broadcast(table) if small else table
 
 
 def join_back(rows: DataFrame, per_key: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
@@ -113,8 +122,8 @@ def order_statistics(
 
     # One row per group and partition: groups + partitions rows at most.
     slices = parts.groupBy(*by, _PART).agg(F.sum(_COPIES).alias("_slice"))
-    local = fetch_small(slices)
-    slices = slices if local is None else local.coalesce(1)
+    slices, small = fetch_small(slices)
+    slices = slices.coalesce(1) if small else slices
     group = W.partitionBy(*by)
     located = slices.withColumn("_n", F.sum("_slice").over(group)).withColumn(
         "_ahead", F.sum("_slice").over(group.orderBy(_PART)) - F.col("_slice")
@@ -134,7 +143,7 @@ def order_statistics(
         ).alias("_rank"),
     ).select(*by, _PART, F.col("_rank.name").alias("_name"), (F.col("_rank.k") - F.col("_ahead")).alias("_k"), "_slice")
     wanted = wanted.filter("_k >= 0 and _k < _slice").drop("_slice")
-    if local is not None:
+    if small:
         wanted = F.broadcast(wanted)
 
     within = W.partitionBy(*by, _PART, "_name").orderBy(_POS)

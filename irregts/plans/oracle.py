@@ -248,19 +248,19 @@ def _scores(text: str, by: str = _GROUP) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "src_measurements": _sql("select * from fx_raw"),
+    "src_measurements": _sql("select * replace (ascii(itemid)::bigint as itemid) from fx_raw"),
     "src_datetime_values": _sql("""
-select hadm_id, stay_id, subject_id, strftime(charttime, '%Y-%m-%d %H:%M:%S') as charttime, itemid,
-       date_sub('minute', min(charttime) over (partition by hadm_id), value) as value
+select hadm_id, stay_id, subject_id, strftime(charttime, '%Y-%m-%d %H:%M:%S') as charttime,
+       ascii(itemid)::bigint as itemid, date_sub('minute', min(charttime) over (partition by hadm_id), value) as value
 from fx_dates"""),
     "src_renamed_events": _sql(
-        "select hadm_id, stay_id, subject_id, charttime, itemid, l_quantity as value from fx_orders"
+        "select hadm_id, stay_id, subject_id, charttime, ascii(itemid)::bigint as itemid, l_quantity as value from fx_orders"
     ),
-    "src_output_events": _sql("select * from fx_raw"),
+    "src_output_events": _sql("select * replace (ascii(itemid)::bigint as itemid) from fx_raw"),
     "src_procedure_events": _sql(
-        "select hadm_id, stay_id, subject_id, charttime, itemid, l_extendedprice as value from fx_orders"
+        "select hadm_id, stay_id, subject_id, charttime, ascii(itemid)::bigint as itemid, l_extendedprice as value from fx_orders"
     ),
-    "src_lab_events": _sql("select subject_id, hadm_id, charttime, itemid, value from fx_raw"),
+    "src_lab_events": _sql("select subject_id, hadm_id, charttime, ascii(itemid)::bigint as itemid, value from fx_raw"),
     "src_admissions": _sql("""
 select hadm_id, strftime(admittime, '%Y-%m-%d %H:%M:%S') as admittime, admission_location from fx_admissions"""),
     "src_patients": _sql("select subject_id, gender, anchor_age, anchor_age as age from fx_patients"),
@@ -311,15 +311,15 @@ where value between q1 - (q3 - q1) and q3 + (q3 - q1)""",
     "top_variables": _sql("""
 select variable, count(*) as n from fx_offsets group by 1 having count(*) >= 1000 order by n desc, variable limit 3"""),
     "variable_key": _sql("select variable as label, key from keyed", """
-named as (select * from (values ('A', 0), ('never', 1), ('N', 2), ('R', 3), ('l_quantity', 4), ('l_extendedprice', 5),
-                                ('l_discount', 6), ('l_tax', 7)) t(variable, position)),
+named as (select * from (values ('l_quantity', 0), ('l_extendedprice', 1), ('l_discount', 2), ('l_tax', 3),
+                                ('A', 4), ('never', 5), ('N', 6), ('R', 7)) t(variable, position)),
 keyed as (select variable, row_number() over (order by position) - 1 as key from named
           where variable in (select variable from fx_offsets))"""),
     "variable_index": _sql(
         "select l_suppkey as patientunitstayid, time, variable, value, key as itemid from fx_offsets join keyed using (variable)",
         """
-named as (select * from (values ('A', 0), ('never', 1), ('N', 2), ('R', 3), ('l_quantity', 4), ('l_extendedprice', 5),
-                                ('l_discount', 6), ('l_tax', 7)) t(variable, position)),
+named as (select * from (values ('l_quantity', 0), ('l_extendedprice', 1), ('l_discount', 2), ('l_tax', 3),
+                                ('A', 4), ('never', 5), ('N', 6), ('R', 7)) t(variable, position)),
 keyed as (select variable, row_number() over (order by position) - 1 as key from named
           where variable in (select variable from fx_offsets))""",
     ),
@@ -391,11 +391,11 @@ join fx_demog on patientunitstayid = stay where n between 10 and 20000""",
         + """,
 both_sources as (
   select stay, time, value, cast(position as bigint) as itemid from (
-    select l_suppkey as stay, time, value, position + 3 as position,
+    select l_suppkey as stay, time, value, position,
            row_number() over (order by position, l_suppkey, time, value) - 1 as i
     from fx_vitals) where i % 3 = 0
   union all
-  select l_suppkey, time, value, case variable when 'A' then 0 when 'N' then 1 else 2 end
+  select l_suppkey, time, value, case variable when 'A' then 4 when 'N' then 5 else 6 end
   from fx_labs join quart using (variable) where value between q1 - (q3 - q1) and q3 + (q3 - q1))""",
     ),
     "split_kfold": _sql(
@@ -602,5 +602,5 @@ select c.ind, itemid, value, cast(time as double) as time, gender, age, {_EXIT}
 from coh c join coh_prof p on p.ind = c.ind""",
         _cohort("coh", horizon=12, history=24),
     ),
-    "stay_lookup": _sql("select itemid, value, cast(time as double) as time, ind, gender, age from fx_measures"),
+    "stay_lookup": _sql("select itemid, value, time, ind, gender, age from fx_measures where ind in (2, 7, 11)"),
 }

@@ -25,7 +25,7 @@ from irregts.session import configure, materialise, scratch_path
 from irregts.sources import events as ev
 from irregts.sources import offsets as off
 from irregts.sources import writers as wr
-from irregts.sources.tables import read_measures
+from irregts.sources.tables import read_key, read_measures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,60 +53,83 @@ def as_text(df: DataFrame, *columns: str) -> DataFrame:
 # --- sources -------------------------------------------------------------------
 
 
+def _as_csv(spark, raw: DataFrame) -> list[str]:
+    """A raw table as two CSV tables, whose columns are in opposite order."""
+    half = F.pmod(F.xxhash64(*raw.columns), F.lit(2))
+    paths = []
+    for i, columns in enumerate((raw.columns, raw.columns[::-1])):
+        part = raw.filter(half == i).select(*columns)
+        path = scratch_path(spark, "csv")
+        part.write.option("header", True).option("emptyValue", '""').csv(path)
+        paths.append(path)
+    return paths
+
+
+def _read_events(spark, raw: DataFrame, kind: str) -> DataFrame:
+    return ev.read_events(spark, _as_csv(spark, raw), kind)
+
+
+def _coded(raw: DataFrame) -> DataFrame:
+    """Raw events with their variables as the numbers that event files hold."""
+    return raw.withColumn("itemid", F.ascii("itemid").cast("long"))
+
+
 @query
 def src_measurements(spark, d):
-    return as_text(ev.clean_events(v.raw_events(spark, d), ev.LAYOUTS["chartevents"]), "charttime")
+    return as_text(_read_events(spark, _coded(v.raw_events(spark, d)), "chartevents"), "charttime")
 
 
 @query
 def src_datetime_values(spark, d):
-    return as_text(ev.clean_events(v.raw_datetime_events(spark, d), ev.LAYOUTS["datetimeevents"]), "charttime")
+    return as_text(_read_events(spark, _coded(v.raw_datetime_events(spark, d)), "datetimeevents"), "charttime")
 
 
 @query
 def src_renamed_events(spark, d):
-    return as_text(ev.clean_events(v.raw_order_events(spark, d), ev.LAYOUTS["inputevents"]), "charttime")
+    return as_text(_read_events(spark, _coded(v.raw_order_events(spark, d)), "inputevents"), "charttime")
 
 
 @query
 def src_output_events(spark, d):
-    raw = v.raw_events(spark, d).withColumn("value", F.col("valuenum").cast("string"))
-    return as_text(ev.clean_events(raw, ev.LAYOUTS["outputevents"]), "charttime")
+    raw = v.raw_events(spark, d).withColumnRenamed("valuenum", "value")
+    return as_text(_read_events(spark, _coded(raw), "outputevents"), "charttime")
 
 
 @query
 def src_procedure_events(spark, d):
-    return as_text(ev.clean_events(v.raw_order_events(spark, d), ev.LAYOUTS["procedureevents"]), "charttime")
+    return as_text(_read_events(spark, _coded(v.raw_order_events(spark, d)), "procedureevents"), "charttime")
 
 
 @query
 def src_lab_events(spark, d):
-    return as_text(ev.clean_events(v.raw_events(spark, d), ev.LAYOUTS["labevents"]), "charttime")
+    return as_text(_read_events(spark, _coded(v.raw_events(spark, d)), "labevents"), "charttime")
 
 
 @query
 def src_admissions(spark, d):
-    return as_text(ev.clean_admissions(as_text(v.admissions(spark, d), "admittime")), "admittime")
+    raw = as_text(v.admissions(spark, d), "admittime").withColumn("deathtime", F.lit(None).cast("string"))
+    return as_text(ev.read_admissions(spark, _as_csv(spark, raw)), "admittime").drop("deathtime")
 
 
 @query
 def src_patients(spark, d):
-    return ev.clean_patients(v.patients(spark, d))
+    return ev.read_patients(spark, _as_csv(spark, v.patients(spark, d)))
 
 
 @query
 def src_lab_offsets(spark, d):
-    return off.clean_lab_offsets(v.raw_lab_offsets(spark, d))
+    return off.read_lab_offsets(spark, _as_csv(spark, v.raw_lab_offsets(spark, d)))
 
 
 @query
 def unpivot_vitals(spark, d):
-    return off.unpivot_vitals(v.vitals_wide(spark, d), v.VITALS)
+    raw = v.vitals_wide(spark, d).withColumnRenamed("time", "observationoffset")
+    return off.unpivot_vitals(off.read_vitals(spark, _as_csv(spark, raw), v.VITALS), v.VITALS)
 
 
 @query
 def recode_age(spark, d):
-    return off.clean_stay_demographics(v.raw_stay_demographics(spark, d))
+    return off.read_stay_demographics(spark, _as_csv(spark, v.raw_stay_demographics(spark, d)))
 
 
 def _key(spark, d) -> DataFrame:
@@ -220,7 +243,7 @@ def top_variables(spark, d):
 
 
 def _offset_catalogue(spark) -> DataFrame:
-    names = ("A", "never", "N", "R", *v.VITALS)
+    names = (*v.VITALS, "A", "never", "N", "R")
     return spark.createDataFrame(
         [(n, n, i) for i, n in enumerate(names)], "label string, variable string, position int"
     )
@@ -228,7 +251,8 @@ def _offset_catalogue(spark) -> DataFrame:
 
 @query
 def variable_key(spark, d):
-    return va.variable_key(_offset_measures(spark, d), _offset_catalogue(spark), "variable").select("label", "key")
+    key = va.variable_key(_offset_measures(spark, d), _offset_catalogue(spark), "variable")
+    return read_key(spark, wr.write_key(key.select("label", "key"), scratch_path(spark, "key")))
 
 
 @query
@@ -364,7 +388,8 @@ def _customers(spark, d) -> DataFrame:
 
 @query
 def split_kfold(spark, d):
-    return sp.fold_splits(sp.k_folds(_customers(spark, d), K, 1), K)
+    splits = sp.fold_splits(sp.k_folds(_customers(spark, d), K, 1), K)
+    return wr.read_splits(spark, wr.write_splits(splits, scratch_path(spark, "splits")))
 
 
 @query
@@ -640,7 +665,9 @@ def confusion_matrix(spark, d):
 def metrics_by_fold(spark, d):
     scores = me.score_table(v.predictions(spark, d), KDIGO_BOUNDS)
     table = me.metrics_by_fold(scores, range(K))
-    return rounded(table, [c for c in table.columns if c not in ("set", "metric")], 10)
+    path = wr.write_metrics(table, scratch_path(spark, "metrics"))
+    saved = spark.read.option("header", True).schema(table.schema).csv(path)
+    return rounded(saved, [c for c in saved.columns if c not in ("set", "metric")], 10)
 
 
 @query
@@ -718,5 +745,6 @@ def sink_roundtrip(spark, d):
 
 @query
 def stay_lookup(spark, d):
+    """Three stays, looked up in a table that is laid out by stay."""
     path = wr.write_measures(v.measures(spark, d), scratch_path(spark, "by_stay"))
-    return read_measures(spark, path)
+    return wr.read_stay(spark, path, 2, 7, 11)

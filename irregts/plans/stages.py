@@ -91,14 +91,15 @@ def measures_from_offsets(
 ) -> tuple[DataFrame, DataFrame]:
     """Lab results and wide vitals in offset minutes to ``(processed rows, variable key)``.
 
-    Outliers are removed from the labs only; the vitals are thinned.
+    Outliers are removed from the labs only; the vitals are thinned. Variables are
+    numbered vitals first, then labs, each in the listed order.
     """
     spark = labs.sparkSession
-    names = [*lab_names, *vitals]
+    names = [*vitals, *lab_names]
     catalogue = spark.createDataFrame(
         [(v, v, i) for i, v in enumerate(names)], "label string, variable string, position int"
     )
-    listed = catalogue.filter(F.col("position") < len(lab_names))
+    listed = catalogue.filter(F.col("position") >= len(vitals))
     wanted = materialise(select_variables(labs, listed, "variable"), "labs")
     bounds = small_table(outlier_bounds(wanted, "variable", spread=spread))
     thinned = decimate_vitals(unpivot_vitals(vitals_wide, vitals), vitals, stride)

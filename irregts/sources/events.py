@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from irregts.functions.expr import all_present, parse_timestamp, whole_minutes
 from irregts.operators.layout import join_back
-from irregts.sources.tables import read_table
+from irregts.session import materialise
+from irregts.sources.tables import Paths, read_table
 
 
 @dataclass(frozen=True)
@@ -81,6 +82,7 @@ def clean_events(raw: DataFrame, layout: EventLayout) -> DataFrame:
     )
     if not layout.value_is_date:
         return events
+    events = materialise(events, "dates")  # the text is parsed once
     earliest = events.groupBy("hadm_id").agg(F.min("charttime").alias("_earliest"))
     return (
         join_back(events, earliest, "hadm_id")
@@ -89,7 +91,7 @@ def clean_events(raw: DataFrame, layout: EventLayout) -> DataFrame:
     )
 
 
-def read_events(spark: SparkSession, path: str, kind: str, fmt: str = "csv") -> DataFrame:
+def read_events(spark: SparkSession, path: Paths, kind: str, fmt: str = "csv") -> DataFrame:
     """Read one of the six event tables into the common columns."""
     if kind not in LAYOUTS:
         raise ValueError(f"unknown event table {kind!r}; known: {sorted(LAYOUTS)}")
@@ -101,7 +103,7 @@ def clean_admissions(raw: DataFrame) -> DataFrame:
     return raw.withColumn("admittime", parse_timestamp(F.col("admittime")))
 
 
-def read_admissions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_admissions(spark: SparkSession, path: Paths, fmt: str = "csv") -> DataFrame:
     return clean_admissions(read_table(spark, path, ADMISSIONS, fmt))
 
 
@@ -109,5 +111,5 @@ def clean_patients(raw: DataFrame) -> DataFrame:
     return raw.withColumn("age", F.col("anchor_age"))
 
 
-def read_patients(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_patients(spark: SparkSession, path: Paths, fmt: str = "csv") -> DataFrame:
     return clean_patients(read_table(spark, path, PATIENTS, fmt))

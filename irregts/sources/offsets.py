@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from irregts.functions.expr import all_present, recode_age
-from irregts.sources.tables import read_table
+from irregts.sources.tables import Paths, read_table
 
 LAB_OFFSETS = T.StructType(
     [
@@ -37,7 +37,7 @@ def clean_lab_offsets(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_lab_offsets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_lab_offsets(spark: SparkSession, path: Paths, fmt: str = "csv") -> DataFrame:
     return clean_lab_offsets(read_table(spark, path, LAB_OFFSETS, fmt))
 
 
@@ -47,7 +47,7 @@ def unpivot_vitals(wide: DataFrame, vitals: Sequence[str], stay: str = STAY, tim
     return doubles.unpivot([stay, time], list(vitals), "variable", "value").filter(all_present(stay, time, "value"))
 
 
-def read_vitals(spark: SparkSession, path: str, vitals: Sequence[str], fmt: str = "csv") -> DataFrame:
+def read_vitals(spark: SparkSession, path: Paths, vitals: Sequence[str], fmt: str = "csv") -> DataFrame:
     """Read the listed vitals of a wide periodic table; feeds :func:`unpivot_vitals`."""
     schema = T.StructType(
         [T.StructField(STAY, T.LongType()), T.StructField("observationoffset", T.LongType())]
@@ -60,5 +60,5 @@ def clean_stay_demographics(raw: DataFrame) -> DataFrame:
     return raw.withColumn("age", recode_age(F.col("age")))
 
 
-def read_stay_demographics(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_stay_demographics(spark: SparkSession, path: Paths, fmt: str = "csv") -> DataFrame:
     return clean_stay_demographics(read_table(spark, path, STAY_DEMOGRAPHICS, fmt, keep_empty_text=True))

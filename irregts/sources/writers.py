@@ -34,9 +34,10 @@ def write_measures(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return write_table(rows.repartitionByRange(*order).sortWithinPartitions(*order), path, fmt)
 
 
-def read_stay(spark: SparkSession, path: str, ind: int) -> DataFrame:
-    """Rows of one stay; the filter reaches the parquet row groups."""
-    return spark.read.parquet(path).filter(F.col("ind") == ind)
+def read_stay(spark: SparkSession, path: str, *inds: int) -> DataFrame:
+    """Rows of the given stays; the filter reaches the parquet row groups."""
+    wanted = F.col("ind") == inds[0] if len(inds) == 1 else F.col("ind").isin(*inds)
+    return spark.read.parquet(path).filter(wanted)
 
 
 def write_key(key: DataFrame, path: str, fmt: str = "csv") -> str:
@@ -55,5 +56,9 @@ def write_predictions(sheet: DataFrame, path: str) -> str:
     return write_table(sheet, path, partition_by=("set", "fold"))
 
 
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("ind long, fold int, split string").parquet(path)
+
+
 def write_metrics(table: DataFrame, path: str, fmt: str = "csv") -> str:
     return write_table(table, path, fmt)

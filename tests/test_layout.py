@@ -75,8 +75,10 @@ def test_order_statistics_with_hot_groups_and_values(spark):
 
 def test_small_tables_are_checked(spark):
     df = spark.range(50).toDF("k")
-    assert la.fetch_small(df, 50).count() == 50
-    assert la.fetch_small(df, 49) is None
+    table, small = la.fetch_small(df)
+    assert small and table.count() == 50
+    table, small = la.fetch_small(df, 10)
+    assert not small and table.count() == 50
     large = spark.range(0, 200).select((F.col("id") % 50).alias("k"))
     assert large.join(la.small_side(df, 10), "k").count() == 200  # too large to broadcast, still whole
 

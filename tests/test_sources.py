@@ -69,6 +69,52 @@ def test_reader_errors(spark, tmp_path):
         off.read_lab_offsets(spark, bad).collect()
 
 
+LABS = "patientunitstayid,labresultoffset,labname,labresult\n9,50,x,2.5\n"
+SWAPPED = "labresultoffset,patientunitstayid,labname,labresult\n50,9,x,2.5\n"
+
+
+def test_files_of_one_path_must_agree_on_their_columns(spark, tmp_path):
+    write(tmp_path / "a.csv", LABS)
+    write(tmp_path / "b.csv", SWAPPED)
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        off.read_lab_offsets(spark, str(tmp_path)).collect()
+    both = off.read_lab_offsets(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert rows(both, "patientunitstayid", "time", "value") == [(9, 50, 2.5)] * 2
+
+
+@pytest.mark.parametrize("line", ["9,50,x", "9,50,x,2.5,7"])
+def test_rows_with_missing_or_surplus_cells_are_errors(spark, tmp_path, line):
+    path = write(tmp_path / "a.csv", LABS + line + "\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        off.read_lab_offsets(spark, path).collect()
+
+
+def test_second_source_numbers_vitals_before_labs(spark):
+    labs = spark.createDataFrame([(1, t, "L", float(t)) for t in range(12)], "patientunitstayid long, time long, variable string, value double")
+    wide = spark.createDataFrame([(1, t, 2.0) for t in range(9)], "patientunitstayid long, time long, hr double")
+    people = spark.createDataFrame([(1, "Male", 60)], "patientunitstayid long, gender string, age int")
+    _, key = stages.measures_from_offsets(labs, wide, people, ["L"], ["hr"])
+    assert rows(key, "label", "key") == [("L", 1), ("hr", 0)]
+
+
+def test_lookups_read_only_the_row_groups_of_their_stays(spark, tmp_path):
+    data = spark.range(40_000).selectExpr(
+        "id % 40 as ind", "id % 3 as itemid", "id as time", "rand(1) as value", "'M' as gender", "50.0D as age"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = wr.write_measures(data, str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stay = wr.read_stay(spark, path, 3, 4)
+    assert stay.count() == 2000
+    metrics = stay._jdf.queryExecution()
+    stay.collect()
+    leaves = metrics.executedPlan().collectLeaves()
+    read = leaves.apply(0).metrics().apply("numOutputRows").value()
+    assert 2000 <= read < 40_000
+
+
 def test_demographics_tell_empty_from_missing(spark, tmp_path):
     text = 'patientunitstayid,gender,age\n1,Male,"> 89"\n2,Female,""\n3,,\n4,Female,45\n'
     df = off.read_stay_demographics(spark, write(tmp_path / "p.csv", text))

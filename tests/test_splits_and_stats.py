@@ -85,6 +85,17 @@ def test_normalised_values(rows):
         no.normalize(df, mode="other")
 
 
+def test_nan_does_not_spoil_the_statistics(spark):
+    data = [(1, 0, 1.0, 1.0), (1, 0, 2.0, 3.0), (2, 0, 3.0, float("nan")), (2, 0, 4.0, None)]
+    df = spark.createDataFrame([(*d, "M", 40.0) for d in data], "ind long, itemid long, time double, value double, gender string, age double")
+    stats = no.fit_stats(df).first()
+    assert (stats["value_mean"], stats["value_std"], stats["time_mean"]) == (2.0, 1.0, 2.5)
+    low = no.fit_stats(df, mode="minmax").first()
+    assert (low["value_min"], low["value_max"]) == (1.0, 3.0)
+    out = sorted(str(r["value"]) for r in no.normalize(df).collect())
+    assert out == ["-1.0", "1.0", "None", "nan"]
+
+
 def test_unknown_variable_is_an_error(rows):
     _, df = rows
     stats = no.fit_stats(df.filter("itemid <> 5"))
