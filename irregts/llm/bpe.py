@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irregts.llm.common import small_batches, utf8
+from irregts.llm.common import small_batches, unused, utf8
 from irregts.llm.pieces import PieceEncoder, grouped
 
 # The split pattern of byte-level BPE (fixed value of the format).
@@ -208,19 +208,20 @@ def encode(documents: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """The documents with a column ``ids`` (array<int>) in place of ``text``; with ``decoded``
     also the text that the ids decode to, made by the same worker."""
     small_batches(documents.sparkSession)
+    raw = unused(documents, "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in grouped(batches, "_raw"):
-            ids, counts = codec(path).encoder.texts(batch.column("_raw").to_pylist())
+        for batch in grouped(batches, raw):
+            ids, counts = codec(path).encoder.texts(batch.column(raw))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            columns = {c: batch.column(c) for c in batch.schema.names if c != "_raw"}
+            columns = {c: batch.column(c) for c in batch.schema.names if c != raw}
             columns["ids"] = pa.ListArray.from_arrays(offsets, pa.array(ids))
             if decoded:
                 columns["decoded"] = pa.array(codec(path).decode(ids, counts), pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kept = documents.drop("text")
-    prepared = documents.select(*kept.columns, utf8().alias("_raw"))
+    prepared = documents.select(*kept.columns, utf8().alias(raw))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return prepared.mapInArrow(run, f"{fields}{', ' if fields else ''}ids array<int>{', decoded string' if decoded else ''}")
 

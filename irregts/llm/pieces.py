@@ -1,9 +1,9 @@
 """Cutting texts at places where the byte-level pattern always cuts, so that pieces repeat.
 
 The pattern of byte-level BPE never spans a space that follows a character other than white
-space, nor a line end between two such characters. Texts are cut there by string splits,
-and only distinct pieces are encoded. Where that does not hold (runs of white space, other
-white space, special tokens, the separator itself) a slice of text is left whole.
+space, nor a line end between two such characters. Texts are cut there by Arrow, and only
+distinct pieces are encoded. Texts for which that does not hold (runs of white space, other
+white space, special tokens, the separator itself) are encoded whole, slice by slice.
 """
 
 from __future__ import annotations
@@ -13,14 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEPARATOR = "\x01"
 #: Bytes of text that a worker gathers before it encodes them, over whole documents.
-GROUP_BYTES = 4 << 20
-#: Characters of a slice of a long text; distinct pieces whose encoding a worker keeps.
-SLICE, CACHE = 1 << 20, 400_000
-#: Pieces held as strings at once.
-PENDING = 500_000
+GROUP_BYTES = 8 << 20
+#: Characters of a slice of a text that is encoded whole; distinct pieces that a worker keeps.
+SLICE, CACHE = 1 << 20, 1_200_000
 
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -38,90 +37,82 @@ def slices(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def split_text(text: str, special: str) -> list[str] | None:
-    """Pieces that can be encoded one by one, or None for a text that must stay whole."""
-    if SEPARATOR in text or special in text or _OTHER_SPACE.search(text):
-        return None
-    pieces = text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split(SEPARATOR)
-    return None if "" in pieces or " " in pieces else pieces
-
-
 class PieceEncoder:
     """Encodes texts piece by piece, remembering pieces up to a bound."""
 
     def __init__(self, encode: Encode, whole: Callable[[str], np.ndarray], special: str) -> None:
         self.encode, self.whole, self.special = encode, whole, special
-        self._clear()
-
-    def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.counts, self.starts = (np.zeros(0, np.int64) for _ in range(3))
-
-    def _learn(self, pieces: set[str]) -> None:
+        self.ids, self.counts, self.starts, self.used = (np.zeros(0, np.int64) for _ in range(4))
+
+    def is_plain(self, piece: str) -> bool:
+        """Whether a piece can be encoded by itself wherever it was cut out."""
+        return piece not in ("", " ") and self.special not in piece and not _OTHER_SPACE.search(piece)
+
+    def _forget(self) -> None:
+        """Keep the pieces that were met more than once since the last time."""
+        kept = self.used > 1
+        order = np.flatnonzero(kept)
+        self.ids = self.ids[np.repeat(kept, self.counts)]
+        self.counts, self.used = self.counts[order], np.zeros(len(order), np.int64)
+        names = list(self.place)
+        self.place = {names[i]: k for k, i in enumerate(order.tolist())}
+
+    def _places(self, pieces: list[str], times: np.ndarray) -> np.ndarray:
+        """Where the encodings of pieces are; -1 for one that is not plain. ``times``: how
+        often each was met."""
         if len(self.place) + len(pieces) > CACHE:
-            self._clear()
-        new = [p for p in pieces if p not in self.place]
-        if not new:
-            return
-        ids, counts = self.encode(new)
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+            self._forget()
+        new = [p for p in pieces if p not in self.place and self.is_plain(p)]
+        if new:
+            ids, counts = self.encode(new)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         self.starts = np.cumsum(self.counts) - self.counts
+        at = np.fromiter((self.place.get(p, -1) for p in pieces), np.int64, len(pieces))
+        self.used[at[at >= 0]] += times[at >= 0]
+        return at
 
-    def _lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        distinct = set(pieces)
-        if not distinct <= self.place.keys():
-            self._learn(distinct)
-        del distinct
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        counts = self.counts[at]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(total)], ends
-
-    def texts(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, raws: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text (int32), and the number of ids of each text."""
-        out: list[np.ndarray] = []
-        counts = np.zeros(len(raws), np.int64)
-        pending: list[str] = []
-        ends: list[tuple[int, int]] = []  # text and number of pending pieces at its end
-
-        def flush() -> None:
-            ids, upto = self._lookup(pending)
-            out.append(ids.astype(np.int32))
-            before = 0
-            for text, end in ends:
-                now = int(upto[end - 1]) if end else 0
-                counts[text] += now - before
-                before = now
-            pending.clear()
-            ends.clear()
-
-        for k, raw in enumerate(raws):
-            for part in slices(raw.decode()) if raw else ():
-                pieces = split_text(part, self.special)
-                if pieces is None:
-                    flush()
-                    ids = self.whole(part)
-                    out.append(ids.astype(np.int32))
-                    counts[k] += len(ids)
-                    continue
-                pending += pieces
-                ends.append((k, len(pending)))
-                if len(pending) >= PENDING:
-                    flush()
-        flush()
-        return np.concatenate(out), counts
-
-
-def grouped(batches: Iterator[pa.RecordBatch], name: str = "raw") -> Iterator[pa.RecordBatch]:
-    """Arrow batches joined to about ``GROUP_BYTES`` of text each."""
+        texts = raws.cast(pa.string())
+        marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\x01\n\x01"), " ", "\x01 ")
+        cut = pc.split_pattern(marked, SEPARATOR)
+        del marked
+        ends = cut.offsets.to_numpy()[1:].astype(np.int64) - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        del cut
+        codes = coded.indices.to_numpy()
+        at = self._places(coded.dictionary.to_pylist(), np.bincount(codes, minlength=len(coded.dictionary)))[codes]
+        owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        odd = np.array(pc.match_substring(texts, SEPARATOR).to_pylist(), bool)
+        odd[owner[at < 0]] = True
+        at = at[~odd[owner]]
+        sizes = self.counts[at]
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.ids[np.repeat(self.starts[at] - (upto - sizes), sizes) + np.arange(total)].astype(np.int32)
+        counts = np.bincount(owner[~odd[owner]], sizes, len(texts)).astype(np.int64)
+        if not odd.any():
+            return ids, counts
+        parts, before = [], 0
+        for k in np.flatnonzero(odd).tolist():
+            ahead = int(counts[:k][~odd[:k]].sum())
+            own = [self.whole(s).astype(np.int32) for s in slices(texts[k].as_py()) if s]
+            parts += [ids[before:ahead], *own]
+            counts[k], before = sum(map(len, own)), ahead
+        return np.concatenate([*parts, ids[before:]]), counts
+
+
+def grouped(batches: Iterator[pa.RecordBatch], name: str = "raw", least: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches joined to about ``least`` bytes of text each."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         held.append(batch)
         size += batch.column(name).nbytes
-        if size >= GROUP_BYTES:
+        if size >= least:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, size = [], 0
     if held and (rest := pa.Table.from_batches(held).combine_chunks().to_batches()):

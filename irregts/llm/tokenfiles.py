@@ -122,33 +122,34 @@ def expand(symbols: np.ndarray, first_rule: int, ids: np.ndarray, counts: np.nda
     return out, sizes
 
 
-def _frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent_pairs(keys: np.ndarray, least: int) -> np.ndarray:
     """Pairs that occur ``least`` times or more, most frequent first. Hashed counts rule
     most of the others out before the exact ones are made."""
-    slots = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+    bits = 8 * keys.dtype.itemsize
+    slots = (keys * keys.dtype.type(0x9E3779B97F4A7C15 >> (64 - bits) | 1)) >> keys.dtype.type(bits - _HASH_BITS)
     hashed = np.bincount(slots, minlength=1 << _HASH_BITS)
-    values, counts = np.unique(keys[hashed[slots] >= least], return_counts=True)
+    values, counts = np.unique(keys[(hashed >= least)[slots]], return_counts=True)
     values, counts = values[counts >= least], counts[counts >= least]
-    order = np.lexsort((values, -counts))
-    return values[order], counts[order]
+    return values[np.lexsort((values, -counts))]
 
 
 def re_pair(ids: np.ndarray, n_tokens: np.ndarray, first_rule: int, symbols: int) -> Grammar:
     """Compress the ids of documents that lie one after the other; at most ``symbols``
     symbols in all."""
-    sequence = ids.astype(np.uint32)
+    kind, shift = (np.uint32, 16) if symbols <= 1 << 16 else (np.uint64, 32)
+    sequence = ids.astype(kind)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(n_tokens) - 1] = True
     rules = np.zeros((0, 2), np.int64)
     for _ in range(ROUNDS):
         room = min(ROUND_RULES, symbols - first_rule - len(rules))
-        keys = sequence[:-1].astype(np.uint64) << np.uint64(32) | sequence[1:]
+        keys = sequence[:-1] << kind(shift) | sequence[1:]
         inside = ~last[:-1]
-        values, _ = _frequent_pairs(keys[inside], FREQUENT)
+        values = _frequent_pairs(keys[inside], FREQUENT).astype(np.int64)
         lefts: set[int] = set()
         rights: set[int] = set()
         chosen: list[tuple[int, int]] = []
-        for left, right in zip((values >> np.uint64(32)).tolist(), (values & np.uint64(0xFFFFFFFF)).tolist()):
+        for left, right in zip((values >> shift).tolist(), (values & ((1 << shift) - 1)).tolist()):
             if len(chosen) >= room:
                 break
             if left != right and left not in rights and right not in lefts:
@@ -158,7 +159,7 @@ def re_pair(ids: np.ndarray, n_tokens: np.ndarray, first_rule: int, symbols: int
         if not chosen:
             break
         pairs = np.array(chosen, np.int64)
-        wanted = pairs[:, 0].astype(np.uint64) << np.uint64(32) | pairs[:, 1].astype(np.uint64)
+        wanted = (pairs[:, 0] << shift | pairs[:, 1]).astype(kind)
         order = np.argsort(wanted)
         is_left, is_right = (np.zeros(first_rule + len(rules) + 1, bool) for _ in range(2))
         is_left[pairs[:, 0]], is_right[pairs[:, 1]] = True, True
@@ -180,7 +181,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) ->
     encoder = library(path)
     width = 2 if encoder.size < 1 << 16 else 4
     for shard, batch in enumerate(grouped(batches)):
-        ids, counts = encoder.texts(batch.column("raw").to_pylist())
+        ids, counts = encoder.texts(batch.column("raw"))
         ids = np.insert(ids, np.cumsum(counts), END)
         counts = counts + 1
         packed = re_pair(ids, counts, encoder.size, 1 << 16 if width == 2 else 1 << 31)
