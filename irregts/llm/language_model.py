@@ -40,7 +40,9 @@ MODEL_WORDS, KNOWN_WORDS = 1024, 1 << 18
 SAMPLE, EPOCHS, RATE = 2000, 4, 0.01
 SPAN, SPAN_DOCUMENTS, SPAN_RATE = 2 * WINDOW, 256, 0.002
 #: Distinct words that a counting task holds before it passes them on.
-HELD_WORDS = 400_000
+HELD_WORDS = 200_000
+#: Bytes of text that a scoring task reads at once, over whole documents.
+SCORED_BYTES = 3 << 20
 #: The end of a text; no word holds a space.
 END = b" "
 
@@ -236,8 +238,7 @@ def _score(batches: Iterator[pa.RecordBatch], known: Lexicon, network: Network)
     reader, words = Reader(known), known.shape.words
     log_count = np.log10(known.counts + 0.5)
     in_class = np.log10(known.class_tokens + 0.5 * (known.class_distinct + 1))
-    rare_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
-    for batch in grouped(batches):
+    for batch in grouped(batches, least=SCORED_BYTES):
         per_text = [words_of(raw) for raw in batch.column("raw").to_pylist()]
         lengths = np.array([len(t) for t in per_text], np.int64)
         at, symbols = reader.read([w for t in per_text for w in t])
@@ -249,11 +250,19 @@ def _score(batches: Iterator[pa.RecordBatch], known: Lexicon, network: Network)
         score += np.bincount(owner[rarer], logs[rarer] - in_class[symbols[rarer] - words], len(lengths))
         known_tokens = np.bincount(owner[there], known.counts[at[there]] > 0, len(lengths))
         starts = np.cumsum(lengths) - lengths
-        missing: list[list[dict]] = [[] for _ in per_text]
+        rare_words: list[bytes] = []
+        rare_counts: list[int] = []
+        rare_sizes = np.zeros(len(lengths), np.int64)
         unknown = np.flatnonzero(~there)
         for i, places in zip(*_runs(owner[unknown], unknown)):
             counted = Counter(per_text[i][k] for k in (places - starts[i]).tolist())
-            missing[i] = [{"token": w, "n": k} for w, k in counted.items()]
+            rare_words += counted
+            rare_counts += counted.values()
+            rare_sizes[i] = len(counted)
+        rare = pa.StructArray.from_arrays(
+            [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["token", "n"]
+        )
+        rare_ends = pa.array(np.concatenate([[0], np.cumsum(rare_sizes)]), pa.int32())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -262,7 +271,7 @@ def _score(batches: Iterator[pa.RecordBatch], known: Lexicon, network: Network)
                 pa.array(known_tokens.astype(np.int64)),
                 pa.array(np.bincount(owner, logs, len(lengths))),
                 pa.array(score),
-                pa.array(missing, rare_type),
+                pa.ListArray.from_arrays(rare_ends, rare),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"],
         )
