@@ -31,6 +31,25 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def same_document(documents: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Join documents to ``keys`` by doc_id (null-safe) and text_key, the xxhash64 of the text.
+
+    ``keys`` has those two columns and perhaps more, none of which the documents have.
+    """
+    doc_id, text_key = unused(documents, "_id"), unused(documents, "_key")
+    keys = keys.withColumnsRenamed({"doc_id": doc_id, "text_key": text_key})
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(text_key))
+    return documents.join(keys, same, how)
+
+
 def sequenced(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Write ``df`` in global order; add _part and _pos, its place in the sorted partitions.
 

@@ -5,9 +5,10 @@ i gets a threshold t_i of -1 (never probed) or more, with sum(t_i) = limit - m +
 fingerprints that differ in at most ``limit`` bits then differ in at most t_i bits in some
 partition. How many partitions and which thresholds is decided by dynamic programming on
 the candidates that a sample of fingerprints lets one expect, so small and large tables
-get different, equally exact plans. Probes meet the index in an equi-join, and pairs are
-verified there. Only distinct fingerprints take part; components of their links are found
-by minimum labels with pointer jumping, one written table per round.
+get different, equally exact plans. Probes and indexed fingerprints of a key meet in units of
+bounded size, where all their pairs are verified and a spanning forest is kept. Only distinct
+fingerprints take part; components are found by minimum labels with pointer jumping, one
+written table per round.
 
 Nulls, empty texts and texts without words have fingerprint zero, which is linked like any
 other. A null doc_id never names a component unless all its ids are null. Repeated rows
@@ -27,14 +28,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from irregts.llm.common import LOWER, small_batches, utf8
+from irregts.llm.common import LOWER, same_document, small_batches, utf8
 from irregts.session import materialise
 
 BITS, SHINGLE, SEED, LIMIT = 64, 3, 42, 3
 #: Fingerprints (smallest hashes first) on which candidate counts are estimated.
 SAMPLE = 4096
 #: Cost of a verified candidate relative to a probe row.
-CANDIDATE_COST = 0.2
+CANDIDATE_COST = 0.05
+#: Rows of a block of a large bucket; pairs that a worker verifies at once.
+UNIT, PAIRS = 1024, 1 << 20
 
 
 def fingerprint(raw: bytes) -> int:
@@ -153,7 +156,7 @@ def allocate(groups: list[tuple[int, ...]], sample: np.ndarray, n: int, limit: i
 
 def plan(distinct: DataFrame, limit: int = LIMIT) -> list[Partition]:
     """The cheapest partitions and thresholds for a table of distinct values."""
-    n = distinct.count()
+    n = distinct.count() + 1  # also of an empty table a plan with few probes
     cells = distinct.select("value").mapInArrow(_cooccurrence, "cell int, n long")
     sums = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     together = np.zeros(BITS * BITS)
@@ -165,22 +168,103 @@ def plan(distinct: DataFrame, limit: int = LIMIT) -> list[Partition]:
     return min(offers, key=lambda x: x[0])[1]
 
 
-def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Pairs a < b of distinct values at most ``limit`` bits apart; a pair may repeat."""
+def _units(distinct: DataFrame, parts: list[Partition]) -> DataFrame:
+    """Rows (i, key, x, y, indexed, value), one unit of work per (i, key, x, y).
+
+    A bucket is what shares a partition's key: fingerprints under their own key (indexed)
+    and probes under the keys that differ in up to its threshold of bits. A bucket of more
+    than ``UNIT`` rows is cut into blocks, and each pair of blocks is a unit.
+    """
     value = F.col("value")
-    index, probes = [], []
-    for i, part in enumerate(plan(distinct, limit)):
+    at = []
+    for i, part in enumerate(parts):
         key = value.bitwiseAND(F.lit(part.mask))
-        index.append(F.struct(F.lit(i).alias("i"), key.alias("key")))
-        probes += [F.struct(F.lit(i).alias("i"), key.bitwiseXOR(F.lit(x)).alias("key")) for x in part.flips()]
+        at += [
+            F.struct(F.lit(i).alias("i"), key.bitwiseXOR(F.lit(x)).alias("key"), F.lit(x == 0).alias("indexed"))
+            for x in part.flips()
+        ]
+    rows = distinct.select("value", F.explode(F.array(*at)).alias("at")).select("value", "at.*")
+    sizes = rows.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > UNIT)
+    large = materialise(sizes.select("i", "key", F.ceil(F.col("n") / UNIT).cast("int").alias("blocks")), "large")
+    blocks = F.coalesce("blocks", F.lit(1))
+    cut = rows.join(large, ["i", "key"], "left").withColumn("own", F.pmod(F.xxhash64("value"), blocks).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return cut.select(
+        "i", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "indexed", "value"
+    )
+
+
+def _forest(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Per unit of sorted rows a forest (a, b) that connects what is at most ``limit`` apart."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+        starts = _starts(rows)
+        if len(starts) < 2:
+            held = rows
+            continue
+        yield _connect([c[: starts[-1]] for c in rows], limit)
+        held = [c[starts[-1] :] for c in rows]
+    if held is not None:
+        yield _connect(held, limit)
+
+
+def _starts(rows: list[np.ndarray]) -> np.ndarray:
+    """First rows of the units."""
+    n = len(rows[0])
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in rows[:4]])
+    return np.flatnonzero(new)
+
+
+def _connect(rows: list[np.ndarray], limit: int) -> pa.RecordBatch:
+    x, y, own, indexed, value = *rows[2:5], rows[5].astype(bool), rows[6].view(np.uint64)
+    starts = _starts(rows)
+    unit = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(value)))
+    # Indexed rows come first in a unit; each row meets all of them.
+    meets = np.bincount(unit, indexed, len(starts)).astype(np.int64)[unit]
+    upto = np.cumsum(meets)
+    left, right = [], []
+    at = 0
+    while at < len(value):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        n = meets[at:stop]
+        a = np.repeat(np.arange(at, stop), n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + starts[unit[a]]
+        near = np.bitwise_count(value[a] ^ value[b]) <= limit
+        near &= (value[a] < value[b]) | ~indexed[a] & (value[a] != value[b])
+        near &= (x[a] == y[a]) | (own[a] != own[b])
+        left.append(a[near])
+        right.append(b[near])
+        at = stop
+    a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (left, right))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = np.split(ends, 2)
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        lower = root.copy()
+        np.minimum.at(lower, a, least)
+        np.minimum.at(lower, b, least)
+        lower = lower[lower]
+        if (lower == root).all():
+            break
+        root = lower
+    moved = root != np.arange(len(root))
+    pair = [value[nodes[root[moved]]].view(np.int64), value[nodes[moved]].view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in pair], names=["a", "b"])
+
 
-    def placed(name: str, at: list[Column]) -> DataFrame:
-        rows = distinct.select(value.alias(name), F.explode(F.array(*at)).alias("at"))
-        return rows.select(name, "at.i", "at.key")
+def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Links (a, b) that connect exactly what chains of steps of at most ``limit`` bits do.
 
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit
-    met = placed("a", probes).join(placed("b", index), ["i", "key"])
-    return met.filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    All pairs inside a unit are verified, and a spanning forest of what is near is given
+    out, so a group of near copies makes as many links as it has members, not pairs.
+    """
+    unit = ["i", "key", "x", "y"]
+    rows = _units(distinct, plan(distinct, limit)).repartition(*unit).sortWithinPartitions(*unit, F.desc("indexed"))
+    return rows.mapInArrow(lambda it: _forest(it, limit), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,12 +312,10 @@ def one_of_each(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     report = near_duplicates(documents, limit)
     keep = report.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.groupBy(F.col("component_id").alias("_id")).agg(
-        F.min(F.struct("text_key", "fingerprint")).alias("least"), F.count(F.lit(1)).alias("_n")
-    )
-    keep = materialise(keep.select("_id", F.col("least.text_key").alias("_key"), "_n"), "keep")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    kept = documents.join(keep, same)
-    once = kept.filter("_n = 1").select(documents.columns)
-    again = kept.filter("_n > 1").dropDuplicates(["_id", "_key"]).select(documents.columns)
+    keep = materialise(
+        keep.groupBy("component_id").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies")), "keep"
+    ).withColumnRenamed("component_id", "doc_id")
+    single, several = keep.filter("copies = 1").drop("copies"), keep.filter("copies > 1").drop("copies")
+    once = same_document(documents, single, "left_semi")
+    again = same_document(documents, several, "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again)
