@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from irregts.llm.common import WORD_BYTES, small_batches, utf8
+from irregts.llm.common import WORD_BYTES, same_document, small_batches, utf8
 from irregts.session import materialise
 
 WINDOW, SHINGLE = 10, 3
@@ -227,6 +227,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that share no window with the benchmark, all columns."""
     marked = decontaminate(documents, benchmark, window).filter("contaminated")
-    marked = materialise(marked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "marked")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    return documents.join(marked, same, "left_anti")
+    marked = materialise(marked.select("doc_id", "text_key").distinct(), "marked")
+    return same_document(documents, marked, "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from irregts.llm.common import LOWER, small_batches, utf8
+from irregts.llm.common import LOWER, small_batches, unused, utf8
 
 SIZES = (2, 3, 4)
 #: Expected number of learning documents per language; typical n-grams kept per language.
@@ -173,6 +173,7 @@ def with_language(documents: DataFrame, model: LanguageFilter, least: float) ->
     """The documents whose language is known with a score of at least ``least``."""
     small_batches(documents.sparkSession)
     names = documents.columns
-    guess = documents.select("*", prediction(model).alias("_guess"))
-    sure = (F.col("_guess.lang_pred") != "und") & (F.col("_guess.score") >= least)
+    name = unused(documents, "guess")
+    guess = documents.withColumn(name, prediction(model))
+    sure = (F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= least)
     return guess.filter(sure).select(names)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from irregts.llm.common import LOWER, small_batches, utf8
+from irregts.llm.common import LOWER, small_batches, unused, utf8
 from irregts.session import materialise
 
 #: Expected number of labelled rows that the model is fitted on.
@@ -221,8 +221,9 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qual
     n = known.count()
     draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
     known = known.filter(draw < (sample / n if n > sample else 1.0))
-    rows = documents.join(known, F.col("doc_id") == F.col("_id"))
-    if "feature_values" not in documents.columns:
+    given = "feature_values" if "feature_values" in documents.columns else "text"
+    rows = documents.select("doc_id", given).join(known, F.col("doc_id") == F.col("_id"))
+    if given == "text":
         rows = rows.select("doc_id", "quality", feature_column().alias("feature_values"))
     rows = rows.select("doc_id", "quality", "feature_values").orderBy("doc_id", "quality", "feature_values").toPandas()
     x = np.stack(rows["feature_values"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
@@ -247,4 +248,5 @@ def with_quality(documents: DataFrame, model: QualityModel, least: float = 0.5)
     def score(raws: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([features(raw) for raw in raws]).reshape(len(raws), -1)))
 
-    return documents.withColumn("_score", score(utf8())).filter(F.col("_score") >= least).select(documents.columns)
+    name = unused(documents, "quality_score")
+    return documents.withColumn(name, score(utf8())).filter(F.col(name) >= least).select(documents.columns)

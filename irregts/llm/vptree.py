@@ -114,7 +114,8 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _nearest(rows: pa.Table, queries: pa.Table, k: int, factor: float) -> pa.Table:
     """The best k of one shard for each query of one block."""
     schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    if not rows.num_rows or not queries.num_rows:
+    # A side without rows comes without columns.
+    if any("vector" not in t.column_names or not t.num_rows for t in (rows, queries)):
         return schema.empty_table()
     vectors, asked = _matrix(rows["vector"]), _matrix(queries["vector"])
     ids, own = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
