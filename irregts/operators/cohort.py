@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from irregts.functions.expr import Staging, stage
 from irregts.operators.layout import join_back
+from irregts.operators.variables import resolve_labels
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,23 @@ class CohortRules:
             raise ValueError("rules on stages need a staging")
 
 
+def rules_by_label(
+    key: DataFrame,
+    target: str,
+    skippable: Sequence[str] = (),
+    include: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    **limits,
+) -> CohortRules:
+    """Rules whose variables are given by label, resolved against the variable key."""
+    ids = resolve_labels(key, [target, *skippable, *include, *exclude])
+
+    def of(labels: Sequence[str]) -> tuple[int, ...]:
+        return tuple(ids[label] for label in labels)
+
+    return CohortRules(ids[target], of(skippable), of(include), of(exclude), **limits)
+
+
 def _is_in(column: str, ids: tuple[int, ...]) -> Column:
     return F.col(column).isin(*ids) if ids else F.lit(False)
 

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from irregts.functions.expr import gender_code, standardise, unstandardise
 from irregts.operators.layout import small_side
-from irregts.operators.normalize import fit_fold_stats
+from irregts.operators.normalize import fit_fold_stats, fit_stats
 from irregts.operators.sequences import sample_targets, time_token_id
 from irregts.operators.variables import resolve_labels
 from irregts.operators.windows import forecast_inputs
@@ -32,6 +32,9 @@ PRESETS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+_STATS = ("mean", "std")
+
+
 @dataclass(frozen=True)
 class ForecastTask:
     """What to forecast and what the inputs may hold, in variable ids."""
@@ -83,13 +86,31 @@ def forecast_task(
 
 @dataclass(frozen=True)
 class FitSettings:
-    """Settings of the linear forecaster. Its Huber loss needs an epsilon above 1."""
+    """Settings of the linear forecaster.
+
+    ``features`` names some of ``v<id>`` (latest value of a variable), ``gender``, ``age``
+    and ``time`` (of the target); all by default. The Huber loss needs an epsilon above 1.
+    With ``fit_on="train"`` both sides of a fold are normalised with the statistics of the
+    train side, with ``"own"`` each side with its own.
+    """
 
+    loss: str = "huber"
+    solver: str = "auto"
     epsilon: float = 1.35
     reg: float = 0.01
     iterations: int = 30
     tolerance: float = 1e-4
     with_train: bool = False
+    features: tuple[str, ...] | None = None
+    fit_on: str = "train"
+    parallel_fits: int = 4
+
+    def __post_init__(self) -> None:
+        if self.fit_on not in ("train", "own"):
+            raise ValueError(f"fit_on is 'train' or 'own', not {self.fit_on!r}")
+
+    def names(self, variables: Sequence[int]) -> list[str]:
+        return list(self.features or [*(f"v{v}" for v in variables), "gender", "age", "time"])
 
 
 def last_values(inputs: DataFrame, variables: Sequence[int]) -> DataFrame:
@@ -104,76 +125,161 @@ def last_values(inputs: DataFrame, variables: Sequence[int]) -> DataFrame:
     )
 
 
-def fit_predict_folds(
-    df: DataFrame,
-    task: ForecastTask,
-    variables: Sequence[int],
+def feature_table(df: DataFrame, task: ForecastTask, variables: Sequence[int]) -> DataFrame:
+    """One row per stay with a target: ``ind, y_true, gender, age, time, v<id>...``, unscaled."""
+    targets = materialise(sample_targets(df, task.target), "targets")
+    latest = last_values(task.inputs(df, targets), variables)
+    return targets.join(latest, "ind", "left").select(
+        "ind",
+        F.col("tgt_value").alias("y_true"),
+        gender_code(F.col("gender")).alias("gender"),
+        F.col("age").cast("double").alias("age"),
+        F.col("tgt_time").cast("double").alias("time"),
+        *(f"v{v}" for v in variables),
+    )
+
+
+def side_stats(stats: DataFrame, by: Sequence[str], target: int, variables: Sequence[int]) -> DataFrame:
+    """Statistics of :func:`fit_stats` as one row per group: ``<name>_mean`` and ``<name>_std``
+    of the target (``y``), of age, time and of each variable (``v<id>``)."""
+    of_item = {f"v{v}": F.col("itemid") == v for v in variables} | {"y": F.col("itemid") == target}
+    parts = [
+        F.max(F.when(is_item, F.col(f"value_{s}"))).alias(f"{name}_{s}") for name, is_item in of_item.items() for s in _STATS
+    ]
+    parts += [F.max(f"{c}_{s}").alias(f"{c}_{s}") for c in ("age", "time") for s in _STATS]
+    return stats.groupBy(*by).agg(*parts) if by else stats.agg(*parts)
+
+
+def _scaled(names: Sequence[str]) -> list[Column]:
+    """Normalised features ``x_<name>``; a missing value sits at its mean. The target is ``y``."""
+
+    def scale(name: str, source: str) -> Column:
+        return standardise(F.col(source), F.col(f"{name}_mean"), F.col(f"{name}_std"))
+
+    plain = [F.col(n) if n == "gender" else F.coalesce(scale(n, n), F.lit(0.0)) for n in names]
+    return [*(x.alias(f"x_{n}") for n, x in zip(names, plain)), scale("y", "y_true").alias("y")]
+
+
+def fold_features(
+    features: DataFrame, folds: DataFrame, stats: DataFrame, k: int, names: Sequence[str], fit_on: str = "train"
+) -> DataFrame:
+    """The features of every stay in each of k folds: ``ind, fold, set, y_true, x_..., y,
+    y_mean, y_std``. ``stats`` is :func:`side_stats` per fold and split."""
+    each = features.join(folds.withColumnRenamed("fold", "_own"), "ind")
+    each = each.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    each = each.withColumn("set", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train"))
+    if fit_on == "train":
+        joined = each.join(small_side(stats.filter(F.col("split") == "train").drop("split")), "fold")
+    else:
+        joined = each.join(small_side(stats.withColumnRenamed("split", "set")), ["fold", "set"])
+    return joined.select("ind", "fold", "set", "y_true", *_scaled(names), "y_mean", "y_std")
+
+
+def fit_models(
+    features: DataFrame,
     folds: DataFrame,
+    stats: DataFrame,
     k: int,
+    names: Sequence[str],
     settings: FitSettings = FitSettings(),
 ) -> DataFrame:
-    """Fit on the train side of each fold, forecast its test side.
+    """One row per fold: ``fold, names, coefficients, intercept`` and the statistics of the
+    train side, which is all that a later forecast needs.
 
-    Features are the latest value per variable, gender, age and target time, all
-    normalised with the statistics of the train side; a missing variable sits at its
-    mean. The scaled features, a row per stay and fold, are written once for all fits.
+    ``features`` and ``folds`` are tables that are cheap to read: each fold projects them
+    anew, and ``parallel_fits`` folds are fitted at a time.
     """
-    targets = materialise(sample_targets(df, task.target), "targets")
-    latest = last_values(task.inputs(df, targets), variables)
-    features = targets.join(latest, "ind", "left").join(folds.withColumnRenamed("fold", "_own"), "ind")
-
-    train = fit_fold_stats(df, folds, k).filter(F.col("split") == "train")
-    of_item = {v: F.col("itemid") == v for v in {*variables, task.target}}
-    per_fold = train.groupBy("fold").agg(
-        *(F.max(F.when(is_v, F.col(f"value_{s}"))).alias(f"_v{v}_{s}") for v, is_v in of_item.items() for s in ("mean", "std")),
-        *(F.max(f"{c}_{s}").alias(f"_{c}_{s}") for c in ("time", "age") for s in ("mean", "std")),
-    )
-
-    def scaled(column: str, stats: str):
-        return standardise(F.col(column).cast("double"), F.col(f"{stats}_mean"), F.col(f"{stats}_std"))
-
-    each_fold = features.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    of_target = f"_v{task.target}"
-    names = [f"_x{v}" for v in variables] + ["_gender", "_age", "_time"]
-    table = materialise(
-        each_fold.join(small_side(per_fold), "fold").select(
-            "ind",
-            "fold",
-            F.when(F.col("fold") == F.col("_own"), "test").otherwise("train").alias("set"),
-            F.col("tgt_value").alias("y_true"),
-            *(F.coalesce(scaled(f"v{v}", f"_v{v}"), F.lit(0.0)).alias(f"_x{v}") for v in variables),
-            gender_code(F.col("gender")).alias("_gender"),
-            F.coalesce(scaled("age", "_age"), F.lit(0.0)).alias("_age"),
-            scaled("tgt_time", "_time").alias("_time"),
-            scaled("tgt_value", of_target).alias("_y"),
-            F.col(f"{of_target}_mean").alias("mean"),
-            F.col(f"{of_target}_std").alias("std"),
-        ),
-        "features",
-        partition_by=("fold",),  # a fit reads the rows of its own fold only
-    )
-
-    assemble = VectorAssembler(inputCols=names, outputCol="_features")
+    ready = fold_features(features, folds, stats, k, names)  # on the train side both modes agree
+    assemble = VectorAssembler(inputCols=[f"x_{n}" for n in names], outputCol="_features")
     model = LinearRegression(
         featuresCol="_features",
-        labelCol="_y",
-        predictionCol="_p",
-        loss="huber",
-        epsilon=settings.epsilon,
+        labelCol="y",
+        loss=settings.loss,
+        solver=settings.solver,
         regParam=settings.reg,
         maxIter=settings.iterations,
         tol=settings.tolerance,
+        **({"epsilon": settings.epsilon} if settings.loss == "huber" else {}),
     )
-    outputs = []
-    for fold in range(k):
-        ready = assemble.transform(table.filter(F.col("fold") == fold))
-        test, fit = ready.filter(F.col("set") == "test"), ready.filter(F.col("set") == "train")
-        outputs.append(model.fit(fit).transform(ready if settings.with_train else test))
-    return reduce(DataFrame.unionByName, outputs).select(
-        "ind", "fold", "set", "y_true", unstandardise(F.col("_p"), F.col("mean"), F.col("std")).alias("y_pred")
+
+    def fit(fold: int) -> tuple[int, list[str], list[float], float]:
+        side = ready.filter((F.col("fold") == fold) & (F.col("set") == "train"))
+        fitted = model.fit(assemble.transform(side))
+        return fold, list(names), [float(x) for x in fitted.coefficients], float(fitted.intercept)
+
+    with ThreadPoolExecutor(settings.parallel_fits) as pool:
+        rows = list(pool.map(fit, range(k)))
+    schema = "fold int, names array<string>, coefficients array<double>, intercept double"
+    fits = features.sparkSession.createDataFrame(rows, schema)
+    return fits.join(stats.filter(F.col("split") == "train").drop("split"), "fold")
+
+
+def apply_models(scaled: DataFrame, models: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Forecasts ``ind, fold, set, y_true, y_pred`` for rows of :func:`fold_features`."""
+    fits = small_side(models.select("fold", "names", "coefficients", "intercept"))
+    problem = F.concat(F.lit("the model was fitted on other features: "), F.array_join("names", ", "))
+    same = F.col("names") == F.array(*(F.lit(n) for n in names))
+    weights = F.when(same, F.col("coefficients")).otherwise(F.raise_error(problem).cast("array<double>"))
+    products = F.zip_with(F.array(*(F.col(f"x_{n}") for n in names)), weights, lambda x, w: x * w)
+    raw = F.col("intercept") + F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    return scaled.join(fits, "fold").select(
+        "ind", "fold", "set", "y_true", unstandardise(raw, F.col("y_mean"), F.col("y_std")).alias("y_pred")
     )
 
 
+def prepare_folds(
+    df: DataFrame, task: ForecastTask, variables: Sequence[int], folds: DataFrame, k: int
+) -> tuple[DataFrame, DataFrame]:
+    """Written tables for all folds: unscaled features and statistics per fold and side."""
+    features = materialise(feature_table(df, task, variables), "features")
+    stats = side_stats(fit_fold_stats(df, folds, k), ["fold", "split"], task.target, variables)
+    return features, materialise(stats, "stats")
+
+
+def fit_predict_folds(
+    df: DataFrame,
+    task: ForecastTask,
+    variables: Sequence[int],
+    folds: DataFrame,
+    k: int,
+    settings: FitSettings = FitSettings(),
+    models_path: str | None = None,
+) -> DataFrame:
+    """Fit on the train side of each fold, forecast its test side (and its train side, if
+    set). The fitted models are saved at ``models_path`` for :func:`score_cohort`."""
+    names = settings.names(variables)
+    features, stats = prepare_folds(df, task, variables, folds, k)
+    models = fit_models(features, folds, stats, k, names, settings)
+    if models_path is not None:
+        models.write.parquet(models_path)
+        models = df.sparkSession.read.parquet(models_path)
+    scaled = fold_features(features, folds, stats, k, names, settings.fit_on)
+    return apply_models(scaled if settings.with_train else scaled.filter(F.col("set") == "test"), models, names)
+
+
+def score_cohort(
+    rows: DataFrame,
+    models: DataFrame,
+    fold: int,
+    task: ForecastTask,
+    variables: Sequence[int],
+    settings: FitSettings = FitSettings(),
+) -> DataFrame:
+    """Forecasts of a saved fold's model for other rows, as the set ``test``.
+
+    The rows are normalised with the saved statistics of the train side or, with
+    ``fit_on="own"``, with their own.
+    """
+    names = settings.names(variables)
+    features = feature_table(rows, task, variables).withColumns({"fold": F.lit(fold), "set": F.lit("test")})
+    if settings.fit_on == "own":
+        stats = side_stats(fit_stats(rows), [], task.target, variables).withColumn("fold", F.lit(fold))
+    else:
+        stats = models.filter(F.col("fold") == fold).drop("names", "coefficients", "intercept")
+    scaled = features.join(small_side(stats), "fold")
+    return apply_models(scaled.select("ind", "fold", "set", "y_true", *_scaled(names), "y_mean", "y_std"), models, names)
+
+
 Predictor = Callable[[dict[str, np.ndarray]], np.ndarray]
 
 
@@ -181,15 +287,29 @@ def score_batches(batches: DataFrame, predict: Predictor) -> DataFrame:
     """Run ``predict`` on each padded batch.
 
     ``predict`` gets arrays ``demog, values, times, variables, mask`` with one row per
-    sample and returns one forecast, or one row of quantile forecasts, per sample. A
-    task holds one batch at a time. The stay id travels with its forecast.
+    sample and returns one forecast, or one row of quantile forecasts, per sample. Batches
+    stay together in sorted partitions, and a task walks through many of them, holding
+    an Arrow chunk and the batch that its end cuts. The stay id travels with its forecast.
     """
     columns = ("demog", "values", "times", "variables", "mask")
 
     def score(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("row_in_batch")
         out = np.asarray(predict({c: np.stack(batch[c].to_numpy()) for c in columns}), dtype="float64")
         out = out.reshape(len(batch), -1)
         return pd.DataFrame({"ind": batch["ind"], "y_true": batch["tgt_value"], "q_pred": list(out)})
 
-    return batches.groupBy("batch_id").applyInPandas(score, "ind long, y_true double, q_pred array<double>")
+    def walk(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for chunk in chunks:
+            rows = chunk if held is None else pd.concat([held, chunk], ignore_index=True)
+            ids = rows["batch_id"].to_numpy()
+            starts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist()]
+            done = [score(rows.iloc[a:b]) for a, b in zip(starts, starts[1:])]
+            held = rows.iloc[starts[-1] :] if len(rows) else None
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held is not None:
+            yield score(held)
+
+    placed = batches.repartition("batch_id").sortWithinPartitions("batch_id", "row_in_batch")
+    return placed.mapInPandas(walk, "ind long, y_true double, q_pred array<double>")

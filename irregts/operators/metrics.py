@@ -116,8 +116,16 @@ def class_scores(predictions: DataFrame, staging: Staging, by: Sequence[str] = G
 
 
 def confusion_matrix(predictions: DataFrame, staging: Staging, by: Sequence[str] = GROUP) -> DataFrame:
-    """Share of all rows per pair of classes; pairs of occurring classes that never met are 0."""
+    """Share of all rows per pair of classes.
+
+    With declared bounds, pairs of occurring classes that never met are 0. A callable
+    staging may make any number of classes, so only pairs that met are given.
+    """
     counts = confusion_counts(predictions, staging, by)
+    if callable(staging):
+        totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
+        share = (F.col("n") / F.col("_total")).alias("share")
+        return counts.join(totals, list(by)).select(*by, "target_class", "prediction_class", share)
     # At most (number of stages) ** 2 rows per group from here on.
     classes = F.array_sort(F.array_union(F.collect_set("target_class"), F.collect_set("prediction_class")))
     dense = (
@@ -187,8 +195,10 @@ def huber_loss(predictions: DataFrame, delta: float = 1.0, by: Sequence[str] = G
 
 
 def quantile_levels(n: int = 3, manual: Sequence[float] | None = None) -> list[float]:
-    """Given levels, or n evenly spaced ones."""
-    return list(manual) if manual is not None else even_quantiles(n)
+    """Given levels, the usual three, or n evenly spaced ones."""
+    if manual is not None:
+        return list(manual)
+    return list(THREE_QUANTILES) if n == len(THREE_QUANTILES) else even_quantiles(n)
 
 
 def pinball_loss(

@@ -247,6 +247,65 @@ def _scores(text: str, by: str = _GROUP) -> str:
     return text.replace("{by}", by)
 
 
+def _forecast_rows(name: str, source: str) -> str:
+    """Per stay of ``source`` the target observation and the latest values of two variables."""
+    latest = ", ".join(f"(max({{'t': m.time, 'v': m.value}}) filter (where m.itemid = {i})).v as v{i}" for i in (2, 4))
+    return f"""
+{name}_tgt as (
+  select ind, max(time) as tgt_time, (max({{'t': time, 'v': value}})).v as y_true, min(gender) as gender, min(age) as age
+  from {source} where itemid = 0 group by ind),
+{name}_seen as (
+  select m.ind, {latest} from {source} m join {name}_tgt t on t.ind = m.ind
+  where m.time < t.tgt_time and m.itemid <> 1 group by m.ind),
+{name} as (select t.*, v2, v4 from {name}_tgt t left join {name}_seen s on s.ind = t.ind)"""
+
+
+def _stats(by: str) -> str:
+    """Means and deviations that scale the features, as columns."""
+    parts = [
+        f"{f}(value) filter (where itemid = {i}) as {n}_{s}"
+        for n, i in (("y", 0), ("v2", 2), ("v4", 4)) for f, s in (("avg", "m"), ("stddev_pop", "s"))
+    ]
+    parts += [f"{f}({c}) as {c}_{s}" for c in ("time", "age") for f, s in (("avg", "m"), ("stddev_pop", "s"))]
+    return ", ".join([*([by] if by else []), *parts])
+
+
+def _x(name: str, column: str | None = None) -> str:
+    return f"case when {name}_s <> 0 then ({column or name} - {name}_m) / {name}_s else {column or name} - {name}_m end"
+
+
+def _cv_features(side: str) -> str:
+    return _sql(
+        f"""
+select f.ind, r.fold::integer as fold, case when r.fold = o.fold then 'test' else 'train' end as "set", y_true,
+       round(coalesce({_x('v2')}, 0), 6) as x_v2, round(coalesce({_x('v4')}, 0), 6) as x_v4,
+       case gender when 'M' then -1.0 when 'F' then 1.0 else 0.0 end::double as x_gender,
+       round({_x('age', 'f.age')}, 6) as x_age, round({_x('time', 'tgt_time')}, 6) as x_time,
+       round({_x('y', 'y_true')}, 6) as y
+from feat f join fold_of o on o.ind = f.ind cross join (select unnest(range(5)) as fold) r
+join side_stats s on s.of_fold = r.fold and s.split = {side}""",
+        _FOLD_ROWS
+        + f""",
+side_stats as (select {_stats('of_fold, split')} from fold_rows group by of_fold, split),"""
+        + _forecast_rows("feat", "fx_measures"),
+    )
+
+
+_FITTED = f"""
+train_x as (
+  select r.fold, coalesce({_x('v2')}, 0) as x, {_x('y', 'y_true')} as y
+  from feat f join fold_of o on o.ind = f.ind cross join (select unnest(range(5)) as fold) r
+  join side_stats s on s.of_fold = r.fold and s.split = 'train' where r.fold <> o.fold),
+fitted as (select fold, regr_slope(y, x) as slope, regr_intercept(y, x) as icept from train_x group by fold)"""
+
+
+def _scored(name: str, stats: str) -> str:
+    """Forecasts of the other cohort with given statistics."""
+    return f"""
+{name} as (
+  select y_true, (slope * coalesce({_x('v2')}, 0) + icept) * y_s + y_m as y_pred from b_feat, model, {stats})"""
+
+
 ORACLE: dict[str, str] = {
     "src_measurements": _sql("select * replace (ascii(itemid)::bigint as itemid) from fx_raw"),
     "src_datetime_values": _sql("""
@@ -430,8 +489,48 @@ ranks as (select ind, label, row_number() over (partition by label order by md5(
         _cohort("a", more=_STAGED) + "," + _cohort("b", target=3, history=48),
     ),
     "decoupled_eval": _sql(
-        "select * from b where ind in (select ind from side where split = 'test')",
-        _cohort("a") + "," + _cohort("b", target=3, history=48) + "," + _holdout("a"),
+        f"""
+select 0 as fold, 'test' as "set", fit_on, metric, round(value, 6) as value from (
+  select fit_on, metric, value from (
+    select 'train' as fit_on, avg(abs(y_true - y_pred)) as mae, {_R2} as r2 from by_train union all
+    select 'own', avg(abs(y_true - y_pred)), {_R2} from by_own)
+  unpivot (value for metric in (mae, r2)))""",
+        _cohort("a")
+        + ","
+        + _cohort("b", target=3, history=48)
+        + ","
+        + _holdout("a")
+        + ","
+        + _forecast_rows("a_feat", "a")
+        + f""",
+a_train as (select a.* from a join side on side.ind = a.ind where split = 'train'),
+a_stats as (select {_stats('')} from a_train),
+model as (
+  select regr_slope(y, x) as slope, regr_intercept(y, x) as icept from (
+    select coalesce({_x('v2')}, 0) as x, {_x('y', 'y_true')} as y from a_feat, a_stats
+    where ind in (select ind from side where split = 'train'))),
+b_test as (select * from b where ind in (select ind from side where split = 'test')),
+b_stats as (select {_stats('')} from b_test),"""
+        + _forecast_rows("b_feat", "b_test")
+        + ","
+        + _scored("by_train", "a_stats")
+        + ","
+        + _scored("by_own", "b_stats"),
+    ),
+    "cv_features": _cv_features("'train'"),
+    "cv_features_own": _cv_features("case when r.fold = o.fold then 'test' else 'train' end"),
+    "cv_fit_predict": _sql(
+        f"""
+select f.ind, o.fold::integer as fold, 'test' as "set", y_true,
+       round((slope * coalesce({_x('v2')}, 0) + icept) * y_s + y_m, 6) as y_pred
+from feat f join fold_of o on o.ind = f.ind join fitted on fitted.fold = o.fold
+join side_stats s on s.of_fold = o.fold and s.split = 'train'""",
+        _FOLD_ROWS
+        + f""",
+side_stats as (select {_stats('of_fold, split')} from fold_rows group by of_fold, split),"""
+        + _forecast_rows("feat", "fx_measures")
+        + ","
+        + _FITTED,
     ),
     "norm_stats_standard": _sql(
         """
@@ -591,7 +690,7 @@ select {_GROUP}, q::double as q, round(avg(l), 10) as mean_loss, round(sum(l), 5
 group by {_GROUP}, q"""),
     "score_batches": _sql(
         """
-select s.ind, max(t.tgt_value) as y_true, round(sum("values") / count(*), 6) as mean_pred, min("values") as low_pred,
+select s.ind, max(t.tgt_value) as y_true, round(sum("values") / count(*), 10) as mean_pred, min("values") as low_pred,
        max("values") as high_pred
 from samples s join tgt t on t.ind = s.ind group by s.ind""",
         _SAMPLES,

@@ -304,6 +304,10 @@ def _profile_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("t_first", F.col("t_first").cast("long")).withColumn("t_last", F.col("t_last").cast("long"))
 
 
+# A forecaster that SQL can follow: least squares on the latest value of one variable.
+ONE_FEATURE = fc.FitSettings(loss="squaredError", solver="normal", reg=0.0, features=("v2",))
+ALL = range(len(v.LABELS))
+
 STRICT = replace(v.BASE_RULES, pred_horizon=12, pred_history=24)
 LISTED = replace(v.BASE_RULES, target=1, skippable=(1,), include=(2, 3), exclude=(5,))
 CAPPED = replace(STRICT, max_hours=168)
@@ -348,8 +352,8 @@ def usable_stays(spark, d):
     key = va.variable_key(rows, v.catalogue(spark))
     timed = st.add_relative_time(st.join_admissions(va.index_variables(rows, key), v.admissions(spark, d)))
     sized = st.filter_stays(timed.withColumnRenamed("stay_id", "ind"), 10, 30_000)
-    target = va.resolve_labels(key, ["purchase"])["purchase"]
-    return co.stay_labels(sized, replace(v.BASE_RULES, target=target, skippable=(target,)))
+    rules = co.rules_by_label(key, "purchase", skippable=["purchase"], staging=v.STAGES)
+    return co.stay_labels(sized, rules)
 
 
 @query
@@ -421,8 +425,20 @@ def stay_intersection(spark, d):
 
 @query
 def decoupled_eval(spark, d):
-    splits = sp.holdout(v.cohort(spark, d), 1)
-    return stages.decoupled_rows(co.cull_cohort(v.measures(spark, d), OTHER), splits, 0)
+    """A model of one cohort, saved, read back and scored on the test stays of another."""
+    rows = materialise(v.cohort(spark, d), "cohort")
+    splits = sp.holdout(rows, 1)
+    folds = splits.select("ind", F.when(F.col("split") == "test", 0).otherwise(1).alias("fold"))
+    task, path = _task(spark, d), scratch_path(spark, "models")
+    fc.fit_predict_folds(rows, task, ALL, materialise(folds, "folds"), 1, ONE_FEATURE, path)
+    models = spark.read.parquet(path)
+    other = co.cull_cohort(v.measures(spark, d), OTHER)
+    tables = []
+    for fit_on in ("train", "own"):
+        settings = replace(ONE_FEATURE, fit_on=fit_on)
+        _, scores = stages.evaluate_cohort(other, splits, 0, models, task, ALL, settings=settings)
+        tables.append(scores.filter("metric in ('mae', 'r2')").withColumn("fit_on", F.lit(fit_on)))
+    return rounded(tables[0].unionByName(tables[1]), ["value"], 6)
 
 
 def _fold_stats(spark, d, mode) -> DataFrame:
@@ -697,7 +713,7 @@ def loss_huber(spark, d):
 
 @query
 def loss_pinball(spark, d):
-    losses = me.pinball_loss(v.predictions(spark, d), me.THREE_QUANTILES)
+    losses = me.pinball_loss(v.predictions(spark, d), me.quantile_levels(3))
     return rounded(rounded(losses, ["mean_loss"], 10), ["sum_loss"], 5)
 
 
@@ -707,8 +723,26 @@ def loss_pinball(spark, d):
 @query
 def cv_fit_predict(spark, d):
     m = v.measures(spark, d)
-    task = _task(spark, d)
-    return fc.fit_predict_folds(m, task, range(len(v.LABELS)), sp.k_folds(m, K, 1), K)
+    folds = materialise(sp.k_folds(m, K, 1), "folds")
+    return rounded(fc.fit_predict_folds(m, _task(spark, d), ALL, folds, K, ONE_FEATURE), ["y_pred"])
+
+
+def _cv_features(spark, d, fit_on: str) -> DataFrame:
+    m, names = v.measures(spark, d), ["v2", "v4", "gender", "age", "time"]
+    folds = materialise(sp.k_folds(m, K, 1), "folds")
+    features, stats = fc.prepare_folds(m, _task(spark, d), ALL, folds, K)
+    table = fc.fold_features(features, folds, stats, K, names, fit_on).drop("y_mean", "y_std")
+    return rounded(table, [f"x_{n}" for n in names] + ["y"])
+
+
+@query
+def cv_features(spark, d):
+    return _cv_features(spark, d, "train")
+
+
+@query
+def cv_features_own(spark, d):
+    return _cv_features(spark, d, "own")
 
 
 def mean_of_inputs(batch: dict[str, np.ndarray]) -> np.ndarray:
@@ -728,7 +762,7 @@ def score_batches(spark, d):
     return scored.select(
         "ind",
         "y_true",
-        F.round(F.col("q_pred")[0], 6).alias("mean_pred"),
+        F.round(F.col("q_pred")[0], 10).alias("mean_pred"),
         F.col("q_pred")[1].alias("low_pred"),
         F.col("q_pred")[2].alias("high_pred"),
     )

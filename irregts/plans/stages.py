@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from irregts.functions.expr import Staging, whole_minutes
 from irregts.operators.cohort import CohortRules, kept_stays, labels_of_kept, rows_of_kept
-from irregts.operators.forecast import FitSettings, ForecastTask, fit_predict_folds
+from irregts.operators.forecast import FitSettings, ForecastTask, fit_predict_folds, score_cohort
 from irregts.operators.layout import join_back, small_table
 from irregts.operators.metrics import metrics_by_fold, score_table
 from irregts.operators.split import holdout, k_folds, stratified_holdout
@@ -150,14 +150,35 @@ def cross_validate(
     labels: DataFrame | None = None,
     staging: Staging | None = None,
     settings: FitSettings = FitSettings(),
+    models_path: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Folds, forecasts of every fold's test stays (and train stays, if set) and scores."""
+    """Folds, forecasts of every fold's test stays (and train stays, if set) and scores.
+
+    With ``models_path`` the fitted models are saved there for :func:`evaluate_cohort`.
+    """
     folds = materialise(choose_folds(measures, k, seed, labels), "folds")
-    fitted = fit_predict_folds(measures, task, variables, folds, max(k, 1), settings)
+    fitted = fit_predict_folds(measures, task, variables, folds, max(k, 1), settings, models_path)
     predictions = materialise(fitted, "predictions")
     return folds, predictions, evaluate(predictions, range(max(k, 1)), staging)
 
 
+def evaluate_cohort(
+    other_cohort: DataFrame,
+    splits: DataFrame,
+    fold: int,
+    models: DataFrame,
+    task: ForecastTask,
+    variables: Sequence[int],
+    staging: Staging | None = None,
+    settings: FitSettings = FitSettings(),
+) -> tuple[DataFrame, DataFrame]:
+    """Forecasts and scores of a saved fold on the rows that another cohort has of the
+    fold's test stays."""
+    rows = materialise(decoupled_rows(other_cohort, splits, fold), "other_cohort")
+    predictions = materialise(score_cohort(rows, models, fold, task, variables, settings), "predictions")
+    return predictions, score_table(predictions, staging)
+
+
 def decoupled_rows(other_cohort: DataFrame, splits: DataFrame, fold: int) -> DataFrame:
     """Rows of another cohort for the saved test stays of a fold; none is an error."""
     test = splits.filter((F.col("fold") == fold) & (F.col("split") == "test"))

@@ -183,6 +183,52 @@ def test_cross_validated_forecasts(spark):
     assert table["test", "mae"] < 0.6 and table["train", "mae"] < 0.6 and table["test", "acc"] > 0.9
 
 
+def test_saved_models_score_another_cohort(spark, tmp_path):
+    """The other cohort's levels are ten higher; only the saved statistics know that."""
+    task, stays = fc.ForecastTask(target=0, time_token=2), linear_stays(spark)
+    settings = fc.FitSettings(loss="squaredError", reg=0.0, features=("v1",))
+    path = str(tmp_path / "models")
+    folds, predictions, _ = stages.cross_validate(stays, task, [0, 1], k=2, settings=settings, models_path=path)
+    models = spark.read.parquet(path)
+    assert {(r["fold"], tuple(r["names"])) for r in models.collect()} == {(0, ("v1",)), (1, ("v1",))}
+    again = fc.score_cohort(stays.join(folds.filter("fold = 1").select("ind"), "ind"), models, 1, task, [0, 1], settings)
+    first = {r["ind"]: r["y_pred"] for r in predictions.filter("fold = 1").collect()}
+    assert {r["ind"]: pytest.approx(r["y_pred"]) for r in again.collect()} == first
+
+    shift = F.when(F.col("itemid") == 1, F.col("value") + 10).otherwise(F.col("value") + 20)
+    higher = stays.withColumn("value", shift)
+    splits = folds.select("ind", F.lit(0).alias("fold"), F.when(F.col("fold") == 0, "test").otherwise("train").alias("split"))
+    errors = {}
+    for fit_on in ("train", "own"):
+        chosen = fc.FitSettings(loss="squaredError", reg=0.0, features=("v1",), fit_on=fit_on)
+        scored, table = stages.evaluate_cohort(higher, splits, 0, models, task, [0, 1], settings=chosen)
+        assert scored.count() == 40
+        errors[fit_on] = {r["metric"]: r["value"] for r in table.collect()}["mae"]
+    assert errors["train"] < 0.6 and errors["own"] < 1.5
+    with pytest.raises(Exception, match="fitted on other features"):
+        fc.score_cohort(stays, models, 0, task, [0, 1], fc.FitSettings(features=("age",))).collect()
+    with pytest.raises(ValueError, match="fit_on"):
+        fc.FitSettings(fit_on="both")
+
+
+def test_long_batches_equal_padded_ones(data):
+    _, df = data
+    targets = se.sample_targets(df, 0)
+    inputs = wi.forecast_inputs(df, 0, targets=targets)
+    samples = se.sequences(inputs, targets, 9)
+    batches = se.batch_assignment(samples, 4)
+    padded = se.padded_batches(samples, batches).collect()
+    want = sorted(
+        (r["ind"], r["batch_id"], r["row_in_batch"], i, *cell)
+        for r in padded for i, cell in enumerate(zip(r["values"], r["times"], r["variables"], r["mask"]))
+    )
+    long = se.long_batches(se.sequence_rows(inputs, targets, 9), batches)
+    names = ["ind", "batch_id", "row_in_batch", "pos", "value", "time", "variable", "mask"]
+    assert sorted(tuple(r) for r in long.select(*names).collect()) == want
+    used = sum(sum(r["mask"]) for r in padded)
+    assert used == inputs.count() + targets.count()  # every row and every token
+
+
 def test_hold_out_forecasts(spark):
     task = fc.ForecastTask(target=0, time_token=2)
     stays = linear_stays(spark)
