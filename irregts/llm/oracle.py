@@ -108,4 +108,19 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from docs left join hits using (row) left join named using (row)
 """
 
-ORACLE = {"op2_decontamination": OP2, "op5_sharding": OP5, "op10_preferences": OP10}
+_DOT = "list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]))"
+
+OP6 = f"""
+with vectors as (
+  select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm
+  from (select vec_id, embedding::double[] as e from embeddings where embedding is not null)
+  where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0),
+scored as (
+  select a.vec_id as query_id, b.vec_id, {_DOT} / (a.norm * b.norm) as score
+  from vectors a join vectors b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.vec_id % 50 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from scored qualify rank <= 5
+"""
+
+ORACLE = {"op6_neighbours": OP6, "op2_decontamination": OP2, "op5_sharding": OP5, "op10_preferences": OP10}
