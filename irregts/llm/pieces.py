@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ SEPARATOR = "\x01"
 #: Bytes of text that a worker gathers before it encodes them, over whole documents.
 GROUP_BYTES = 8 << 20
 #: Characters of a slice of a text that is encoded whole; distinct pieces that a worker keeps.
-SLICE, CACHE = 1 << 20, 1_200_000
+SLICE, CACHE = 1 << 20, 1_000_000
 
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -43,7 +44,8 @@ class PieceEncoder:
     def __init__(self, encode: Encode, whole: Callable[[str], np.ndarray], special: str) -> None:
         self.encode, self.whole, self.special = encode, whole, special
         self.place: dict[str, int] = {}
-        self.ids, self.counts, self.starts, self.used = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids = np.zeros(0, np.int32)
+        self.counts, self.starts, self.used = (np.zeros(0, np.int64) for _ in range(3))
 
     def is_plain(self, piece: str) -> bool:
         """Whether a piece can be encoded by itself wherever it was cut out."""
@@ -61,19 +63,28 @@ class PieceEncoder:
     def _places(self, pieces: list[str], times: np.ndarray) -> np.ndarray:
         """Where the encodings of pieces are; -1 for one that is not plain. ``times``: how
         often each was met."""
-        if len(self.place) + len(pieces) > CACHE:
+        at = self._known(pieces)
+        missing = np.flatnonzero(at < 0)
+        if len(self.place) + len(missing) > CACHE:
             self._forget()
-        new = [p for p in pieces if p not in self.place and self.is_plain(p)]
-        if new:
+            at = self._known(pieces)
+            missing = np.flatnonzero(at < 0)
+        plain = [i for i in missing.tolist() if self.is_plain(pieces[i])]
+        if plain:
+            new = [pieces[i] for i in plain]
             ids, counts = self.encode(new)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+            at[plain] = np.arange(len(self.place), len(self.place) + len(new))
+            self.place.update(zip(new, at[plain].tolist()))
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.counts = np.concatenate([self.counts, counts])
             self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         self.starts = np.cumsum(self.counts) - self.counts
-        at = np.fromiter((self.place.get(p, -1) for p in pieces), np.int64, len(pieces))
         self.used[at[at >= 0]] += times[at >= 0]
         return at
 
+    def _known(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+
     def texts(self, raws: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text (int32), and the number of ids of each text."""
         texts = raws.cast(pa.string())
@@ -84,21 +95,26 @@ class PieceEncoder:
         coded = cut.flatten().dictionary_encode()
         del cut
         codes = coded.indices.to_numpy()
-        at = self._places(coded.dictionary.to_pylist(), np.bincount(codes, minlength=len(coded.dictionary)))[codes]
-        owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = self._places(pieces, np.bincount(codes, minlength=len(pieces)))[codes]
+        del pieces
         odd = np.array(pc.match_substring(texts, SEPARATOR).to_pylist(), bool)
-        odd[owner[at < 0]] = True
-        at = at[~odd[owner]]
-        sizes = self.counts[at]
+        strange = np.flatnonzero(at < 0)
+        odd[np.searchsorted(ends, strange, side="right")] = True
+        sizes = np.append(self.counts, 0)[at]  # the last for pieces without a place
+        if odd.any():
+            sizes[np.repeat(odd, np.diff(ends, prepend=0))] = 0
         upto = np.cumsum(sizes)
         total = int(upto[-1]) if len(upto) else 0
-        ids = self.ids[np.repeat(self.starts[at] - (upto - sizes), sizes) + np.arange(total)].astype(np.int32)
-        counts = np.bincount(owner[~odd[owner]], sizes, len(texts)).astype(np.int64)
+        begin = np.append(self.starts, 0)[at] - (upto - sizes)
+        ids = self.ids[np.repeat(begin, sizes) + np.arange(total)]
+        counts = np.diff(upto[ends - 1], prepend=0) if len(texts) else np.zeros(0, np.int64)
         if not odd.any():
             return ids, counts
+        regular = np.cumsum(counts)  # ids of the other texts up to here
         parts, before = [], 0
         for k in np.flatnonzero(odd).tolist():
-            ahead = int(counts[:k][~odd[:k]].sum())
+            ahead = int(regular[k])
             own = [self.whole(s).astype(np.int32) for s in slices(texts[k].as_py()) if s]
             parts += [ids[before:ahead], *own]
             counts[k], before = sum(map(len, own)), ahead

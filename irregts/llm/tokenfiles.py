@@ -42,6 +42,8 @@ from irregts.llm.pieces import PieceEncoder, grouped
 END = 0
 #: Rounds of a grammar, rules of a round, and occurrences that make a pair frequent.
 ROUNDS, ROUND_RULES, FREQUENT = 3, 4096, 16
+#: Bytes of text of a shard; distinct pieces that go through the library as one text.
+SHARD_BYTES, LINES = 4 << 20, 2000
 _HASH_BITS = 20
 
 
@@ -56,6 +58,7 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        (self.line_end,) = self._ids("\n").tolist()
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.texts = PieceEncoder(self._pieces, self._ids, specials[0] if specials else "\x01").texts
 
@@ -63,9 +66,20 @@ class LibraryEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        return np.fromiter((i for ids in encoded for i in ids), np.int64, int(counts.sum())), counts
+        """Ids of pieces. Many go through the library as the lines of one text: a line end
+        between two pieces is a word of its own, so it tells them apart again."""
+        lines = [p for p in pieces if p != "\n"]
+        texts = ["\n".join(lines[i : i + LINES]) + "\n" for i in range(0, len(lines), LINES)]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.array(e.ids, np.int64) for e in encoded)])
+        ends = np.flatnonzero(ids == self.line_end)
+        counts = np.diff(ends, prepend=-1) - 1
+        ids = ids[ids != self.line_end]
+        if len(lines) < len(pieces):
+            at = pieces.index("\n")
+            ids = np.insert(ids, counts[:at].sum(), self.line_end)
+            counts = np.insert(counts, at, 1)
+        return ids, counts
 
 
 @lru_cache(maxsize=2)
@@ -122,13 +136,20 @@ def expand(symbols: np.ndarray, first_rule: int, ids: np.ndarray, counts: np.nda
     return out, sizes
 
 
-def _frequent_pairs(keys: np.ndarray, least: int) -> np.ndarray:
-    """Pairs that occur ``least`` times or more, most frequent first. Hashed counts rule
-    most of the others out before the exact ones are made."""
+def _slots(keys: np.ndarray) -> np.ndarray:
     bits = 8 * keys.dtype.itemsize
-    slots = (keys * keys.dtype.type(0x9E3779B97F4A7C15 >> (64 - bits) | 1)) >> keys.dtype.type(bits - _HASH_BITS)
-    hashed = np.bincount(slots, minlength=1 << _HASH_BITS)
-    values, counts = np.unique(keys[(hashed >= least)[slots]], return_counts=True)
+    return (keys * keys.dtype.type(0x9E3779B97F4A7C15 >> (64 - bits) | 1)) >> keys.dtype.type(bits - _HASH_BITS)
+
+
+def _frequent_pairs(keys: np.ndarray, slots: np.ndarray, edges: np.ndarray, least: int) -> np.ndarray:
+    """Pairs that occur ``least`` times or more, most frequent first. Hashed counts rule
+    most of the others out before the exact ones are made. ``edges``: where a pair spans
+    two documents and does not count."""
+    size = 1 << _HASH_BITS
+    heavy = np.bincount(slots, minlength=size) - np.bincount(slots[edges], minlength=size) >= least
+    counted = heavy[slots]
+    counted[edges] = False
+    values, counts = np.unique(keys[counted], return_counts=True)
     values, counts = values[counts >= least], counts[counts >= least]
     return values[np.lexsort((values, -counts))]
 
@@ -144,30 +165,34 @@ def re_pair(ids: np.ndarray, n_tokens: np.ndarray, first_rule: int, symbols: int
     for _ in range(ROUNDS):
         room = min(ROUND_RULES, symbols - first_rule - len(rules))
         keys = sequence[:-1] << kind(shift) | sequence[1:]
-        inside = ~last[:-1]
-        values = _frequent_pairs(keys[inside], FREQUENT).astype(np.int64)
+        slots, edges = _slots(keys), np.flatnonzero(last[:-1])
+        values = _frequent_pairs(keys, slots, edges, FREQUENT)
         lefts: set[int] = set()
         rights: set[int] = set()
+        taken: set[int] = set()
         chosen: list[tuple[int, int]] = []
-        for left, right in zip((values >> shift).tolist(), (values & ((1 << shift) - 1)).tolist()):
+        # A pair whose slot is taken waits for the next round.
+        pairs = values.astype(np.int64)
+        offers = zip((pairs >> shift).tolist(), (pairs & ((1 << shift) - 1)).tolist(), _slots(values).tolist())
+        for left, right, slot in offers:
             if len(chosen) >= room:
                 break
-            if left != right and left not in rights and right not in lefts:
+            if left != right and left not in rights and right not in lefts and slot not in taken:
                 lefts.add(left)
                 rights.add(right)
+                taken.add(slot)
                 chosen.append((left, right))
         if not chosen:
             break
         pairs = np.array(chosen, np.int64)
         wanted = (pairs[:, 0] << shift | pairs[:, 1]).astype(kind)
-        order = np.argsort(wanted)
-        is_left, is_right = (np.zeros(first_rule + len(rules) + 1, bool) for _ in range(2))
-        is_left[pairs[:, 0]], is_right[pairs[:, 1]] = True, True
-        may = np.flatnonzero(is_left[sequence[:-1]] & is_right[sequence[1:]] & inside)
-        at = np.minimum(np.searchsorted(wanted[order], keys[may]), len(order) - 1)
-        met = wanted[order][at] == keys[may]
-        place = may[met]
-        sequence[place] = first_rule + len(rules) + order[at[met]]
+        rule_of = np.full(1 << _HASH_BITS, -1, np.int16)
+        rule_of[_slots(wanted)] = np.arange(len(wanted))
+        rule = rule_of[slots]
+        rule[edges] = -1
+        place = np.flatnonzero(rule >= 0)
+        place = place[wanted[rule[place]] == keys[place]]
+        sequence[place] = first_rule + len(rules) + rule[place].astype(kind)
         last[place] = last[place + 1]
         stays = np.ones(len(sequence), bool)
         stays[place + 1] = False
@@ -180,7 +205,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) ->
     part = TaskContext.get().partitionId()
     encoder = library(path)
     width = 2 if encoder.size < 1 << 16 else 4
-    for shard, batch in enumerate(grouped(batches)):
+    for shard, batch in enumerate(grouped(batches, least=SHARD_BYTES)):
         ids, counts = encoder.texts(batch.column("raw"))
         ids = np.insert(ids, np.cumsum(counts), END)
         counts = counts + 1
@@ -252,7 +277,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before it. One sum per shard and one per part
     carry the counts over.
     """
-    small_batches(spark, 1)
+    small_batches(spark, 8)  # a row is a shard
     files = spark.read.parquet(path)
     element = files.schema["doc_id"].dataType.elementType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -287,6 +312,6 @@ def _one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_ids(spark: SparkSession, path: str, doc_id: object) -> DataFrame:
     """The ids of the documents with one id, expanding nothing else of their shards."""
-    small_batches(spark, 1)
+    small_batches(spark, 8)
     files = spark.read.parquet(path).withColumn("place", F.array_position("doc_id", F.lit(doc_id)).cast("int") - 1)
     return files.filter("place >= 0").mapInArrow(_one, "ids array<bigint>")

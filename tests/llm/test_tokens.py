@@ -64,6 +64,13 @@ def test_small_slices_and_a_small_memory_change_nothing(library, monkeypatch):
             assert ids.tolist() == [i for x in want for i in x]
 
 
+def test_texts_that_must_stay_whole_come_first(library):
+    texts = ["a\tb", "", "x   y", "<|endoftext|>"]
+    ids, counts = bpe.BpeCodec(VOCABULARY).encoder.texts(pa.array([t.encode() for t in texts], pa.binary()))
+    want = expected(library, texts)
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_pair_index_merges_runs_from_the_left(library):
     words = [c * n for c in ("a", "=", "-", "z") for n in range(1, 20)]
     ids, counts = bpe.PairIndex(bpe.codec(VOCABULARY).vocabulary, [w.encode() for w in words]).encode()
