@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 
 SEPARATOR = "\x01"
 #: Bytes of text that a worker gathers before it encodes them, over whole documents.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Characters of a slice of a text that is encoded whole; distinct pieces that a worker keeps.
-SLICE, CACHE = 1 << 20, 1_000_000
+SLICE, CACHE = 1 << 20, 500_000
 
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -41,8 +41,8 @@ def slices(text: str) -> Iterator[str]:
 class PieceEncoder:
     """Encodes texts piece by piece, remembering pieces up to a bound."""
 
-    def __init__(self, encode: Encode, whole: Callable[[str], np.ndarray], special: str) -> None:
-        self.encode, self.whole, self.special = encode, whole, special
+    def __init__(self, encode: Encode, whole: Callable[[str], np.ndarray], special: str, keep: int = CACHE) -> None:
+        self.encode, self.whole, self.special, self.keep = encode, whole, special, keep
         self.place: dict[str, int] = {}
         self.ids = np.zeros(0, np.int32)
         self.counts, self.starts, self.used = (np.zeros(0, np.int64) for _ in range(3))
@@ -65,7 +65,7 @@ class PieceEncoder:
         often each was met."""
         at = self._known(pieces)
         missing = np.flatnonzero(at < 0)
-        if len(self.place) + len(missing) > CACHE:
+        if len(self.place) + len(missing) > self.keep:
             self._forget()
             at = self._known(pieces)
             missing = np.flatnonzero(at < 0)

@@ -42,8 +42,9 @@ from irregts.llm.pieces import PieceEncoder, grouped
 END = 0
 #: Rounds of a grammar, rules of a round, and occurrences that make a pair frequent.
 ROUNDS, ROUND_RULES, FREQUENT = 3, 4096, 16
-#: Bytes of text of a shard; distinct pieces that go through the library as one text.
-SHARD_BYTES, LINES = 4 << 20, 2000
+#: Bytes of text of a shard; distinct pieces that go through the library as one text, and
+#: that a worker keeps.
+SHARD_BYTES, LINES, KEEP = 6 << 20, 2000, 1_100_000
 _HASH_BITS = 20
 
 
@@ -60,7 +61,7 @@ class LibraryEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         (self.line_end,) = self._ids("\n").tolist()
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.texts = PieceEncoder(self._pieces, self._ids, specials[0] if specials else "\x01").texts
+        self.texts = PieceEncoder(self._pieces, self._ids, specials[0] if specials else "\x01", KEEP).texts
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)

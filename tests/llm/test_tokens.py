@@ -53,8 +53,8 @@ def test_decoding_is_a_step_of_its_own(spark):
 
 def test_small_slices_and_a_small_memory_change_nothing(library, monkeypatch):
     monkeypatch.setattr(pieces, "SLICE", 7)
-    monkeypatch.setattr(pieces, "CACHE", 40)
     codec, texts = bpe.BpeCodec(VOCABULARY), [t or "" for t in odd_texts()]
+    codec.encoder.keep = 40
     for _ in range(2):
         for i in range(0, len(texts), 30):
             part = texts[i : i + 30]
