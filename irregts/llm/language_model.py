@@ -7,9 +7,9 @@ count there. The network is started on a bounded sample in one task (truncated
 backpropagation); then every partition trains a replica of it on a span of each of its
 learning documents, and the replicas' weights are averaged by the symbols they saw.
 
-A document is scored whole: its state is carried from window to window. The counts of the
-``KNOWN_WORDS`` most frequent words travel with the tasks (a fixed bound); rarer words of a
-document meet the count table in a join.
+A document is scored whole: its state is carried from window to window. The counts of at
+most ``KNOWN_WORDS`` most frequent words travel with the tasks (a fixed bound); rarer words of
+a document meet the count table in a join.
 
 Nulls and empty texts are the end token alone. A null doc_id counts as the empty string where
 documents are divided. Repeated rows are scored row by row. With nothing to learn from, only
@@ -101,11 +101,28 @@ def count_words(texts: DataFrame) -> DataFrame:
     return materialise(counted.groupBy("token").agg(F.sum("n").alias("n")), "word_counts")
 
 
+def _most_frequent(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """Words in descending order of counts: all whose count reaches a level that at most
+    ``KNOWN_WORDS`` words reach. Levels are steps of 1/16 of a doubling, so that a small
+    histogram gives the level and no task ranks the words of the others."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    sizes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v")).collect()
+    least, total = 1 << 30, 0
+    for row in sorted(sizes, key=lambda r: -r["level"]):
+        total += row["v"]
+        if total > KNOWN_WORDS:
+            break
+        least = row["level"]
+    found = counts.filter(level >= least).toArrow()
+    words, n = found["token"].to_pylist(), found["n"].to_numpy().astype(np.int64)
+    order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+    return [words[i] for i in order], n[order]
+
+
 def lexicon(counts: DataFrame) -> Lexicon:
     last = F.hex(F.substring("token", -1, 1)).alias("last")
     by_byte = counts.groupBy(last).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    frequent = counts.orderBy(F.desc("n"), "token").limit(KNOWN_WORDS).toArrow()
-    words, n = frequent["token"].to_pylist(), frequent["n"].to_numpy().astype(np.int64)
+    words, n = _most_frequent(counts)
     # The end token is always a symbol.
     place = words.index(END) if END in words else len(words)
     order = [place, *(i for i in range(len(words)) if i != place)]

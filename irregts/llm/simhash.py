@@ -32,7 +32,7 @@ from irregts.llm.common import LOWER, same_document, small_batches, utf8
 from irregts.session import materialise
 
 BITS, SHINGLE, SEED, LIMIT = 64, 3, 42, 3
-#: Fingerprints (smallest hashes first) on which candidate counts are estimated.
+#: Expected number of fingerprints, chosen by hash, on which candidate counts are estimated.
 SAMPLE = 4096
 #: Cost of a verified candidate relative to a probe row.
 CANDIDATE_COST = 0.05
@@ -162,7 +162,8 @@ def plan(distinct: DataFrame, limit: int = LIMIT) -> list[Partition]:
     together = np.zeros(BITS * BITS)
     together[sums["cell"].to_numpy()] = sums["n"].to_numpy()
     related = correlation(together.reshape(BITS, BITS), n)
-    chosen = distinct.select("value", F.xxhash64("value").alias("_h")).orderBy("_h").limit(SAMPLE).toArrow()
+    draw = F.pmod(F.xxhash64("value"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = distinct.select("value").filter(draw < min(1.0, SAMPLE / n)).toArrow()
     sample = chosen["value"].to_numpy().view(np.uint64)
     offers = [allocate(group_bits(related, m), sample, n, limit) for m in range(1, limit + 2)]
     return min(offers, key=lambda x: x[0])[1]
