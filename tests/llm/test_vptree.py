@@ -53,7 +53,7 @@ def test_relaxed_pruning_keeps_most(spark):
 
 def test_unusable_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
-    x = [[1, 0], [0, 0], None, [nan, 1], [inf, 1], [None, 1], [], [1, 1], [1e-30, 1e-30], [3e38, 3e38]]
+    x = [[1, 0], [0, 0], None, [nan, 1], [inf, 1], [None, 1], [], [1, 1], [2.0**-100] * 2, [2.0**120] * 2]
     got = found(vp.nearest(table(spark, x), F.lit(True), 5))
     assert set(got) == {0, 7, 8, 9}
     assert [i for i, _ in got[0]] == [7, 8, 9] and [i for i, _ in got[7]] == [8, 9, 0]
