@@ -70,10 +70,11 @@ def format_preferences(turns: DataFrame, pairs: DataFrame | None = None) -> Data
     )
     sided = sided.select("pair_id", "is_chosen", "pos", "role", "text")
 
-    # A position is shared if both sides have it and their turns are equal.
-    turn = F.struct("role", "text")
-    positions = sided.groupBy("pair_id", "pos").agg(
-        (F.count(F.lit(1)) == 2).alias("both"), F.min(turn).eqNullSafe(F.max(turn)).alias("same")
+    # A position is shared if both sides have it and their turns are equal. Digests stand for
+    # the turns, so that no text is shuffled for the comparison.
+    turn = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
+    positions = sided.select("pair_id", "pos", turn.alias("turn")).groupBy("pair_id", "pos").agg(
+        (F.count(F.lit(1)) == 2).alias("both"), (F.min("turn") == F.max("turn")).alias("same")
     )
     split = F.min(F.when(~(F.col("both") & F.col("same")), F.col("pos")))
     common = positions.groupBy("pair_id").agg(F.coalesce(split, F.max("pos") + 1).alias("common_turns"))
