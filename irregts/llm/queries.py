@@ -53,7 +53,7 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key", "root")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,7 +289,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id, text_key."""
+    """One row per document: doc_id, fingerprint (hex), component_id, text_key, root.
+
+    ``root`` is the component's smallest fingerprint: unlike ``component_id``, which is null or
+    shared where ids are, it tells components apart.
+    """
     small_batches(documents.sparkSession)
     texts = documents.select("doc_id", F.xxhash64("text").alias("text_key"), utf8().alias("raw"))
     id_type = documents.select("doc_id").schema[0].dataType.simpleString()
@@ -300,23 +304,27 @@ def near_duplicates(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     roots = distinct.join(found.withColumnRenamed("node", "value"), "value", "left")
     roots = materialise(roots.select("value", "first", F.coalesce("root", "value").alias("root")), "roots")
     smallest = materialise(roots.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    named = materialise(roots.join(smallest, "root").select("value", "component_id"), "named")
+    named = materialise(roots.join(smallest, "root").select("value", "component_id", "root"), "named")
     return marked.join(named, "value").select(
-        "doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id", "text_key"
+        "doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id", "text_key", "root"
     )
 
 
 def one_of_each(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Of each component the document with the smallest id, all columns.
+    """Of each component the document with the smallest id, all columns, as :func:`one_per_root`."""
+    return one_per_root(documents, near_duplicates(documents, limit))
+
+
+def one_per_root(documents: DataFrame, report: DataFrame) -> DataFrame:
+    """Of each ``root`` of a report (doc_id, text_key, root) the row with the smallest id.
 
-    Of several rows with that id the one with the smallest text hash stays, once.
+    A null id comes after all others. Of several rows with that id the one with the smallest
+    text hash stays, once.
     """
-    report = near_duplicates(documents, limit)
-    keep = report.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = materialise(
-        keep.groupBy("component_id").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies")), "keep"
-    ).withColumnRenamed("component_id", "doc_id")
+    rows = report.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "copies")).alias("first")
+    keep = materialise(rows.groupBy("root").agg(first).select("first.doc_id", "first.text_key", "first.copies"), "keep")
     single, several = keep.filter("copies = 1").drop("copies"), keep.filter("copies > 1").drop("copies")
     once = same_document(documents, single, "left_semi")
-    again = same_document(documents, several, "left_semi").dropDuplicates(["doc_id"])
+    again = same_document(documents, several, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)

@@ -118,3 +118,11 @@ def test_one_of_each_component_stays(spark):
     df = documents(spark, texts).union(documents(spark, texts).filter("doc_id = 1"))
     kept = sh.one_of_each(clashing(df))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3, 5] and kept.columns == clashing(df).columns
+
+
+def test_one_of_each_tells_components_without_own_ids_apart(spark):
+    texts = ["alpha beta gamma delta", "one two three four", "red green blue black", "north south east west", "up down left right"]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (9, texts[4])]
+    kept = sh.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]
+    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
