@@ -4,8 +4,9 @@ Counts of all words of the learning documents come from one aggregation that gro
 corpus. The ``MODEL_WORDS`` most frequent ones are symbols of the network; a rarer word is the
 symbol of its class (its last byte decides), and its probability in the class is that of its
 count there. The network is started on a bounded sample in one task (truncated
-backpropagation); then every partition trains a replica of it on a span of each of its
-learning documents, and the replicas' weights are averaged by the symbols they saw.
+backpropagation); then every partition trains a replica of it on the whole text of each of
+its learning documents, window by window, the state carried from a text's start to its end,
+and the replicas' weights are averaged by the symbols they saw.
 
 A document is scored whole: its state is carried from window to window. The counts of at
 most ``KNOWN_WORDS`` most frequent words travel with the tasks (a fixed bound); rarer words of
@@ -19,6 +20,7 @@ the end token has a probability of its own. Other columns are ignored.
 from __future__ import annotations
 
 import copy
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,10 +37,10 @@ from irregts.llm.pieces import grouped
 from irregts.session import materialise
 
 MODEL_WORDS, KNOWN_WORDS = 1024, 1 << 18
-#: Expected documents of the start, its epochs and rate; symbols of the span of a document on
-#: which replicas train, documents of a step, rate.
+#: Expected documents of the start, its epochs and rate; texts that a replica reads side by
+#: side, and the rate of a step in which all of them fill a window.
 SAMPLE, EPOCHS, RATE = 2000, 4, 0.01
-SPAN, SPAN_DOCUMENTS, SPAN_RATE = 2 * WINDOW, 256, 0.002
+LANES, LANE_RATE = 256, 0.002
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 200_000
 #: Bytes of text that a scoring task reads at once, over whole documents.
@@ -191,41 +193,55 @@ def _start(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.R
     yield _parameters(network, 1.0)
 
 
-def _replica(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, network: Network) -> Iterator[pa.RecordBatch]:
-    """Train on one span of each document; the place of the span is drawn from its length."""
-    reader, network = Reader(lexicon), copy.deepcopy(network)
-    adam, seen = Adam(network, SPAN_RATE), 0
-    random = np.random.default_rng(0)
-    spans: list[np.ndarray] = []
-
-    def train() -> None:
-        nonlocal seen
-        sizes = np.array([len(s) for s in spans])
-        grid = np.zeros((SPAN, len(spans)), np.int64)
-        for i, s in enumerate(spans):
-            grid[: len(s), i] = s
-        weight = np.arange(SPAN)[:, None] < sizes[None, :]
-        state = np.zeros((len(spans), network.parameters["recurrent"].shape[0]), np.float32)
-        for at in range(0, SPAN, WINDOW):
-            rows = slice(at, at + WINDOW)
-            if weight[rows].any():
-                resets = np.zeros(grid[rows].shape, bool)
-                grads, state, _ = network.gradient(state, grid[rows], resets, weight[rows])
-                adam.apply(grads)
-        seen += int(sizes.sum())
-        spans.clear()
+class Lanes:
+    """Texts side by side, each whole in one lane, read from start to end in windows."""
+
+    def __init__(self, network: Network) -> None:
+        self.network, self.adam, self.seen = network, Adam(network, LANE_RATE), 0
+        self.state = np.zeros((LANES, network.parameters["recurrent"].shape[0]), np.float32)
+        self.symbols = [np.zeros(0, np.int64)] * LANES
+        self.starts = [np.zeros(0, bool)] * LANES
+        self.held = [(0, lane) for lane in range(LANES)]  # a heap
+
+    def feed(self, symbols: np.ndarray) -> None:
+        """Put a text at the end of the shortest lane; train while all lanes fill a window."""
+        n, lane = self.held[0]
+        self.symbols[lane] = np.concatenate([self.symbols[lane], symbols])
+        self.starts[lane] = np.concatenate([self.starts[lane], np.arange(len(symbols)) == 0])
+        heapq.heapreplace(self.held, (n + len(symbols), lane))
+        while self.held[0][0] >= WINDOW:
+            self.step()
+
+    def step(self) -> None:
+        """One window of the lanes that hold any symbols; the rate goes with its symbols."""
+        lanes = [i for i in range(LANES) if len(self.symbols[i])]
+        sizes = np.array([min(WINDOW, len(self.symbols[i])) for i in lanes])
+        grid, resets = np.zeros((WINDOW, len(lanes)), np.int64), np.zeros((WINDOW, len(lanes)), bool)
+        for k, (i, n) in enumerate(zip(lanes, sizes.tolist())):
+            grid[:n, k], resets[:n, k] = self.symbols[i][:n], self.starts[i][:n]
+            self.symbols[i], self.starts[i] = self.symbols[i][n:], self.starts[i][n:]
+        weight = np.arange(WINDOW)[:, None] < sizes[None, :]
+        grads, self.state[lanes], _ = self.network.gradient(self.state[lanes], grid, resets, weight)
+        self.adam.rate = LANE_RATE * sizes.sum() / (LANES * WINDOW)
+        self.adam.apply(grads)
+        self.seen += int(sizes.sum())
+        self.held = [(len(s), i) for i, s in enumerate(self.symbols)]
+        heapq.heapify(self.held)
+
+    def finish(self) -> None:
+        while any(map(len, self.symbols)):
+            self.step()
+
 
+def _replica(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, network: Network) -> Iterator[pa.RecordBatch]:
+    """Train on the whole text of each document."""
+    reader, lanes = Reader(lexicon), Lanes(copy.deepcopy(network))
     for batch in batches:
         for raw in batch.column(0).to_pylist():
-            tokens = words_of(raw)
-            first = int(random.integers(max(1, len(tokens) - SPAN + 1)))
-            spans.append(reader.read(tokens[first : first + SPAN])[1])
-            if len(spans) == SPAN_DOCUMENTS:
-                train()
-    if spans:
-        train()
-    if seen:
-        yield _parameters(network, seen)
+            lanes.feed(reader.read(words_of(raw))[1])
+    lanes.finish()
+    if lanes.seen:
+        yield _parameters(lanes.network, lanes.seen)
 
 
 def train(texts: DataFrame, known: Lexicon) -> Network:

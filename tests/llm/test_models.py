@@ -213,3 +213,28 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_replicas_read_whole_texts_from_their_starts(monkeypatch):
+    """Every symbol of every text is trained on once, after the state of what is before it."""
+    monkeypatch.setattr(lm, "LANES", 3)
+    lengths = [1, 5, 40, 700, 32, 64, 2, 33, 90, 1]
+    texts = [np.full(n, i) for i, n in enumerate(lengths)]
+    read = []
+
+    class Recorder(gru.Network):
+        def gradient(self, state, symbols, resets, weight):
+            state = state.copy()
+            for t in range(len(symbols)):
+                state[resets[t]] = 0
+                for k in np.flatnonzero(weight[t]):
+                    read.append((int(symbols[t, k]), int(state[k, 0])))
+                    state[k, 0] += 1
+            return {k: np.zeros_like(v) for k, v in self.parameters.items()}, state, 0.0
+
+    start = gru.Network.start(gru.Shape(10, 0), np.ones(10))
+    lanes = lm.Lanes(Recorder(start.shape, start.parameters))
+    for text in texts:
+        lanes.feed(text)
+    lanes.finish()
+    assert sorted(read) == [(i, at) for i, n in enumerate(lengths) for at in range(n)] and lanes.seen == sum(lengths)
