@@ -595,14 +595,10 @@ def sequence_tokens(spark, d):
     return se.sequence_rows(wi.forecast_inputs(m, v.TARGET, targets=targets), targets, TOKEN)
 
 
-# The published length of a sequence; no stay of these tables has as many rows.
-LONGEST = 1500
-
-
 def _samples(spark, d) -> DataFrame:
     m = v.measures(spark, d)
     targets = materialise(se.sample_targets(m, v.TARGET), "targets")
-    return se.sequences(wi.forecast_inputs(m, v.TARGET, targets=targets), targets, TOKEN, LONGEST)
+    return se.sequences(wi.forecast_inputs(m, v.TARGET, targets=targets), targets, TOKEN)
 
 
 def _positions(df: DataFrame, keys, arrays) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from irregts.operators import forecast as fc
 from irregts.operators import sequences as se
 from irregts.operators import windows as wi
-from irregts.plans import stages
+from irregts.plans import queries, stages
 
 SCHEMA = "ind long, time long, itemid long, value double, gender string, age double"
 
@@ -236,3 +236,9 @@ def test_hold_out_forecasts(spark):
     folds, predictions, scores = stages.cross_validate(stays, task, [0, 1], k=1, labels=labels)
     assert predictions.count() == folds.filter("fold = 0").count() == 16
     assert {r["metric"] for r in scores.collect()} == {"mae", "medae", "r2", "d2"}
+
+
+def test_registered_samples_hold_whole_stays(spark, monkeypatch):
+    rows = [(1, t, 1, float(t % 7), "M", 60.0) for t in range(70, 1700)] + [(1, 1800, 0, 2.0, "M", 60.0)]
+    monkeypatch.setattr(queries.v, "measures", lambda spark, d: spark.createDataFrame(rows, SCHEMA))
+    assert sorted(len(r["values"]) for r in queries._samples(spark, "").collect())[-1] == 1631
