@@ -12,9 +12,10 @@ and written in that order, one Parquet row per shard of bounded size:
   decoded alone.
 
 Re-Pair runs on a shard in rounds. A round counts all pairs of neighbouring symbols inside
-documents, takes frequent pairs in descending order as long as no symbol is a left side of
-one and a right side of another (so that no two occurrences overlap) and replaces all their
-occurrences. Rounds end at ``ROUNDS``, when no pair is frequent, or when symbols run out.
+documents (equal symbols pair from the left of their run), takes those about as frequent as
+the most frequent one, in descending order, as long as no symbol is a left side of one and a
+right side of another (so that no two occurrences overlap) and replaces all their
+occurrences. Rounds end when no pair is frequent or when symbols run out.
 
 Every document ends with the id 0. Null and empty texts have that id only. Rows with equal
 ids are ordered by their texts' hash; null ids come first. Repeated rows are stored row by
@@ -40,8 +41,9 @@ from irregts.llm.common import small_batches, utf8
 from irregts.llm.pieces import PieceEncoder, grouped
 
 END = 0
-#: Rounds of a grammar, rules of a round, and occurrences that make a pair frequent.
-ROUNDS, ROUND_RULES, FREQUENT = 3, 4096, 16
+#: Rules of a round, occurrences that make a pair frequent, and part of the largest count that
+#: a round reaches down to, so that the most frequent pairs get their rules first.
+ROUND_RULES, FREQUENT, LEVEL = 4096, 16, 4
 #: Bytes of text of a shard; distinct pieces that go through the library as one text, and
 #: that a worker keeps.
 SHARD_BYTES, LINES, KEEP = 6 << 20, 2000, 1_100_000
@@ -143,16 +145,28 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 
 
 def _frequent_pairs(keys: np.ndarray, slots: np.ndarray, edges: np.ndarray, least: int) -> np.ndarray:
-    """Pairs that occur ``least`` times or more, most frequent first. Hashed counts rule
-    most of the others out before the exact ones are made. ``edges``: where a pair spans
-    two documents and does not count."""
+    """Pairs that occur ``least`` times or more and nearly as often as the most frequent one,
+    most frequent first; none only if none occurs ``least`` times. Hashed counts rule most of
+    the others out before the exact ones are made. ``edges``: what does not count."""
     size = 1 << _HASH_BITS
-    heavy = np.bincount(slots, minlength=size) - np.bincount(slots[edges], minlength=size) >= least
-    counted = heavy[slots]
-    counted[edges] = False
-    values, counts = np.unique(keys[counted], return_counts=True)
-    values, counts = values[counts >= least], counts[counts >= least]
-    return values[np.lexsort((values, -counts))]
+    hashed = np.bincount(slots, minlength=size) - np.bincount(slots[edges], minlength=size)
+    level = int(hashed.max())
+    while True:
+        level = max(least, level // LEVEL)
+        counted = (hashed >= level)[slots]
+        counted[edges] = False
+        values, counts = np.unique(keys[counted], return_counts=True)
+        values, counts = values[counts >= level], counts[counts >= level]
+        if len(values) or level == least:
+            return values[np.lexsort((values, -counts))]
+
+
+def _overlapping(sequence: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Places of pairs of equal symbols that overlap the pair before them, from a run's left."""
+    same = np.flatnonzero((sequence[:-1] == sequence[1:]) & ~last[:-1])
+    run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+    offset = np.arange(len(same)) - np.repeat(run, np.diff(run, append=len(same)))
+    return same[offset % 2 == 1]
 
 
 def re_pair(ids: np.ndarray, n_tokens: np.ndarray, first_rule: int, symbols: int) -> Grammar:
@@ -163,10 +177,11 @@ def re_pair(ids: np.ndarray, n_tokens: np.ndarray, first_rule: int, symbols: int
     last = np.zeros(len(ids), bool)
     last[np.cumsum(n_tokens) - 1] = True
     rules = np.zeros((0, 2), np.int64)
-    for _ in range(ROUNDS):
+    while len(sequence) > 1:
         room = min(ROUND_RULES, symbols - first_rule - len(rules))
         keys = sequence[:-1] << kind(shift) | sequence[1:]
-        slots, edges = _slots(keys), np.flatnonzero(last[:-1])
+        slots = _slots(keys)
+        edges = np.concatenate([np.flatnonzero(last[:-1]), _overlapping(sequence, last)])
         values = _frequent_pairs(keys, slots, edges, FREQUENT)
         lefts: set[int] = set()
         rights: set[int] = set()
@@ -178,7 +193,7 @@ def re_pair(ids: np.ndarray, n_tokens: np.ndarray, first_rule: int, symbols: int
         for left, right, slot in offers:
             if len(chosen) >= room:
                 break
-            if left != right and left not in rights and right not in lefts and slot not in taken:
+            if left not in rights and right not in lefts and slot not in taken:
                 lefts.add(left)
                 rights.add(right)
                 taken.add(slot)

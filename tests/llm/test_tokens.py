@@ -131,3 +131,15 @@ def test_grammar_of_few_symbols_and_of_nothing_frequent():
     assert len(tf.re_pair(ids, np.array([50]), 60, 1 << 16).rules) == 0
     same = np.zeros(100, np.int32)
     assert np.array_equal(tf.re_pair(same, np.array([99, 1]), 5, 5).decode(), same)
+
+
+@pytest.mark.parametrize("symbols", [1 << 16, 1 << 31])
+def test_grammar_of_copies_and_of_runs_goes_to_the_end(symbols):
+    passage = np.random.default_rng(6).permutation(50_000)[:400]
+    ids, counts = np.tile(passage, 300).astype(np.int32), np.full(300, 400)
+    grammar = tf.re_pair(ids, counts, 50_000, symbols)
+    assert np.array_equal(grammar.decode(), ids) and grammar.n_symbols.max() == 1
+    runs = np.array([2000, 1, 37, 2, 3000])
+    grammar = tf.re_pair(np.full(runs.sum(), 7, np.int32), runs, 50_000, symbols)
+    assert np.array_equal(grammar.decode(), np.full(runs.sum(), 7))
+    assert np.array_equal(grammar.decode(2, 1), np.full(37, 7)) and len(grammar.sequence) < 60
