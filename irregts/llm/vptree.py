@@ -137,7 +137,9 @@ def _nearest(rows: pa.Table, queries: pa.Table, k: int, factor: float) -> pa.Tab
     by_vector = np.argsort(copy_of.ravel(), kind="stable")
     sizes = np.bincount(copy_of.ravel(), minlength=len(distinct))
     starts = np.cumsum(sizes) - sizes
-    who, where = VantagePointTree(_unit(distinct)).search(_unit(asked), k + 1, factor)
+    # A query's own id may be on several distinct vectors, none of which is an answer.
+    owned = np.unique(np.stack([np.unique(ids, return_inverse=True)[1], copy_of.ravel()]), axis=1)[0]
+    who, where = VantagePointTree(_unit(distinct)).search(_unit(asked), k + int(np.bincount(owned).max()), factor)
     score = cosines(asked[who], distinct[where]) if len(who) else np.zeros(0)
     # A query's own id may be there more than once; it must not use up the k places.
     same = np.bincount(np.searchsorted(np.unique(ids), ids), minlength=1).max()

@@ -77,3 +77,9 @@ def test_tree_without_pruning_differences():
     for q in range(50):
         apart = np.sort(vp.distance(unit[rows[who == q]] @ unit[q]))
         assert apart[:4] == pytest.approx(best[q], abs=1e-7)
+
+
+def test_an_id_on_several_vectors_uses_up_no_places(spark):
+    x = [[1, 0], [1, 0.01], [1, 0.02], [1, 1], [1, 2], [1, 3], [1, 4], [1, 5]]
+    got = found(vp.nearest(table(spark, x, [50, 50, 50, 1, 2, 3, 4, 5]), F.col("vec_id") == 50, 5))
+    assert sorted(i for i, _ in got[50]) == sorted([1, 2, 3, 4, 5] * 3)
