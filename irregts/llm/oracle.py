@@ -123,4 +123,41 @@ select query_id, (row_number() over (partition by query_id order by score desc,
 from scored qualify rank <= 5
 """
 
-ORACLE = {"op6_neighbours": OP6, "op2_decontamination": OP2, "op5_sharding": OP5, "op10_preferences": OP10}
+OP11 = """
+with opened as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as body,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as lines
+  from documents),
+windows as (
+  select r, i, array_to_string(words[i:i + 7], ' ') as hit
+  from (select r, words, unnest(range(1, greatest(len(words) - 6, 1))) as i from opened)),
+again as (select r, i from windows qualify count(*) over (partition by r, hit) > 1),
+covered as (
+  select r, sum(reach) as n from (
+    select r, least(8, coalesce(lead(i) over (partition by r order by i) - i, 8)) as reach from again) group by r),
+measured as (
+  select doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+    length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    coalesce(n, 0)::bigint as n_repeat_words,
+    len(list_filter(words, lambda w: regexp_matches(w, '\\p{L}'))) as n_letter,
+    len(list_filter(lines, lambda l: regexp_matches(l, '^\\s*[-*•]'))) as n_bullet,
+    len(list_filter(lines, lambda l: regexp_matches(l, '(\\.\\.\\.|…)\\s*$'))) as n_cut
+  from opened left join covered using (r)),
+judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from measured)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or word_chars < 2 * n_words or word_chars > 15 * n_words or 10 * n_symbols > n_words
+    or 10 * n_letter < 8 * n_words or 2 * n_dup_lines > n_lines or 10 * n_bullet > 9 * n_lines
+    or 10 * n_cut > 3 * n_lines) as kept
+from judged
+"""
+
+ORACLE = {
+    "op6_neighbours": OP6,
+    "op2_decontamination": OP2,
+    "op5_sharding": OP5,
+    "op10_preferences": OP10,
+    "op11_quality_rules": OP11,
+}
