@@ -21,6 +21,16 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Bytes of an Arrow batch of the operators that cut batches by size.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, whatever the length of texts; rows stay as the session
+    has them, so other Arrow work of the session is not cut smaller than that."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def id_crc32(column: str = "doc_id") -> Column:
     """Unsigned crc32 of an id written as text; that of the empty string where null."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -154,10 +154,35 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines::bigint as n_dup_line
 from judged
 """
 
+OP12 = """
+with hashed as (
+  select doc_id, coalesce(text, '') as body, sha256('1:' || coalesce(doc_id::varchar, '')) as digest,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units
+  from documents),
+drawn as (
+  select doc_id, body, units, len(units) as n,
+    ('0x' || substr(digest, 1, 8))::bigint % (len(units) + 1) as a, ('0x' || substr(digest, 9, 8))::bigint % (len(units) + 1) as b,
+    case when body = '' or regexp_matches(body, '<[PSM]>') or ('0x' || substr(digest, 17, 8))::bigint % 100 >= 90 then 'plain'
+      when ('0x' || substr(digest, 25, 8))::bigint % 100 < 20 then 'spm' else 'psm' end as form
+  from hashed),
+parts as (
+  select doc_id, body, n, form, array_to_string(units[1:least(a, b)], '') as prefix,
+    array_to_string(units[least(a, b) + 1:greatest(a, b)], '') as middle,
+    array_to_string(units[greatest(a, b) + 1:], '') as suffix
+  from drawn)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars,
+  case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then body when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(body) as restored_sha256
+from parts
+"""
+
 ORACLE = {
     "op6_neighbours": OP6,
     "op2_decontamination": OP2,
     "op5_sharding": OP5,
     "op10_preferences": OP10,
     "op11_quality_rules": OP11,
+    "op12_fill_in_middle": OP12,
 }
