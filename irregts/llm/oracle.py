@@ -178,6 +178,33 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix) end as pre
 from parts
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(text: str) -> str:
+    return f"unnest(regexp_extract_all(translate({text}, '{_UPPER}', '{_LOWER}'), '{_TERM}'))"
+
+
+OP13 = f"""
+with numbered as (select row_number() over () as r, doc_id, text from documents),
+met as (select r, doc_id, {_terms("text")} as term from numbered),
+counted as (select r, doc_id, term, count(*) as tf from met group by all),
+lengths as (select r, count(*) as n from met group by r),
+corpus as (select count(*) as docs, sum(n)::bigint as terms from lengths),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w
+  from counted, corpus group by term),
+asked as (select distinct item_id, {_terms("text")} as term from benchmark),
+scores as (
+  select item_id, r, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))))::bigint as score
+  from asked join counted using (term) join weights using (term) join lengths using (r), corpus
+  group by item_id, r, doc_id having score > 0)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls first)::int as rank, doc_id, score
+from scores qualify rank <= 50
+"""
+
 ORACLE = {
     "op6_neighbours": OP6,
     "op2_decontamination": OP2,
@@ -185,4 +212,5 @@ ORACLE = {
     "op10_preferences": OP10,
     "op11_quality_rules": OP11,
     "op12_fill_in_middle": OP12,
+    "op13_lexical_search": OP13,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irregts.llm import bpe, decontaminate, fim, langid, language_model, preference, quality, rules, sharding, simhash, tokenfiles, vptree
+from irregts.llm import bpe, decontaminate, fim, langid, language_model, lexical, preference, quality, rules, sharding, simhash, tokenfiles, vptree
 from irregts.llm.common import id_crc32, small_batches
 from irregts.session import scratch_path
 
@@ -79,10 +79,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.transform(_table(spark, sf_dir, "documents")))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_model, op2_decontamination, op3_token_files, op4_language, op5_sharding, op6_neighbours, op7_simhash, op8_quality, op9_bpe,
-        op10_preferences, op11_quality_rules, op12_fill_in_middle,
+        op10_preferences, op11_quality_rules, op12_fill_in_middle, op13_lexical_search,
     )
 }
