@@ -2,8 +2,8 @@
 
 1. quality: the classifier learns from ``labels``; documents that score below one half go.
 2. language: documents without a language, or with a weak guess, go.
-3. near_duplicates: one document of each component stays; links are a Jaccard similarity of
-   five-word shingles of at least 0.8, exact.
+3. near_duplicates: one document of each component stays; links are SimHash fingerprints of
+   three-word shingles that differ in at most three bits.
 4. decontamination: documents that share a window with ``benchmark`` go.
 5. tokens: per document the digests of its BPE ids and of what they decode to.
 
@@ -18,7 +18,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from irregts.llm import bpe, decontaminate, langid, quality, shingles
+from irregts.llm import bpe, decontaminate, langid, quality, simhash
 from irregts.llm.common import id_crc32
 from irregts.session import materialise
 
@@ -41,7 +41,7 @@ def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingles.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
