@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -126,3 +128,33 @@ def test_one_of_each_tells_components_without_own_ids_apart(spark):
     kept = sh.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
     want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]
     assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+
+
+def test_pipeline_stage_keeps_one_of_each_brute_force_group(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(8):
+        text = rng.choices(words, k=rng.randrange(200, 900))
+        for _ in range(5):
+            texts.append(" ".join(text))
+            text = list(text)
+            text[rng.randrange(len(text))] = rng.choice(words)  # a chain of edits
+    texts += [*hard_texts(), texts[0].upper(), texts[1]]
+    prints = [slow_fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 3:
+            low, high = sorted((find(i), find(j)))
+            root[high] = low
+    want = sorted({find(i) for i in range(len(texts))})
+    df = clashing(documents(spark, texts).repartition(3))
+    kept = corpus_pipeline._near_duplicates(spark, df, "")
+    assert 8 < len(want) < len(texts) - 8
+    assert sorted(r["doc_id"] for r in kept.collect()) == want and kept.columns == df.columns
