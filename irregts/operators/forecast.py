@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from irregts.functions.expr import gender_code, standardise, unstandardise
 from irregts.operators.layout import small_side
+from irregts.operators.metrics import point_from_quantiles
 from irregts.operators.normalize import fit_fold_stats, fit_stats
+from irregts.operators.regression import HUBER_DELTA, THREE_QUANTILES, Loss, Scaling, fit_all
 from irregts.operators.sequences import sample_targets, time_token_id
 from irregts.operators.variables import resolve_labels
 from irregts.operators.windows import forecast_inputs
@@ -88,30 +88,45 @@ def forecast_task(
 class FitSettings:
     """Settings of the linear forecaster.
 
-    ``features`` names some of ``v<id>`` (latest value of a variable), ``gender``, ``age``
-    and ``time`` (of the target); all by default. The Huber loss needs an epsilon above 1.
-    With ``fit_on="train"`` both sides of a fold are normalised with the statistics of the
-    train side, with ``"own"`` each side with its own.
+    ``loss`` is ``huber`` (quadratic up to ``delta`` deviations of the target), ``pinball`` (a
+    forecast per level) or ``squaredError``; see ``regression.Loss``. ``features`` names some of
+    ``v<id>`` (latest value of a variable), ``gender``, ``age`` and ``time`` (of the target); all by
+    default. With ``fit_on="train"`` both sides of a fold are normalised with the statistics of the
+    train side, with ``"own"`` each side with its own. Settings are saved with the models.
     """
 
     loss: str = "huber"
-    solver: str = "auto"
-    epsilon: float = 1.35
+    delta: float = HUBER_DELTA
+    levels: tuple[float, ...] = THREE_QUANTILES
     reg: float = 0.01
-    iterations: int = 30
+    smoothing: float = 1e-3
+    iterations: int = 50
     tolerance: float = 1e-4
     with_train: bool = False
     features: tuple[str, ...] | None = None
     fit_on: str = "train"
-    parallel_fits: int = 4
 
     def __post_init__(self) -> None:
         if self.fit_on not in ("train", "own"):
             raise ValueError(f"fit_on is 'train' or 'own', not {self.fit_on!r}")
+        self.objective()
+
+    def objective(self) -> Loss:
+        return Loss(self.loss, self.delta, tuple(self.levels), self.reg, self.smoothing)
 
     def names(self, variables: Sequence[int]) -> list[str]:
         return list(self.features or [*(f"v{v}" for v in variables), "gender", "age", "time"])
 
+    def text(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @classmethod
+    def of(cls, models: DataFrame) -> FitSettings:
+        """The settings that saved models were fitted with."""
+        saved = json.loads(models.select("settings").first()["settings"])
+        lists = {k: tuple(v) for k, v in saved.items() if isinstance(v, list)}
+        return cls(**(saved | lists))
+
 
 def last_values(inputs: DataFrame, variables: Sequence[int]) -> DataFrame:
     """One column ``v<id>`` per variable with the stay's latest value, null if never seen."""
@@ -161,13 +176,24 @@ def _scaled(names: Sequence[str]) -> list[Column]:
 
 
 def fold_features(
-    features: DataFrame, folds: DataFrame, stats: DataFrame, k: int, names: Sequence[str], fit_on: str = "train"
+    features: DataFrame,
+    folds: DataFrame,
+    stats: DataFrame,
+    k: int,
+    names: Sequence[str],
+    fit_on: str = "train",
+    sides: Sequence[str] = ("train", "test"),
 ) -> DataFrame:
     """The features of every stay in each of k folds: ``ind, fold, set, y_true, x_..., y,
-    y_mean, y_std``. ``stats`` is :func:`side_stats` per fold and split."""
+    y_mean, y_std``. ``stats`` is :func:`side_stats` per fold and split. The ``test`` side alone
+    has one row per stay, which nothing multiplies by k."""
     each = features.join(folds.withColumnRenamed("fold", "_own"), "ind")
-    each = each.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    each = each.withColumn("set", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train"))
+    if list(sides) == ["test"]:
+        each = each.filter(F.col("_own").between(0, k - 1)).withColumns({"fold": F.col("_own"), "set": F.lit("test")})
+    else:
+        each = each.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        each = each.withColumn("set", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train"))
+        each = each.filter(F.col("set").isin(*sides))
     if fit_on == "train":
         joined = each.join(small_side(stats.filter(F.col("split") == "train").drop("split")), "fold")
     else:
@@ -175,6 +201,57 @@ def fold_features(
     return joined.select("ind", "fold", "set", "y_true", *_scaled(names), "y_mean", "y_std")
 
 
+_MODEL = "fold int, names array<string>, coefficients array<array<double>>, intercepts array<double>, settings string"
+_STEPS = "step int, settings string, names array<string>, shape array<int>, values array<double>"
+
+
+def _scaling(stats: DataFrame, k: int, names: Sequence[str]) -> Scaling:
+    """The statistics of the k train sides: 2 numbers per fold and feature reach the driver."""
+    scaled = [n for n in names if n != "gender"]
+    rows = {r["fold"]: r for r in stats.filter(F.col("split") == "train").collect()}
+
+    def column(fold: int, name: str) -> float:
+        value = rows[fold][name] if fold in rows else None
+        return float("nan") if value is None else float(value)
+
+    table = {s: np.array([[column(f, f"{n}_{s}") if n in scaled else 0.0 for n in names] for f in range(k)]) for s in _STATS}
+    truth = {s: np.array([column(f, f"y_{s}") for f in range(k)]) for s in _STATS}
+    plain = np.array([n not in scaled for n in names], bool)
+    return Scaling(table["mean"].reshape(k, -1), table["std"].reshape(k, -1), truth["mean"], truth["std"], plain)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+class Progress:
+    """Steps of an unfinished fit, saved beside the models every ``every`` steps."""
+
+    def __init__(self, spark: SparkSession, path: str, settings: FitSettings, names: Sequence[str], every: int = 5) -> None:
+        self.spark, self.path, self.settings, self.names, self.every = spark, f"{path}-steps", settings, list(names), every
+
+    def save(self, step: int, models: np.ndarray) -> None:
+        if step % self.every == 0:
+            row = (step, self.settings.text(), self.names, list(models.shape), models.ravel().tolist())
+            self.spark.createDataFrame([row], _STEPS).coalesce(1).write.mode("append").parquet(self.path)
+
+    def last(self) -> tuple[int, np.ndarray] | None:
+        """The last saved step; one of other settings or features is an error."""
+        if not _exists(self.spark, self.path):
+            return None
+        rows = self.spark.read.schema(_STEPS).parquet(self.path).orderBy(F.desc("step")).limit(1).collect()
+        if not rows:
+            return None
+        check_same(rows[0]["settings"], rows[0]["names"], self.settings, self.names, self.path)
+        return rows[0]["step"], np.array(rows[0]["values"]).reshape(rows[0]["shape"])
+
+
+def check_same(saved: str, saved_names: Sequence[str], settings: FitSettings, names: Sequence[str], path: str) -> None:
+    if saved != settings.text() or list(saved_names) != list(names):
+        raise ValueError(f"{path} holds a fit of other settings: {saved} of {list(saved_names)}")
+
+
 def fit_models(
     features: DataFrame,
     folds: DataFrame,
@@ -182,49 +259,51 @@ def fit_models(
     k: int,
     names: Sequence[str],
     settings: FitSettings = FitSettings(),
+    progress: Progress | None = None,
 ) -> DataFrame:
-    """One row per fold: ``fold, names, coefficients, intercept`` and the statistics of the
-    train side, which is all that a later forecast needs.
+    """One row per fold: ``fold, names, coefficients`` and ``intercepts`` (one per output),
+    ``settings`` and the statistics of the train side, which is all that a later forecast needs.
 
-    ``features`` and ``folds`` are tables that are cheap to read: each fold projects them
-    anew, and ``parallel_fits`` folds are fitted at a time.
+    All folds and outputs are fitted together; each step reads the rows once.
     """
-    ready = fold_features(features, folds, stats, k, names)  # on the train side both modes agree
-    assemble = VectorAssembler(inputCols=[f"x_{n}" for n in names], outputCol="_features")
-    model = LinearRegression(
-        featuresCol="_features",
-        labelCol="y",
-        loss=settings.loss,
-        solver=settings.solver,
-        regParam=settings.reg,
-        maxIter=settings.iterations,
-        tol=settings.tolerance,
-        **({"epsilon": settings.epsilon} if settings.loss == "huber" else {}),
+    own = folds.select("ind", "fold")
+    columns = [F.col(n) for n in names]
+    rows = materialise(features.join(own, "ind").select("fold", F.col("y_true").alias("y"), *columns), "fit_rows")
+    fitted = fit_all(
+        rows,
+        names,
+        _scaling(stats, k, names),
+        settings.objective(),
+        settings.iterations,
+        settings.tolerance,
+        start=None if progress is None else progress.last(),
+        after_step=None if progress is None else progress.save,
     )
-
-    def fit(fold: int) -> tuple[int, list[str], list[float], float]:
-        side = ready.filter((F.col("fold") == fold) & (F.col("set") == "train"))
-        fitted = model.fit(assemble.transform(side))
-        return fold, list(names), [float(x) for x in fitted.coefficients], float(fitted.intercept)
-
-    with ThreadPoolExecutor(settings.parallel_fits) as pool:
-        rows = list(pool.map(fit, range(k)))
-    schema = "fold int, names array<string>, coefficients array<double>, intercept double"
-    fits = features.sparkSession.createDataFrame(rows, schema)
+    made = [
+        (fold, list(names), [m[1:].tolist() for m in of_fold], [float(m[0]) for m in of_fold], settings.text())
+        for fold, of_fold in enumerate(fitted)
+    ]
+    fits = features.sparkSession.createDataFrame(made, _MODEL)
     return fits.join(stats.filter(F.col("split") == "train").drop("split"), "fold")
 
 
-def apply_models(scaled: DataFrame, models: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Forecasts ``ind, fold, set, y_true, y_pred`` for rows of :func:`fold_features`."""
-    fits = small_side(models.select("fold", "names", "coefficients", "intercept"))
+def apply_models(scaled: DataFrame, models: DataFrame, names: Sequence[str], quantiles: bool = False) -> DataFrame:
+    """Forecasts ``ind, fold, set, y_true, y_pred`` for rows of :func:`fold_features`; with
+    ``quantiles`` also ``q_pred``, one per output, of which ``y_pred`` is the point forecast."""
+    fits = small_side(models.select("fold", "names", "coefficients", "intercepts"))
     problem = F.concat(F.lit("the model was fitted on other features: "), F.array_join("names", ", "))
     same = F.col("names") == F.array(*(F.lit(n) for n in names))
-    weights = F.when(same, F.col("coefficients")).otherwise(F.raise_error(problem).cast("array<double>"))
-    products = F.zip_with(F.array(*(F.col(f"x_{n}") for n in names)), weights, lambda x, w: x * w)
-    raw = F.col("intercept") + F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-    return scaled.join(fits, "fold").select(
-        "ind", "fold", "set", "y_true", unstandardise(raw, F.col("y_mean"), F.col("y_std")).alias("y_pred")
-    )
+    weights = F.when(same, F.col("coefficients")).otherwise(F.raise_error(problem).cast("array<array<double>>"))
+    given = F.array(*(F.col(f"x_{n}") for n in names))
+
+    def output(own: Column, intercept: Column) -> Column:
+        products = F.zip_with(given, own, lambda x, w: x * w)
+        raw = intercept + F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+        return unstandardise(raw, F.col("y_mean"), F.col("y_std"))
+
+    joined = scaled.join(fits, "fold").withColumn("q_pred", F.zip_with(weights, F.col("intercepts"), output))
+    more = ["q_pred"] if quantiles else []
+    return point_from_quantiles(joined).select("ind", "fold", "set", "y_true", "y_pred", *more)
 
 
 def prepare_folds(
@@ -244,17 +323,30 @@ def fit_predict_folds(
     k: int,
     settings: FitSettings = FitSettings(),
     models_path: str | None = None,
+    resume: bool = False,
 ) -> DataFrame:
     """Fit on the train side of each fold, forecast its test side (and its train side, if
-    set). The fitted models are saved at ``models_path`` for :func:`score_cohort`."""
-    names = settings.names(variables)
+    set). The fitted models are saved at ``models_path`` for :func:`score_cohort`.
+
+    With ``resume`` a fit that was cut short goes on from its last saved step, and models that are
+    there are not fitted again; both must be of the same settings.
+    """
+    spark, names = df.sparkSession, settings.names(variables)
     features, stats = prepare_folds(df, task, variables, folds, k)
-    models = fit_models(features, folds, stats, k, names, settings)
-    if models_path is not None:
-        models.write.parquet(models_path)
-        models = df.sparkSession.read.parquet(models_path)
-    scaled = fold_features(features, folds, stats, k, names, settings.fit_on)
-    return apply_models(scaled if settings.with_train else scaled.filter(F.col("set") == "test"), models, names)
+    if models_path is None:
+        models = fit_models(features, folds, stats, k, names, settings)
+    else:
+        if resume and _exists(spark, f"{models_path}/_SUCCESS"):
+            saved = spark.read.parquet(models_path).first()
+            check_same(saved["settings"], saved["names"], settings, names, models_path)
+        else:
+            progress = Progress(spark, models_path, settings, names) if resume else None
+            mode = "overwrite" if resume else "errorifexists"
+            fit_models(features, folds, stats, k, names, settings, progress).write.mode(mode).parquet(models_path)
+        models = spark.read.parquet(models_path)
+    sides = ("train", "test") if settings.with_train else ("test",)
+    scaled = fold_features(features, folds, stats, k, names, settings.fit_on, sides)
+    return apply_models(scaled, models, names, settings.loss == "pinball")
 
 
 def score_cohort(
@@ -263,21 +355,23 @@ def score_cohort(
     fold: int,
     task: ForecastTask,
     variables: Sequence[int],
-    settings: FitSettings = FitSettings(),
+    settings: FitSettings | None = None,
 ) -> DataFrame:
     """Forecasts of a saved fold's model for other rows, as the set ``test``.
 
-    The rows are normalised with the saved statistics of the train side or, with
-    ``fit_on="own"``, with their own.
+    ``settings`` are those saved with the models if not given. The rows are normalised with the
+    saved statistics of the train side or, with ``fit_on="own"``, with their own.
     """
+    settings = settings or FitSettings.of(models)
     names = settings.names(variables)
     features = feature_table(rows, task, variables).withColumns({"fold": F.lit(fold), "set": F.lit("test")})
     if settings.fit_on == "own":
         stats = side_stats(fit_stats(rows), [], task.target, variables).withColumn("fold", F.lit(fold))
     else:
-        stats = models.filter(F.col("fold") == fold).drop("names", "coefficients", "intercept")
+        stats = models.filter(F.col("fold") == fold).drop("names", "coefficients", "intercepts", "settings")
     scaled = features.join(small_side(stats), "fold")
-    return apply_models(scaled.select("ind", "fold", "set", "y_true", *_scaled(names), "y_mean", "y_std"), models, names)
+    scaled = scaled.select("ind", "fold", "set", "y_true", *_scaled(names), "y_mean", "y_std")
+    return apply_models(scaled, models, names, settings.loss == "pinball")
 
 
 Predictor = Callable[[dict[str, np.ndarray]], np.ndarray]

@@ -7,6 +7,7 @@ Whatever is global then follows from one small total per partition.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -107,51 +108,112 @@ def order_statistics(
 ) -> DataFrame:
     """Exact values at given 0-based ranks per group, one column per rank.
 
-    ``ranks`` maps an output name to the rank as a function of the group size. Values
-    are folded to a histogram map-side, the histogram is range-partitioned over all
-    groups together, and only the partition slices that hold a wanted rank are ranked.
-    A group with any share of the rows is thus spread over many tasks.
+    ``ranks`` maps an output name to the rank as a function of the group size. A first pass makes
+    a quantile sketch of each group, whose error is known, and brackets each rank by two values. A
+    second pass counts what lies below a bracket map-side and shuffles only the distinct values
+    inside it, some hundredths of the table. The counts tell whether the bracket holds the rank;
+    where it does not, wider ones are tried, and in the end the whole group. NaN is the largest
+    value. A group with any share of the rows is spread over many tasks.
     """
     by = list(by)
-    folded = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias(_COPIES))
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias(_VALUE))
+    rows = rows.filter(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in by), F.lit(True)))
+    pending = materialise(_brackets(rows, by, ranks), "brackets")
+    found = None
+    for width in range(len(WIDTHS) + 1):
+        picked, missed = _select_inside(rows, by, pending, width)
+        found = picked if found is None else found.unionByName(picked)
+        if width == len(WIDTHS) or missed.isEmpty():
+            break
+        pending = missed
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col(_NAME) == name, F.col(_VALUE))).alias(name) for name in ranks))
+
+
+#: Size of a group's sketch; the share of ranks by which a value of it may be off, of which a
+#: bracket is some multiples wide on either side; steps of the grid of ranks that it is asked for.
+SKETCH = 1024
+SKETCH_ERROR = 2.296 / SKETCH**0.9723
+WIDTHS = (2.5, 25.0)
+GRID = 512
+_VALUE, _NAME, _K = "_value", "_name", "_k"
+
+
+def _brackets(rows: DataFrame, by: Sequence[str], ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per group and wanted rank: _name, _k and for each width the least and greatest value it
+    may have. An open end is minus infinity or NaN, which no value is beyond."""
+    number = F.col(_VALUE).cast("double")
+    sketches = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(~F.isnan(number)).alias("_numbers"),
+        F.kll_sketch_agg_double(number, F.lit(SKETCH)).alias("_sketch"),
     )
-    parts = _range_parts(folded, [*by, value])
+    grid = F.kll_sketch_get_quantile_double("_sketch", F.array(*(F.lit(i / GRID) for i in range(GRID + 1))))
+    sketches = sketches.withColumn("_grid", F.when(F.col("_numbers") > 0, grid)).drop("_sketch")
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("k")) for name, rank in ranks.items()))
+    each = sketches.withColumn("_rank", F.explode(wanted)).select("*", F.col("_rank.name").alias(_NAME), F.col("_rank.k").alias(_K))
+    each = each.filter((F.col(_K) >= 0) & (F.col(_K) < F.col("_n")))
+    at = (F.col(_K) + 0.5) / F.col("_numbers")
+
+    def ends(width: float) -> Column:
+        margin = width * SKETCH_ERROR
+        low = F.floor((at - margin) * GRID).cast("int")
+        high = F.ceil((at + margin) * GRID).cast("int")
+        no_grid = F.col("_grid").isNull()
+        return F.struct(
+            F.when(no_grid | (low <= 0), F.lit(float("-inf"))).otherwise(F.get("_grid", F.least(low, F.lit(GRID)))).alias("low"),
+            F.when(no_grid | (high >= GRID), F.lit(float("nan"))).otherwise(F.get("_grid", high)).alias("high"),
+        )
+
+    return each.select(*by, _NAME, _K, *(ends(width).alias(f"_ends{i}") for i, width in enumerate(WIDTHS)))
+
+
+def _select_inside(rows: DataFrame, by: Sequence[str], pending: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """``(found, missed)``: the values at the ranks that the brackets of one width hold, and the
+    rows of ``pending`` whose rank they do not hold. Beyond the last width nothing is left out."""
+    if width < len(WIDTHS):
+        low, high = F.col(f"_ends{width}.low"), F.col(f"_ends{width}.high")
+    else:
+        low, high = F.lit(float("-inf")), F.lit(float("nan"))
+    ends = pending.select(*by, F.struct(F.col(_NAME).alias("name"), low.alias("low"), high.alias("high")).alias("_end"))
+    ends = small_side(ends.groupBy(*by).agg(F.collect_list("_end").alias("_ends")))  # a struct per rank
+    number = F.col(_VALUE).cast("double")
+    near = rows.join(ends, list(by)).withColumn("_end", F.explode("_ends")).filter(number <= F.col("_end.high"))
+    below = number < F.col("_end.low")
+    # All rows below a bracket are one row of a task, those inside one row per distinct value.
+    folded = near.groupBy(*by, F.col("_end.name").alias(_NAME), below.alias("_below"), F.when(~below, F.col(_VALUE)).alias(_VALUE)).agg(
+        F.count(F.lit(1)).alias(_COPIES)
+    )
+    folded = materialise(folded, "inside")
+    sums = folded.groupBy(*by, _NAME).agg(
+        F.sum(F.when(F.col("_below"), F.col(_COPIES)).otherwise(0)).alias("_less"), F.sum(_COPIES).alias("_upto")
+    )
+    placed = materialise(pending.join(sums, [*by, _NAME], "left"), "placed")
+    holds = (F.coalesce("_less", F.lit(0)) <= F.col(_K)) & (F.col(_K) < F.coalesce("_upto", F.lit(0)))
+    wanted = placed.filter(holds).select(*by, _NAME, (F.col(_K) - F.col("_less")).alias(_K))
+    return _at_ranks(folded.filter(~F.col("_below")).drop("_below"), by, wanted), placed.filter(~holds).drop("_less", "_upto")
+
+
+def _at_ranks(histogram: DataFrame, by: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """The value at the rank _k of each group and _name of a written histogram.
 
+    The histogram is range-partitioned over all groups together, and only the slices of a
+    partition that hold a wanted rank are ranked.
+    """
+    group = [*by, _NAME]
+    parts = _range_parts(histogram, [*group, _VALUE])
     # One row per group and partition: groups + partitions rows at most.
-    slices = parts.groupBy(*by, _PART).agg(F.sum(_COPIES).alias("_slice"))
-    slices, small = fetch_small(slices)
+    slices, small = fetch_small(parts.groupBy(*group, _PART).agg(F.sum(_COPIES).alias("_slice")))
     slices = slices.coalesce(1) if small else slices
-    group = W.partitionBy(*by)
-    located = slices.withColumn("_n", F.sum("_slice").over(group)).withColumn(
-        "_ahead", F.sum("_slice").over(group.orderBy(_PART)) - F.col("_slice")
-    )
-    wanted = located.select(
-        *by,
-        _PART,
-        "_ahead",
-        "_slice",
-        F.explode(
-            F.array(
-                *(
-                    F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("k"))
-                    for name, rank in ranks.items()
-                )
-            )
-        ).alias("_rank"),
-    ).select(*by, _PART, F.col("_rank.name").alias("_name"), (F.col("_rank.k") - F.col("_ahead")).alias("_k"), "_slice")
-    wanted = wanted.filter("_k >= 0 and _k < _slice").drop("_slice")
+    upto = F.sum("_slice").over(W.partitionBy(*group).orderBy(_PART))
+    located = slices.withColumn("_ahead", upto - F.col("_slice")).join(small_side(wanted), group)
+    located = located.select(*group, _PART, (F.col(_K) - F.col("_ahead")).alias(_K), "_slice")
+    located = located.filter((F.col(_K) >= 0) & (F.col(_K) < F.col("_slice"))).drop("_slice")
     if small:
-        wanted = F.broadcast(wanted)
-
-    within = W.partitionBy(*by, _PART, "_name").orderBy(_POS)
-    picked = (
-        parts.join(wanted, [*by, _PART])
+        located = F.broadcast(located)
+    within = W.partitionBy(*group, _PART).orderBy(_POS)
+    return (
+        parts.join(located, [*group, _PART])
         .withColumn("_upto", F.sum(_COPIES).over(within))
-        .filter((F.col("_upto") - F.col(_COPIES) <= F.col("_k")) & (F.col("_k") < F.col("_upto")))
-    )
-    return picked.groupBy(*by).agg(
-        *(F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in ranks)
+        .filter((F.col("_upto") - F.col(_COPIES) <= F.col(_K)) & (F.col(_K) < F.col("_upto")))
+        .select(*group, _VALUE)
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from irregts.functions.expr import Staging, even_quantiles, huber, pinball, stage
 from irregts.operators.layout import order_statistics
+from irregts.operators.regression import HUBER_DELTA, THREE_QUANTILES
 
 GROUP = ("set", "fold")
 
@@ -20,10 +21,6 @@ GROUP = ("set", "fold")
 REGRESSION_SCORES = ("mae", "medae", "r2", "d2")
 CLASS_SCORES = ("acc", "f1")
 
-# Quantile levels of a three-output forecast.
-THREE_QUANTILES = (0.1, 0.5, 0.9)
-
-
 def _nan() -> Column:
     return F.lit(float("nan"))
 
@@ -189,7 +186,7 @@ def prediction_sheet(predictions: DataFrame, staging: Staging) -> DataFrame:
     )
 
 
-def huber_loss(predictions: DataFrame, delta: float = 1.0, by: Sequence[str] = GROUP) -> DataFrame:
+def huber_loss(predictions: DataFrame, delta: float = HUBER_DELTA, by: Sequence[str] = GROUP) -> DataFrame:
     error = F.col("y_true") - F.col("y_pred")
     return predictions.groupBy(*by).agg(F.avg(huber(error, delta)).alias("huber"))
 

@@ -247,9 +247,9 @@ def _scores(text: str, by: str = _GROUP) -> str:
     return text.replace("{by}", by)
 
 
-def _forecast_rows(name: str, source: str) -> str:
-    """Per stay of ``source`` the target observation and the latest values of two variables."""
-    latest = ", ".join(f"(max({{'t': m.time, 'v': m.value}}) filter (where m.itemid = {i})).v as v{i}" for i in (2, 4))
+def _forecast_rows(name: str, source: str, items: tuple[int, ...] = (2, 4)) -> str:
+    """Per stay of ``source`` the target observation and the latest values of some variables."""
+    latest = ", ".join(f"(max({{'t': m.time, 'v': m.value}}) filter (where m.itemid = {i})).v as v{i}" for i in items)
     return f"""
 {name}_tgt as (
   select ind, max(time) as tgt_time, (max({{'t': time, 'v': value}})).v as y_true, min(gender) as gender, min(age) as age
@@ -257,14 +257,14 @@ def _forecast_rows(name: str, source: str) -> str:
 {name}_seen as (
   select m.ind, {latest} from {source} m join {name}_tgt t on t.ind = m.ind
   where m.time < t.tgt_time and m.itemid <> 1 group by m.ind),
-{name} as (select t.*, v2, v4 from {name}_tgt t left join {name}_seen s on s.ind = t.ind)"""
+{name} as (select t.*, s.* exclude (ind) from {name}_tgt t left join {name}_seen s on s.ind = t.ind)"""
 
 
-def _stats(by: str) -> str:
+def _stats(by: str, items: tuple[int, ...] = (2, 4)) -> str:
     """Means and deviations that scale the features, as columns."""
     parts = [
         f"{f}(value) filter (where itemid = {i}) as {n}_{s}"
-        for n, i in (("y", 0), ("v2", 2), ("v4", 4)) for f, s in (("avg", "m"), ("stddev_pop", "s"))
+        for n, i in (("y", 0), *((f"v{i}", i) for i in items)) for f, s in (("avg", "m"), ("stddev_pop", "s"))
     ]
     parts += [f"{f}({c}) as {c}_{s}" for c in ("time", "age") for f, s in (("avg", "m"), ("stddev_pop", "s"))]
     return ", ".join([*([by] if by else []), *parts])
@@ -299,6 +299,64 @@ train_x as (
 fitted as (select fold, regr_slope(y, x) as slope, regr_intercept(y, x) as icept from train_x group by fold)"""
 
 
+_ITEMS = (0, 1, 2, 3, 4)
+_ALL_X = [
+    "1.0::double",
+    *(f"coalesce({_x(f'v{i}')}, 0)" for i in _ITEMS),
+    "case gender when 'M' then -1.0 when 'F' then 1.0 else 0.0 end::double",
+    f"coalesce({_x('age', 'f.age')}, 0)",
+    f"coalesce({_x('time', 'tgt_time')}, 0)",
+]
+
+
+def _reweighted(weights: list[tuple[str, str]], levels: str, reg: float) -> str:
+    """Least squares of every fold and level, solved once per entry of ``weights``: the weight of
+    a row and its weighted truth, given its residual r to the coefficients before. Ends in the
+    table ``fitted`` of fold, q, beta."""
+    p = len(_ALL_X)
+    row = "[" + ", ".join(_ALL_X) + "]"
+    tables = [f"""
+side_stats as (select {_stats('of_fold, split', _ITEMS)} from fold_rows group by of_fold, split),""" + _forecast_rows("feat", "fx_measures", _ITEMS) + f""",
+every_x as materialized (
+  select f.ind, r.fold, o.fold as own, y_true, y_m, y_s, {row} as x, {_x('y', 'y_true')} as y
+  from feat f join fold_of o on o.ind = f.ind cross join (select unnest(range(5)) as fold) r
+  join side_stats s on s.of_fold = r.fold and s.split = 'train'),
+levels as (select unnest({levels})::double as q),
+train_x as materialized (select fold, q, x, y from every_x, levels where fold <> own),
+beta_0 as (select distinct fold, q, list_transform(range({p}), lambda i: 0.0::double) as beta from train_x)"""]
+    cells = ", ".join("[" + ", ".join([f"sum(w * x[{i}] * x[{j}])" for j in range(1, p + 1)] + [f"sum(x[{i}] * t)"]) + "]" for i in range(1, p + 1))
+    for step, (weight, truth) in enumerate(weights, 1):
+        tables.append(f"""
+gram_{step} as (
+  select fold, q, list_transform([{cells}], lambda row, i: list_transform(row, lambda v, c:
+    v / count(*) + case when i = c and i > 1 then {reg} else 0 end)) as m
+  from (select *, {truth} as t from (select *, {weight} as w from (
+    select fold, q, x, y, y - list_dot_product(x, beta) as r from train_x join beta_{step - 1} using (fold, q))))
+  group by fold, q)""")
+        before = f"gram_{step}"
+        for j in range(1, p + 1):
+            tables.append(f"""
+sweep_{step}_{j} as (
+  select fold, q, list_transform(m, lambda row, i: case when i = {j} then list_transform(row, lambda v: v / m[{j}][{j}])
+    else list_transform(row, lambda v, c: v - row[{j}] / m[{j}][{j}] * m[{j}][c]) end) as m from {before})""")
+            before = f"sweep_{step}_{j}"
+        tables.append(f"""
+beta_{step} as materialized (select fold, q, list_transform(m, lambda row: row[{p + 1}]) as beta from {before})""")
+    tables.append(f"""
+fitted as (select * from beta_{len(weights)}),
+outputs as (
+  select ind, fold, y_true, q, list_dot_product(x, beta) * y_s + y_m as pred from every_x join fitted using (fold) where fold = own)""")
+    return _FOLD_ROWS + "," + ",".join(tables)
+
+
+_HUBER_FIT = _reweighted(
+    [("1.0", "y"), *[("case when abs(r) <= 1 then 1.0 else 1 / abs(r) end", "w * y")] * 6], "[0.0]", 0.01
+)
+_QUANTILE_FIT = _reweighted(
+    [("1.0", "y"), *((f"0.5 / (abs(r) + {0.5 ** step})", "w * y + q - 0.5") for step in range(1, 7))], "[0.1, 0.5, 0.9]", 0.01
+)
+
+
 def _scored(name: str, stats: str) -> str:
     """Forecasts of the other cohort with given statistics."""
     return f"""
@@ -532,6 +590,25 @@ side_stats as (select {_stats('of_fold, split')} from fold_rows group by of_fold
         + ","
         + _FITTED,
     ),
+    "cv_fit_huber": _sql(
+        """
+select ind, fold::integer as fold, 'test' as "set", y_true, round(pred, 5) as y_pred from outputs""",
+        _HUBER_FIT,
+    ),
+    "cv_fit_quantiles": _sql(
+        """
+select ind, fold::integer as fold, 'test' as "set", y_true, round(max(pred) filter (where q = 0.1), 5) as low,
+       round(max(pred) filter (where q = 0.5), 5) as y_pred, round(max(pred) filter (where q = 0.9), 5) as high
+from outputs group by ind, fold, y_true""",
+        _QUANTILE_FIT,
+    ),
+    "cv_quantile_loss": _sql(
+        """
+select 'test' as "set", fold::integer as fold, q, round(avg(loss), 5) as mean_loss, round(sum(loss), 3) as sum_loss
+from (select fold, q, q * greatest(y_true - pred, 0) + (1 - q) * greatest(pred - y_true, 0) as loss from outputs)
+group by fold, q""",
+        _QUANTILE_FIT,
+    ),
     "norm_stats_standard": _sql(
         """
 select of_fold::integer as fold, split, itemid, round(avg(value), 9) as value_mean,

@@ -305,7 +305,7 @@ def _profile_columns(df: DataFrame) -> DataFrame:
 
 
 # A forecaster that SQL can follow: least squares on the latest value of one variable.
-ONE_FEATURE = fc.FitSettings(loss="squaredError", solver="normal", reg=0.0, features=("v2",))
+ONE_FEATURE = fc.FitSettings(loss="squaredError", reg=0.0, features=("v2",))
 ALL = range(len(v.LABELS))
 
 STRICT = replace(v.BASE_RULES, pred_horizon=12, pred_history=24)
@@ -723,6 +723,34 @@ def cv_fit_predict(spark, d):
     return rounded(fc.fit_predict_folds(m, _task(spark, d), ALL, folds, K, ONE_FEATURE), ["y_pred"])
 
 
+def _cv_fitted(spark, d, settings: fc.FitSettings) -> DataFrame:
+    m = v.measures(spark, d)
+    folds = materialise(sp.k_folds(m, K, 1), "folds")
+    return fc.fit_predict_folds(m, _task(spark, d), ALL, folds, K, settings)
+
+
+@query
+def cv_fit_huber(spark, d):
+    """All features, the default loss; a fixed number of steps, which SQL can follow."""
+    return rounded(_cv_fitted(spark, d, fc.FitSettings(iterations=6, tolerance=0.0)), ["y_pred"], 5)
+
+
+QUANTILES = fc.FitSettings(loss="pinball", iterations=6, tolerance=0.0)
+
+
+@query
+def cv_fit_quantiles(spark, d):
+    low, high = F.col("q_pred")[0].alias("low"), F.col("q_pred")[2].alias("high")
+    fitted = _cv_fitted(spark, d, QUANTILES).select("ind", "fold", "set", "y_true", low, "y_pred", high)
+    return rounded(fitted, ["low", "y_pred", "high"], 5)
+
+
+@query
+def cv_quantile_loss(spark, d):
+    losses = me.pinball_loss(_cv_fitted(spark, d, QUANTILES), QUANTILES.levels)
+    return rounded(rounded(losses, ["mean_loss"], 5), ["sum_loss"], 3)
+
+
 def _cv_features(spark, d, fit_on: str) -> DataFrame:
     m, names = v.measures(spark, d), ["v2", "v4", "gender", "age", "time"]
     folds = materialise(sp.k_folds(m, K, 1), "folds")

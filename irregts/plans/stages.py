@@ -151,13 +151,15 @@ def cross_validate(
     staging: Staging | None = None,
     settings: FitSettings = FitSettings(),
     models_path: str | None = None,
+    resume: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Folds, forecasts of every fold's test stays (and train stays, if set) and scores.
 
-    With ``models_path`` the fitted models are saved there for :func:`evaluate_cohort`.
+    With ``models_path`` the fitted models are saved there for :func:`evaluate_cohort`; with
+    ``resume`` an interrupted fit goes on from its saved steps.
     """
     folds = materialise(choose_folds(measures, k, seed, labels), "folds")
-    fitted = fit_predict_folds(measures, task, variables, folds, max(k, 1), settings, models_path)
+    fitted = fit_predict_folds(measures, task, variables, folds, max(k, 1), settings, models_path, resume)
     predictions = materialise(fitted, "predictions")
     return folds, predictions, evaluate(predictions, range(max(k, 1)), staging)
 
@@ -170,7 +172,7 @@ def evaluate_cohort(
     task: ForecastTask,
     variables: Sequence[int],
     staging: Staging | None = None,
-    settings: FitSettings = FitSettings(),
+    settings: FitSettings | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Forecasts and scores of a saved fold on the rows that another cohort has of the
     fold's test stays."""
