@@ -356,15 +356,18 @@ def score_cohort(
     task: ForecastTask,
     variables: Sequence[int],
     settings: FitSettings | None = None,
+    features: DataFrame | None = None,
 ) -> DataFrame:
     """Forecasts of a saved fold's model for other rows, as the set ``test``.
 
-    ``settings`` are those saved with the models if not given. The rows are normalised with the
-    saved statistics of the train side or, with ``fit_on="own"``, with their own.
+    ``settings`` are those saved with the models if not given; ``features`` is their
+    :func:`feature_table`, for a caller that scores the rows several times. The rows are normalised
+    with the saved statistics of the train side or, with ``fit_on="own"``, with their own.
     """
     settings = settings or FitSettings.of(models)
     names = settings.names(variables)
-    features = feature_table(rows, task, variables).withColumns({"fold": F.lit(fold), "set": F.lit("test")})
+    features = feature_table(rows, task, variables) if features is None else features
+    features = features.withColumns({"fold": F.lit(fold), "set": F.lit("test")})
     if settings.fit_on == "own":
         stats = side_stats(fit_stats(rows), [], task.target, variables).withColumn("fold", F.lit(fold))
     else:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from irregts.session import materialise, scratch_path
 
@@ -84,20 +85,55 @@ def global_row_index(df: DataFrame, order: Sequence[str], name: str) -> tuple[Da
     """Add the 0-based position of each row in ``order``; also return the row count.
 
     Columns outside ``order`` break ties, and equal rows are ordered by the task they
-    come from. A group of copies of any size is thus cut into ranges like other rows.
+    come from. A group of copies of any size is thus cut into ranges like other rows. The rows
+    are written before ranges are chosen, so ``df`` itself is evaluated once.
     """
     ties = [c for c in df.columns if c not in order]
-    traced = df.withColumn("_task", F.spark_partition_id())
+    traced = materialise(df.withColumn("_task", F.spark_partition_id()), "rows")
     parts = _range_parts(traced, [*order, *ties, "_task"])
-    # One number per partition reaches the driver.
-    sizes = {r[_PART]: r["n"] for r in parts.groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect()}
-    ahead, total = [], 0
-    for part in range(max(sizes, default=0) + 1):
-        ahead.append(f"{total}L")
-        total += sizes.get(part, 0)
-    offsets = F.expr(f"array({', '.join(ahead)})")
-    offset = F.element_at(offsets, (F.col(_PART) + 1).cast("int"))
-    return parts.select(*df.columns, (offset + F.col(_POS)).alias(name)), total
+    return _numbered(parts, [_PART], df.columns, name)
+
+
+#: Hexadecimal digits of a digest that name its bucket.
+DIGITS = 3
+
+
+def digest_row_index(df: DataFrame, digest: str, name: str, first: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """As :func:`global_row_index` in the order ``first``, ``digest``, all other columns, for a
+    column of evenly spread hexadecimal digests.
+
+    The first digits are the bucket of a row, so no ranges have to be sampled: one exchange by
+    bucket, a sort, and the rows are written. A bucket is a 4096th of the rows with one ``first``.
+    """
+    rest = [c for c in df.columns if c not in (digest, *first)]
+    keys = [*first, _PART]
+    placed = (
+        df.withColumn(_PART, F.substring(digest, 1, DIGITS))
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, digest, *rest)
+        .withColumn(_POS, F.monotonically_increasing_id())
+    )
+    return _numbered(materialise(placed, "buckets"), keys, df.columns, name)
+
+
+def _numbered(parts: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> tuple[DataFrame, int]:
+    """Rows of written parts, named and ordered by ``keys`` and sorted by _pos inside, with their
+    position in all. One row per part is summed and joined back."""
+    sizes = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.min(_POS).alias("_start"))
+    sizes, small = fetch_small(sizes)
+    if small:
+        ahead, total = [], 0
+        for row in sizes.orderBy(*keys).collect():
+            ahead.append((*(row[k] for k in keys), total - row["_start"]))
+            total += row["_size"]
+        schema = T.StructType([*(sizes.schema[k] for k in keys), T.StructField("_offset", T.LongType())])
+        offsets = F.broadcast(parts.sparkSession.createDataFrame(ahead, schema))
+    else:
+        ahead = F.sum("_size").over(W.orderBy(*keys)) - F.col("_size")
+        offsets = materialise(sizes.select(*keys, (ahead - F.col("_start")).alias("_offset")), "offsets")
+        total = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    numbered = parts.join(offsets, list(keys))
+    return numbered.select(*columns, (F.col("_offset") + F.col(_POS)).alias(name)), total
 
 
 def order_statistics(
@@ -152,7 +188,7 @@ def _brackets(rows: DataFrame, by: Sequence[str], ranks: Mapping[str, Callable[[
     wanted = F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("k")) for name, rank in ranks.items()))
     each = sketches.withColumn("_rank", F.explode(wanted)).select("*", F.col("_rank.name").alias(_NAME), F.col("_rank.k").alias(_K))
     each = each.filter((F.col(_K) >= 0) & (F.col(_K) < F.col("_n")))
-    at = (F.col(_K) + 0.5) / F.col("_numbers")
+    at = F.try_divide(F.col(_K) + 0.5, F.col("_numbers"))
 
     def ends(width: float) -> Column:
         margin = width * SKETCH_ERROR

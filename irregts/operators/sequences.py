@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from irregts.functions.expr import gender_code
-from irregts.operators.layout import global_row_index, join_back
+from irregts.operators.layout import digest_row_index, global_row_index, join_back
 from irregts.operators.stays import stay_ordinals
 from irregts.operators.windows import last_n
 from irregts.session import materialise
@@ -102,11 +102,12 @@ def batch_assignment(
     """Batch of every stay, in id order or, with a seed, shuffled anew per epoch."""
     if size < 1:
         raise ValueError("the batch size must be positive")
-    order, keyed = ["ind"], stays.select("ind").distinct()
-    if seed is not None:
+    keyed = stays.select("ind").distinct()
+    if seed is None:
+        placed, n = global_row_index(keyed, ["ind"], "_place")
+    else:
         keyed = keyed.withColumn("_md5", F.md5(F.concat(F.col("ind").cast("string"), F.lit(f":{seed}:{epoch}"))))
-        order = ["_md5", "ind"]
-    placed, n = global_row_index(keyed, order, "_place")
+        placed, n = digest_row_index(keyed, "_md5", "_place")
     out = placed.select(
         "ind",
         F.floor(F.col("_place") / size).cast("long").alias("batch_id"),

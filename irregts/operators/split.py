@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from irregts.operators.layout import global_row_index, join_back
+from irregts.operators.layout import digest_row_index, global_row_index, join_back
 from irregts.session import materialise
 
 
@@ -18,7 +18,7 @@ def shuffle_key(seed: int | str, stay: str = "ind") -> Column:
 def _shuffled(stays: DataFrame, seed: int, *extra: str) -> tuple[DataFrame, int]:
     """Distinct stays with their 0-based place in the shuffled order."""
     keyed = stays.select("ind", *extra).distinct().withColumn("_md5", shuffle_key(seed))
-    placed, n = global_row_index(keyed, [*extra, "_md5", "ind"], "_place")
+    placed, n = digest_row_index(keyed, "_md5", "_place", first=extra)
     return placed.drop("_md5"), n
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from irregts.functions.expr import whole_minutes
 from irregts.operators.layout import global_row_index, join_back
 from irregts.schemas import STAY_ORDER
+from irregts.session import materialise
 
 
 def join_admissions(events: DataFrame, admissions: DataFrame) -> DataFrame:
@@ -74,9 +76,13 @@ def filter_stays(
 
 
 def restrict_to_stays(df: DataFrame, stays: DataFrame, stay: str = "ind", check: bool = True) -> DataFrame:
-    """Rows of the listed stays. With ``check``, no common stay is an error."""
+    """Rows of the listed stays. With ``check``, no common stay is an error: the rows are then
+    written, once, and what was written is looked at."""
     kept = join_back(df, stays.select(stay).distinct(), stay, "left_semi")
-    if check and kept.isEmpty():
+    if not check:
+        return kept
+    kept = materialise(kept, "restricted")
+    if kept.isEmpty():
         raise ValueError("none of the given stays occurs in the table")
     return kept
 
@@ -86,15 +92,31 @@ def common_stays(left: DataFrame, right: DataFrame, stay: str = "ind") -> DataFr
     return left.select(stay).distinct().join(right.select(stay).distinct(), stay, "left_semi")
 
 
-def stay_ordinals(df: DataFrame, order: Sequence[str] = STAY_ORDER, stay: str = "ind", name: str = "pos") -> DataFrame:
-    """Rows numbered from 0 within their stay, in stay order.
+#: Rows above which a stay is not ranked by one task.
+HOT_STAY = 1_000_000
 
-    Positions come from one global order over (stay, order), so that even a stay with
-    a large share of all rows is ranked by many tasks.
+
+def stay_ordinals(
+    df: DataFrame, order: Sequence[str] = STAY_ORDER, stay: str = "ind", name: str = "pos", hot: int = HOT_STAY
+) -> DataFrame:
+    """Rows numbered from 0 within their stay, in stay order; other columns break ties.
+
+    The rows are written once, and the sizes of stays read from there. Stays of up to ``hot`` rows
+    are ranked after an exchange by stay. The rows of the others, of which there cannot be many,
+    get their positions from one global order over (stay, order), which many tasks rank.
     """
-    placed, _ = global_row_index(df, [stay, *order], "_place")
+    rows = materialise(df, "rows")
+    sizes = rows.groupBy(stay).agg(F.count(F.lit(1)).alias("_n"))
+    large = materialise(sizes.filter(F.col("_n") > hot).select(stay), "hot_stays")
+    ties = [c for c in df.columns if c not in (stay, *order)]
+    place = F.row_number().over(W.partitionBy(stay).orderBy(*order, *ties)) - 1
+    if large.isEmpty():
+        return rows.withColumn(name, place.cast("long"))
+    usual = rows.join(large, stay, "left_anti").withColumn(name, place.cast("long"))
+    placed, _ = global_row_index(rows.join(large, stay, "left_semi"), [stay, *order], "_place")
     first = placed.groupBy(stay).agg(F.min("_place").alias("_first"))
-    return join_back(placed, first, stay).select(*df.columns, (F.col("_place") - F.col("_first")).alias(name))
+    ranked = join_back(placed, first, stay).select(*df.columns, (F.col("_place") - F.col("_first")).alias(name))
+    return usual.unionByName(ranked)
 
 
 def decimate(df: DataFrame, order: Sequence[str], stride: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from irregts.operators.layout import global_row_index, order_statistics, small_side, small_table
+from irregts.session import materialise
 
 
 def select_variables(df: DataFrame, catalogue: DataFrame, on: str = "itemid") -> DataFrame:
@@ -79,10 +80,25 @@ def variable_key(df: DataFrame, catalogue: DataFrame, on: str = "itemid") -> Dat
     return small_table(key.select("label", *extra, "key"))
 
 
+def first_seen_key(df: DataFrame, on: str, order: Sequence[str]) -> DataFrame:
+    """Dense 0-based ids ``(on, key)`` of a column's values in the order in which they first appear,
+    rows being ordered by the columns ``order``; values that first appear in equal rows follow their
+    own order, null is a value. Needs no catalogue: one map-side aggregate finds the first rows.
+    """
+    first = df.groupBy(on).agg(F.min(F.struct(*order)).alias("_first"))
+    return global_row_index(first, ["_first", on], "key")[0].select(on, "key")
+
+
+def index_by_first_appearance(df: DataFrame, on: str, order: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows with the number of each value of on as name, the key)``, as :func:`first_seen_key`."""
+    key = materialise(first_seen_key(df, on, order), "key")
+    return index_variables(df, key, on, name), key
+
+
 def index_variables(df: DataFrame, key: DataFrame, on: str = "itemid", name: str = "itemid") -> DataFrame:
     """Replace each variable by its key; a variable without key is an error."""
     lookup = small_side(key.select(F.col(on).alias("_on"), F.col("key").alias("_key")))
-    joined = df.join(lookup, df[on] == F.col("_on"), "left")
+    joined = df.join(lookup, df[on].eqNullSafe(F.col("_on")), "left")
     problem = F.concat(F.lit("variable without key: "), F.col(on).cast("string"))
     strict = F.when(F.col("_key").isNull(), F.raise_error(problem).cast("long")).otherwise(F.col("_key"))
     return joined.withColumn("_key", strict).drop("_on", *([name] if name in df.columns else [])).withColumnRenamed(

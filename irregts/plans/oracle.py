@@ -433,13 +433,17 @@ named as (select * from (values ('l_quantity', 0), ('l_extendedprice', 1), ('l_d
 keyed as (select variable, row_number() over (order by position) - 1 as key from named
           where variable in (select variable from fx_offsets))"""),
     "variable_index": _sql(
-        "select l_suppkey as patientunitstayid, time, variable, value, key as itemid from fx_offsets join keyed using (variable)",
+        """
+select l_suppkey as patientunitstayid, time, variable, value, dense_rank() over (order by position) - 1 as itemid
+from fx_offsets join named using (variable)""",
         """
 named as (select * from (values ('l_quantity', 0), ('l_extendedprice', 1), ('l_discount', 2), ('l_tax', 3),
-                                ('A', 4), ('never', 5), ('N', 6), ('R', 7)) t(variable, position)),
-keyed as (select variable, row_number() over (order by position) - 1 as key from named
-          where variable in (select variable from fx_offsets))""",
+                                ('A', 4), ('never', 5), ('N', 6), ('R', 7)) t(variable, position))""",
     ),
+    "first_seen_index": """
+with first as (
+  select user_id, row_number() over (order by min({'at': ts, 'id': event_id})) - 1 as ind from events group by user_id)
+select event_id, user_id as stay_id, ind from events join first using (user_id)""",
     "stay_index": _sql("""
 select l_orderkey as patientunitstayid, time, variable, value, dense_rank() over (order by l_orderkey) - 1 as ind
 from fx_labs"""),

@@ -262,6 +262,14 @@ def variable_index(spark, d):
     return va.index_variables(rows, key, "variable")
 
 
+@query
+def first_seen_index(spark, d):
+    """Users numbered in the order in which they first appear, without a catalogue."""
+    rows = v.table(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("stay_id"))
+    indexed, _ = va.index_by_first_appearance(rows, "stay_id", ["ts", "event_id"], "ind")
+    return indexed.select("event_id", "stay_id", "ind")
+
+
 # --- stays ---------------------------------------------------------------------
 
 
@@ -432,12 +440,14 @@ def decoupled_eval(spark, d):
     task, path = _task(spark, d), scratch_path(spark, "models")
     fc.fit_predict_folds(rows, task, ALL, materialise(folds, "folds"), 1, ONE_FEATURE, path)
     models = spark.read.parquet(path)
-    other = co.cull_cohort(v.measures(spark, d), OTHER)
+    other = stages.decoupled_rows(co.cull_cohort(v.measures(spark, d), OTHER), splits, 0)
+    features = materialise(fc.feature_table(other, task, ALL), "features")
     tables = []
     for fit_on in ("train", "own"):
         settings = replace(ONE_FEATURE, fit_on=fit_on)
-        _, scores = stages.evaluate_cohort(other, splits, 0, models, task, ALL, settings=settings)
-        tables.append(scores.filter("metric in ('mae', 'r2')").withColumn("fit_on", F.lit(fit_on)))
+        scored = fc.score_cohort(other, models, 0, task, ALL, settings, features)
+        scores = me.regression_scores(scored).unpivot(["set", "fold"], ["mae", "r2"], "metric", "value")
+        tables.append(scores.withColumn("fit_on", F.lit(fit_on)))
     return rounded(tables[0].unionByName(tables[1]), ["value"], 6)
 
 

@@ -176,12 +176,12 @@ def evaluate_cohort(
 ) -> tuple[DataFrame, DataFrame]:
     """Forecasts and scores of a saved fold on the rows that another cohort has of the
     fold's test stays."""
-    rows = materialise(decoupled_rows(other_cohort, splits, fold), "other_cohort")
+    rows = decoupled_rows(other_cohort, splits, fold)
     predictions = materialise(score_cohort(rows, models, fold, task, variables, settings), "predictions")
     return predictions, score_table(predictions, staging)
 
 
 def decoupled_rows(other_cohort: DataFrame, splits: DataFrame, fold: int) -> DataFrame:
-    """Rows of another cohort for the saved test stays of a fold; none is an error."""
+    """Rows of another cohort for the saved test stays of a fold, written; none is an error."""
     test = splits.filter((F.col("fold") == fold) & (F.col("split") == "test"))
     return restrict_to_stays(other_cohort, test)

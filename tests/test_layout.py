@@ -154,3 +154,116 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def _shuffled_pairs(n):
+    rng = random.Random(n)
+    return [(rng.choice("abc"), rng.randrange(10**6)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("limit", [la.MAX_SMALL_BYTES, 0])
+def test_digest_index_is_the_sort_position(spark, monkeypatch, limit):
+    """With counts per part summed by the driver, and with counts that are too many for it."""
+    monkeypatch.setattr(la.fetch_small, "__defaults__", (limit,))
+    df = spark.createDataFrame(_shuffled_pairs(700), "s string, i long").distinct().withColumn("d", F.md5(F.col("i").cast("string")))
+    for first in ((), ("s",)):
+        indexed, n = la.digest_row_index(df.repartition(5), "d", "pos", first)
+        order = [*first, "d", *(c for c in ("s", "i") if c not in first)]
+        got = indexed.orderBy("pos").collect()
+        assert n == len(got) and [r["pos"] for r in got] == list(range(n))
+        assert [tuple(r[c] for c in order) for r in got] == sorted(tuple(r[c] for c in order) for r in got)
+    assert la.digest_row_index(df.limit(0), "d", "pos")[1] == 0
+    indexed, n = la.global_row_index(df, ["i"], "pos")
+    assert [r["pos"] for r in indexed.orderBy("i").collect()] == list(range(n))
+
+
+def test_rows_are_evaluated_once(spark):
+    """Neither ranges nor buckets sample the rows: each is counted once on its way."""
+    for number in (
+        lambda df: la.global_row_index(df, ["x"], "pos")[0],
+        lambda df: la.digest_row_index(df.withColumn("d", F.md5(F.col("x").cast("string"))), "d", "pos")[0],
+        lambda df: st.stay_ordinals(df.select((F.col("x") % 7).alias("ind"), "x"), ["x"]),
+    ):
+        seen = spark.sparkContext.accumulator(0)
+
+        def tell(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        df = spark.range(0, 5000, 1, 4).toDF("x").mapInArrow(tell, "x long")
+        assert number(df).count() == 5000
+        assert seen.value == 5000
+
+
+def test_ordinals_of_hot_stays_come_from_the_global_order(spark):
+    rng = random.Random(7)
+    data = [(rng.choice([1, 1, 1, 2, 9]), rng.randrange(50), rng.randrange(3), float(i % 4)) for i in range(300)]
+    df = spark.createDataFrame(data, "ind long, time long, itemid long, value double").repartition(3)
+    usual = sorted(map(tuple, st.stay_ordinals(df).collect()))
+    assert sorted(map(tuple, st.stay_ordinals(df, hot=100).collect())) == usual
+    assert sorted(map(tuple, st.stay_ordinals(df, hot=0).collect())) == usual
+
+
+def _quantiles(values, ranks):
+    ordered = sorted(values, key=lambda x: (x != x, x))
+    return tuple(ordered[r(len(ordered))] for r in ranks)
+
+
+@pytest.mark.parametrize("widths", [la.WIDTHS, (0.0, 0.0), (0.0, 3.0)])
+def test_brackets_of_any_width_give_the_exact_value(spark, monkeypatch, widths):
+    monkeypatch.setattr(la, "WIDTHS", widths)
+    monkeypatch.setattr(la, "SKETCH", 16)
+    rng = np.random.default_rng(2)
+    groups = {
+        "normal": rng.normal(size=4000).tolist(),
+        "steps": rng.integers(0, 3, 900).astype(float).tolist(),
+        "nan": [float("nan")] * 30 + rng.normal(size=20).tolist(),
+        "all nan": [float("nan")] * 5,
+        "wide": [*rng.normal(size=50).tolist(), float("inf"), float("-inf"), 1e300, -0.0, 0.0],
+        "one": [3.0],
+    }
+    data = [(g, x) for g, values in groups.items() for x in values] + [("one", None), (None, 2.0)]
+    rng.shuffle(data)
+    df = spark.createDataFrame([(g if g != "None" else None, None if x is None else float(x)) for g, x in data], "g string, value double").repartition(4)
+    ranks = {"low": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "q": lambda n: F.floor(n * 0.9), "high": lambda n: n - 1}
+    got = {r["g"]: (r["low"], r["mid"], r["q"], r["high"]) for r in la.order_statistics(df, ["g"], "value", ranks).collect()}
+    assert set(got) == set(groups)
+    python = [lambda n: 0, lambda n: n // 2, lambda n: int(n * 0.9), lambda n: n - 1]
+    for g, values in groups.items():
+        assert repr(got[g]) == repr(tuple(x + 0.0 for x in _quantiles(values, python))), g
+
+
+def test_few_rows_leave_the_map_side(spark, monkeypatch):
+    """Quartiles of a continuous column, most of it one variable: under five hundredths are shuffled."""
+    moved = []
+    real = la.materialise
+
+    def recording(df, name, *more):
+        table = real(df, name, *more)
+        if name == "inside":
+            moved.append(table.count())
+        return table
+
+    monkeypatch.setattr(la, "materialise", recording)
+    n = 400_000
+    df = spark.range(0, n, 1, 4).select(F.when(F.col("id") % 20 == 0, F.col("id") % 3 + 1).otherwise(0).alias("itemid"), F.randn(3).alias("value"))
+    df = real(df, "values")
+    got = {r["itemid"]: (r["q1"], r["q3"]) for r in va.variable_quantiles(df, {"q1": 0.25, "q3": 0.75}).collect()}
+    for item, pair in got.items():
+        ordered = np.sort(np.array([r["value"] for r in df.filter(F.col("itemid") == item).collect()]))
+        at = [int(np.floor((len(ordered) - 1) * q + 0.5)) for q in (0.25, 0.75)]
+        assert pair == tuple(ordered[at])
+    assert len(got) == 4 and len(moved) == 1 and moved[0] < 0.05 * n
+
+
+def test_values_are_numbered_by_first_appearance(spark):
+    """The example A, B, C, A, D, B, E gives 0, 1, 2, 0, 3, 1, 4; null is a value."""
+    data = list(enumerate(["A", "B", "C", "A", "D", "B", "E", None, "A"]))
+    df = spark.createDataFrame(data, "place long, x string").repartition(4)
+    rows, key = va.index_by_first_appearance(df, "x", ["place"], "n")
+    assert [r["n"] for r in rows.orderBy("place").collect()] == [0, 1, 2, 0, 3, 1, 4, 5, 0]
+    assert {(r["x"], r["key"]) for r in key.collect()} == {("A", 0), ("B", 1), ("C", 2), ("D", 3), ("E", 4), (None, 5)}
+    same = spark.createDataFrame([(1, "b"), (1, "a"), (0, "c")], "t long, x string")
+    assert {r["x"]: r["key"] for r in va.first_seen_key(same, "x", ["t"]).collect()} == {"c": 0, "a": 1, "b": 2}
+    assert va.first_seen_key(same.limit(0), "x", ["t"]).count() == 0

@@ -115,6 +115,29 @@ def test_lookups_read_only_the_row_groups_of_their_stays(spark, tmp_path):
     assert 2000 <= read < 40_000
 
 
+def test_lookups_open_only_the_files_that_the_manifest_names(spark, tmp_path):
+    data = spark.range(6000).selectExpr(
+        "case when id % 3 = 0 then 20 else id % 60 end as ind", "id % 3 as itemid", "id as time", "1.0D as value", "'M' as gender", "50.0D as age"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = wr.write_measures(data, str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    manifest = spark.read.parquet(f"{path}/{wr.MANIFEST}").collect()
+    assert len(manifest) > 4 and sum(r["rows"] for r in manifest) == spark.read.parquet(path).count() == 6000
+    for inds in ((1,), (20,), (2, 41, 58), (1, 1), (999,)):
+        named = [r["file"] for r in manifest if any(r["least"] <= i <= r["greatest"] for i in inds)]
+        stay = wr.read_stay(spark, path, *inds)
+        opened = [f.rsplit("/", 1)[1] for f in stay.inputFiles()]
+        assert sorted(opened) == sorted(named) or not named
+        assert sorted(map(tuple, stay.collect())) == sorted(map(tuple, spark.read.parquet(path).filter(f"ind in ({', '.join(map(str, inds))})").collect()))
+    assert len(wr.files_of_stays(spark, path, 20)) > 1  # a long stay spans files
+    moved = str(tmp_path / "moved")
+    (tmp_path / "m").rename(moved)
+    assert wr.read_stay(spark, moved, 2).count() == data.filter("ind = 2").count()
+
+
 def test_demographics_tell_empty_from_missing(spark, tmp_path):
     text = 'patientunitstayid,gender,age\n1,Male,"> 89"\n2,Female,""\n3,,\n4,Female,45\n'
     df = off.read_stay_demographics(spark, write(tmp_path / "p.csv", text))
