@@ -15,7 +15,8 @@ Re-Pair runs on a shard in rounds. A round counts all pairs of neighbouring symb
 documents (equal symbols pair from the left of their run), takes those about as frequent as
 the most frequent one, in descending order, as long as no symbol is a left side of one and a
 right side of another (so that no two occurrences overlap) and replaces all their
-occurrences. Rounds end when no pair is frequent or when symbols run out.
+occurrences; after that only pairs beside a replacement are counted anew. Rounds end when no
+pair is frequent or when symbols run out.
 
 Every document ends with the id 0. Null and empty texts have that id only. Rows with equal
 ids are ordered by their texts' hash; null ids come first. Repeated rows are stored row by
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from irregts.llm.common import small_batches, utf8
+from irregts.llm.common import bounded_batches, utf8
 from irregts.llm.pieces import PieceEncoder, grouped
 
 END = 0
@@ -98,30 +99,69 @@ class Grammar:
     rules: np.ndarray
     sequence: np.ndarray
     n_symbols: np.ndarray
+    stored_lengths: np.ndarray | None = None
 
     def lengths(self) -> np.ndarray:
-        """Ids that each nonterminal stands for."""
-        return self._expansions()[1]
+        """Ids that each nonterminal stands for: as stored, or added up from the first rule on."""
+        if self.stored_lengths is not None:
+            return self.stored_lengths
+        n = len(self.rules)
+        sizes = np.ones(self.first_rule + n, np.int64)
+        done = 0
+        for upto in self._runs():
+            sizes[self.first_rule + done : self.first_rule + upto] = sizes[self.rules[done:upto]].sum(axis=1)
+            done = upto
+        return sizes[self.first_rule :]
 
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """All nonterminals' ids, one after the other, and their numbers. Rules refer to
-        earlier ones only, so they are expanded in runs that do not refer to themselves."""
-        ids, counts, done, n = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, len(self.rules)
+    def _runs(self) -> Iterator[int]:
+        """Ends of runs of rules that refer to no rule of their own run."""
+        done, n = 0, len(self.rules)
         highest = self.rules.max(axis=1) - self.first_rule if n else np.zeros(0, np.int64)
         while done < n:
             ahead = np.flatnonzero(highest[done:] >= done)
-            upto = done + int(ahead[0]) if len(ahead) else n
+            done = done + int(ahead[0]) if len(ahead) else n
+            yield done
+
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """All nonterminals' ids, one after the other, and their numbers. Rules refer to
+        earlier ones only, so they are expanded in runs that do not refer to themselves."""
+        ids, counts, done = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for upto in self._runs():
             new, new_counts = expand(self.rules[done:upto].ravel(), self.first_rule, ids, counts)
             ids, counts = np.concatenate([ids, new]), np.concatenate([counts, new_counts.reshape(-1, 2).sum(1)])
             done = upto
         return ids, counts
 
-    def decode(self, first: int = 0, documents: int | None = None) -> np.ndarray:
-        """Ids of some documents, by their place in the shard; all by default."""
-        ends = np.concatenate([[0], np.cumsum(self.n_symbols)])
-        last = len(self.n_symbols) if documents is None else first + documents
-        ids, counts = self._expansions()
-        return expand(self.sequence[ends[first] : ends[last]].astype(np.int64), self.first_rule, ids, counts)[0]
+    def decode(self) -> np.ndarray:
+        """All ids of the shard."""
+        return expand(self.sequence.astype(np.int64), self.first_rule, *self._expansions())[0]
+
+    def read(self, document: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Ids ``start`` to ``stop`` of the document at a place of the shard.
+
+        The lengths tell which symbols reach into the wanted ids; level by level only those are
+        replaced by their two symbols, so no other rule is looked at.
+        """
+        end = int(self.n_symbols[: document + 1].sum())
+        symbols = self.sequence[end - int(self.n_symbols[document]) : end].astype(np.int64)
+        lengths = self.lengths()
+        while True:
+            is_rule = symbols >= self.first_rule
+            sizes = np.ones(len(symbols), np.int64)
+            sizes[is_rule] = lengths[symbols[is_rule] - self.first_rule]
+            ends = np.cumsum(sizes)
+            stop = int(ends[-1]) if stop is None else min(stop, int(ends[-1]))
+            if start >= stop:
+                return np.zeros(0, np.int64)
+            first, last = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop) + 1
+            before = int(ends[first - 1]) if first else 0
+            symbols, is_rule, start, stop = symbols[first:last], is_rule[first:last], start - before, stop - before
+            if not is_rule.any():
+                return symbols[start:stop]
+            pairs = self.rules[symbols[is_rule] - self.first_rule]
+            out = np.repeat(symbols, np.where(is_rule, 2, 1))
+            out[np.repeat(is_rule, np.where(is_rule, 2, 1))] = pairs.ravel()
+            symbols = out
 
 
 def expand(symbols: np.ndarray, first_rule: int, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,29 +184,31 @@ def _slots(keys: np.ndarray) -> np.ndarray:
     return (keys * keys.dtype.type(0x9E3779B97F4A7C15 >> (64 - bits) | 1)) >> keys.dtype.type(bits - _HASH_BITS)
 
 
-def _frequent_pairs(keys: np.ndarray, slots: np.ndarray, edges: np.ndarray, least: int) -> np.ndarray:
+def _frequent_pairs(keys: np.ndarray, slots: np.ndarray, void: np.ndarray, hashed: np.ndarray, least: int) -> np.ndarray:
     """Pairs that occur ``least`` times or more and nearly as often as the most frequent one,
-    most frequent first; none only if none occurs ``least`` times. Hashed counts rule most of
-    the others out before the exact ones are made. ``edges``: what does not count."""
-    size = 1 << _HASH_BITS
-    hashed = np.bincount(slots, minlength=size) - np.bincount(slots[edges], minlength=size)
+    most frequent first; none only if none occurs ``least`` times. The counts by hash rule most of
+    the others out before the exact ones are made. ``void``: what does not count."""
     level = int(hashed.max())
     while True:
         level = max(least, level // LEVEL)
-        counted = (hashed >= level)[slots]
-        counted[edges] = False
+        counted = np.flatnonzero((hashed >= level)[slots] & ~void)
         values, counts = np.unique(keys[counted], return_counts=True)
         values, counts = values[counts >= level], counts[counts >= level]
         if len(values) or level == least:
             return values[np.lexsort((values, -counts))]
 
 
-def _overlapping(sequence: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Places of pairs of equal symbols that overlap the pair before them, from a run's left."""
-    same = np.flatnonzero((sequence[:-1] == sequence[1:]) & ~last[:-1])
+def _neighbours(sequence: np.ndarray, last: np.ndarray, shift: int) -> tuple[np.ndarray, ...]:
+    """Keys and slots of all pairs, which are of equal symbols, and which do not count: those
+    across the end of a document, and of a run of one symbol every second, from the left."""
+    keys = sequence[:-1] << sequence.dtype.type(shift) | sequence[1:]
+    void = last[:-1].copy()
+    equal = (sequence[:-1] == sequence[1:]) & ~void
+    same = np.flatnonzero(equal)
     run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
     offset = np.arange(len(same)) - np.repeat(run, np.diff(run, append=len(same)))
-    return same[offset % 2 == 1]
+    void[same[offset % 2 == 1]] = True
+    return keys, _slots(keys), equal, void
 
 
 def re_pair(ids: np.ndarray, n_tokens: np.ndarray, first_rule: int, symbols: int) -> Grammar:
@@ -177,12 +219,12 @@ def re_pair(ids: np.ndarray, n_tokens: np.ndarray, first_rule: int, symbols: int
     last = np.zeros(len(ids), bool)
     last[np.cumsum(n_tokens) - 1] = True
     rules = np.zeros((0, 2), np.int64)
+    if len(sequence) > 1:
+        keys, slots, equal, void = _neighbours(sequence, last, shift)
+        hashed = np.bincount(slots[~void], minlength=1 << _HASH_BITS)
     while len(sequence) > 1:
         room = min(ROUND_RULES, symbols - first_rule - len(rules))
-        keys = sequence[:-1] << kind(shift) | sequence[1:]
-        slots = _slots(keys)
-        edges = np.concatenate([np.flatnonzero(last[:-1]), _overlapping(sequence, last)])
-        values = _frequent_pairs(keys, slots, edges, FREQUENT)
+        values = _frequent_pairs(keys, slots, void, hashed, FREQUENT)
         lefts: set[int] = set()
         rights: set[int] = set()
         taken: set[int] = set()
@@ -205,15 +247,24 @@ def re_pair(ids: np.ndarray, n_tokens: np.ndarray, first_rule: int, symbols: int
         rule_of = np.full(1 << _HASH_BITS, -1, np.int16)
         rule_of[_slots(wanted)] = np.arange(len(wanted))
         rule = rule_of[slots]
-        rule[edges] = -1
-        place = np.flatnonzero(rule >= 0)
+        place = np.flatnonzero((rule >= 0) & ~void)
         place = place[wanted[rule[place]] == keys[place]]
+        # Only pairs beside a replacement, and pairs of equal symbols, are counted anew.
+        fresh = np.zeros(len(sequence), bool)
+        fresh[place] = fresh[place + 1] = True
+        gone = np.flatnonzero((fresh[:-1] | fresh[1:] | equal) & ~void)
+        hashed -= np.bincount(slots[gone], minlength=len(hashed))
         sequence[place] = first_rule + len(rules) + rule[place].astype(kind)
         last[place] = last[place + 1]
         stays = np.ones(len(sequence), bool)
         stays[place + 1] = False
-        sequence, last = sequence[stays], last[stays]
+        kept = np.flatnonzero(stays)
+        sequence, last, fresh = sequence[kept], last[kept], fresh[kept]
         rules = np.concatenate([rules, pairs])
+        if len(sequence) > 1:
+            keys, slots, equal, void = _neighbours(sequence, last, shift)
+            new = np.flatnonzero((fresh[:-1] | fresh[1:] | equal) & ~void)
+            hashed += np.bincount(slots[new], minlength=len(hashed))
     return Grammar(first_rule, rules, sequence, np.diff(np.flatnonzero(last), prepend=-1))
 
 
@@ -243,7 +294,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) ->
 
 def write_token_files(documents: DataFrame, vocabulary: str, path: str) -> None:
     """Encode all documents and write their token files below ``path``."""
-    small_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession)
     id_type = documents.schema["doc_id"].dataType.simpleString()
     texts = documents.select(
         "doc_id", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("tie"), utf8().alias("raw")
@@ -272,7 +323,8 @@ def open_shard(row: dict) -> Grammar:
     """The grammar of one row of the files."""
     kind = f"<u{row['width']}"
     rules = np.frombuffer(row["rules"], kind).astype(np.int64).reshape(-1, 2)
-    return Grammar(row["first_rule"], rules, np.frombuffer(row["sequence"], kind), np.array(row["n_symbols"], np.int64))
+    lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64) if "lengths" in row else None
+    return Grammar(row["first_rule"], rules, np.frombuffer(row["sequence"], kind), np.array(row["n_symbols"], np.int64), lengths)
 
 
 def _documents(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -293,7 +345,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before it. One sum per shard and one per part
     carry the counts over.
     """
-    small_batches(spark, 8)  # a row is a shard
+    bounded_batches(spark)
     files = spark.read.parquet(path)
     element = files.schema["doc_id"].dataType.elementType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -319,15 +371,23 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], start: int, stop: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids = open_shard(row).decode(row["place"], 1)
-            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64()))], names=["ids"])
+            shard = open_shard(row)
+            for place in row["places"]:
+                ids = shard.read(place, start, stop)
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64()))], names=["ids"])
+
 
+def read_ids(spark: SparkSession, path: str, doc_id: object, start: int = 0, stop: int | None = None) -> DataFrame:
+    """The ids of all documents with one id (null is one), or a slice of them, one row each.
 
-def read_ids(spark: SparkSession, path: str, doc_id: object) -> DataFrame:
-    """The ids of the documents with one id, expanding nothing else of their shards."""
-    small_batches(spark, 8)
-    files = spark.read.parquet(path).withColumn("place", F.array_position("doc_id", F.lit(doc_id)).cast("int") - 1)
-    return files.filter("place >= 0").mapInArrow(_one, "ids array<bigint>")
+    Only shards that list the id are opened, and in them only the rules that the wanted ids need.
+    """
+    bounded_batches(spark)
+    files = spark.read.parquet(path)
+    wanted = F.lit(doc_id).cast(files.schema["doc_id"].dataType.elementType)
+    found = F.transform("doc_id", lambda x, i: F.when(x.eqNullSafe(wanted), i))
+    files = files.withColumn("places", F.array_compact(found)).filter(F.size("places") > 0).drop("doc_id")
+    return files.mapInArrow(lambda it: _places(it, start, stop), "ids array<bigint>")

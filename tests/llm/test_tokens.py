@@ -119,13 +119,75 @@ def test_grammar_round_trip_and_random_access(symbols):
     assert len(grammar.sequence) < 0.6 * len(ids) and len(grammar.rules)
     assert np.array_equal(grammar.decode(), ids)
     for k in (0, 17, 59):
-        assert np.array_equal(grammar.decode(k, 1), docs[k])
+        assert np.array_equal(grammar.read(k), docs[k])
     # A rule stands for what its two symbols stand for.
     lengths = dict(enumerate(grammar.lengths(), start=50_000))
     for i, (a, b) in enumerate(grammar.rules.tolist()):
         assert lengths[50_000 + i] == lengths.get(a, 1) + lengths.get(b, 1)
 
 
+def test_reading_a_document_needs_only_the_rules_it_reaches():
+    """All other rules may be wrong, and so may the rules that a slice does not reach."""
+    rng = np.random.default_rng(11)
+    phrase = rng.integers(0, 300, 60)
+    docs = [np.concatenate([phrase[: rng.integers(1, 60)] for _ in range(rng.integers(1, 40))]) for _ in range(80)]
+    ids, counts = np.concatenate(docs).astype(np.int32), np.array([len(d) for d in docs])
+    whole = tf.re_pair(ids, counts, 50_000, 1 << 16)
+    ends = np.cumsum(whole.n_symbols)
+
+    def reached(symbols):
+        found, todo = set(), [s for s in symbols.tolist() if s >= 50_000]
+        while todo:
+            rule = todo.pop() - 50_000
+            if rule not in found:
+                found.add(rule)
+                todo += [s for s in whole.rules[rule].tolist() if s >= 50_000]
+        return found
+
+    for k in (0, 5, 79):
+        used = reached(whole.sequence[ends[k] - whole.n_symbols[k] : ends[k]])
+        assert 0 < len(used) < len(whole.rules)
+        rules = np.full_like(whole.rules, 49_999)
+        rules[sorted(used)] = whole.rules[sorted(used)]
+        part = tf.Grammar(50_000, rules, whole.sequence, whole.n_symbols, whole.lengths())
+        assert np.array_equal(part.read(k), docs[k])
+        for a, b in ((0, 1), (3, 9), (len(docs[k]) - 2, None), (0, 0), (5, 10**9), (10**9, None)):
+            assert np.array_equal(part.read(k, a, b), docs[k][a:b])
+    lengths = tf.Grammar(50_000, whole.rules, whole.sequence, whole.n_symbols).lengths()
+    assert lengths.tolist() == [len(tf.expand(np.array([50_000 + i]), 50_000, *whole._expansions())[0]) for i in range(len(lengths))]
+
+
+def test_all_rows_of_an_id_are_found(spark, library, tmp_path):
+    data = [(7, "one"), (7, "two three"), (7, "one"), (None, "no id"), (None, ""), (8, "other")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "files")
+    tf.write_token_files(df, VOCABULARY, path)
+    for doc_id in (7, None, 8, 9):
+        want = sorted([*expected(library, [t])[0], 0] for i, t in data if i == doc_id)
+        assert sorted(r["ids"] for r in tf.read_ids(spark, path, doc_id).collect()) == want
+        assert sorted(r["ids"] for r in tf.read_ids(spark, path, doc_id, 1, 2).collect()) == sorted(x[1:2] for x in want)
+
+
+def test_counts_beside_replacements_stay_exact():
+    """The counts that are carried from round to round are those of a full count."""
+    rng = np.random.default_rng(12)
+    ids = np.concatenate([rng.integers(0, 6, 3000), np.full(500, 3), np.tile(rng.integers(0, 6, 7), 90)]).astype(np.int32)
+    counts = np.diff(np.unique(np.r_[0, rng.integers(1, len(ids), 60), len(ids)]))
+    real, seen = tf._frequent_pairs, []
+
+    def checking(keys, slots, void, hashed, least):
+        assert np.array_equal(hashed, np.bincount(slots[~void], minlength=len(hashed)))
+        seen.append(len(keys))
+        return real(keys, slots, void, hashed, least)
+
+    tf._frequent_pairs = checking
+    try:
+        grammar = tf.re_pair(ids, counts, 10, 1 << 16)
+    finally:
+        tf._frequent_pairs = real
+    assert len(seen) > 3 and np.array_equal(grammar.decode(), ids)
+
+
 def test_grammar_of_few_symbols_and_of_nothing_frequent():
     ids = np.arange(50, dtype=np.int32)
     assert len(tf.re_pair(ids, np.array([50]), 60, 1 << 16).rules) == 0
@@ -142,4 +204,4 @@ def test_grammar_of_copies_and_of_runs_goes_to_the_end(symbols):
     runs = np.array([2000, 1, 37, 2, 3000])
     grammar = tf.re_pair(np.full(runs.sum(), 7, np.int32), runs, 50_000, symbols)
     assert np.array_equal(grammar.decode(), np.full(runs.sum(), 7))
-    assert np.array_equal(grammar.decode(2, 1), np.full(37, 7)) and len(grammar.sequence) < 60
+    assert np.array_equal(grammar.read(2), np.full(37, 7)) and len(grammar.sequence) < 60
