@@ -60,15 +60,26 @@ class Network:
             },
         )
 
+    def advance(self, state: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state after inputs ``given`` (rows of the table), with the gates (update and
+        reset side by side), the fresh part and what the reset acts on."""
+        h = HIDDEN
+        kept = state @ self.parameters["recurrent"]
+        gates = given[:, : 2 * h] + kept[:, : 2 * h]
+        gates *= 0.5  # the logistic function as a hyperbolic tangent
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
+        fresh = gates[:, h:] * kept[:, 2 * h :]
+        fresh += given[:, 2 * h :]
+        np.tanh(fresh, out=fresh)
+        ahead = state - fresh
+        ahead *= gates[:, :h]
+        ahead += fresh
+        return ahead, gates, fresh, kept[:, 2 * h :]
+
     def step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state, with the gates that led to it."""
-        p, h = self.parameters, HIDDEN
-        given = p["table"][symbols]
-        kept = state @ p["recurrent"]
-        gates = 1 / (1 + np.exp(-(given[:, : 2 * h] + kept[:, : 2 * h])))
-        update, reset = gates[:, :h], gates[:, h:]
-        fresh = np.tanh(given[:, 2 * h :] + reset * kept[:, 2 * h :])
-        return fresh + update * (state - fresh), update, reset, fresh, kept[:, 2 * h :]
+        return self.advance(state, self.parameters["table"][symbols])
 
     def log_probability(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of each symbol's probability after its state."""
@@ -88,7 +99,7 @@ class Network:
         """
         order = np.argsort(-lengths, kind="stable")
         starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
-        total = np.zeros(len(lengths))
+        total, table = np.zeros(len(lengths)), self.parameters["table"]
         longest = int(sizes[0]) if len(sizes) else 0
         active = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
         state = np.zeros((len(lengths), HIDDEN), np.float32)
@@ -102,7 +113,7 @@ class Network:
             states.append(state)
             seen.append(now)
             held += n
-            state = self.step(state, now)[0]
+            state = self.advance(state, table[now])[0]
             if held >= 1 << 16 or t == longest - 1:
                 logs = self.log_probability(np.concatenate(states), np.concatenate(seen))
                 who = np.concatenate([np.arange(len(x)) for x in seen])
@@ -120,13 +131,16 @@ class Network:
         for padding."""
         p, h, shape = self.parameters, HIDDEN, self.shape
         steps, lanes = symbols.shape
-        before, saved = [], []
+        given, starting = p["table"][symbols], resets.any(axis=1).tolist()
+        kind = p["recurrent"].dtype
+        before, fresh, kept = (np.empty((steps, lanes, h), kind) for _ in range(3))
+        gates = np.empty((steps, lanes, 2 * h), kind)
         for t in range(steps):
-            state = np.where(resets[t][:, None], np.float32(0), state)
-            before.append(state)
-            state, *gates = self.step(state, symbols[t])
-            saved.append(gates)
-        flat, target, share = np.concatenate(before), symbols.ravel(), weight.ravel().astype(np.float32)
+            if starting[t]:
+                state = np.where(resets[t][:, None], np.float32(0), state)
+            before[t] = state
+            state, gates[t], fresh[t], kept[t] = self.advance(state, given[t])
+        flat, target, share = before.reshape(-1, h), symbols.ravel(), weight.ravel().astype(np.float32)
         share = share / max(1.0, float(share.sum()))
         grads = {k: np.zeros_like(v) for k, v in p.items()}
 
@@ -141,40 +155,58 @@ class Network:
             grads["word_weight"][c], grads["word_bias"][c] = flat[rows].T @ chance, chance.sum(0)
             back[rows] += chance @ p["word_weight"][c].T
 
-        back = back.reshape(steps, lanes, h)
-        ahead = np.zeros((lanes, h), np.float32)
-        inputs = np.zeros((steps, lanes, 3 * h), np.float32)
+        # What a change of the state ahead does to the inputs, for all steps at once.
+        back, update, reset = back.reshape(steps, lanes, h), gates[:, :, :h], gates[:, :, h:]
+        to_fresh = (1 - update) * (1 - fresh * fresh)
+        to_update = (before - fresh) * update * (1 - update)
+        to_reset = to_fresh * kept * reset * (1 - reset)
+        after = p["recurrent"].T.copy()
+        ahead = np.zeros((lanes, h), kind)
+        inputs, through = (np.empty((steps, lanes, 3 * h), kind) for _ in range(2))
         for t in range(steps - 1, -1, -1):
-            update, reset, fresh, kept = saved[t]
-            past = before[t]
-            d_fresh = ahead * (1 - update) * (1 - fresh * fresh)
-            d_update = ahead * (past - fresh) * update * (1 - update)
-            d_reset = d_fresh * kept * reset * (1 - reset)
-            inputs[t] = np.concatenate([d_update, d_reset, d_fresh], axis=1)
-            through = np.concatenate([d_update, d_reset, d_fresh * reset], axis=1)
-            grads["recurrent"] += past.T @ through
-            ahead = ahead * update + through @ p["recurrent"].T + back[t]
-            ahead = np.where(resets[t][:, None], np.float32(0), ahead)
+            np.multiply(ahead, to_update[t], out=inputs[t, :, :h])
+            np.multiply(ahead, to_reset[t], out=inputs[t, :, h : 2 * h])
+            np.multiply(ahead, to_fresh[t], out=inputs[t, :, 2 * h :])
+            through[t] = inputs[t]
+            through[t, :, 2 * h :] *= reset[t]
+            ahead *= update[t]
+            ahead += through[t] @ after
+            ahead += back[t]
+            if starting[t]:
+                ahead[resets[t]] = 0
+        grads["recurrent"] = flat.T @ through.reshape(-1, 3 * h)
         order = np.argsort(target, kind="stable")
         first = np.flatnonzero(np.diff(target[order], prepend=-1))
         grads["table"][target[order][first]] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], first)
         return grads, state, loss
 
 
+def _exponentials(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of scores, less one number for all rows (per row, where some row would vanish);
+    their sums per row and what was taken off."""
+    off = scores.max(initial=0, keepdims=True)
+    powers = np.exp(scores - off)
+    sums = powers.sum(axis=1)
+    if not (sums > 1e-30).all():
+        off = scores.max(axis=1, keepdims=True)
+        powers = np.exp(scores - off)
+        sums = powers.sum(axis=1)
+    return powers, sums, off
+
+
 def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    scores -= scores.max(axis=1, keepdims=True)
-    picked = scores[np.arange(len(at)), at]
-    return picked - np.log(np.exp(scores, out=scores).sum(axis=1))
+    _, sums, off = _exponentials(scores)
+    return scores[np.arange(len(at)), at] - off[:, 0] - np.log(sums)
 
 
 def _softmax_loss(scores: np.ndarray, at: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
     """Gradient with respect to the scores, and the loss."""
-    scores = np.exp(scores - scores.max(axis=1, keepdims=True))
-    scores /= scores.sum(axis=1, keepdims=True)
+    powers, sums, _ = _exponentials(scores)
     rows = np.arange(len(at))
-    loss = -float((share * np.log(np.maximum(scores[rows, at], 1e-30))).sum())
-    scores[rows, at] -= 1
-    return scores * share[:, None], loss
+    loss = -float((share * np.log(np.maximum(powers[rows, at] / sums, 1e-30))).sum())
+    powers *= (share / sums)[:, None]
+    powers[rows, at] -= share
+    return powers, loss
 
 
 def _by_class(classes: np.ndarray, below: int):
@@ -206,19 +238,22 @@ class Adam:
 
 def train_stream(network: Network, symbols: np.ndarray, starts: np.ndarray, epochs: int, rate: float, lanes: int = 64) -> list[float]:
     """Truncated backpropagation over texts that lie one after the other; ``starts`` marks
-    their first symbols. The stream is cut into lanes; states go from window to window."""
+    their first symbols. The stream is cut into lanes, the last of which is filled up with symbols
+    of weight 0; states go from window to window, a lane that begins inside a text from zero."""
     adam, losses = Adam(network, rate), []
     lanes = max(1, min(lanes, len(symbols) // WINDOW))
-    width = len(symbols) // lanes
-    grid = symbols[: width * lanes].reshape(lanes, width).T
-    resets = starts[: width * lanes].reshape(lanes, width).T.copy()
-    if width:
-        resets[0] = True
+    width = -(-len(symbols) // lanes)
+    filled = np.zeros(width * lanes, symbols.dtype)
+    filled[: len(symbols)] = symbols
+    begins = np.zeros(width * lanes, bool)
+    begins[: len(symbols)] = starts
+    grid, resets = filled.reshape(lanes, width).T, begins.reshape(lanes, width).T
+    weight = (np.arange(width * lanes) < len(symbols)).reshape(lanes, width).T
     for _ in range(epochs):
         state = np.zeros((lanes, HIDDEN), np.float32)
         for at in range(0, width, WINDOW):
-            part = grid[at : at + WINDOW]
-            grads, state, loss = network.gradient(state, part, resets[at : at + WINDOW], np.ones(part.shape))
+            window = slice(at, at + WINDOW)
+            grads, state, loss = network.gradient(state, grid[window], resets[window], weight[window])
             adam.apply(grads)
             losses.append(loss)
     return losses

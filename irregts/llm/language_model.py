@@ -3,14 +3,22 @@
 Counts of all words of the learning documents come from one aggregation that grows with the
 corpus. The ``MODEL_WORDS`` most frequent ones are symbols of the network; a rarer word is the
 symbol of its class (its last byte decides), and its probability in the class is that of its
-count there. The network is started on a bounded sample in one task (truncated
-backpropagation); then every partition trains a replica of it on the whole text of each of
-its learning documents, window by window, the state carried from a text's start to its end,
-and the replicas' weights are averaged by the symbols they saw.
+count there. A second pass turns every text into symbols once, in a written table that training and
+scoring read.
+
+The network is started on about ``SAMPLE_SYMBOLS`` symbols of whole distinct texts, drawn by the
+hash of a row, in one task (truncated backpropagation). Then replicas of it are trained on the whole
+text of each learning document, window by window, the state carried from a text's start to its end.
+A replica is given about ``REPLICA_SYMBOLS`` symbols or more; a row's hash says which replica reads it, so how
+the input is split into files or partitions does not matter, and the number of replicas grows
+with the corpus. There are ``ROUNDS`` rounds, each on its share of the rows; after each the
+replicas' weights are averaged by the symbols that they saw. Rows that occur more than ``HOT_ROWS``
+times alike are dealt out over all replicas.
 
 A document is scored whole: its state is carried from window to window. The counts of at
 most ``KNOWN_WORDS`` most frequent words travel with the tasks (a fixed bound); rarer words of
-a document meet the count table in a join.
+a document meet the count table in a join. Scores of one corpus in other partitions agree to about
+one part in a thousand: sums of 32-bit numbers depend on their order, and so do the shares of hot rows.
 
 Nulls and empty texts are the end token alone. A null doc_id counts as the empty string where
 documents are divided. Repeated rows are scored row by row. With nothing to learn from, only
@@ -31,20 +39,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from irregts.llm.common import LOWER, small_batches, utf8
+from irregts.llm.common import LOWER, bounded_batches, utf8
 from irregts.llm.gru import NAMES, WINDOW, Adam, Network, Shape, train_stream
 from irregts.llm.pieces import grouped
+from irregts.operators.layout import small_side
+from irregts.operators.vectors import sum_vectors, vector_row
 from irregts.session import materialise
 
 MODEL_WORDS, KNOWN_WORDS = 1024, 1 << 18
-#: Expected documents of the start, its epochs and rate; texts that a replica reads side by
-#: side, and the rate of a step in which all of them fill a window.
-SAMPLE, EPOCHS, RATE = 2000, 4, 0.01
+#: Expected symbols of the start, its epochs and rate.
+SAMPLE_SYMBOLS, EPOCHS, RATE = 1 << 20, 4, 0.01
+#: Rounds of averaging; symbols of a replica in all rounds, more where there would be more than
+#: ``REPLICAS``; equal rows above which they are dealt out.
+ROUNDS, REPLICA_SYMBOLS, REPLICAS, HOT_ROWS = 2, 1 << 21, 1 << 17, 1000
+#: Texts that a replica reads side by side, and the rate of a step in which all of them fill a window.
 LANES, LANE_RATE = 256, 0.002
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 200_000
-#: Bytes of text that a scoring task reads at once, over whole documents.
-SCORED_BYTES = 3 << 20
+#: Bytes of text that are turned into symbols at once, and of symbols that are scored at once.
+READ_BYTES, SCORED_BYTES = 3 << 20, 3 << 20
 #: The end of a text; no word holds a space.
 END = b" "
 
@@ -165,10 +178,58 @@ class Reader:
         return at, symbols
 
 
-def _parameters(network: Network, weight: float) -> pa.RecordBatch:
-    flat = np.concatenate([network.parameters[k].ravel() for k in NAMES])
-    columns = [pa.array([flat.astype(np.float64)], pa.list_(pa.float64())), pa.array([float(weight)])]
-    return pa.RecordBatch.from_arrays(columns, names=["values", "weight"])
+def _read(batches: Iterator[pa.RecordBatch], known: Lexicon) -> Iterator[pa.RecordBatch]:
+    """Per document its symbols, what the lexicon says of it, and its words that are not there."""
+    reader, words = Reader(known), known.shape.words
+    log_count = np.log10(known.counts + 0.5)
+    in_class = np.log10(known.class_tokens + 0.5 * (known.class_distinct + 1))
+    for batch in grouped(batches, least=READ_BYTES):
+        per_text = [words_of(raw) for raw in batch.column("raw").to_pylist()]
+        lengths = np.array([len(t) for t in per_text], np.int64)
+        at, symbols = reader.read([w for t in per_text for w in t])
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        there = at >= 0
+        logs = np.where(there, log_count[at], 0.0)
+        rarer = symbols >= words
+        beside = np.bincount(owner[rarer], logs[rarer] - in_class[symbols[rarer] - words], len(lengths))
+        known_tokens = np.bincount(owner[there], known.counts[at[there]] > 0, len(lengths))
+        starts = np.cumsum(lengths) - lengths
+        rare_words: list[bytes] = []
+        rare_counts: list[int] = []
+        rare_sizes = np.zeros(len(lengths), np.int64)
+        unknown = np.flatnonzero(~there)
+        for i, places in zip(*_runs(owner[unknown], unknown)):
+            counted = Counter(per_text[i][k] for k in (places - starts[i]).tolist())
+            rare_words += counted
+            rare_counts += counted.values()
+            rare_sizes[i] = len(counted)
+        rare = pa.StructArray.from_arrays(
+            [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["token", "n"]
+        )
+        rare_ends = pa.array(np.concatenate([[0], np.cumsum(rare_sizes)]), pa.int32())
+        data = symbols.astype("<u2").tobytes()
+        ends = (2 * (starts + lengths)).tolist()
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                batch.column("held_out"),
+                pa.array(lengths),
+                pa.array(known_tokens.astype(np.int64)),
+                pa.array(np.bincount(owner, logs, len(lengths)).astype(float)),
+                pa.array(beside.astype(float)),
+                pa.ListArray.from_arrays(rare_ends, rare),
+                pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary()),
+            ],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "beside", "rare", "symbols"],
+        )
+
+
+def _symbols(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2").astype(np.int64)
+
+
+def _weights(network: Network) -> np.ndarray:
+    return np.concatenate([network.parameters[k].ravel() for k in NAMES]).astype(np.float64)
 
 
 def _restored(network: Network, flat: np.ndarray) -> Network:
@@ -180,17 +241,15 @@ def _restored(network: Network, flat: np.ndarray) -> Network:
     return Network(network.shape, parameters)
 
 
-def _start(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
-    reader = Reader(lexicon)
+def _start(batches: Iterator[pa.RecordBatch], known: Lexicon) -> Iterator[pa.RecordBatch]:
     streams, starts = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            symbols = reader.read(words_of(raw))[1]
-            streams.append(symbols)
-            starts.append(np.arange(len(symbols)) == 0)
-    network = Network.start(lexicon.shape, lexicon.symbol_counts())
+        for raw in batch.column("symbols").to_pylist():
+            streams.append(_symbols(raw))
+            starts.append(np.arange(len(streams[-1])) == 0)
+    network = Network.start(known.shape, known.symbol_counts())
     train_stream(network, np.concatenate(streams), np.concatenate(starts), EPOCHS, RATE)
-    yield _parameters(network, 1.0)
+    yield vector_row(_weights(network))
 
 
 class Lanes:
@@ -233,80 +292,63 @@ class Lanes:
             self.step()
 
 
-def _replica(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, network: Network) -> Iterator[pa.RecordBatch]:
-    """Train on the whole text of each document."""
-    reader, lanes = Reader(lexicon), Lanes(copy.deepcopy(network))
+def _replicas(batches: Iterator[pa.RecordBatch], network: Network) -> Iterator[pa.RecordBatch]:
+    """Train one network per replica, whose rows are neighbours; give out its weights times the
+    symbols that it saw, and their number."""
+    lanes, replica = None, None
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            lanes.feed(reader.read(words_of(raw))[1])
+        for now, raw in zip(batch.column("replica").to_pylist(), batch.column("symbols").to_pylist()):
+            if now != replica:
+                if lanes is not None:
+                    yield _given(lanes)
+                lanes, replica = Lanes(copy.deepcopy(network)), now
+            lanes.feed(_symbols(raw))
+    if lanes is not None:
+        yield _given(lanes)
+
+
+def _given(lanes: Lanes) -> pa.RecordBatch:
     lanes.finish()
-    if lanes.seen:
-        yield _parameters(lanes.network, lanes.seen)
+    return vector_row(np.append(_weights(lanes.network) * lanes.seen, lanes.seen))
 
 
-def train(texts: DataFrame, known: Lexicon) -> Network:
-    """Start on a bounded sample, then average replicas trained on all ``texts``."""
-    n = texts.count()
-    draw = F.pmod(F.xxhash64("raw"), F.lit(1 << 30)) / float(1 << 30)
-    sample = texts.filter(draw < (SAMPLE / n if n > SAMPLE else 1.0)).select("raw")
-    schema = "values array<double>, weight double"
-    started = sample.coalesce(1).mapInArrow(lambda it: _start(it, known), schema).first()
+def train(learned: DataFrame, known: Lexicon) -> Network:
+    """Start on a bounded sample, then average replicas trained on all rows of the written table
+    ``learned`` (row, key, symbols). ``key`` is a hash of the row that does not depend on its place."""
     network = Network.start(known.shape, known.symbol_counts())
-    if started is None:
-        return network
-    network = _restored(network, np.array(started["values"]))
-    replicas = texts.select("raw").mapInArrow(lambda it: _replica(it, known, network), schema)
-    cells = replicas.select("weight", F.posexplode("values").alias("cell", "value"))
-    mean = cells.groupBy("cell").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
-    flat = mean.toArrow()
-    if not flat.num_rows:
-        return network
-    values = np.zeros(flat.num_rows)
-    values[flat["cell"].to_numpy()] = flat["value"].to_numpy()
-    return _restored(network, values)
-
-
-def _score(batches: Iterator[pa.RecordBatch], known: Lexicon, network: Network) -> Iterator[pa.RecordBatch]:
-    """Per document what the lexicon and the network say, and its words that are not there."""
-    reader, words = Reader(known), known.shape.words
-    log_count = np.log10(known.counts + 0.5)
-    in_class = np.log10(known.class_tokens + 0.5 * (known.class_distinct + 1))
-    for batch in grouped(batches, least=SCORED_BYTES):
-        per_text = [words_of(raw) for raw in batch.column("raw").to_pylist()]
-        lengths = np.array([len(t) for t in per_text], np.int64)
-        at, symbols = reader.read([w for t in per_text for w in t])
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        score = network.score(symbols, lengths) / np.log(10)
-        there = at >= 0
-        logs = np.where(there, log_count[at], 0.0)
-        rarer = symbols >= words
-        score += np.bincount(owner[rarer], logs[rarer] - in_class[symbols[rarer] - words], len(lengths))
-        known_tokens = np.bincount(owner[there], known.counts[at[there]] > 0, len(lengths))
-        starts = np.cumsum(lengths) - lengths
-        rare_words: list[bytes] = []
-        rare_counts: list[int] = []
-        rare_sizes = np.zeros(len(lengths), np.int64)
-        unknown = np.flatnonzero(~there)
-        for i, places in zip(*_runs(owner[unknown], unknown)):
-            counted = Counter(per_text[i][k] for k in (places - starts[i]).tolist())
-            rare_words += counted
-            rare_counts += counted.values()
-            rare_sizes[i] = len(counted)
-        rare = pa.StructArray.from_arrays(
-            [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["token", "n"]
-        )
-        rare_ends = pa.array(np.concatenate([[0], np.cumsum(rare_sizes)]), pa.int32())
+    draw = F.pmod(F.xxhash64("key", F.lit(0)), F.lit(1 << 30)) / float(1 << 30)
+    sample = learned.filter(draw < min(1.0, SAMPLE_SYMBOLS / max(known.tokens, 1)))
+    sample = sample.dropDuplicates(["key"]).coalesce(1).sortWithinPartitions("key").select("symbols")
+    started = sample.mapInArrow(lambda it: _start(it, known), "values binary").collect()  # of one task
+    if started:
+        network = _restored(network, np.frombuffer(bytes(started[0]["values"]), "float64"))
+
+    replicas = min(REPLICAS, max(1, -(-known.tokens // REPLICA_SYMBOLS)))
+    copies = learned.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = small_side(copies.filter(F.col("n") > HOT_ROWS).select("key", F.lit(True).alias("hot")))
+    spread = F.when(F.col("hot"), F.col("row")).otherwise(F.lit(0))
+    dealt = learned.join(hot, "key", "left").withColumn("place", F.xxhash64("key", spread, F.lit(1)))
+    dealt = dealt.withColumns(
+        {"replica": F.pmod("place", F.lit(replicas)), "round": F.pmod(F.xxhash64("place", F.lit(2)), F.lit(ROUNDS))}
+    )
+    for turn in range(ROUNDS):
+        rows = dealt.filter(F.col("round") == turn).repartition(replicas, "replica")
+        rows = rows.sortWithinPartitions("replica", "place", "key").select("replica", "symbols")
+        made = materialise(rows.mapInArrow(lambda it, n=network: _replicas(it, n), "values binary"), "replicas")
+        total = sum_vectors(made, "float64")
+        if total is not None and total[-1] > 0:
+            network = _restored(network, total[:-1] / total[-1])
+    return network
+
+
+def _score(batches: Iterator[pa.RecordBatch], network: Network) -> Iterator[pa.RecordBatch]:
+    """Log10 probability of each document's symbols."""
+    for batch in grouped(batches, "symbols", SCORED_BYTES):
+        each = [_symbols(raw) for raw in batch.column("symbols").to_pylist()]
+        score = network.score(np.concatenate(each), np.array([len(s) for s in each])) / np.log(10)
+        columns = [batch.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "beside")]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("held_out"),
-                pa.array(lengths),
-                pa.array(known_tokens.astype(np.int64)),
-                pa.array(np.bincount(owner, logs, len(lengths))),
-                pa.array(score),
-                pa.ListArray.from_arrays(rare_ends, rare),
-            ],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"],
+            [*columns, pa.array(score)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "beside", "net"]
         )
 
 
@@ -321,21 +363,21 @@ def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndar
 def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score. Learns from the documents that are not held out."""
-    small_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession)
     texts = documents.select("doc_id", held_out.alias("held_out"), utf8().alias("raw"))
-    learned = texts.filter(~F.col("held_out"))
-    counts = count_words(learned)
+    counts = count_words(texts.filter(~F.col("held_out")))
     known = lexicon(counts)
-    network = train(learned, known)
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    scored = texts.mapInArrow(
-        lambda it: _score(it, known, network),
-        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, score double, "
-        "rare array<struct<token:binary,n:long>>",
-    )
-    scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    asked = scored.select("row", F.explode("rare").alias("at")).select("row", "at.token", F.col("at.n").alias("times"))
+    small = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, beside double"
+    read = texts.mapInArrow(lambda it: _read(it, known), f"{small}, rare array<struct<token:binary,n:long>>, symbols binary")
+    read = read.withColumns({"row": F.monotonically_increasing_id(), "key": F.xxhash64("doc_id", "symbols", "rare")})
+    read = materialise(read, "symbols")
+    network = train(read.filter(~F.col("held_out")).select("row", "key", "symbols"), known)
+
+    scored = read.select("row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "beside", "symbols")
+    scored = scored.mapInArrow(lambda it: _score(it, network), f"row long, {small}, net double")
+    asked = read.select("row", F.explode("rare").alias("at")).select("row", "at.token", F.col("at.n").alias("times"))
     met = asked.join(counts, "token", "left")
     more = met.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_logs"),
@@ -343,12 +385,12 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     )
     whole = float(np.log10(known.tokens + 0.5 * (known.distinct + 1)))
     more_logs = F.coalesce("more_logs", F.lit(0.0))
-    return scored.drop("rare").join(more, "row", "left").select(
+    return materialise(scored, "scored").join(materialise(more, "rarer"), "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(known.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + more_logs - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        (F.col("score") + more_logs).alias("score"),
+        (F.col("net") + F.col("beside") + more_logs).alias("score"),
     )

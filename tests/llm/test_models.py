@@ -181,6 +181,39 @@ def test_counts_and_scores_of_documents(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Several replicas, rounds and a row that occurs very often; 1 partition and 37."""
+    monkeypatch.setattr(lm, "REPLICA_SYMBOLS", 4000)
+    monkeypatch.setattr(lm, "HOT_ROWS", 100)
+    monkeypatch.setattr(lm, "SAMPLE_SYMBOLS", 3000)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(ENGLISH, rng.integers(5, 90))) for _ in range(400)]
+    data = [(i, t) for i, t in enumerate(texts)] + [(10_000, "a text that is there very often")] * 300
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    one, many = (
+        {(r["doc_id"], r["n_tokens"]): (r["base_score"], r["score"]) for r in lm.score_documents(df.repartition(n), id_crc32() % 5 == 1).collect()}
+        for n in (1, 37)
+    )
+    assert set(one) == set(many) and len(one) == 401
+    for name, (base, score) in one.items():
+        assert many[name][0] == pytest.approx(base, rel=1e-9)
+        assert many[name][1] == pytest.approx(score, rel=1e-5 if name[0] < 10_000 else 1e-2) or name[0] < 10_000 and many[name][1] == pytest.approx(score, rel=1e-3)
+
+
+def test_the_last_lane_is_filled_up_and_nothing_is_dropped(monkeypatch):
+    seen = []
+
+    class Recorder(gru.Network):
+        def gradient(self, state, symbols, resets, weight):
+            seen.extend(symbols[weight].tolist())
+            return {k: np.zeros_like(v) for k, v in self.parameters.items()}, state, 0.0
+
+    start = gru.Network.start(gru.Shape(10, 0), np.ones(10))
+    symbols = np.arange(1000) % 10
+    gru.train_stream(Recorder(start.shape, start.parameters), symbols, symbols == 0, 1, 0.01, lanes=7)
+    assert sorted(seen) == sorted(symbols.tolist())
+
+
 def test_model_of_an_empty_corpus(spark):
     df = documents(spark, ["a b", None])
     nothing = lm.score_documents(df, id_crc32() % 5 >= 0).orderBy("doc_id").collect()
