@@ -76,12 +76,18 @@ def filter_stays(
 
 
 def restrict_to_stays(df: DataFrame, stays: DataFrame, stay: str = "ind", check: bool = True) -> DataFrame:
-    """Rows of the listed stays. With ``check``, no common stay is an error: the rows are then
-    written, once, and what was written is looked at."""
+    """Rows of the listed stays. With ``check``, no common stay is an error; that evaluates the
+    join until a row is found. See :func:`restricted_rows`."""
     kept = join_back(df, stays.select(stay).distinct(), stay, "left_semi")
-    if not check:
-        return kept
-    kept = materialise(kept, "restricted")
+    if check and kept.isEmpty():
+        raise ValueError("none of the given stays occurs in the table")
+    return kept
+
+
+def restricted_rows(df: DataFrame, stays: DataFrame, stay: str = "ind") -> DataFrame:
+    """Rows of the listed stays, written. ``df`` is evaluated once; that no stay is common, an
+    error, shows in what was written."""
+    kept = materialise(restrict_to_stays(df, stays, stay, check=False), "restricted")
     if kept.isEmpty():
         raise ValueError("none of the given stays occurs in the table")
     return kept

@@ -422,7 +422,7 @@ def _splits(spark, d) -> DataFrame:
 @query
 def restrict_to_split(spark, d):
     test = sp.split_stays(_splits(spark, d), 0, "test")
-    return st.restrict_to_stays(v.measures(spark, d), test)
+    return st.restricted_rows(v.measures(spark, d), test)
 
 
 @query

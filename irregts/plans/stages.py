@@ -21,7 +21,7 @@ from irregts.operators.stays import (
     join_stay_demographics,
     keep_sizes,
     number_stays,
-    restrict_to_stays,
+    restricted_rows,
     stay_sizes,
 )
 from irregts.operators.variables import (
@@ -184,4 +184,4 @@ def evaluate_cohort(
 def decoupled_rows(other_cohort: DataFrame, splits: DataFrame, fold: int) -> DataFrame:
     """Rows of another cohort for the saved test stays of a fold, written; none is an error."""
     test = splits.filter((F.col("fold") == fold) & (F.col("split") == "test"))
-    return restrict_to_stays(other_cohort, test)
+    return restricted_rows(other_cohort, test)

@@ -267,3 +267,18 @@ def test_values_are_numbered_by_first_appearance(spark):
     same = spark.createDataFrame([(1, "b"), (1, "a"), (0, "c")], "t long, x string")
     assert {r["x"]: r["key"] for r in va.first_seen_key(same, "x", ["t"]).collect()} == {"c": 0, "a": 1, "b": 2}
     assert va.first_seen_key(same.limit(0), "x", ["t"]).count() == 0
+
+
+def test_restricted_rows_evaluate_their_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(0, 900, 1, 3).selectExpr("id % 30 as ind", "id as time").mapInArrow(tell, "ind long, time long")
+    kept = st.restricted_rows(df, spark.range(5).toDF("ind"))
+    assert kept.count() == 150 and kept.agg(F.max("ind")).first()[0] == 4 and seen.value == 900
+    with pytest.raises(ValueError, match="none of the given stays"):
+        st.restricted_rows(df, spark.createDataFrame([(77,)], "ind long"))
