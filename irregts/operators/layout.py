@@ -136,6 +136,22 @@ def _numbered(parts: DataFrame, keys: Sequence[str], columns: Sequence[str], nam
     return numbered.select(*columns, (F.col("_offset") + F.col(_POS)).alias(name)), total
 
 
+def running_sums(df: DataFrame, order: Sequence[str], amounts: Sequence[str]) -> tuple[DataFrame, list[int]]:
+    """Add ``_before_<amount>``, the sum of each amount over the rows ahead in ``order``, to a table
+    with one row per key; also return the totals. Range partitions are summed, and the sums of
+    those ahead are joined back, so no task sees all rows."""
+    parts = _range_parts(materialise(df, "amounts"), order)
+    sums = small_table(parts.groupBy(_PART).agg(*(F.sum(a).alias(a) for a in amounts)))
+    over = W.orderBy(_PART)
+    ahead = [(F.sum(a).over(over) - F.col(a)).alias(f"_ahead_{a}") for a in amounts]
+    row = sums.agg(*(F.coalesce(F.sum(a), F.lit(0)).alias(a) for a in amounts)).first()
+    inside = W.partitionBy(_PART).orderBy(_POS)
+    placed = parts.withColumns({f"_in_{a}": F.sum(a).over(inside) - F.col(a) for a in amounts})
+    placed = placed.join(materialise(sums.select(_PART, *ahead), "ahead"), _PART)
+    before = [(F.col(f"_ahead_{a}") + F.col(f"_in_{a}")).alias(f"_before_{a}") for a in amounts]
+    return placed.select(*df.columns, *before), list(row)
+
+
 def order_statistics(
     df: DataFrame,
     by: Sequence[str],

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from irregts.functions.expr import whole_minutes
-from irregts.operators.layout import global_row_index, join_back
+from irregts.functions.expr import all_present, whole_minutes
+from irregts.operators.layout import global_row_index, join_back, running_sums
 from irregts.schemas import STAY_ORDER
 from irregts.session import materialise
 
@@ -141,6 +141,59 @@ def decimate_vitals(long: DataFrame, vitals: Sequence[str], stride: int = 3, sta
     return kept.withColumn("variable", F.element_at(names, F.col("_listed"))).select(*long.columns)
 
 
+def decimate_wide(
+    wide: DataFrame, vitals: Sequence[str], stride: int = 3, stay: str = "patientunitstayid", time: str = "time", hot: int = HOT_STAY
+) -> DataFrame:
+    """:func:`decimate_vitals` of the unpivoted ``wide``, as ``(stay, time, variable, value)``, found by
+    counting: only cells that are kept become rows.
+
+    A cell's place in the declared order is the number of present cells of the variables listed
+    before, of its variable in lesser stays (prefix sums over a table per stay), and of its variable
+    earlier in its stay (running counts over the wide rows, exchanged once, by stay). Cells of one
+    stay and time are settled by value among themselves. Rows of a stay above ``hot`` are unpivoted
+    and placed by one order of many tasks.
+    """
+    names = list(vitals)
+    doubles = [F.col(v).cast("double").alias(v) for v in names]
+    rows = materialise(wide.filter(all_present(stay, time)).select(stay, time, *doubles), "vitals")
+    counts = [f"_n{j}" for j in range(len(names))]
+    sizes = rows.groupBy(stay).agg(F.count(F.lit(1)).alias("_rows"), *(F.count(v).alias(n) for v, n in zip(names, counts)))
+    sizes, totals = running_sums(sizes, [stay], counts)
+    starts = {f"_start{j}": F.col(f"_before_{n}") + sum(totals[:j]) for j, n in enumerate(counts)}
+    placed = join_back(rows, sizes.withColumns(starts).select(stay, "_rows", *starts), stay)
+
+    upto = W.partitionBy(stay).orderBy(time).rangeBetween(W.unboundedPreceding, W.currentRow)
+    peers = W.partitionBy(stay, time)
+    usual = placed.filter(F.col("_rows") <= hot).withColumns(
+        {"_peers": F.count(F.lit(1)).over(peers)}
+        | {f"_first{j}": F.col(f"_start{j}") + F.count(v).over(upto) - F.count(v).over(peers) for j, v in enumerate(names)}
+    )
+
+    def cells(df: DataFrame, first: str) -> DataFrame:
+        """The present cells, with the place of the first one of their variable, stay and time."""
+        each = [
+            F.struct(F.lit(j).alias("_listed"), F.lit(v).alias("variable"), F.col(v).alias("value"), F.col(f"{first}{j}").alias("_first"))
+            for j, v in enumerate(names)
+        ]
+        present = F.filter(F.array(*each), lambda cell: cell["value"].isNotNull())
+        return df.select(stay, time, F.explode(present).alias("_cell")).select(stay, time, "_cell.*")
+
+    def kept(df: DataFrame, place: Column) -> DataFrame:
+        return df.filter(place % stride == 0).select(stay, time, "variable", "value")
+
+    single = kept(cells(usual.filter("_peers = 1"), "_first"), F.col("_first"))
+    among = F.row_number().over(W.partitionBy(stay, time, "_listed").orderBy("value")) - 1
+    tied = cells(usual.filter("_peers > 1"), "_first").withColumn("_among", among)
+    found = single.unionByName(kept(tied, F.col("_first") + F.col("_among")))
+    large = materialise(sizes.filter(F.col("_rows") > hot).select(stay), "hot_stays")
+    if large.isEmpty():
+        return found
+    placed, _ = global_row_index(cells(placed.filter(F.col("_rows") > hot), "_start"), ["_listed", stay, time, "value"], "_place")
+    least = placed.groupBy("_listed", stay).agg(F.min("_place").alias("_least"))
+    inside = join_back(placed, least, ["_listed", stay])
+    return found.unionByName(kept(inside, F.col("_first") + F.col("_place") - F.col("_least")))
+
+
 def dataset_report(df: DataFrame) -> DataFrame:
     """Number of rows, stays and variables. Rows fold to pairs before anything distinct."""
     pairs = df.groupBy("ind", "itemid").agg(F.count(F.lit(1)).alias("_n"))

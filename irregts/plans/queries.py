@@ -285,7 +285,7 @@ def stay_ordinals(spark, d):
 
 @query
 def decimate(spark, d):
-    return st.decimate_vitals(_vitals(spark, d), v.VITALS)
+    return st.decimate_wide(v.vitals_wide(spark, d), v.VITALS)
 
 
 @query

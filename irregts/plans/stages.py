@@ -15,7 +15,7 @@ from irregts.operators.metrics import metrics_by_fold, score_table
 from irregts.operators.split import holdout, k_folds, stratified_holdout
 from irregts.operators.stays import (
     add_relative_time,
-    decimate_vitals,
+    decimate_wide,
     join_admissions,
     join_patients,
     join_stay_demographics,
@@ -33,7 +33,6 @@ from irregts.operators.variables import (
     within_bounds,
 )
 from irregts.session import materialise
-from irregts.sources.offsets import unpivot_vitals
 from irregts.sources.writers import PROCESSED
 
 
@@ -102,7 +101,7 @@ def measures_from_offsets(
     listed = catalogue.filter(F.col("position") >= len(vitals))
     wanted = materialise(select_variables(labs, listed, "variable"), "labs")
     bounds = small_table(outlier_bounds(wanted, "variable", spread=spread))
-    thinned = decimate_vitals(unpivot_vitals(vitals_wide, vitals), vitals, stride)
+    thinned = materialise(decimate_wide(vitals_wide, vitals, stride), "thinned")
     columns = ["patientunitstayid", "time", "variable", "value"]
     measures = thinned.select(*columns).unionByName(
         within_bounds(wanted, bounds, "variable").select(

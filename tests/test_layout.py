@@ -282,3 +282,47 @@ def test_restricted_rows_evaluate_their_table_once(spark):
     assert kept.count() == 150 and kept.agg(F.max("ind")).first()[0] == 4 and seen.value == 900
     with pytest.raises(ValueError, match="none of the given stays"):
         st.restricted_rows(df, spark.createDataFrame([(77,)], "ind long"))
+
+
+@pytest.mark.parametrize("hot", [st.HOT_STAY, 40, 0])
+def test_thinning_wide_rows_equals_thinning_their_cells(spark, hot):
+    """Missing cells, several rows of one stay and time, equal cells, an empty column, null stays."""
+    from irregts.sources.offsets import unpivot_vitals
+
+    rng = random.Random(13)
+    data = [
+        (rng.choice([3, 3, 3, 1, 8, 11, None]), rng.choice([None, *range(25)]), *(rng.choice([None, 1.0, 2.0, rng.random()]) for _ in "abc"), None)
+        for _ in range(500)
+    ]
+    data += [(30 + i, i, 0.5, float("nan") if i % 2 else 1.5, None, None) for i in range(40)]
+    wide = spark.createDataFrame(data, "patientunitstayid long, time long, b double, a double, c double, d double").repartition(4)
+    names = ["b", "a", "c", "d"]
+    want = st.decimate_vitals(unpivot_vitals(wide, names), names)
+    got = st.decimate_wide(wide, names, hot=hot)
+    assert got.columns == want.columns and want.count() > 300
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert st.decimate_wide(wide.limit(0), names).count() == 0
+
+
+def test_only_kept_cells_become_rows(spark):
+    """No exchange of the plan moves unpivoted cells where no two rows have one stay and time."""
+    wide = spark.range(0, 3000, 1, 3).selectExpr("id % 10 as patientunitstayid", "id as time", "1.0D as a", "2.0D as b")
+    thinned = st.decimate_wide(wide, ["a", "b"])
+    lines = thinned._jdf.queryExecution().executedPlan().toString().splitlines()
+    start = next(i for i, line in enumerate(lines) if line.lstrip().startswith(":- "))
+    single = lines[start : next(i for i, line in enumerate(lines) if i > start and line.lstrip().startswith("+- ") and "Project" in line)]
+    cells = next(i for i, line in enumerate(single) if "Generate" in line)
+    assert not any("Exchange" in line for line in single[:cells]) and any("Exchange" in line for line in single[cells:])
+    assert thinned.count() == 2000
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    data = [(i, rng.randrange(9), rng.randrange(3)) for i in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(data, "k long, a long, b long").repartition(5)
+    summed, totals = la.running_sums(df, ["k"], ["a", "b"])
+    a = b = 0
+    for row in summed.orderBy("k").collect():
+        assert (row["_before_a"], row["_before_b"]) == (a, b)
+        a, b = a + row["a"], b + row["b"]
+    assert totals == [a, b] and la.running_sums(df.limit(0), ["k"], ["a"])[1] == [0]
