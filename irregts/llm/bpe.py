@@ -10,8 +10,8 @@ The vocabulary file is a parameter; it is read where it is used and never writte
 
 Nulls and empty texts have no ids and decode to the empty text. Texts of any length are cut
 into slices at places where the pattern always cuts. The special token's string in a text is
-its id, as the library has it. Repeated rows are encoded row by row; other columns are kept
-and must not be called ``ids`` or ``decoded``.
+its id, as the library has it. Repeated rows are encoded row by row; other columns are kept,
+those called ``ids`` or ``decoded`` replaced. Bytes that are not UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irregts.llm.common import small_batches, unused, utf8
+from irregts.llm.common import small_batches, unused
 from irregts.llm.pieces import PieceEncoder, grouped
 
 # The split pattern of byte-level BPE (fixed value of the format).
@@ -206,7 +206,8 @@ def codec(path: str) -> BpeCodec:
 
 def encode(documents: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """The documents with a column ``ids`` (array<int>) in place of ``text``; with ``decoded``
-    also the text that the ids decode to, made by the same worker."""
+    also the text that the ids decode to, made by the same worker. Columns of these names are
+    replaced. Bytes that are not UTF-8 count as U+FFFD."""
     small_batches(documents.sparkSession)
     raw = unused(documents, "raw")
 
@@ -220,8 +221,9 @@ def encode(documents: DataFrame, path: str, decoded: bool = False) -> DataFrame:
                 columns["decoded"] = pa.array(codec(path).decode(ids, counts), pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    kept = documents.drop("text")
-    prepared = documents.select(*kept.columns, utf8().alias(raw))
+    kept = documents.drop("text", "ids", *(["decoded"] if decoded else []))
+    valid = F.make_valid_utf8(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
+    prepared = documents.select(*kept.columns, valid.alias(raw))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return prepared.mapInArrow(run, f"{fields}{', ' if fields else ''}ids array<int>{', decoded string' if decoded else ''}")
 

@@ -1,13 +1,15 @@
 """Language ID with language-bitmask n-gram filters.
 
 Each language owns a Bloom filter of the byte n-grams typical of it. The filters are
-bit-sliced: one array of slots, in which bit l of a slot belongs to language l, so that the
-AND of an n-gram's slots is the set of all languages that hold it. A text's n-grams are
+bit-sliced: one array of slots, in which bit l of a slot belongs to language l (slots have as many
+64-bit words as the languages need), so that the AND of an n-gram's slots is the set of all
+languages that hold it. A text's n-grams are
 looked up together, set bits are counted per language, and each count is corrected for the
 false positives that the filter's fill lets one expect. The largest corrected count wins.
 
-Learning takes a bounded sample: about ``SAMPLE`` documents per language, by hash. The
-filters have a fixed size; at most 64 languages.
+Learning takes a bounded sample: about ``SAMPLE`` documents per language, by hash. Filters of 64
+languages have a fixed size; of more than ``LANGUAGES`` distinct values of lang the most frequent
+are learned, which bounds what is sent to tasks.
 
 A text that is null, empty or without a letter is ``und`` with score 0. Rows without text
 or language teach nothing. Ties go to the language that sorts first. With nothing to learn
@@ -32,8 +34,8 @@ from irregts.llm.common import LOWER, small_batches, unused, utf8
 SIZES = (2, 3, 4)
 #: Expected number of learning documents per language; typical n-grams kept per language.
 SAMPLE, TYPICAL = 2000, 30_000
-#: Slots of the bit-sliced filter and hash functions.
-SLOTS, HASHES = 1 << 20, 2
+#: Slots of the bit-sliced filter and hash functions; languages that are learned at most.
+SLOTS, HASHES, LANGUAGES = 1 << 20, 2, 1024
 #: An n-gram is typical where its share is at least this part of its largest share.
 NEAR = 0.5
 #: Bytes looked up at once.
@@ -69,7 +71,7 @@ def plain(raw: bytes) -> np.ndarray:
 def has_letter(raw: bytes) -> bool:
     spaced = raw.translate(_BYTES)
     if not spaced.isascii():
-        return any(c.isalpha() for c in raw.decode())
+        return any(c.isalpha() for c in raw.decode("utf-8", "replace"))
     return not spaced.isspace() and bool(spaced)
 
 
@@ -83,12 +85,13 @@ class LanguageFilter:
 
     @classmethod
     def build(cls, languages: list[str], keys: np.ndarray, owner: np.ndarray) -> LanguageFilter:
-        masks = np.zeros(SLOTS, np.uint64)
-        bits = np.uint64(1) << owner.astype(np.uint64)
+        words = max(1, -(-len(languages) // 64))
+        masks = np.zeros((SLOTS, words), np.uint64)
+        bits, word = np.uint64(1) << (owner % 64).astype(np.uint64), (owner // 64).astype(np.int64)
         for at in slots(keys):
-            np.bitwise_or.at(masks, at, bits)
-        fill = np.array([(masks >> np.uint64(i) & np.uint64(1)).mean() for i in range(len(languages))])
-        return cls(languages, masks, fill)
+            np.bitwise_or.at(masks, (at.astype(np.int64), word), bits)
+        fill = np.array([(masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(languages))])
+        return cls(languages, masks[:, 0] if words == 1 else masks, fill)
 
     def counts(self, raw: bytes) -> tuple[np.ndarray, int]:
         """Corrected count per language, and the number of n-grams looked up."""
@@ -102,7 +105,8 @@ class LanguageFilter:
                 for where in slots(keys):
                     found = self.masks[where] if found is None else found & self.masks[where]
                 total += len(keys)
-                held += [np.count_nonzero(found & np.uint64(1 << i)) for i in range(len(self.languages))]
+                found = found.reshape(len(keys), self.masks.size // SLOTS)
+                held += [np.count_nonzero(found[:, i // 64] & np.uint64(1 << i % 64)) for i in range(len(self.languages))]
         false = self.fill**HASHES
         return np.maximum(0.0, (held - total * false) / np.maximum(1e-9, 1 - false)), total
 
@@ -136,17 +140,14 @@ def learn(documents: DataFrame, sample: int = SAMPLE, typical: int = TYPICAL) ->
     """
     small_batches(documents.sparkSession)
     known = documents.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(65).collect()}
-    if len(sizes) > 64:
-        raise ValueError("more than 64 languages")
-    languages = sorted(sizes)
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    languages = sorted(r["lang"] for r in sizes)
     if not languages:
-        return LanguageFilter.build([], np.zeros(0, np.uint64), np.zeros(0))
+        return LanguageFilter.build([], np.zeros(0, np.uint64), np.zeros(0, np.int64))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
-    chosen = known.select("lang", "text").filter(draw < share).select("lang", utf8().alias("raw"))
+    shares = [(r["lang"], min(1.0, sample / r["n"])) for r in sizes]
+    shares = F.broadcast(documents.sparkSession.createDataFrame(shares, "lang string, share double"))  # LANGUAGES rows
+    chosen = known.select("lang", "text").join(shares, "lang").filter(draw < F.col("share")).select("lang", utf8().alias("raw"))
     counts = chosen.mapInArrow(_key_counts, "lang string, key long, n long")
     counts = counts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(W.partitionBy("lang"))

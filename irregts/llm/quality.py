@@ -7,10 +7,10 @@ of the remaining gradient get tables of their own, boosted the same way with tre
 both features' bins. A score is the sigmoid of the added table entries.
 
 The features come from the text alone. The classifier is fitted on at most about
-``SAMPLE`` labelled rows, chosen by hash, in numpy on the driver.
+``SAMPLE`` labelled rows, each drawn for itself whatever its id, in numpy on the driver.
 
 Null and empty texts have the features of no bytes and no words. Labels that are null or
-whose document is missing teach nothing; if a document has several labels, each counts.
+whose document is missing teach nothing; if a document has unlike labels, each counts.
 Without labels, or with labels of one kind, the score is the same for every text. Repeated
 rows are scored row by row. Other columns are ignored.
 """
@@ -217,12 +217,14 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qual
     """Fit on the labelled ones of ``documents`` (which give text or feature_values)."""
     small_batches(documents.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))
-    known = known.filter("_id is not null and quality in (0, 1)")
-    n = known.count()
-    draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
-    known = known.filter(draw < (sample / n if n > sample else 1.0))
+    known = materialise(known.filter("_id is not null and quality in (0, 1)").distinct(), "known")  # two rows an id at most
     given = "feature_values" if "feature_values" in documents.columns else "text"
-    rows = documents.select("doc_id", given).join(known, F.col("doc_id") == F.col("_id"))
+    same = F.col("doc_id") == F.col("_id")
+    n = documents.select("doc_id").join(known, same).count()
+    # Every labelled row is drawn for itself, so many rows of one id are thinned like others.
+    draw = F.pmod(F.xxhash64("_id", "_row", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    rows = documents.select("doc_id", given, F.monotonically_increasing_id().alias("_row")).join(known, same)
+    rows = rows.filter(draw < (sample / n if n > sample else 1.0))
     if given == "text":
         rows = rows.select("doc_id", "quality", feature_column().alias("feature_values"))
     rows = rows.select("doc_id", "quality", "feature_values").orderBy("doc_id", "quality", "feature_values").toPandas()

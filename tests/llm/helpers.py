@@ -21,7 +21,7 @@ def hard_texts():
 
 def clashing(df):
     """Extra columns with names that operators use inside."""
-    names = ["row", "raw", "value", "text_key", "n", "key", "score", "_id", "_key", "_n", "slot", "rank", "size", "vector"]
+    names = ["row", "raw", "value", "text_key", "n", "key", "score", "_id", "_key", "_n", "slot", "rank", "size", "vector", "ids", "decoded", "_row", "share"]
     have = set(df.columns)
     for name in names:
         if name not in have:

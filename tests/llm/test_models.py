@@ -48,6 +48,25 @@ def test_hard_texts_have_a_language_or_none(spark, spoken):
     assert [r["doc_id"] for r in kept.collect()] == [0]
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    """70 languages of words of their own; the filters take two words per slot."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = {f"l{i:02}": ["".join(rng.choice(letters, 9)) for _ in range(30)] for i in range(70)}
+    data = [(i, " ".join(rng.choice(words[lang], 25)), lang) for i, lang in enumerate(sorted(words) * 8)]
+    model = langid.learn(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(words) and model.masks.shape == (langid.SLOTS, 2)
+    for lang in words:
+        assert model.predict(" ".join(rng.choice(words[lang], 25)).encode())[0] == lang
+    few = langid.LanguageFilter.build(["a"], np.arange(9, dtype=np.uint64), np.zeros(9, np.int64))
+    assert few.masks.shape == (langid.SLOTS,)
+
+
+def test_bytes_that_are_not_utf8_have_a_language_or_none(spark, spoken):
+    model = langid.learn(spoken)
+    assert model.predict(b"\xff\xfe 12") == ("und", 0.0) and model.predict(b"the cat \xff")[0] == "en"
+
+
 def test_nothing_to_learn_from(spark, spoken):
     model = langid.learn(spoken.limit(0))
     assert documents(spark, ["text"]).select(langid.prediction(model).alias("p")).first()["p"]["lang_pred"] == "und"
@@ -104,6 +123,17 @@ def test_quality_of_documents(spark):
     assert empty.count() == 0
 
 
+def test_a_hot_id_is_thinned_like_other_rows(spark, monkeypatch):
+    """An id with a third of all documents and many labels does not fill the driver."""
+    drawn = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: drawn.append(len(x)))
+    texts = [(5 if i % 3 == 0 else i, f"text number {i}") for i in range(3000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(5, 1)] * 500 + [(i, i % 2) for i in range(3000)], "doc_id long, quality int")
+    quality.learn(df, labels, sample=300)
+    assert 150 < drawn[0] < 450
+
+
 def test_features_of_the_empty_text_are_finite():
     for raw in (b"", b" ", b"\n\n", "é".encode()):
         values = quality.features(raw)

@@ -205,3 +205,12 @@ def test_grammar_of_copies_and_of_runs_goes_to_the_end(symbols):
     grammar = tf.re_pair(np.full(runs.sum(), 7, np.int32), runs, 50_000, symbols)
     assert np.array_equal(grammar.decode(), np.full(runs.sum(), 7))
     assert np.array_equal(grammar.read(2), np.full(37, 7)) and len(grammar.sequence) < 60
+
+
+def test_columns_of_the_results_names_are_replaced_and_odd_bytes_defined(spark, library):
+    df = documents(spark, ["a b", None, "c"]).selectExpr("*", "'x' as ids", "1 as DECODED")
+    got = bpe.encode(df, VOCABULARY, decoded=True)
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "ids", "decoded"]
+    assert [(r["ids"], r["decoded"]) for r in got.orderBy("doc_id").collect()] == [(expected(library, [t])[0], t) for t in ("a b", "", "c")]
+    odd = spark.sql("select 1L as doc_id, cast(x'61FF62' as string) as text")
+    assert bpe.encode(odd, VOCABULARY, decoded=True).first()["decoded"] == "a\ufffdb"
