@@ -115,7 +115,7 @@ class Network:
             held += n
             state = self.advance(state, table[now])[0]
             if held >= 1 << 16 or t == longest - 1:
-                logs = self.log_probability(np.concatenate(states), np.concatenate(seen))
+                logs = self.log_probability(np.concatenate(states), np.concatenate(seen).astype(np.int64))
                 who = np.concatenate([np.arange(len(x)) for x in seen])
                 total += np.bincount(who, logs, len(lengths))
                 states, seen, held = [], [], 0

@@ -56,8 +56,11 @@ ROUNDS, REPLICA_SYMBOLS, REPLICAS, HOT_ROWS = 2, 1 << 21, 1 << 17, 1000
 LANES, LANE_RATE = 256, 0.002
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 200_000
-#: Bytes of text that are turned into symbols at once, and of symbols that are scored at once.
-READ_BYTES, SCORED_BYTES = 3 << 20, 3 << 20
+#: Windows that the lanes of a replica are cut into at a time.
+AHEAD = 16
+#: Bytes of text that are turned into symbols at once, and of symbols (2 bytes) that are scored at
+#: once: the more texts advance together, the less is spent on the last steps of the longest.
+READ_BYTES, SCORED_BYTES = 3 << 20, 16 << 20
 #: The end of a text; no word holds a space.
 END = b" "
 
@@ -258,38 +261,53 @@ class Lanes:
     def __init__(self, network: Network) -> None:
         self.network, self.adam, self.seen = network, Adam(network, LANE_RATE), 0
         self.state = np.zeros((LANES, network.parameters["recurrent"].shape[0]), np.float32)
-        self.symbols = [np.zeros(0, np.int64)] * LANES
-        self.starts = [np.zeros(0, bool)] * LANES
+        #: Per lane its texts and how much of the first has been read.
+        self.texts: list[list[np.ndarray]] = [[] for _ in range(LANES)]
+        self.read = [0] * LANES
         self.held = [(0, lane) for lane in range(LANES)]  # a heap
 
     def feed(self, symbols: np.ndarray) -> None:
-        """Put a text at the end of the shortest lane; train while all lanes fill a window."""
+        """Put a text at the end of the shortest lane; train while all lanes fill some windows."""
         n, lane = self.held[0]
-        self.symbols[lane] = np.concatenate([self.symbols[lane], symbols])
-        self.starts[lane] = np.concatenate([self.starts[lane], np.arange(len(symbols)) == 0])
+        self.texts[lane].append(symbols)
         heapq.heapreplace(self.held, (n + len(symbols), lane))
-        while self.held[0][0] >= WINDOW:
-            self.step()
-
-    def step(self) -> None:
-        """One window of the lanes that hold any symbols; the rate goes with its symbols."""
-        lanes = [i for i in range(LANES) if len(self.symbols[i])]
-        sizes = np.array([min(WINDOW, len(self.symbols[i])) for i in lanes])
-        grid, resets = np.zeros((WINDOW, len(lanes)), np.int64), np.zeros((WINDOW, len(lanes)), bool)
-        for k, (i, n) in enumerate(zip(lanes, sizes.tolist())):
-            grid[:n, k], resets[:n, k] = self.symbols[i][:n], self.starts[i][:n]
-            self.symbols[i], self.starts[i] = self.symbols[i][n:], self.starts[i][n:]
-        weight = np.arange(WINDOW)[:, None] < sizes[None, :]
-        grads, self.state[lanes], _ = self.network.gradient(self.state[lanes], grid, resets, weight)
-        self.adam.rate = LANE_RATE * sizes.sum() / (LANES * WINDOW)
-        self.adam.apply(grads)
-        self.seen += int(sizes.sum())
-        self.held = [(len(s), i) for i, s in enumerate(self.symbols)]
+        while self.held[0][0] >= AHEAD * WINDOW:
+            self.run()
+
+    def run(self) -> None:
+        """The next windows of all lanes; a lane that ends drops out. The rate of a step goes with
+        its symbols."""
+        steps = AHEAD * WINDOW
+        grid, resets, sizes = np.zeros((steps, LANES), np.int64), np.zeros((steps, LANES), bool), np.zeros(LANES, np.int64)
+        for lane, texts in enumerate(self.texts):
+            at, done = 0, self.read[lane]
+            while texts and at < steps:
+                text = texts[0][done : done + steps - at]
+                grid[at : at + len(text), lane] = text
+                resets[at, lane] = not done
+                at, done = at + len(text), done + len(text)
+                if done == len(texts[0]):
+                    texts.pop(0)
+                    done = 0
+            self.read[lane] = done
+            sizes[lane] = at
+        for at in range(0, int(sizes.max()), WINDOW):
+            lanes = np.flatnonzero(sizes > at)
+            window = slice(at, at + WINDOW)
+            weight = np.arange(at, at + WINDOW)[:, None] < sizes[None, lanes]
+            grads, self.state[lanes], _ = self.network.gradient(
+                self.state[lanes], grid[window][:, lanes], resets[window][:, lanes], weight
+            )
+            seen = int(weight.sum())
+            self.adam.rate = LANE_RATE * seen / (LANES * WINDOW)
+            self.adam.apply(grads)
+            self.seen += seen
+        self.held = [(sum(map(len, texts)) - self.read[lane], lane) for lane, texts in enumerate(self.texts)]
         heapq.heapify(self.held)
 
     def finish(self) -> None:
-        while any(map(len, self.symbols)):
-            self.step()
+        while any(self.texts):
+            self.run()
 
 
 def _replicas(batches: Iterator[pa.RecordBatch], network: Network) -> Iterator[pa.RecordBatch]:
@@ -332,7 +350,7 @@ def train(learned: DataFrame, known: Lexicon) -> Network:
         {"replica": F.pmod("place", F.lit(replicas)), "round": F.pmod(F.xxhash64("place", F.lit(2)), F.lit(ROUNDS))}
     )
     for turn in range(ROUNDS):
-        rows = dealt.filter(F.col("round") == turn).repartition(replicas, "replica")
+        rows = dealt.filter(F.col("round") == turn).repartitionById(replicas, F.col("replica").cast("int"))
         rows = rows.sortWithinPartitions("replica", "place", "key").select("replica", "symbols")
         made = materialise(rows.mapInArrow(lambda it, n=network: _replicas(it, n), "values binary"), "replicas")
         total = sum_vectors(made, "float64")
@@ -344,8 +362,9 @@ def train(learned: DataFrame, known: Lexicon) -> Network:
 def _score(batches: Iterator[pa.RecordBatch], network: Network) -> Iterator[pa.RecordBatch]:
     """Log10 probability of each document's symbols."""
     for batch in grouped(batches, "symbols", SCORED_BYTES):
-        each = [_symbols(raw) for raw in batch.column("symbols").to_pylist()]
-        score = network.score(np.concatenate(each), np.array([len(s) for s in each])) / np.log(10)
+        data = b"".join(batch.column("symbols").to_pylist())
+        lengths = batch.column("n_tokens").to_numpy()
+        score = network.score(np.frombuffer(data, "<u2"), lengths) / np.log(10)
         columns = [batch.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "beside")]
         yield pa.RecordBatch.from_arrays(
             [*columns, pa.array(score)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "beside", "net"]
