@@ -25,10 +25,10 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 BATCH_BYTES = 8 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound the bytes of Arrow batches, whatever the length of texts; rows stay as the session
     has them, so other Arrow work of the session is not cut smaller than that."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def id_crc32(column: str = "doc_id") -> Column:

@@ -12,8 +12,8 @@ and written in that order, one Parquet row per shard of bounded size:
   decoded alone.
 
 Re-Pair runs on a shard in rounds. A round counts all pairs of neighbouring symbols inside
-documents (equal symbols pair from the left of their run), takes those about as frequent as
-the most frequent one, in descending order, as long as no symbol is a left side of one and a
+documents (equal symbols pair from the left of their run), takes those at least a 64th as frequent
+as the most frequent one, in descending order, as long as no symbol is a left side of one and a
 right side of another (so that no two occurrences overlap) and replaces all their
 occurrences; after that only pairs beside a replacement are counted anew. Rounds end when no
 pair is frequent or when symbols run out.
@@ -44,7 +44,7 @@ from irregts.llm.pieces import PieceEncoder, grouped
 END = 0
 #: Rules of a round, occurrences that make a pair frequent, and part of the largest count that
 #: a round reaches down to, so that the most frequent pairs get their rules first.
-ROUND_RULES, FREQUENT, LEVEL = 4096, 16, 4
+ROUND_RULES, FREQUENT, LEVEL = 1 << 14, 16, 64
 #: Bytes of text of a shard; distinct pieces that go through the library as one text, and
 #: that a worker keeps.
 SHARD_BYTES, LINES, KEEP = 6 << 20, 2000, 1_100_000
@@ -185,7 +185,7 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 
 
 def _frequent_pairs(keys: np.ndarray, slots: np.ndarray, void: np.ndarray, hashed: np.ndarray, least: int) -> np.ndarray:
-    """Pairs that occur ``least`` times or more and nearly as often as the most frequent one,
+    """Pairs that occur ``least`` times or more and a ``LEVEL``-th as often as the most frequent one,
     most frequent first; none only if none occurs ``least`` times. The counts by hash rule most of
     the others out before the exact ones are made. ``void``: what does not count."""
     level = int(hashed.max())
@@ -294,7 +294,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) ->
 
 def write_token_files(documents: DataFrame, vocabulary: str, path: str) -> None:
     """Encode all documents and write their token files below ``path``."""
-    bounded_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession, SHARD_BYTES // 4)
     id_type = documents.schema["doc_id"].dataType.simpleString()
     texts = documents.select(
         "doc_id", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("tie"), utf8().alias("raw")
