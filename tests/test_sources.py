@@ -33,6 +33,12 @@ def test_charted_events_drop_incomplete_rows_but_keep_nan(spark, tmp_path):
     assert out == [(10, "2157-11-20 19:54:00", "1.5"), (20, "2157-11-21 00:00:30", "nan")]
 
 
+def test_csv_scans_convert_only_the_needed_columns(spark, tmp_path):
+    df = ev.read_events(spark, write(tmp_path / "c.csv", CHARTED), "chartevents")
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert sorted(scan.requiredSchema().names()) == ["charttime", "hadm_id", "itemid", "stay_id", "subject_id", "valuenum"]
+
+
 def test_lab_events_have_no_stay(spark, tmp_path):
     df = ev.read_events(spark, write(tmp_path / "c.csv", CHARTED), "labevents")
     assert df.columns == ["subject_id", "hadm_id", "charttime", "itemid", "value"]
