@@ -133,13 +133,13 @@ class Network:
         steps, lanes = symbols.shape
         given, starting = p["table"][symbols], resets.any(axis=1).tolist()
         kind = p["recurrent"].dtype
-        before, fresh, kept = (np.empty((steps, lanes, h), kind) for _ in range(3))
-        gates = np.empty((steps, lanes, 2 * h), kind)
+        before, update, reset, fresh, kept = (np.empty((steps, lanes, h), kind) for _ in range(5))
         for t in range(steps):
             if starting[t]:
                 state = np.where(resets[t][:, None], np.float32(0), state)
             before[t] = state
-            state, gates[t], fresh[t], kept[t] = self.advance(state, given[t])
+            state, gates, fresh[t], kept[t] = self.advance(state, given[t])
+            update[t], reset[t] = gates[:, :h], gates[:, h:]
         flat, target, share = before.reshape(-1, h), symbols.ravel(), weight.ravel().astype(np.float32)
         share = share / max(1.0, float(share.sum()))
         grads = {k: np.zeros_like(v) for k, v in p.items()}
@@ -156,25 +156,30 @@ class Network:
             back[rows] += chance @ p["word_weight"][c].T
 
         # What a change of the state ahead does to the inputs, for all steps at once.
-        back, update, reset = back.reshape(steps, lanes, h), gates[:, :, :h], gates[:, :, h:]
+        back = back.reshape(steps, lanes, h)
         to_fresh = (1 - update) * (1 - fresh * fresh)
         to_update = (before - fresh) * update * (1 - update)
         to_reset = to_fresh * kept * reset * (1 - reset)
-        after = p["recurrent"].T.copy()
+        through_fresh = to_fresh * reset
+        parts = [p["recurrent"][:, k * h : (k + 1) * h].T.copy() for k in range(3)]
         ahead = np.zeros((lanes, h), kind)
-        inputs, through = (np.empty((steps, lanes, 3 * h), kind) for _ in range(2))
+        changes = np.empty((steps, lanes, h), kind)  # of the state after each step
         for t in range(steps - 1, -1, -1):
-            np.multiply(ahead, to_update[t], out=inputs[t, :, :h])
-            np.multiply(ahead, to_reset[t], out=inputs[t, :, h : 2 * h])
-            np.multiply(ahead, to_fresh[t], out=inputs[t, :, 2 * h :])
-            through[t] = inputs[t]
-            through[t, :, 2 * h :] *= reset[t]
+            changes[t] = ahead
+            past = (ahead * to_update[t]) @ parts[0]
+            past += (ahead * to_reset[t]) @ parts[1]
+            past += (ahead * through_fresh[t]) @ parts[2]
             ahead *= update[t]
-            ahead += through[t] @ after
+            ahead += past
             ahead += back[t]
             if starting[t]:
                 ahead[resets[t]] = 0
-        grads["recurrent"] = flat.T @ through.reshape(-1, 3 * h)
+        to_update *= changes
+        to_reset *= changes
+        to_fresh *= changes
+        through_fresh *= changes
+        inputs = np.concatenate([to_update, to_reset, to_fresh], axis=2)
+        grads["recurrent"] = flat.T @ np.concatenate([to_update, to_reset, through_fresh], axis=2).reshape(-1, 3 * h)
         order = np.argsort(target, kind="stable")
         first = np.flatnonzero(np.diff(target[order], prepend=-1))
         grads["table"][target[order][first]] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], first)
