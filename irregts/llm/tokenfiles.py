@@ -12,11 +12,10 @@ and written in that order, one Parquet row per shard of bounded size:
   decoded alone.
 
 Re-Pair runs on a shard in rounds. A round counts all pairs of neighbouring symbols inside
-documents (equal symbols pair from the left of their run), takes those at least a 64th as frequent
-as the most frequent one, in descending order, as long as no symbol is a left side of one and a
-right side of another (so that no two occurrences overlap) and replaces all their
-occurrences; after that only pairs beside a replacement are counted anew. Rounds end when no
-pair is frequent or when symbols run out.
+documents (equal symbols pair from the left of their run), takes the frequent ones in descending
+order, as long as no symbol is a left side of one and a right side of another (so that no two
+occurrences overlap) and replaces all their occurrences; after that only pairs beside a
+replacement are counted anew. Rounds end when no pair is frequent or when symbols run out.
 
 Every document ends with the id 0. Null and empty texts have that id only. Rows with equal
 ids are ordered by their texts' hash; null ids come first. Repeated rows are stored row by
@@ -42,9 +41,8 @@ from irregts.llm.common import bounded_batches, utf8
 from irregts.llm.pieces import PieceEncoder, grouped
 
 END = 0
-#: Rules of a round, occurrences that make a pair frequent, and part of the largest count that
-#: a round reaches down to, so that the most frequent pairs get their rules first.
-ROUND_RULES, FREQUENT, LEVEL = 1 << 14, 16, 64
+#: Rules of a round, occurrences that make a pair frequent.
+ROUND_RULES, FREQUENT = 1 << 14, 16
 #: Bytes of text of a shard; distinct pieces that go through the library as one text, and
 #: that a worker keeps.
 SHARD_BYTES, LINES, KEEP = 6 << 20, 2000, 1_100_000
@@ -185,17 +183,12 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 
 
 def _frequent_pairs(keys: np.ndarray, slots: np.ndarray, void: np.ndarray, hashed: np.ndarray, least: int) -> np.ndarray:
-    """Pairs that occur ``least`` times or more and a ``LEVEL``-th as often as the most frequent one,
-    most frequent first; none only if none occurs ``least`` times. The counts by hash rule most of
-    the others out before the exact ones are made. ``void``: what does not count."""
-    level = int(hashed.max())
-    while True:
-        level = max(least, level // LEVEL)
-        counted = np.flatnonzero((hashed >= level)[slots] & ~void)
-        values, counts = np.unique(keys[counted], return_counts=True)
-        values, counts = values[counts >= level], counts[counts >= level]
-        if len(values) or level == least:
-            return values[np.lexsort((values, -counts))]
+    """Pairs that occur ``least`` times or more, most frequent first. The counts by hash rule most
+    of the others out before the exact ones are made. ``void``: what does not count."""
+    counted = np.flatnonzero((hashed >= least)[slots] & ~void)
+    values, counts = np.unique(keys[counted], return_counts=True)
+    values, counts = values[counts >= least], counts[counts >= least]
+    return values[np.lexsort((values, -counts))]
 
 
 def _neighbours(sequence: np.ndarray, last: np.ndarray, shift: int) -> tuple[np.ndarray, ...]:
