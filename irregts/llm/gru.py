@@ -6,11 +6,15 @@ is factored: the class of the next symbol, then, for frequent words, the word in
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 
 HIDDEN, CLASS_WORDS, WINDOW = 16, 32, 32
+#: Sequences that advance together, states held until their next symbols are scored, and those that
+#: a softmax takes at once: what is worked on fits the cache of a core.
+TOGETHER, HELD_STATES, BLOCK = 1024, 1 << 13, 512
 NAMES = ("table", "recurrent", "class_weight", "class_bias", "word_weight", "word_bias")
 
 
@@ -30,11 +34,24 @@ class Shape:
         return np.where(symbols < self.words, symbols // CLASS_WORDS, symbols - self.words + self.word_classes)
 
 
+class Room:
+    """Arrays that are filled again and again: memory that is new each time costs as much as the sums."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, kind: np.dtype, *size: int) -> np.ndarray:
+        n, flat = math.prod(size), self.held.get(name)
+        if flat is None or len(flat) < n or flat.dtype != kind:
+            flat = self.held[name] = np.empty(n, kind)
+        return flat[:n].reshape(size)
+
+
 class Network:
     """Parameters and the two passes through them."""
 
     def __init__(self, shape: Shape, parameters: dict[str, np.ndarray]) -> None:
-        self.shape, self.parameters = shape, parameters
+        self.shape, self.parameters, self.room = shape, parameters, Room()
 
     @classmethod
     def start(cls, shape: Shape, counts: np.ndarray, seed: int = 0) -> Network:
@@ -60,68 +77,150 @@ class Network:
             },
         )
 
-    def advance(self, state: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state after inputs ``given`` (rows of the table), with the gates (update and
-        reset side by side), the fresh part and what the reset acts on."""
+    def advance(
+        self, state: np.ndarray, given: np.ndarray, kept: np.ndarray, gates: np.ndarray, fresh: np.ndarray, ahead: np.ndarray
+    ) -> None:
+        """Fill ``ahead`` with the next state after inputs ``given``, ``gates`` with the update and
+        reset, ``fresh`` and, in the last rows of ``kept``, what the reset acts on. Sequences are
+        columns, so that every part of a state lies in one piece."""
         h = HIDDEN
-        kept = state @ self.parameters["recurrent"]
-        gates = given[:, : 2 * h] + kept[:, : 2 * h]
+        np.matmul(self.parameters["recurrent"].T, state, out=kept)
+        np.add(given[: 2 * h], kept[: 2 * h], out=gates)
         gates *= 0.5  # the logistic function as a hyperbolic tangent
         np.tanh(gates, out=gates)
         gates += 1
         gates *= 0.5
-        fresh = gates[:, h:] * kept[:, 2 * h :]
-        fresh += given[:, 2 * h :]
+        np.multiply(gates[h:], kept[2 * h :], out=fresh)
+        fresh += given[2 * h :]
         np.tanh(fresh, out=fresh)
-        ahead = state - fresh
-        ahead *= gates[:, :h]
+        np.subtract(state, fresh, out=ahead)
+        ahead *= gates[:h]
         ahead += fresh
-        return ahead, gates, fresh, kept[:, 2 * h :]
 
     def step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
-        return self.advance(state, self.parameters["table"][symbols])
+        """The state after ``symbols``, the gates, the fresh part and what the reset acts on."""
+        h, kind, n = HIDDEN, state.dtype, len(state)
+        kept, gates, fresh, ahead = (np.empty((k * h, n), kind) for k in (3, 2, 1, 1))
+        self.advance(state.T, self.parameters["table"][symbols].T, kept, gates, fresh, ahead)
+        return ahead.T, gates.T, fresh.T, kept[2 * h :].T
 
     def log_probability(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of each symbol's probability after its state."""
-        p, shape = self.parameters, self.shape
-        wanted = shape.class_of(symbols)
-        out = _log_softmax_at(states @ p["class_weight"] + p["class_bias"], wanted)
-        for c, rows in _by_class(wanted, shape.word_classes):
-            scores = states[rows] @ p["word_weight"][c] + p["word_bias"][c]
-            out[rows] += _log_softmax_at(scores, symbols[rows] % CLASS_WORDS)
+        order = self._in_order(symbols)
+        flat = np.ones((HIDDEN + 1, len(order)), states.dtype)
+        flat[:HIDDEN] = states[order].T
+        out = np.empty(len(order), states.dtype)
+        out[order] = self._logs(flat, symbols[order], *self._weights_and_biases())
+        return out
+
+    def _in_order(self, symbols: np.ndarray) -> np.ndarray:
+        """Places of symbols in ascending order: words by class, then the classes of other words."""
+        return np.argsort(symbols.astype(np.min_scalar_type(self.shape.words + self.shape.classes)), kind="stable")
+
+    def _weights_and_biases(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the classes and of the words of each class, the bias being the weight of a last input of one."""
+        p = self.parameters
+        return (
+            np.concatenate([p["class_weight"], p["class_bias"][None]]),
+            np.concatenate([p["word_weight"], p["word_bias"][:, None]], axis=1),
+        )
+
+    def _class_scores(self, flat: np.ndarray, class_weight: np.ndarray) -> np.ndarray:
+        scores = self.room("class_scores", flat.dtype, class_weight.shape[1], flat.shape[1])
+        return np.matmul(class_weight.T, flat, out=scores)
+
+    def _word_scores(self, flat: np.ndarray, target: np.ndarray, word_weight: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """Scores of the words in the class of each target that is a word, and the columns of each class."""
+        classes = len(word_weight)
+        ends = np.searchsorted(target, np.minimum(np.arange(classes + 1) * CLASS_WORDS, self.shape.words)).tolist()
+        runs = [(c, slice(a, b)) for c, a, b in zip(range(classes), ends, ends[1:]) if a < b]
+        scores = self.room("word_scores", flat.dtype, CLASS_WORDS, ends[-1])
+        for c, run in runs:
+            np.matmul(word_weight[c].T, flat[:, run], out=scores[:, run])
+        return scores, runs
+
+    def _exponentials(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take one number off all ``scores`` (one off each column, where some column would
+        vanish); their exponentials and the sums of those per column."""
+        scores -= scores.max(initial=0)
+        powers = np.exp(scores, out=self.room("powers", scores.dtype, *scores.shape))
+        sums = powers.sum(axis=0)
+        if not (sums > 1e-30).all():
+            scores -= scores.max(axis=0)
+            np.exp(scores, out=powers)
+            sums = powers.sum(axis=0)
+        return powers, sums
+
+    def _log_softmax_at(self, scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+        _, sums = self._exponentials(scores)
+        return scores[at, np.arange(len(at))] - np.log(sums)
+
+    def _softmax_loss(self, scores: np.ndarray, at: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
+        """Gradient with respect to the scores (good until the next call), and the loss."""
+        powers, sums = self._exponentials(scores)
+        columns = np.arange(len(at))
+        loss = -float((share * np.log(np.maximum(powers[at, columns] / sums, 1e-30))).sum())
+        powers *= share / sums
+        powers[at, columns] -= share
+        return powers, loss
+
+    def _logs(self, flat: np.ndarray, target: np.ndarray, class_weight: np.ndarray, word_weight: np.ndarray) -> np.ndarray:
+        """Log probability of ascending symbols; ``flat`` has the states, then a one, as columns."""
+        wanted, out = self.shape.class_of(target), np.empty(len(target), flat.dtype)
+        for at in range(0, len(target), BLOCK):
+            some = slice(at, at + BLOCK)
+            out[some] = self._log_softmax_at(self._class_scores(flat[:, some], class_weight), wanted[some])
+        scores, _ = self._word_scores(flat, target, word_weight)
+        words = scores.shape[1]
+        out[:words] += self._log_softmax_at(scores, target[:words] % CLASS_WORDS)
         return out
 
     def score(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log probability of whole sequences that lie one after the other in ``symbols``.
 
-        All sequences advance together, longest first, so that those that have ended drop
-        out at the end; states go from window to window.
+        Sequences of like lengths advance together, longest first, so that those that have ended
+        drop out at the end; states go from window to window.
         """
         order = np.argsort(-lengths, kind="stable")
-        starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
-        total, table = np.zeros(len(lengths)), self.parameters["table"]
-        longest = int(sizes[0]) if len(sizes) else 0
+        starts, total = np.cumsum(lengths) - lengths, np.zeros(len(lengths))
+        table, weights = np.ascontiguousarray(self.parameters["table"].T), self._weights_and_biases()
+        for at in range(0, len(order), TOGETHER):
+            some = order[at : at + TOGETHER]
+            total[some] = self._score(symbols, starts[some], lengths[some], table, weights)
+        return total
+
+    def _score(
+        self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: np.ndarray, weights: tuple[np.ndarray, ...]
+    ) -> np.ndarray:
+        h, kind, room, longest = HIDDEN, table.dtype, self.room, int(sizes[0]) if len(sizes) else 0
         active = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
-        state = np.zeros((len(lengths), HIDDEN), np.float32)
-        states: list[np.ndarray] = []
-        seen: list[np.ndarray] = []
-        held = 0
-        for t in range(longest):
-            n = int(active[t])
-            now = symbols[starts[:n] + t]
-            state = state[:n]
-            states.append(state)
-            seen.append(now)
-            held += n
-            state = self.advance(state, table[now])[0]
-            if held >= 1 << 16 or t == longest - 1:
-                logs = self.log_probability(np.concatenate(states), np.concatenate(seen).astype(np.int64))
-                who = np.concatenate([np.arange(len(x)) for x in seen])
-                total += np.bincount(who, logs, len(lengths))
-                states, seen, held = [], [], 0
-        out = np.zeros(len(lengths))
-        out[order] = total
-        return out
+        ends = np.cumsum(active)
+        total, state, t = np.zeros(len(sizes)), np.zeros((h, len(sizes)), kind), 0
+        while t < longest:
+            # Some steps of all sequences that go on: the states one after the other, step by step.
+            after = min(longest, int(np.searchsorted(ends, ends[t] - active[t] + HELD_STATES)) + 1)
+            widths = active[t:after]
+            held = int(widths.sum())
+            begins = np.cumsum(widths) - widths
+            who = np.arange(held) - np.repeat(begins, widths)
+            seen = symbols[starts[who] + np.repeat(np.arange(t, after), widths)]
+            given = table.take(seen, axis=1, mode="clip", out=room("given", kind, 3 * h, held))
+            states = room("states", kind, h + 1, HELD_STATES + 2 * len(sizes) + 16)
+            states[h] = 1
+            begin, n, parts = 0, 0, ()
+            states[:h, : widths[0]] = state[:, : widths[0]]
+            for width in widths.tolist():
+                if width != n:
+                    n, parts = width, tuple(room(name, kind, k * h, width) for name, k in (("kept", 3), ("gates", 2), ("fresh", 1)))
+                end = begin + n
+                # Those that end here leave states that the next step's overwrite.
+                self.advance(states[:h, begin:end], given[:, begin:end], *parts, states[:h, end : end + n])
+                begin = end
+            state, t = states[:h, begin : begin + n].copy(), after
+            place = self._in_order(seen)
+            flat = states[:, :held].take(place, axis=1, mode="clip", out=room("flat", kind, h + 1, held))
+            total += np.bincount(who[place], self._logs(flat, seen[place].astype(np.int64), *weights), len(sizes))
+        return total
 
     def gradient(
         self, state: np.ndarray, symbols: np.ndarray, resets: np.ndarray, weight: np.ndarray
@@ -129,98 +228,99 @@ class Network:
         """Gradient of one window (steps x lanes) by truncated backpropagation, the state
         after it and its loss. ``resets`` marks symbols that start a text; ``weight`` is 0
         for padding."""
-        p, h, shape = self.parameters, HIDDEN, self.shape
-        steps, lanes = symbols.shape
-        given, starting = p["table"][symbols], resets.any(axis=1).tolist()
-        kind = p["recurrent"].dtype
-        before, update, reset, fresh, kept = (np.empty((steps, lanes, h), kind) for _ in range(5))
+        p, h, kind, (steps, lanes) = self.parameters, HIDDEN, self.parameters["recurrent"].dtype, symbols.shape
+        n, starting = steps * lanes, resets.any(axis=1).tolist()
+
+        def room(name: str, *size: int) -> np.ndarray:
+            return self.room(name, kind, *size)
+
+        def rows(name: str, parts: np.ndarray) -> np.ndarray:
+            """A row per part. In memory, rows are a little longer than needed, since those that
+            are a power of two apart share the same places of the cache."""
+            made = room(name, parts.shape[1], n + 16)[:, :n]
+            made.reshape(-1, steps, lanes)[:] = parts.transpose(1, 0, 2)
+            return made
+
+        given = room("given", steps, 3 * h, lanes)
+        taken = p["table"].take(symbols, axis=0, out=room("taken", steps, lanes, 3 * h), mode="clip")
+        given[:] = taken.transpose(0, 2, 1)
+        states, kept = room("states", steps + 1, h, lanes), room("kept", steps, 3 * h, lanes)
+        gates, fresh = room("gates", steps, 2 * h, lanes), room("fresh", steps, h, lanes)
+        states[0] = state.T
         for t in range(steps):
             if starting[t]:
-                state = np.where(resets[t][:, None], np.float32(0), state)
-            before[t] = state
-            state, gates, fresh[t], kept[t] = self.advance(state, given[t])
-            update[t], reset[t] = gates[:, :h], gates[:, h:]
-        flat, target, share = before.reshape(-1, h), symbols.ravel(), weight.ravel().astype(np.float32)
+                states[t][:, resets[t]] = 0
+            self.advance(states[t], given[t], kept[t], gates[t], fresh[t], states[t + 1])
+        before, after = states[:-1], np.ascontiguousarray(states[-1].T)
+
+        # The softmax of all steps, in ascending order of symbols; the last input is one.
+        order = self._in_order(symbols.ravel())
+        target = symbols.ravel()[order]
+        share = weight.ravel()[order].astype(np.float32)
         share = share / max(1.0, float(share.sum()))
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-
-        wanted = shape.class_of(target)
-        chance, loss = _softmax_loss(flat @ p["class_weight"] + p["class_bias"], wanted, share)
-        grads["class_weight"], grads["class_bias"] = flat.T @ chance, chance.sum(0)
-        back = chance @ p["class_weight"].T
-        for c, rows in _by_class(wanted, shape.word_classes):
-            scores = flat[rows] @ p["word_weight"][c] + p["word_bias"][c]
-            chance, more = _softmax_loss(scores, target[rows] % CLASS_WORDS, share[rows])
+        past, flat = rows("past", before), room("flat", h + 1, n)
+        past.take(order, axis=1, out=flat[:h], mode="clip")
+        flat[h] = 1
+        class_weight, word_weight = self._weights_and_biases()
+        wanted, found = self.shape.class_of(target), np.zeros_like(class_weight)
+        sorted_back, loss = room("sorted_back", h, n), 0.0
+        for at in range(0, n, BLOCK):
+            some = slice(at, at + BLOCK)
+            chance, more = self._softmax_loss(self._class_scores(flat[:, some], class_weight), wanted[some], share[some])
             loss += more
-            grads["word_weight"][c], grads["word_bias"][c] = flat[rows].T @ chance, chance.sum(0)
-            back[rows] += chance @ p["word_weight"][c].T
-
-        # What a change of the state ahead does to the inputs, for all steps at once.
-        back = back.reshape(steps, lanes, h)
-        to_fresh = (1 - update) * (1 - fresh * fresh)
-        to_update = (before - fresh) * update * (1 - update)
-        to_reset = to_fresh * kept * reset * (1 - reset)
-        through_fresh = to_fresh * reset
-        parts = [p["recurrent"][:, k * h : (k + 1) * h].T.copy() for k in range(3)]
-        ahead = np.zeros((lanes, h), kind)
-        changes = np.empty((steps, lanes, h), kind)  # of the state after each step
+            found += flat[:, some] @ chance.T
+            np.matmul(p["class_weight"], chance, out=sorted_back[:, some])
+        grads = {"class_weight": found[:h], "class_bias": found[h]}
+        scores, runs = self._word_scores(flat, target, word_weight)
+        words = scores.shape[1]
+        chance, more = self._softmax_loss(scores, target[:words] % CLASS_WORDS, share[:words])
+        loss += more
+        found, word_back = np.zeros_like(word_weight), room("word_back", h, words)
+        for c, run in runs:
+            np.matmul(flat[:, run], chance[:, run].T, out=found[c])
+            np.matmul(p["word_weight"][c], chance[:, run], out=word_back[:, run])
+        grads |= {"word_weight": found[:, :h], "word_bias": found[:, h]}
+        sorted_back[:, :words] += word_back
+        place = np.empty_like(order)
+        place[order] = np.arange(n)
+        back = sorted_back.take(place, axis=1, out=room("back", h, n), mode="clip").reshape(h, steps, lanes)
+
+        # What a change of the state ahead does to the inputs, for all steps at once: to the fresh
+        # part, the update, the reset, and to the fresh part through the reset.
+        update, reset, kept = gates[:, :h], gates[:, h:], kept[:, 2 * h :]
+        to, left = room("to", steps, 4, h, lanes), room("left", steps, h, lanes)
+        to_fresh, to_update, to_reset, through = (to[:, k] for k in range(4))
+        np.subtract(1, update, out=left)
+        np.multiply(left, update, out=to_update)
+        np.subtract(before, fresh, out=to_reset)
+        to_update *= to_reset
+        fresh *= fresh
+        np.subtract(1, fresh, out=to_fresh)
+        to_fresh *= left
+        np.multiply(to_fresh, reset, out=through)
+        np.subtract(1, reset, out=to_reset)
+        to_reset *= kept
+        to_reset *= through
+        changes = room("changes", steps, 1, h, lanes)  # of the state after each step
+        ahead, through_gates, gone = np.zeros((h, lanes), kind), np.empty((3, h, lanes), kind), np.empty((h, lanes), kind)
         for t in range(steps - 1, -1, -1):
-            changes[t] = ahead
-            past = (ahead * to_update[t]) @ parts[0]
-            past += (ahead * to_reset[t]) @ parts[1]
-            past += (ahead * through_fresh[t]) @ parts[2]
+            changes[t, 0] = ahead
+            np.multiply(to[t, 1:], ahead, out=through_gates)
+            np.matmul(p["recurrent"], through_gates.reshape(3 * h, lanes), out=gone)
             ahead *= update[t]
-            ahead += past
-            ahead += back[t]
+            ahead += gone
+            ahead += back[:, t]
             if starting[t]:
-                ahead[resets[t]] = 0
-        to_update *= changes
-        to_reset *= changes
-        to_fresh *= changes
-        through_fresh *= changes
-        inputs = np.concatenate([to_update, to_reset, to_fresh], axis=2)
-        grads["recurrent"] = flat.T @ np.concatenate([to_update, to_reset, through_fresh], axis=2).reshape(-1, 3 * h)
-        order = np.argsort(target, kind="stable")
-        first = np.flatnonzero(np.diff(target[order], prepend=-1))
-        grads["table"][target[order][first]] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], first)
-        return grads, state, loss
-
-
-def _exponentials(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exponentials of scores, less one number for all rows (per row, where some row would vanish);
-    their sums per row and what was taken off."""
-    off = scores.max(initial=0, keepdims=True)
-    powers = np.exp(scores - off)
-    sums = powers.sum(axis=1)
-    if not (sums > 1e-30).all():
-        off = scores.max(axis=1, keepdims=True)
-        powers = np.exp(scores - off)
-        sums = powers.sum(axis=1)
-    return powers, sums, off
-
-
-def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    _, sums, off = _exponentials(scores)
-    return scores[np.arange(len(at)), at] - off[:, 0] - np.log(sums)
-
-
-def _softmax_loss(scores: np.ndarray, at: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradient with respect to the scores, and the loss."""
-    powers, sums, _ = _exponentials(scores)
-    rows = np.arange(len(at))
-    loss = -float((share * np.log(np.maximum(powers[rows, at] / sums, 1e-30))).sum())
-    powers *= (share / sums)[:, None]
-    powers[rows, at] -= share
-    return powers, loss
-
-
-def _by_class(classes: np.ndarray, below: int):
-    """Class and rows of it, for classes under ``below``."""
-    order = np.argsort(classes.astype(np.int16), kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(below + 1))
-    for c in range(below):
-        if cuts[c] < cuts[c + 1]:
-            yield c, order[cuts[c] : cuts[c + 1]]
+                ahead[:, resets[t]] = 0
+        to *= changes
+        inputs = rows("inputs", to.reshape(steps, 4 * h, lanes))
+        grads["recurrent"] = past @ inputs[h:].T
+        grads["table"] = np.zeros_like(p["table"])
+        first = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+        inputs = inputs[: 3 * h].take(order, axis=1, out=room("taken", 3 * h, n), mode="clip")
+        sums = np.add.reduceat(inputs, first, axis=1).T
+        grads["table"][target[first]] = np.concatenate([sums[:, h:], sums[:, :h]], axis=1)
+        return {k: grads[k] for k in NAMES}, after, loss
 
 
 class Adam:
@@ -235,10 +335,20 @@ class Adam:
         scale = min(1.0, clip / max(norm, 1e-12))
         fix = np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
         for k, g in grads.items():
+            mean, square = self.mean[k], self.square[k]
             g = g * np.float32(scale)
-            self.mean[k] += np.float32(0.1) * (g - self.mean[k])
-            self.square[k] += np.float32(0.001) * (g * g - self.square[k])
-            self.network.parameters[k] -= np.float32(self.rate * fix) * self.mean[k] / (np.sqrt(self.square[k]) + np.float32(1e-8))
+            by = g - mean
+            by *= np.float32(0.1)
+            mean += by
+            g *= g
+            g -= square
+            g *= np.float32(0.001)
+            square += g
+            np.sqrt(square, out=g)
+            g += np.float32(1e-8)
+            np.multiply(mean, np.float32(self.rate * fix), out=by)
+            by /= g
+            self.network.parameters[k] -= by
 
 
 def train_stream(network: Network, symbols: np.ndarray, starts: np.ndarray, epochs: int, rate: float, lanes: int = 64) -> list[float]:

@@ -29,13 +29,12 @@ from __future__ import annotations
 
 import copy
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +62,9 @@ AHEAD = 16
 READ_BYTES, SCORED_BYTES = 3 << 20, 16 << 20
 #: The end of a text; no word holds a space.
 END = b" "
+#: White space, and of each byte whether it belongs to a word.
+SPACES = b" \t\n\r\x0b\x0c"
+IN_WORD = bytes(b not in SPACES for b in range(256))
 
 # Classes of rarer words by their last byte: a to z, full stop, comma, non-ASCII, others.
 CLASSES = 30
@@ -77,20 +79,54 @@ def words_of(raw: bytes) -> list[bytes]:
     return [*raw.translate(LOWER).split(), END]
 
 
+def _ends(values: pa.Array) -> np.ndarray:
+    """Where the first of some byte strings starts in their buffer and where each ends."""
+    if not len(values):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+
+
+def _words(raws: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts one after the other, without ends, and how many each
+    text has."""
+    ends = _ends(raws)
+    data = memoryview(raws.buffers()[2] or b"")[ends[0] : ends[-1]].tobytes().translate(LOWER)
+    ends -= ends[0]
+    inside = np.frombuffer(data.translate(IN_WORD), bool)
+    begins, ending = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ending[:-1] &= ~inside[1:]
+    # No word goes over the end of a text.
+    edges = ends[(ends > 0) & (ends < len(data))]
+    begins[edges], ending[edges - 1] = inside[edges], inside[edges - 1]
+    starts = np.flatnonzero(begins)
+    offsets = np.append(0, np.cumsum(np.flatnonzero(ending) + 1 - starts)).astype(np.int32)
+    kept = pa.py_buffer(data.translate(None, SPACES))
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), kept])
+    return words, np.diff(np.searchsorted(starts, ends))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
+    held: list[pa.Table] = []
+    ends = 0
 
-    def rows() -> pa.RecordBatch:
-        columns = [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["token", "n"])
+    def summed() -> pa.Table:
+        found = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")])
+        return found.select(["token", "n_sum"]).rename_columns(["token", "n"])
 
-    for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            seen.update(words_of(raw))
-            if len(seen) >= HELD_WORDS:
-                yield rows()
-                seen.clear()
-    yield rows()
+    for batch in grouped(batches, least=READ_BYTES):
+        words, _ = _words(batch.column("raw").cast(pa.binary()))
+        ends += len(batch)
+        seen = words.value_counts()
+        held.append(pa.table({"token": seen.field("values"), "n": seen.field("counts")}))
+        if sum(map(len, held)) >= HELD_WORDS:
+            held = [summed()]
+            if len(held[0]) >= HELD_WORDS:
+                yield from held[0].to_batches()
+                held = []
+    if ends:
+        held.append(pa.table({"token": pa.array([END], pa.binary()), "n": pa.array([ends], pa.int64())}))
+        yield from summed().to_batches()
 
 
 @dataclass
@@ -160,68 +196,55 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(tokens, distinct, words, n, class_tokens, class_distinct)
 
 
-class Reader:
-    """Turns texts to places in the lexicon and to symbols."""
-
-    def __init__(self, lexicon: Lexicon) -> None:
-        self.place = {w: i for i, w in enumerate(lexicon.words)}
-        self.words = lexicon.shape.words
-        last = np.frombuffer(bytes(w[-1] for w in lexicon.words), np.uint8)
-        rare = self.words + CLASS_OF_BYTE[last]
-        self.symbol = np.where(np.arange(len(rare)) < self.words, np.arange(len(rare)), rare)
-
-    def read(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each token in the lexicon (-1: not there) and its symbol."""
-        at = np.fromiter(map(self.place.get, tokens, repeat(-1)), np.int64, len(tokens))
-        symbols = self.symbol[at]
-        unknown = np.flatnonzero(at < 0)
-        if len(unknown):
-            last = np.frombuffer(bytes(tokens[i][-1] for i in unknown.tolist()), np.uint8)
-            symbols[unknown] = self.words + CLASS_OF_BYTE[last]
-        return at, symbols
-
-
 def _read(batches: Iterator[pa.RecordBatch], known: Lexicon) -> Iterator[pa.RecordBatch]:
     """Per document its symbols, what the lexicon says of it, and its words that are not there."""
-    reader, words = Reader(known), known.shape.words
+    words, lookup = known.shape.words, pa.array(known.words, pa.binary())
     log_count = np.log10(known.counts + 0.5)
     in_class = np.log10(known.class_tokens + 0.5 * (known.class_distinct + 1))
+    last = np.frombuffer(bytes(w[-1] for w in known.words), np.uint8)
+    symbol = np.where(np.arange(len(last)) < words, np.arange(len(last)), words + CLASS_OF_BYTE[last])
+    counted = known.counts > 0
+
+    def last_of(tokens: pa.Array) -> np.ndarray:
+        return np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[_ends(tokens)[1:] - 1]
+
     for batch in grouped(batches, least=READ_BYTES):
-        per_text = [words_of(raw) for raw in batch.column("raw").to_pylist()]
-        lengths = np.array([len(t) for t in per_text], np.int64)
-        at, symbols = reader.read([w for t in per_text for w in t])
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        there = at >= 0
-        logs = np.where(there, log_count[at], 0.0)
-        rarer = symbols >= words
-        beside = np.bincount(owner[rarer], logs[rarer] - in_class[symbols[rarer] - words], len(lengths))
-        known_tokens = np.bincount(owner[there], known.counts[at[there]] > 0, len(lengths))
-        starts = np.cumsum(lengths) - lengths
-        rare_words: list[bytes] = []
-        rare_counts: list[int] = []
-        rare_sizes = np.zeros(len(lengths), np.int64)
-        unknown = np.flatnonzero(~there)
-        for i, places in zip(*_runs(owner[unknown], unknown)):
-            counted = Counter(per_text[i][k] for k in (places - starts[i]).tolist())
-            rare_words += counted
-            rare_counts += counted.values()
-            rare_sizes[i] = len(counted)
-        rare = pa.StructArray.from_arrays(
-            [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["token", "n"]
-        )
-        rare_ends = pa.array(np.concatenate([[0], np.cumsum(rare_sizes)]), pa.int32())
-        data = symbols.astype("<u2").tobytes()
-        ends = (2 * (starts + lengths)).tolist()
+        tokens, n_words = _words(batch.column("raw").cast(pa.binary()))
+        owner = np.repeat(np.arange(len(n_words)), n_words)
+        at = pc.index_in(tokens, value_set=lookup).fill_null(-1).to_numpy()
+        unknown = np.flatnonzero(at < 0)
+        strange = tokens.take(pa.array(unknown))
+        symbols, logs = symbol[at], log_count[at]
+        symbols[unknown], logs[unknown] = words + CLASS_OF_BYTE[last_of(strange)], 0.0
+        seen = counted[at]
+        seen[unknown] = False
+        rarer = np.flatnonzero(symbols >= words)
+        beside = np.bincount(owner[rarer], logs[rarer] - in_class[symbols[rarer] - words], len(n_words))
+        # The end, first in the lexicon, is the last token of every text.
+        known_tokens = np.bincount(owner[seen], minlength=len(n_words)) + int(counted[0])
+        logs = np.bincount(owner, logs, len(n_words)) + log_count[0]
+        # Words that are not in the lexicon, per text in the order in which they come.
+        strange = strange.dictionary_encode()
+        different = max(1, len(strange.dictionary))
+        pairs, first, times = np.unique(owner[unknown] * different + strange.indices.to_numpy(), return_index=True, return_counts=True)
+        order = np.argsort(first)
+        whose, which = np.divmod(pairs[order], different)
+        rare = pa.StructArray.from_arrays([strange.dictionary.take(pa.array(which)), pa.array(times[order])], names=["token", "n"])
+        rare_ends = np.append(0, np.cumsum(np.bincount(whose, minlength=len(n_words))))
+        ends = np.cumsum(n_words + 1)
+        data = np.zeros(len(tokens) + len(n_words), "<u2")
+        data[np.arange(len(tokens)) + owner] = symbols
+        ends_of_bytes = pa.py_buffer(np.append(0, 2 * ends).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 batch.column("held_out"),
-                pa.array(lengths),
-                pa.array(known_tokens.astype(np.int64)),
-                pa.array(np.bincount(owner, logs, len(lengths)).astype(float)),
+                pa.array(n_words + 1),
+                pa.array(known_tokens),
+                pa.array(logs),
                 pa.array(beside.astype(float)),
-                pa.ListArray.from_arrays(rare_ends, rare),
-                pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), rare),
+                pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, ends_of_bytes, pa.py_buffer(data)]),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "beside", "rare", "symbols"],
         )
@@ -371,14 +394,6 @@ def _score(batches: Iterator[pa.RecordBatch], network: Network) -> Iterator[pa.R
         )
 
 
-def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    """Distinct sorted keys and the values of each."""
-    if not len(keys):
-        return [], []
-    cuts = np.flatnonzero(np.diff(keys)) + 1
-    return keys[np.r_[0, cuts]].tolist(), np.split(values, cuts)
-
-
 def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score. Learns from the documents that are not held out."""

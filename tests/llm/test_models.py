@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import clashing, crc, documents, hard_texts
 
@@ -301,3 +303,82 @@ def test_replicas_read_whole_texts_from_their_starts(monkeypatch):
         lanes.feed(text)
     lanes.finish()
     assert sorted(read) == [(i, at) for i, n in enumerate(lengths) for at in range(n)] and lanes.seen == sum(lengths)
+
+
+def peak_mb(act):
+    """Memory that ``act`` takes anew, at most, when it has been done before."""
+    act()
+    tracemalloc.start()
+    try:
+        act()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_windows_are_worked_on_in_memory_that_is_there():
+    """Fresh pages for the arrays of each window took a third of the time of training."""
+    rng = np.random.default_rng(4)
+    network = gru.Network.start(gru.Shape(1024, 30), rng.random(1054) * 10)
+    symbols, resets = rng.integers(0, 1054, (gru.WINDOW, lm.LANES)), rng.random((gru.WINDOW, lm.LANES)) < 0.01
+    state, weight = np.zeros((lm.LANES, gru.HIDDEN), np.float32), np.ones(symbols.shape, bool)
+    assert peak_mb(lambda: network.gradient(state, symbols, resets, weight)) < 2.5
+
+
+def test_scoring_holds_what_fits_the_cache():
+    rng = np.random.default_rng(5)
+    network = gru.Network.start(gru.Shape(1024, 30), rng.random(1054) * 10)
+    lengths = rng.integers(0, 60, 6000)
+    symbols = rng.integers(0, 1054, lengths.sum()).astype("<u2")
+    assert peak_mb(lambda: network.score(symbols, lengths)) < 4
+    some = rng.permutation(6000)[:40]
+    ends = np.cumsum(lengths)
+    alone = [network.score(symbols[ends[i] - lengths[i] : ends[i]], lengths[i : i + 1])[0] for i in some]
+    assert network.score(symbols, lengths)[some] == pytest.approx(alone, rel=1e-4, abs=1e-6)
+
+
+def test_a_word_takes_no_python_object():
+    """Counting and reading keep the words of a batch in one array; a list of them takes 30 MB here."""
+    raw = " ".join(prose(ENGLISH, 100, 8, 4000)).encode()
+    batch = pa.record_batch({"doc_id": [1], "held_out": [False], "raw": pa.array([raw], pa.binary())})
+    counts = Counter(lm.words_of(raw))
+    words = [lm.END, *sorted(set(counts) - {lm.END})]
+    classes = np.zeros(lm.CLASSES, np.int64)
+    known = lm.Lexicon(counts.total(), len(counts), words, np.array([counts[w] for w in words]), classes, classes)
+    assert peak_mb(lambda: list(lm._count(iter([batch.select(["raw"])])))) < 20
+    assert peak_mb(lambda: list(lm._read(iter([batch]), known))) < 30
+
+
+def test_words_of_a_batch_are_those_of_its_texts(monkeypatch):
+    """Texts that meet inside a word, odd white space, bytes that are not UTF-8, slices, small groups."""
+    odd = [b"", b"a", b"b", b"", b"c ", b"d\x0be\x0cF", b"\x1cG \x85\xa0\xff Zz\x00zz zz\x00ZZ x", b" \t\r\n", b"the x y the zz\x00zz", b"x", b""]
+    raws = odd + [(t or "").encode() for t in [*hard_texts(), *prose(ENGLISH, 50, 9)]]
+    counts = Counter(w for r in raws for w in lm.words_of(r))
+    words = [lm.END, *(w.encode() for w in ENGLISH[:5]), b"x", b"zebra"]
+    words = list(dict.fromkeys(words))
+    monkeypatch.setattr(lm, "MODEL_WORDS", 4)
+    tokens, distinct = np.arange(lm.CLASSES) + 5, np.arange(lm.CLASSES) + 2
+    known = lm.Lexicon(counts.total(), len(counts), words, np.array([counts[w] for w in words]), tokens, distinct)
+    whole = pa.record_batch({"doc_id": range(len(raws)), "held_out": [False] * len(raws), "raw": pa.array(raws, pa.binary())})
+    for least, held, cut in ((1, 3, 1), (1 << 20, 200_000, 7), (40, 5, 3)):
+        monkeypatch.setattr(lm, "READ_BYTES", least)
+        monkeypatch.setattr(lm, "HELD_WORDS", held)
+        batches = [whole.slice(a, cut) for a in range(0, len(raws), cut)]
+        got = Counter()
+        for b in lm._count(b.select(["raw"]) for b in batches):
+            for token, n in zip(b["token"].to_pylist(), b["n"].to_pylist()):
+                got[token] += n
+        assert got == counts
+        read = [r for b in lm._read(iter(batches), known) for r in b.to_pylist()]
+        for r, raw in zip(read, raws, strict=True):
+            said = lm.words_of(raw)
+            rare = Counter(w for w in said if w not in words)
+            assert [(x["token"], x["n"]) for x in r["rare"]] == list(rare.items())  # in order of appearance
+            place = {w: i for i, w in enumerate(words)}
+            symbols = [place[w] if place.get(w, 4) < 4 else 4 + int(lm.CLASS_OF_BYTE[w[-1]]) for w in said]
+            assert np.frombuffer(r["symbols"], "<u2").tolist() == symbols and r["n_tokens"] == len(said)
+            assert r["n_known"] == sum(w in place and counts[w] > 0 for w in said)
+            assert r["logs"] == pytest.approx(sum(math.log10(counts[w] + 0.5) for w in said if w in place))
+            share = {c: math.log10(tokens[c] + 0.5 * (distinct[c] + 1)) for c in range(lm.CLASSES)}
+            beside = sum((math.log10(counts[w] + 0.5) if w in place else 0) - share[s - 4] for w, s in zip(said, symbols) if s >= 4)
+            assert r["beside"] == pytest.approx(beside)
